@@ -1,7 +1,7 @@
 """Packing by cutting-stock column generation.
 
-Each document's ids (end id included) are cut into full sequences and one remainder. The histogram of remainder lengths, at most
-`size` - 1 numbers whatever the corpus, is all that reaches the driver. There a linear program over patterns (multisets of lengths that fit one
+Each document's ids (end id included) are cut into full sequences, at most one half sequence, and a rest below half. The histogram of the
+lengths below `size`, at most size / 2 numbers whatever the corpus, is all that reaches the driver. There a linear program over patterns (multisets of lengths that fit one
 sequence) is solved by column generation: the duals price lengths, an unbounded-knapsack dynamic programme finds the best new pattern, and
 a revised simplex takes it in, until Farley's bound shows that little is left to gain. Patterns are used their rounded-down number of times;
 what remains of the histogram (fewer remainders than patterns hold) is packed first-fit-decreasing. Remainders are ranked within their
@@ -24,7 +24,7 @@ from .common import Scratch, small_batches
 
 SIZE, END = 1024, 0
 #: The linear program stops once it is within this share of the bound.
-GAP = 0.002
+GAP = 0.003
 #: Remainders of one length that one ranking task may hold.
 RANK_ROWS = 20_000
 SPECIAL = "<|endoftext|>"
@@ -46,8 +46,16 @@ def encoder(ranks_path: str, pattern: str):
     return lambda text: coder.encode(text, allowed_special="all") if SPECIAL in text else coder.encode_ordinary(text)
 
 
+def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
+    """Full sequences; what remains is cut once more at half a sequence: two halves fill a sequence, and shorter rests leave little padding."""
+    at = [*range(0, n, size), n]
+    if n - at[-2] > size // 2 and n - at[-2] < size:
+        at.insert(-1, at[-2] + size // 2)
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece: full sequences, then the remainder."""
+    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece of every row."""
     small_batches(docs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +64,8 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = SIZE, id_
             out: list[list[int]] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), END], "<u4")
-                for start in range(0, len(ids), size):
-                    cut = ids[start : start + size]
+                for start, end in cuts(len(ids), size):
+                    cut = ids[start:end]
                     for to, x in zip(out, (doc, start, len(cut), zlib.crc32(cut.tobytes()), len(ids)), strict=True):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -83,23 +91,45 @@ def best_pattern(value: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), count
 
 
-def solve(demand: dict[int, int], size: int, gap: float = GAP, turns: int = 20_000) -> list[tuple[dict[int, int], float]]:
-    """Patterns with the (fractional) numbers of sequences that use them, of the linear program over all patterns."""
+def start(demand: dict[int, int], size: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """A first basis: patterns filled with the largest lengths that are left, each used until one of its lengths runs out. In the order in
+    which lengths run out the patterns form a triangular matrix, so they are a basis."""
+    left = {x: float(n) for x, n in demand.items()}
+    basis: dict[int, tuple[dict[int, int], float]] = {}
+    while left:
+        room, pattern = size, {}
+        for x in sorted(left, reverse=True):
+            if n := min(room // x, max(1, int(left[x]))):
+                pattern[x] = n
+                room -= n * x
+        times = min(left[x] / n for x, n in pattern.items())
+        for x, n in pattern.items():
+            left[x] -= n * times
+        for x in [x for x in pattern if left[x] <= 1e-9]:
+            del left[x]
+            basis[x] = ({x: size // x}, 0.0) if times is None else (pattern, times)
+            times = None  # the others that ran out at once stand in the basis alone, unused
+    order = sorted(basis)
+    return [basis[x][0] for x in order], np.array([basis[x][1] for x in order])
+
+
+def solve(demand: dict[int, int], size: int, gap: float = GAP, turns: int = 4000) -> list[tuple[dict[int, int], float]]:
+    """Patterns with the (fractional) numbers of sequences that use them, of the linear program over all patterns; feasible whenever it stops."""
     lengths = sorted(demand)
     if not lengths:
         return []
     m, need = len(lengths), np.array([demand[x] for x in lengths], float)
-    patterns = [{x: size // x} for x in lengths]
-    inverse = np.diag([1.0 / (size // x) for x in lengths])
-    amount = inverse @ need
+    patterns, amount = start(demand, size)
+    inverse = np.linalg.inv(np.array([[p.get(x, 0) for p in patterns] for x in lengths], float))
     at = np.array(lengths) - 1
     for _ in range(turns):
         price = inverse.sum(0)
         value = np.zeros(lengths[-1])
         value[at] = price
         worth, count = best_pattern(value, size)
-        # price / worth is feasible for the dual once negative prices are zero, so this bounds the optimum from below.
-        if worth <= 1 + 1e-9 or amount.sum() * (1 - gap) <= float(np.maximum(price, 0) @ need) / worth:
+        # Zeroed where negative and divided by worth, the prices are feasible for the dual; so are 1 / size an id. Both bound the optimum from below.
+        least = max(float(np.maximum(price, 0) @ need) / worth, float(np.array(lengths) @ need) / size)
+        if worth <= 1 + 1e-9 or amount.sum() * (1 - gap) <= least:
             break
         step = inverse @ count[at]
         rows = np.flatnonzero(step > 1e-9)
