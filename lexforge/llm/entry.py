@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding, simhash
+from . import language, line_dedup, mixing, packing, pages, sharding, simhash, vectors
 from .common import Scratch, load
 
 #: Production parameters of the queries.
 LINE_MIN_DOCS, LINE_MIN_CHARS = 5, 40
 SIMHASH_WORDS, SIMHASH_RADIUS = 3, 3
 SHARD_BYTES = 1 << 20
+#: Shares of tokens by domain.
+TARGET_WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+NEAREST, NEAREST_EVERY = 10, 100
+PRODUCTS, PRODUCTS_EVERY, PRODUCTS_SCALE = 20, 20, 64
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -23,6 +27,14 @@ def tokenizer_files() -> tuple[str, str]:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(Scratch(spark), load(spark, sf_dir, "embeddings"), NEAREST_EVERY, NEAREST)
+
+
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(load(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,17 +48,33 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(language.sample(docs))
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("row.doc_id", language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.extendible_shards(Scratch(spark), load(spark, sf_dir, "documents"), SHARD_BYTES)
     return out.select(F.col("id").alias("doc_id"), "shard", F.col("depth").cast("long").alias("depth"), "bytes", "shard_bytes")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(load(spark, sf_dir, "labels"))
+    return mixing.mix(Scratch(spark), load(spark, sf_dir, "documents"), labels, TARGET_WEIGHTS).members
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_files()
     cut = packing.pieces(load(spark, sf_dir, "documents"), ranks, pattern)
     return packing.pack(Scratch(spark), cut)
 
 
+def op10_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top(Scratch(spark), load(spark, sf_dir, "embeddings"), PRODUCTS_EVERY, PRODUCTS, PRODUCTS_SCALE)
+
+
 OP3_SQL = r"""
 WITH doc AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM doc),
@@ -68,9 +96,18 @@ FROM leaf JOIN sums ON sums.d = depth AND sums.p = h >> (60 - depth)
 """
 
 
+OP10_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({PRODUCTS_SCALE} * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {PRODUCTS_EVERY} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= {PRODUCTS}
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_simhash, op7_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_sharding": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL}
