@@ -75,8 +75,8 @@ def _search(scratch: Scratch, rows: DataFrame, every: int, k: int, score: str, s
 
 # --- permutation index ---------------------------------------------------------------------------------------------------------------
 
-#: Pivots, those a vector is posted under, and the share of a shard that is reranked (64 vectors at least).
-PIVOTS, PREFIX, RERANK = 256, 64, 0.1
+#: Pivots, those a vector is posted under, and the share of a shard that is reranked, and the least number of them.
+PIVOTS, PREFIX, RERANK, LEAST = 256, 64, 0.1, 192
 #: Rows of the sample from which pivots are drawn.
 PIVOT_SAMPLE = 2048
 
@@ -139,7 +139,7 @@ def nearest(scratch: Scratch, vectors: DataFrame, every: int, k: int, id_col: st
         p = np.zeros((len(pivots), x.shape[1]))
         p[:, : pivots.shape[1]] = pivots[:, : x.shape[1]]
         index = PermutationIndex(x, p)
-        room = min(len(x), max(64, k + 1, int(share * len(x))))
+        room = min(len(x), max(LEAST, k + 1, int(share * len(x))))
         for q, query, order in zip(query_ids.tolist(), queries, prefixes(queries, p, PREFIX), strict=True):
             foot = index.footrule(order)
             cut = np.partition(foot, room - 1)[room - 1]
