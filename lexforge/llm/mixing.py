@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 #: Bounds of the fit: labelled documents a domain, words of the vocabulary.
-SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 4000, 4
-EPOCHS, RATE, DECAY = 150, 0.1, 1e-4
+SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 1000, 5
+EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
 #: Steps of the rates, and the relative change of a total at which they end early.
 STEPS, SETTLED = 60, 1e-7
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()).encode()
@@ -60,7 +60,7 @@ def kinds(data: bytes) -> list[float]:
     n = max(1, len(data.translate(None, SPACES)))
     digits = len(data) - len(data.translate(None, DIGITS))
     marks = len(data.translate(None, LETTERS + DIGITS + SPACES))
-    return [4.0 * digits / n, 4.0 * marks / n]
+    return [10.0 * digits / n, 10.0 * marks / n]
 
 
 def fit(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Classifier:
@@ -77,7 +77,14 @@ def fit(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Classifier:
                 held[w] = np.zeros(len(domains))
             held[w][k] += 1
     frequent = [w for w, n in held.items() if n.sum() >= LEAST_DOCS]
-    spread = {w: float(np.ptp(held[w] / np.maximum(1, size))) for w in frequent}
+    whole = np.maximum(1, size)
+
+    def score(n: np.ndarray) -> float:
+        """How far the shares of domains that have the word stand apart, in standard errors."""
+        mean = n.sum() / whole.sum()
+        return float((np.abs(n / whole - mean) / np.sqrt(mean * (1 - mean) / whole + 1e-9)).max())
+
+    spread = {w: score(held[w]) for w in frequent}
     chosen = sorted(frequent, key=lambda w: (-spread[w], w))[:VOCABULARY]
     words = {w: i for i, w in enumerate(chosen)}
     x = np.zeros((len(samples), len(words) + 2), np.float32)
@@ -192,10 +199,8 @@ def rates(members: DataFrame, k: int, steps: list[np.ndarray]) -> DataFrame:
     return members.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
 
 
-def targets_of(weights: dict[str, float] | None, domains: list[str], now: np.ndarray) -> np.ndarray:
-    """Target tokens: the weights' shares of all tokens now; None leaves each domain its tokens. Domains without a weight get none."""
-    if weights is None:
-        return now
+def targets_of(weights: dict[str, float], domains: list[str], now: np.ndarray) -> np.ndarray:
+    """Target tokens: the weights' shares of all tokens now. Domains without a weight get none."""
     want = np.array([weights.get(d, 0.0) for d in domains])
     return want / max(want.sum(), 1e-12) * now.sum()
 
@@ -209,13 +214,13 @@ class Mix:
     steps: list[np.ndarray]
 
 
-def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> Mix:
-    """labels: (id, domain); weights: domain to share of tokens."""
+def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None) -> Mix:
+    """labels: (id, domain). Targets: by weights, domain to share of all tokens; or by factors on what a domain has now (else 1)."""
     model = fit(labelled_sample(docs, labels))
     members = scratch.save(memberships(docs, model), "members")
     small_batches(docs.sparkSession, 10_000)
     now = totals(members, len(model.domains), [])
-    targets = targets_of(weights, model.domains, now)
+    targets = now * [(factors or {}).get(d, 1.0) for d in model.domains] if weights is None else targets_of(weights, model.domains, now)
     steps, reached = solve(members, targets)
     return Mix(rates(members, len(model.domains), steps), model.domains, targets, reached, steps)
 

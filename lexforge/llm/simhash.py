@@ -144,13 +144,39 @@ def links(scratch: Scratch, fps: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.select("a", "b", "fa", "fb").repartition(spread, "a", "b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(scratch: Scratch, docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component): component is the smallest id reachable over links, null where only null ids are."""
-    prints = scratch.save(fingerprints(docs, words), "prints")
+def rooted(scratch: Scratch, prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, root, least) of every distinct fingerprint: its component's smallest fingerprint, and its own smallest doc_id."""
     classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = scratch.save(links(scratch, classes, radius), "links")
     stars = components(scratch, found)
-    rooted = classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = scratch.save(rooted, "rooted")
+    return scratch.save(classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+
+
+def near_duplicates(scratch: Scratch, docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fp, component): component is the smallest id reachable over links, null where only null ids are."""
+    prints = scratch.save(fingerprints(docs, words), "prints")
+    named = rooted(scratch, prints, radius)
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     return prints.join(named.select("fp", "root").join(roots, "root").select("fp", "component"), "fp").select("doc_id", "fp", "component")
+
+
+def one_of_each(scratch: Scratch, docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of docs with the longest text (then the smallest id) of each component; of repeated rows one."""
+    keys = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, id_col, F.lit(1)).alias("_k2")]
+    rows = docs.select(*keys, F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(3)]
+            values = [pa.array([fingerprint(t, words) for t in texts], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *values], ["k1", "k2", "doc_id", "fp", "size"])
+
+    narrow = rows.select("_k1", "_k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, fp long, size long")
+    prints = scratch.save(narrow, "prints")
+    named = rooted(scratch, prints.select("doc_id", "fp"), radius)
+    order = F.struct((-F.col("size")).alias("a"), F.col("doc_id").alias("b"), F.col("k1"), F.col("k2"))
+    # The best of each fingerprint first, so that a fingerprint that many documents share meets its root as one row.
+    best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    stay = best.select(F.col("best.k1").alias("_k1"), F.col("best.k2").alias("_k2"))
+    return rows.select("_k1", "_k2", "row").join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("row.*")
