@@ -26,7 +26,7 @@ SIZE, END = 1024, 0
 #: The linear program stops once it is within this share of the bound.
 GAP = 0.003
 #: Remainders of one length that one ranking task may hold.
-RANK_ROWS = 20_000
+RANK_ROWS = 1000
 SPECIAL = "<|endoftext|>"
 
 _known: dict = {}
