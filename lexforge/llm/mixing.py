@@ -5,7 +5,7 @@ towards each domain. Nonnegative rates, one a document, are fitted so that the e
 rate * n * p, come as near to the targets as they can: least squares by projected gradient from rate 1. The step is scaled per document
 by its tokens and per domain by the inverse of the domains' Gram matrix, so that its Lipschitz constant is 1 and the step length too.
 
-What is gathered at a step is one number a domain. A step's gradient is as short, so no table of rates is written: each task replays the
+What is gathered at a step is a few numbers a domain. A step's gradient is as short, so no table of rates is written: each task replays the
 steps so far on its own documents, whose tokens and posteriors are written once.
 
 Classifier: multinomial logistic regression on the presence of vocabulary words (A-Z lower-cased, ASCII punctuation at the ends dropped)
@@ -150,43 +150,60 @@ def _column(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def totals(members: DataFrame, k: int, steps: list[np.ndarray]) -> np.ndarray:
-    """Expected tokens of each domain at the rates after these steps; one row a task comes back."""
-    fields = ", ".join(f"t{i} double" for i in range(k))
+def gather(members: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """At the rates after these steps: expected tokens of each domain, and the Gram matrix of the documents whose rate isn't 0. One row
+    of k + k * k numbers comes back from each task."""
+    names = [f"t{i}" for i in range(k + k * k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(k + k * k)
         for batch in batches:
-            p = _column(batch, "p", k)
-            total += (replay(p, steps) * batch.column("n_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], [f"t{i}" for i in range(k)])
-
-    row = members.select("n_tokens", "p").mapInArrow(run, fields).agg(*[F.sum(f"t{i}") for i in range(k)]).first()
-    return np.array([x or 0.0 for x in row])
-
-
-def gram(members: DataFrame, k: int) -> np.ndarray:
-    cells = [F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    return np.array([x or 0.0 for x in members.agg(*cells).first()]).reshape(k, k)
-
-
-def solve(members: DataFrame, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Steps whose replay gives the rates, and the totals they reach."""
-    k = len(targets)
-    g = gram(members, k)
-    scale = np.linalg.pinv(g + 1e-9 * np.eye(k) * max(1.0, float(np.trace(g))))
-    steps: list[np.ndarray] = []
-    at = totals(members, k, steps)
-    for _ in range(turns):
-        new = totals(members, k, [*steps, step := scale @ (at - targets)])
+            p, n = _column(batch, "p", k), batch.column("n_tokens").to_numpy()
+            total += held(p, n, steps)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], names)
+
+    row = members.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first()
+    got = np.array([x or 0.0 for x in row])
+    return got[:k], got[k:].reshape(k, k)
+
+
+def held(p: np.ndarray, n: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    rate = replay(p, steps)
+    free = p * (n * (rate > 0))[:, None]
+    return np.concatenate([(rate * n) @ p, (free.T @ p).ravel()])
+
+
+def descend(look, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps whose replay gives the rates, and the totals they reach. look(steps) gives totals and free Gram matrix.
+
+    A step is the gradient times the inverse Gram matrix of the documents that aren't at 0, which goes straight to the targets
+    when no more documents reach 0. Where that makes the squares no smaller, the Gram matrix of all documents takes its place: that is
+    the projected-gradient step of length 1, which always makes them smaller.
+    """
+    k, steps = len(targets), []
+    at, free = look(steps)
+    inverse = lambda g: np.linalg.pinv(g + 1e-9 * np.eye(k) * max(1.0, float(np.trace(g))))
+    whole = inverse(free)
+    enough = SETTLED * max(1.0, float(np.abs(targets).sum()))
+    squares = lambda x: float((x - targets) @ whole @ (x - targets))
+    while len(steps) < turns and np.abs(at - targets).max() > enough:
+        for scale in (inverse(free), whole):
+            step = scale @ (at - targets)
+            new, new_free = look([*steps, step])
+            if squares(new) < squares(at):
+                break
         steps.append(step)
-        settled = np.abs(new - at).max() <= SETTLED * max(1.0, float(np.abs(targets).sum()))
-        at = new
-        if settled or np.abs(at - targets).max() <= SETTLED * max(1.0, float(np.abs(targets).sum())):
+        settled = np.abs(new - at).max() <= enough
+        at, free = new, new_free
+        if settled:
             break
     return steps, at
 
 
+def solve(members: DataFrame, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
+    return descend(lambda steps: gather(members, len(targets), steps), targets, turns)
+
+
 def rates(members: DataFrame, k: int, steps: list[np.ndarray]) -> DataFrame:
     """members with `rate`."""
 
@@ -219,7 +236,7 @@ def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str,
     model = fit(labelled_sample(docs, labels))
     members = scratch.save(memberships(docs, model), "members")
     small_batches(docs.sparkSession, 10_000)
-    now = totals(members, len(model.domains), [])
+    now, _ = gather(members, len(model.domains), [])
     targets = now * [(factors or {}).get(d, 1.0) for d in model.domains] if weights is None else targets_of(weights, model.domains, now)
     steps, reached = solve(members, targets)
     return Mix(rates(members, len(model.domains), steps), model.domains, targets, reached, steps)
