@@ -1,0 +1 @@
+"""Whole plans built from operators."""
