@@ -96,7 +96,12 @@ MOST_WALKED = 50_000
 def _walk(rows: DataFrame, walk, schema: str) -> DataFrame:
     if rows.limit(MOST_WALKED + 1).count() > MOST_WALKED:
         raise ValueError(f"sequential selection is for at most {MOST_WALKED} rows")
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda g: walk(g), schema)
+    def run(batches):
+        held = list(batches)
+        if held:
+            yield walk(pd.concat(held))
+
+    return rows.repartition(1).mapInPandas(run, schema)
 
 
 def greedy_diversity(rows: DataFrame, dims: list[str], target: int, quotas: dict[str, int], seed: int, floor: int = 25, length_share: dict | None = None, language_share: dict | None = None) -> DataFrame:

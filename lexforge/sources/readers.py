@@ -21,11 +21,19 @@ def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") ->
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
 
 
-def csv_with_fallback(spark: SparkSession, path: str, schema: str, fallback: str = "windows-1252") -> DataFrame:
-    """UTF-8, or the fallback encoding if decoding leaves replacement characters."""
+#: What the bytes 0x80 to 0x9f stand for in code page 1252, which Spark's readers don't know; the rest is as in Latin-1.
+LATIN = "".join(chr(b) for b in range(0x80, 0xA0))
+CP1252 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
+
+
+def csv_with_fallback(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """UTF-8, or code page 1252 if decoding leaves replacement characters."""
     rows = csv(spark, path, schema)
-    broken = rows.filter(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns]).contains("�"))
-    return csv(spark, path, schema, fallback) if broken.limit(1).count() else rows
+    broken = rows.filter(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns]).contains("\ufffd"))
+    if not broken.limit(1).count():
+        return rows
+    latin = csv(spark, path, schema, "ISO-8859-1")
+    return latin.select(*[F.translate(c, LATIN, CP1252).alias(c) if kind == "string" else F.col(c) for c, kind in latin.dtypes])
 
 
 def language_files(spark: SparkSession, pattern: str, suffix: str, schema: str) -> DataFrame:
