@@ -243,4 +243,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
     tagged = rows.select("page_id", "url", "host", "path", "html", *key[2:]).mapInArrow(read, fields)
-    return tagged.groupBy("bucket").applyInPandas(difference, "page_id long, url string, text string, n_chars long")
+    return tagged.repartition(ranges, "bucket").groupBy("bucket").applyInPandas(difference, "page_id long, url string, text string, n_chars long")
