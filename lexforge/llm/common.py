@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Rows of one Arrow batch handed to Python; keeps a batch of very long texts within a worker's memory.
 BATCH_ROWS = 512
+#: Groups (languages, domains) that a sample is drawn for.
+MOST_GROUPS = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,3 +76,15 @@ def parts(spark: SparkSession) -> int:
 def known_id(column: str = "doc_id") -> Column:
     """The id as a long that orders and joins; null sorts before all."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+
+
+def thinned(rows: DataFrame, h: Column, k: int, by: list[str] | None = None) -> DataFrame:
+    """About the 4 * k rows of smallest hash of each group (all, if there are no more), whatever the input's size: a bounded input for a
+    top-k by hash, which then isn't fed k rows by every task. Groups: the first MOST_GROUPS by name."""
+    space = 2.0**52
+    keep = F.pmod(h, F.lit(1 << 52)).cast("double") * F.col("_group_rows") < F.lit(4.0 * k * space)
+    if by is None:
+        n = rows.count()
+        return rows.withColumn("_group_rows", F.lit(float(n))).filter(keep).drop("_group_rows")
+    sizes = rows.groupBy(*by).agg(F.count("*").cast("double").alias("_group_rows"))
+    return rows.join(F.broadcast(sizes.orderBy(*by).limit(MOST_GROUPS)), by).filter(keep).drop("_group_rows")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, thinned
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -217,6 +217,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     characters from a place that its hash names. At most SAMPLE_LANGS languages, by name."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), held_out(id_col).alias("out"))
     rows = rows.filter(~F.col("out") & F.col("l").isNotNull() & (F.length("t") > 0)).withColumn("h", F.xxhash64("i"))
+    rows = thinned(rows, F.col("h"), SAMPLE_DOCS, ["l"])
     start = F.pmod("h", F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)).cast("int") + 1
     rows = rows.select("l", "h", "i", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).filter(F.col("n") <= SAMPLE_DOCS)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, small_batches, thinned
 
 #: Bounds of the fit: labelled documents a domain, words of the vocabulary.
 SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 1000, 5
@@ -119,6 +119,7 @@ def posterior(model: Classifier, text: str | None) -> tuple[int, np.ndarray]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, str]]:
     """(domain, text) of at most SAMPLE documents a domain; labels: (id, domain)."""
     marks = labels.filter(F.col("domain").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
+    marks = thinned(marks, F.xxhash64("id"), SAMPLE, ["domain"])
     first = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
     marks = marks.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).drop("n")  # bounded: SAMPLE a domain
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").filter(F.col("text").isNotNull())
