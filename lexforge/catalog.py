@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import bench, corpus, geometry, labels, metrics, sampling, select, split
+from .operators import bench, corpus, geometry, labels, metrics, models, sampling, select, split, tables
 from .plans.views import NAMES, SQL_SCORE, WITH, annotations, score_of, scores, table
 from .plans.views import corpus as corpus_view
 
@@ -638,6 +639,96 @@ def event_windows(spark, d):
     return rows.select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n", "total")
 
 
+# --- report tables -------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"{WITH} SELECT language, count(*) AS docs, min(char_len)::INTEGER AS min_chars, median(char_len) AS median_chars, round(avg(char_len), 6) AS mean_chars, max(char_len)::INTEGER AS max_chars FROM corpus GROUP BY language")
+def corpus_summary(spark, d):
+    return tables.corpus_summary(corpus_view(spark, d)).withColumn("mean_chars", six("mean_chars", "mean_chars"))
+
+
+@query(f"{WITH} SELECT language, doc_id FROM corpus QUALIFY row_number() OVER (PARTITION BY language ORDER BY doc_id) <= 25")
+def first_n_per_language(spark, d):
+    return tables.first_n(corpus_view(spark, d).select("language", "doc_id"), 25, "language", "doc_id")
+
+
+@query(f"{WITH} SELECT doc_id, text_hash FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM annotations) AND text_hash NOT IN (SELECT text_hash FROM annotations)")
+def exclude_annotated(spark, d):
+    rows, known = corpus_view(spark, d).select("doc_id", "text_hash"), annotations(spark, d)
+    return tables.exclude(rows, known, known).select("doc_id", "text_hash")
+
+
+@query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id")
+def join_missing_count(spark, d):
+    return tables.join_counting_missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])[1]
+
+
+@query(f"{WITH}, a AS (SELECT language, CASE WHEN doc_id % 4 = 0 THEN 'missing' END AS reason, human AS value, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM annotations) SELECT language, count(*) FILTER (WHERE reason IS NULL) AS valid, count(*) FILTER (WHERE reason IS NOT NULL) AS excluded, count(*) FILTER (WHERE reason IS NULL AND split = 'train') AS n_train, count(*) FILTER (WHERE reason IS NULL AND split = 'validation') AS n_validation, count(*) FILTER (WHERE reason IS NULL AND split = 'test') AS n_test, round(avg(value) FILTER (WHERE reason IS NULL), 6) AS mean, round(stddev_pop(value) FILTER (WHERE reason IS NULL), 6) AS sd FROM a GROUP BY language")
+def quality_report(spark, d):
+    split_of = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
+    rows = annotations(spark, d).select("language", F.when(F.col("doc_id") % 4 == 0, "missing").alias("reason"), F.col("human").alias("value"), split_of.alias("split"))
+    out = tables.quality_report(rows, ["language"])
+    return out.select("language", "valid", "excluded", "n_train", "n_validation", "n_test", six("mean", "mean"), six("sd", "sd"))
+
+
+@query(f"{WITH}, r AS (SELECT language, quality AS gold, (doc_id % 2)::INTEGER AS predicted FROM annotations), l AS (SELECT language, gold, predicted, unnest(list_distinct([gold, predicted])) AS label FROM r), p AS (SELECT language, label, count(*) FILTER (WHERE gold = label AND predicted = label) AS tp, count(*) FILTER (WHERE gold = label) AS n, count(*) FILTER (WHERE predicted = label) AS p FROM l GROUP BY ALL), f AS (SELECT *, coalesce(2.0::DOUBLE * tp / nullif(n + p, 0), 0) AS f1 FROM p) SELECT language, round(avg(f1), 6) AS macro_f1, round(sum(f1 * n) / sum(n), 6) AS weighted_f1 FROM f GROUP BY language")
+def f1_scores(spark, d):
+    rows = annotations(spark, d).select("language", F.col("quality").cast("int").alias("gold"), (F.col("doc_id") % 2).cast("int").alias("predicted"))
+    return tables.f1_scores(rows, "language").select("language", six("macro_f1", "macro_f1"), six("weighted_f1", "weighted_f1"))
+
+
+@query(f"{WITH} SELECT 'test' AS split, 3 AS epoch, language, unnest(['docs', 'tokens']) AS metric, unnest([count(*)::DOUBLE, sum(tokens)::DOUBLE]) AS value FROM corpus GROUP BY language")
+def log_rows(spark, d):
+    rows = corpus_view(spark, d).groupBy("language").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    return tables.log_rows(rows, ["docs", "tokens"], {"split": "test", "epoch": 3})
+
+
+RUN_NO = "CASE dimension " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(NAMES)) + " END"
+
+
+@query(f"{WITH}, r AS (SELECT {RUN_NO} AS run_no, CASE WHEN dimension IN ('edu', 'style') THEN 'a' ELSE 'b' END AS tokenizer, language, avg(score_raw) AS loss FROM scores GROUP BY ALL) SELECT run_no, tokenizer, language, round(loss, 6) AS loss, tokenizer = 'a' AS same_tokenizer, round(loss - first_value(loss) OVER (PARTITION BY language ORDER BY run_no), 6) AS delta FROM r")
+def compare_runs(spark, d):
+    rows = scores(spark, d).groupBy("dimension", "language").agg(F.avg("score_raw").alias("loss"))
+    rows = rows.select(F.expr(RUN_NO).alias("run_no"), F.when(F.col("dimension").isin("edu", "style"), "a").otherwise("b").alias("tokenizer"), "language", "loss")
+    return tables.compare_runs(rows, "loss").select("run_no", "tokenizer", "language", six("loss", "loss"), "same_tokenizer", six("delta", "delta"))
+
+
+@query(r"SELECT doc_id, length(text)::INTEGER AS chars, strlen(text)::INTEGER AS bytes, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS words FROM documents")
+def text_measures(spark, d):
+    return table(spark, d, "documents").select("doc_id", *tables.text_measures(F.col("text")))
+
+
+@query("SELECT q.conv_id, q.turn, length(q.text)::INTEGER AS asked, length(a.text)::INTEGER AS answered FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'")
+def aligned_turns(spark, d):
+    turns = table(spark, d, "conversations")
+    q = turns.filter("role = 'user'").select("conv_id", "turn", F.length("text").alias("asked"))
+    a = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").alias("answered"))
+    keys = tables.in_all([q, a], ["conv_id", "turn"])
+    return tables.aligned_pairs(q.join(keys, ["conv_id", "turn"], "left_semi"), a.join(keys, ["conv_id", "turn"], "left_semi"), ["conv_id", "turn"])
+
+
+@query(f"{WITH} SELECT domain FROM corpus GROUP BY domain HAVING count(DISTINCT language) = (SELECT count(DISTINCT language) FROM corpus)")
+def domains_in_every_language(spark, d):
+    return sampling.complete_everywhere(corpus_view(spark, d), "domain", "language")
+
+
+@query(f"{WITH}, {EDU}, w AS (SELECT *, 0.5::DOUBLE + least(5.0::DOUBLE, greatest(0.0::DOUBLE, score_raw)) * 0.2::DOUBLE AS weight FROM edu) SELECT language, count(*) AS documents, sum(tokens)::BIGINT AS tokens, ceil(sum(tokens) / 1024.0)::BIGINT AS blocks, round(sum(tokens * weight) / sum(tokens), 6) AS mean_weight FROM w GROUP BY language")
+def weighted_block_stats(spark, d):
+    rows = edu(spark, d).withColumn("weight", T.score_to_weight(T.clip(F.col("score_raw"))))
+    return geometry.weighted_block_stats(rows, 1024, "weight").select("language", "documents", "tokens", "blocks", six("mean_weight", "mean_weight"))
+
+
+@query()
+def embedding_head(spark, d):
+    """A head fitted to the label on at most 2,000 rows (those of smallest id), applied to all."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    got = rows.orderBy("vec_id").limit(2000).toPandas()
+    x, y = np.stack(got["embedding"].to_numpy()).astype(float), got["label"].to_numpy(float)
+    held = got["vec_id"].to_numpy() % 5 == 0
+    head = models.train_head(x[~held], y[~held], y[~held], (x[held], y[held], y[held]), hidden=32, epochs=10)
+    return models.predict(rows, head, "embedding").select("vec_id", "label", "raw")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection_token_budget(spark, sf_dir)
 

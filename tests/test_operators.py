@@ -321,3 +321,29 @@ def test_streaming_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["first text", "second text"]
     with pytest.raises(ValueError, match="other settings"):
         run({"low": 6})
+
+
+def test_models(spark):
+    import numpy as np
+
+    from lexforge.operators import models, tables
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6))
+    y = x[:, 0] * 2 - x[:, 1]
+    head = models.train_head(x[:300], y[:300], y[:300] * 0, (x[300:], y[300:], y[300:] * 0), hidden=16, rate=1e-2, dropout=0.0, epochs=40)
+    assert head.loss < 0.4 and head.epochs <= 40
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:5])], "id int, v array<double>")
+    assert [r["raw"] for r in models.predict(rows, head, "v").orderBy("id").collect()] == pytest.approx(head(x[:5]).tolist())
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "a")], "id int, text string")
+    got = models.score_with(texts, lambda: lambda batch: [float(len(t)) for t in batch]).collect()
+    assert {r["id"]: r["score_raw"] for r in got} == {1: 3.0, 2: 0.0, 3: 1.0}
+    public = pytest.importorskip("public_tokenizers")
+    assert {r["id"]: r["tokens"] for r in models.count_tokens(texts, str(public.path("byte_bpe_50k.json"))).collect()} == {1: 3, 2: 1, 3: 2}
+    asked = spark.createDataFrame([(0, "s"), (1, "b2"), (2, "b3")], "place int, name string")
+    suites = spark.createDataFrame([("s", 0, "b1"), ("s", 1, "b2")], "suite string, position int, benchmark string")
+    assert [r["benchmark"] for r in tables.expand_suites(asked, suites).orderBy("place", "position").collect()] == ["b1", "b2", "b3"]
+    with pytest.raises(ValueError, match="no partner"):
+        tables.aligned_pairs(texts, texts.filter("id = 1"), ["id"])
+    cut = tables.truncated(texts.select(F.sequence(F.lit(1), F.col("id")).alias("ids")), "ids", 2).collect()
+    assert sorted((len(r["ids"]), r["at_limit"]) for r in cut) == [(1, False), (2, True), (2, True)]
