@@ -91,6 +91,17 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW_WORDS} + 2)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW_WORDS} - 1], ' ') AS s FROM places),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win SEMI JOIN again USING (s), range(0, {WINDOW_WORDS}) t(o)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, count(g.p) AS r, string_agg(word, ' ' ORDER BY p) FILTER (WHERE g.p IS NULL) AS k FROM words LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP7_SQL = f"""
 WITH hashed AS (
   SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) + {sharding.ROW_BYTES} AS bytes FROM documents),
@@ -116,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_fm_index": OP4_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL}
