@@ -255,15 +255,17 @@ def _spans(scratch: Scratch, rows: DataFrame, length: int) -> DataFrame:
 
     all_segments = scratch.save(rows.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, start int, n int, anchor long, seg long"), "segments")
     scratch.tidy()
-    twice = all_segments.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    # Counts are written before they are joined: a join whose sides are plain exchanges can split a hot key, one that still has to
+    # aggregate a side by that key can't.
+    twice = scratch.save(all_segments.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "twice")
     members = scratch.save(all_segments.join(twice, "anchor", "left_semi"), "members")
-    scratch.drop("segments")
+    scratch.drop("segments", "twice")
     scratch.tidy()
     # Distinct segments, each with one row that holds it.
     kinds = members.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("at"))
     kinds = scratch.save(kinds.select("anchor", "seg", "weight", "n", "at.*"), "kinds")
     scratch.tidy()
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot"))
+    many = scratch.save(kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot")), "many")
     wanted = kinds.join(many, "anchor", "left").withColumn("hot", F.col("hot").isNotNull())
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "seg", "weight", "n", "start", "hot")).alias("wanted"))
     fields = "anchor long, seg long, weight long, words string, i int, h1 long, h2 long"
@@ -298,7 +300,7 @@ def _spans(scratch: Scratch, rows: DataFrame, length: int) -> DataFrame:
 
     exact = held.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(shard, "anchor long, seg long, a int, b int")
     windows = fetched.filter(F.col("words").isNull())
-    again = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2")
+    again = scratch.save(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2"), "again")
     single = windows.join(again, ["h1", "h2"], "left_semi").select("anchor", "seg", F.col("i").alias("a"), F.col("i").alias("b"))
     runs = scratch.save(exact.unionByName(single), "runs")
     scratch.drop("fetched", "kinds")
