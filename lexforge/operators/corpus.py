@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,50 +17,39 @@ def in_window(text: Column, low: int = 500, high: int = 4000) -> Column:
     return F.length(text).between(low, high)
 
 
-def _components(rows: DataFrame, turns: int = 50) -> DataFrame:
-    """rows (ordinal, doc_id, text_hash) with `comp`, the least ordinal reachable over shared ids and texts; by min-label steps."""
-    out = rows.withColumn("comp", F.col("ordinal"))
-    for _ in range(turns):
-        by_id = F.min("comp").over(Window.partitionBy("doc_id"))
-        by_text = F.min("_a").over(Window.partitionBy("text_hash"))
-        new = out.withColumn("_a", by_id).withColumn("_b", by_text).checkpoint()
-        moved = new.filter("_b <> comp").limit(1).count()
-        out = new.select("ordinal", "doc_id", "text_hash", F.col("_b").alias("comp"))
-        if not moved:
-            break
-    return out
+def _checkpoint_dir(spark) -> None:
+    """The session's spark.checkpoint.dir; a folder of its own only where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        from tempfile import mkdtemp
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp())
 
 
 def sequential_dedup(rows: DataFrame) -> DataFrame:
     """(ordinal, reason): duplicate_id or duplicate_text if an accepted earlier row has the id or the text, else null.
 
-    Rows whose id and text are unique pass at once. The rest form components of the graph of ids and texts; each is walked in order.
+    A row that is the first of those left, by id and by text, is accepted whatever comes later; rows that share its id or text are out.
+    Repeated until none is left, that is the sequential rule: a round for each link of the longest chain of dependences, and one for
+    any number of plain copies. Minima are aggregated before they are exchanged, so a very frequent id or text is no large task.
     """
-    n_id, n_text = F.count("*").over(Window.partitionBy("doc_id")), F.count("*").over(Window.partitionBy("text_hash"))
-    counted = rows.select("ordinal", "doc_id", "text_hash", n_id.alias("ni"), n_text.alias("nt"))
-    alone = counted.filter("ni = 1 and nt = 1").select("ordinal", F.lit(None).cast("string").alias("reason"))
-    # Exact copies of an earlier row never are accepted and block nobody: one row of each (id, text) is walked.
-    rest = counted.filter("ni > 1 or nt > 1").select("ordinal", "doc_id", "text_hash")
-    first = rest.groupBy("doc_id", "text_hash").agg(F.min("ordinal").alias("ordinal"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, out = set(), set(), []
-        for r in group.sort_values("ordinal").itertuples(index=False):
-            reason = "duplicate_id" if r.doc_id in ids else "duplicate_text" if r.text_hash in texts else None
-            if reason is None:
-                ids.add(r.doc_id)
-                texts.add(r.text_hash)
-            out.append((r.doc_id, r.text_hash, r.ordinal, reason))
-        return pd.DataFrame(out, columns=["doc_id", "text_hash", "first", "reason"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    walked = _components(first.select("ordinal", "doc_id", "text_hash")).groupBy("comp").applyInPandas(walk, f"doc_id {kind}, text_hash string, first long, reason string")
-    accepted = walked.filter("reason is null")
-    by_id = accepted.select(F.col("doc_id"), F.col("first").alias("id_first"))
-    by_text = accepted.select(F.col("text_hash"), F.col("first").alias("text_first"))
-    told = rest.join(by_id, "doc_id", "left").join(by_text, "text_hash", "left")
+    _checkpoint_dir(rows.sparkSession)
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c)  # noqa: E731  null is a value like others
+    rows = rows.select("ordinal", own("doc_id"), own("text_hash"))
+    left = rows.groupBy("doc_id", "text_hash").agg(F.min("ordinal").alias("ordinal")).checkpoint()
+    accepted = None
+    while not left.isEmpty():
+        by_id = left.groupBy("doc_id").agg(F.min("ordinal").alias("_i"))
+        by_text = left.groupBy("text_hash").agg(F.min("ordinal").alias("_t"))
+        first = left.join(by_id, "doc_id").join(by_text, "text_hash").filter("ordinal = _i and ordinal = _t").select("doc_id", "text_hash", "ordinal").checkpoint()
+        accepted = first if accepted is None else accepted.unionByName(first)
+        left = left.join(first.select("doc_id"), "doc_id", "left_anti").join(first.select("text_hash"), "text_hash", "left_anti").checkpoint()
+    if accepted is None:
+        return rows.select("ordinal", F.lit(None).cast("string").alias("reason"))
+    by_id = accepted.select("doc_id", F.col("ordinal").alias("id_first"))
+    by_text = accepted.select("text_hash", F.col("ordinal").alias("text_first"))
+    told = rows.join(by_id, "doc_id", "left").join(by_text, "text_hash", "left")
     reason = F.when(F.col("id_first") < F.col("ordinal"), "duplicate_id").when(F.col("text_first") < F.col("ordinal"), "duplicate_text")
-    return alone.unionByName(told.select("ordinal", reason.alias("reason")))
+    return told.select("ordinal", reason.alias("reason"))
 
 
 def collect_documents(
@@ -69,11 +57,6 @@ def collect_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept rows, counters by reason) of a stream (ordinal, doc_id, text): length, overlap_id, overlap_text, duplicate_id,
     duplicate_text, adult, in this order; the stream stops at the row that fills the target, and counters cover rows up to there."""
-    spark = stream.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp())
     rows = stream.withColumn("text", strip(F.col("text"))).withColumn("text_hash", text_hash(F.col("text")))
     ids = exclude_ids.select(F.col("doc_id"), F.lit(True).alias("_id")).distinct()
     hashes = exclude_hashes.select(F.col("text_hash"), F.lit(True).alias("_hash")).distinct()
