@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.text import order_key
 
 
+#: Items of a pool of demonstrations.
+MOST_SHOTS = 20_000
+
+
 def sample_k(rows: DataFrame, k: int, seed: int, by: str, key: str, strict: bool = False) -> DataFrame:
     """k rows a group (all, if fewer, unless strict) in hash order."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(order_key(seed, F.col(by), F.col(key)), key))
@@ -64,6 +68,8 @@ def shots(examples: DataFrame, pool: DataFrame, k: int, seed: int, labels: list[
     Labels come in rounds: a first partial one of k mod L labels, then whole ones, each in a hash order of its own; the n-th time a
     label comes up it gives its n-th item in hash order. Labels that have run out are skipped.
     """
+    if pool.limit(MOST_SHOTS + 1).count() > MOST_SHOTS:  # it is sent to every task
+        raise ValueError(f"a pool of demonstrations holds at most {MOST_SHOTS} items")
     full, part = divmod(k, len(labels))
     turns = [(r, x) for r in range(full + (part > 0)) for x in labels]
     spark = examples.sparkSession
