@@ -586,7 +586,7 @@ def document_chunks(spark, d):
 
 
 @query(
-    f"{WITH}, q AS (SELECT quantile_cont(char_len, 0.2)::BIGINT AS lo, quantile_cont(char_len, 0.8) AS h FROM corpus), b AS (SELECT language, CASE WHEN char_len <= floor(lo) THEN 'short' WHEN char_len >= floor(h) THEN 'long' ELSE 'medium' END AS bucket FROM corpus, (SELECT floor(quantile_cont(char_len, 0.2)) AS lo, floor(quantile_cont(char_len, 0.8)) AS h FROM corpus) q2) SELECT language, bucket, count(*) AS n FROM b GROUP BY ALL"
+    f"{WITH}, b AS (SELECT language, CASE WHEN char_len <= floor(lo) THEN 'short' WHEN char_len >= floor(h) THEN 'long' ELSE 'medium' END AS bucket FROM corpus, (SELECT floor(quantile_cont(char_len, 0.2)) AS lo, floor(quantile_cont(char_len, 0.8)) AS h FROM corpus) q2) SELECT language, bucket, count(*) AS n FROM b GROUP BY ALL"
 )
 def length_and_language_buckets(spark, d):
     rows = corpus_view(spark, d).select("language", "char_len")
