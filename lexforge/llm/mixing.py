@@ -31,8 +31,8 @@ from .common import Scratch, small_batches, thinned
 #: Bounds of the fit: labelled documents a domain, words of the vocabulary.
 SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 1000, 5
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
-#: Steps of the rates, and the relative change of a total at which they end early.
-STEPS, SETTLED = 60, 1e-7
+#: Steps of the rates; they end early once totals change by less than this share of the targets, or the squares shrink by less than that.
+STEPS, SETTLED, FLAT = 40, 1e-6, 5e-3
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()).encode()
 LETTERS = bytes(range(ord("a"), ord("z") + 1)) + bytes(range(128, 256))
 DIGITS, SPACES = b"0123456789", b" \t\n\r\x0b\x0c"
@@ -194,7 +194,7 @@ def descend(look, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndar
             if squares(new) < squares(at):
                 break
         steps.append(step)
-        settled = np.abs(new - at).max() <= enough
+        settled = np.abs(new - at).max() <= enough or squares(new) > (1 - FLAT) * squares(at)
         at, free = new, new_free
         if settled:
             break
