@@ -57,17 +57,21 @@ def collect_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept rows, counters by reason) of a stream (ordinal, doc_id, text): length, overlap_id, overlap_text, duplicate_id,
     duplicate_text, adult, in this order; the stream stops at the row that fills the target, and counters cover rows up to there."""
-    rows = stream.withColumn("text", strip(F.col("text"))).withColumn("text_hash", text_hash(F.col("text")))
+    _checkpoint_dir(stream.sparkSession)
+    whole = stream.withColumn("text", strip(F.col("text"))).withColumn("text_hash", text_hash(F.col("text")))
     ids = exclude_ids.select(F.col("doc_id"), F.lit(True).alias("_id")).distinct()
     hashes = exclude_hashes.select(F.col("text_hash"), F.lit(True).alias("_hash")).distinct()
-    rows = rows.join(ids, "doc_id", "left").join(hashes, "text_hash", "left").withColumn("adult", has_any_word(F.col("text"), banned) if banned else F.lit(False))
-    early = F.when(~in_window(F.col("text"), low, high), "length").when(F.col("_id"), "overlap_id").when(F.col("_hash"), "overlap_text")
-    rows = rows.withColumn("early", early)
-    seen = sequential_dedup(rows.filter(F.col("early").isNull() & ~F.col("adult"))).withColumnRenamed("reason", "late")
+    adult = has_any_word(F.col("text"), banned) if banned else F.lit(False)
+    # Texts are read once; what follows runs on a written table without them.
+    rows = whole.select("ordinal", "doc_id", "text_hash", in_window(F.col("text"), low, high).alias("fits"), adult.alias("adult"))
+    rows = rows.join(ids, "doc_id", "left").join(hashes, "text_hash", "left")
+    early = F.when(~F.col("fits"), "length").when(F.col("_id"), "overlap_id").when(F.col("_hash"), "overlap_text")
+    rows = rows.select("ordinal", "doc_id", "text_hash", "adult", early.alias("early")).checkpoint()
+    seen = sequential_dedup(rows.filter(F.col("early").isNull() & ~F.col("adult")))
     # An adult row is tested against accepted earlier rows first, and never blocks a later one.
-    clean = rows.join(seen.filter("late is null"), "ordinal", "left_semi")
-    by_id = clean.select("doc_id", F.col("ordinal").alias("_oi")).groupBy("doc_id").agg(F.min("_oi").alias("_oi"))
-    by_text = clean.select("text_hash", F.col("ordinal").alias("_ot")).groupBy("text_hash").agg(F.min("_ot").alias("_ot"))
+    clean = rows.join(seen.filter("reason is null"), "ordinal", "left_semi")
+    by_id = clean.groupBy("doc_id").agg(F.min("ordinal").alias("_oi"))
+    by_text = clean.groupBy("text_hash").agg(F.min("ordinal").alias("_ot"))
     told = rows.join(by_id, "doc_id", "left").join(by_text, "text_hash", "left")
     reason = (
         F.when(F.col("early").isNotNull(), F.col("early"))
@@ -76,13 +80,13 @@ def collect_documents(
         .when(F.col("adult"), "adult")
         .otherwise("kept")
     )
-    told = told.withColumn("reason", reason)
+    told = told.select("ordinal", reason.alias("reason")).checkpoint()
     # The target-th kept row: top-k by ordinal, no global window.
-    last = told.filter("reason = 'kept'").select("ordinal").orderBy("ordinal").limit(target).agg(F.count("*").alias("n"), F.max("ordinal").alias("m")).first()
-    stop = last["m"] if last["n"] >= target else None
+    kept = told.filter("reason = 'kept'")
+    stop = None if kept.count() < target else kept.orderBy("ordinal").limit(target).agg(F.max("ordinal")).first()[0]
     read = told if stop is None else told.filter(F.col("ordinal") <= stop)
     counters = read.groupBy("reason").agg(F.count("*").alias("n")).withColumn("stream_exhausted", F.lit(stop is None))
-    return read.filter("reason = 'kept'").select(*stream.columns, "text_hash"), counters
+    return whole.join(read.filter("reason = 'kept'").select("ordinal"), "ordinal", "left_semi").select(*stream.columns, "text_hash"), counters
 
 
 def leakage_filter(docs: DataFrame, *, human: DataFrame, pilot: DataFrame) -> DataFrame:
