@@ -16,8 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language's pooled probability is below this, or if it has no letter at all.
 LEAST_SCORE = 0.4
 SHINGLE_WORDS, RADIUS = 5, 3
-#: Tokens wanted of each domain, of what it has.
-FACTORS = {"toxic": 0.0}
+#: Domains that are to go: the target totals are those of the documents whose likeliest domain is another.
+WITHOUT = ("toxic",)
 #: Documents with a lower rate go; the others stay once.
 LEAST_RATE = 0.5
 
@@ -49,7 +49,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose fitted rate rounds to one or more stay."""
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(Scratch(spark), docs, mixing.quality_domains(load(spark, sf_dir, "labels")), factors=FACTORS)
+    mixed = mixing.mix(Scratch(spark), docs, mixing.quality_domains(load(spark, sf_dir, "labels")), without=WITHOUT)
     gone = mixed.members.filter(F.col("rate") < LEAST_RATE).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
 

@@ -232,12 +232,20 @@ class Mix:
     steps: list[np.ndarray]
 
 
-def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None) -> Mix:
-    """labels: (id, domain). Targets: by weights, domain to share of all tokens; or by factors on what a domain has now (else 1)."""
+def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None, without: tuple[str, ...] = ()) -> Mix:
+    """labels: (id, domain). Targets: by weights, domain to share of all tokens; or by factors on what a domain has now (else 1).
+
+    without: targets are what the documents hold whose likeliest domain isn't one of these. Soft membership gives every document a little of
+    every domain, so a target of zero could only be neared by giving up most clean documents; this one can be reached without.
+    """
     model = fit(labelled_sample(docs, labels))
     members = scratch.save(memberships(docs, model), "members")
     small_batches(docs.sparkSession, 10_000)
     now, _ = gather(members, len(model.domains), [])
+    if without:
+        likeliest = F.array_position("p", F.array_max("p")) - 1
+        kept = members.filter(~likeliest.isin([i for i, d in enumerate(model.domains) if d in without]))
+        now, _ = gather(kept, len(model.domains), [])
     targets = now * [(factors or {}).get(d, 1.0) for d in model.domains] if weights is None else targets_of(weights, model.domains, now)
     steps, reached = solve(members, targets)
     return Mix(rates(members, len(model.domains), steps), model.domains, targets, reached, steps)

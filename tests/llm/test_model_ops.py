@@ -190,6 +190,12 @@ def test_mixing_reaches_targets(spark):
     # No other nonnegative rates come nearer: where a rate is 0 the gradient points outward.
     none = mixing.mix(Scratch(spark), docs, mixing.quality_domains(labels), factors={"low": 0.0})
     assert none.reached[none.domains.index("low")] < 0.1 * sum(r["n_tokens"] * r["p"][none.domains.index("low")] for r in out)
+    rest = mixing.mix(Scratch(spark), docs, mixing.quality_domains(labels), without=("low",))
+    assert np.allclose(rest.reached, rest.targets, rtol=1e-3)
+    nasty = {r["doc_id"] for r in docs.filter("text like '%awful%awful%nasty%' or text like '%nasty%nasty%awful%'").collect()}
+    clean = {r["doc_id"] for r in docs.filter("text not like '%awful%' and text not like '%nasty%'").collect()} - {None}
+    rates = {r["doc_id"]: r["rate"] for r in rest.members.collect()}
+    assert all(rates[i] < 0.5 for i in nasty) and all(rates[i] >= 0.5 for i in clean) and nasty and clean
     empty = mixing.mix(Scratch(spark), docs.limit(0), mixing.quality_domains(labels.limit(0)), {"good": 1.0})
     assert empty.members.count() == 0
     one = mixing.mix(Scratch(spark), docs, mixing.quality_domains(labels.limit(0)), {"all": 1.0})
