@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, thinned
 
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
 
@@ -63,6 +63,9 @@ def _search(scratch: Scratch, rows: DataFrame, every: int, k: int, score: str, s
         out: list[tuple] = []
         if len(held) and len(queries):
             for q, ids, scores in find(_matrix(held["v"], width), held["vec_id"].to_numpy(), _matrix(queries["v"], width), queries["vec_id"].to_numpy()):
+                if len(scores) > 4 * k:  # ties at the k-th place all stay
+                    rest = scores <= np.partition(scores, k - 1)[k - 1] if smallest else scores >= np.partition(scores, -k)[-k]
+                    ids, scores = ids[rest], scores[rest]
                 best = np.lexsort((ids, scores if smallest else -scores))[:k]
                 out += [(q, i, s) for i, s in zip(ids[best].tolist(), scores[best].tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -83,7 +86,7 @@ PIVOT_SAMPLE = 2048
 
 def draw_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
     """Pivots from the rows of smallest hash, at most `sample`: a seeded choice among their distinct vectors."""
-    got = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    got = thinned(rows.select("vec_id", "v"), F.xxhash64("vec_id"), sample).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not got:
         return np.zeros((0, 0))
     x = np.unique(_matrix(pd.Series([r["v"] for r in got]), max(len(r["v"]) for r in got)), axis=0)
@@ -153,7 +156,9 @@ def nearest(scratch: Scratch, vectors: DataFrame, every: int, k: int, id_col: st
 # --- exact top-k by inner product ----------------------------------------------------------------------------------------------------
 
 #: Numbers of segments, coarse to fine.
-LEVELS = (4, 16)
+LEVELS = (8, 32)
+#: Queries whose bounds are computed at once.
+TOGETHER = 64
 #: Beyond this every product or sum of doubles may be inexact.
 EXACT = 2.0**53
 
@@ -172,39 +177,47 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; outside the longs they stay at the nearest long."""
+    """Exact integer inner products of rows of x and q (one vector, or one a column); outside the longs they stay at the nearest long."""
     if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < EXACT:
         return (x @ q).astype(np.int64)
-    big = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
-    return np.array([min(max(v, -(2**63)), 2**63 - 1) for v in big], np.int64)
+    columns = [[int(b) for b in column] for column in (q.T if q.ndim == 2 else q[None])]
+    big = [[sum(int(a) * b for a, b in zip(row, column, strict=True)) for column in columns] for row in x]
+    out = np.array([[min(max(v, -(2**63)), 2**63 - 1) for v in row] for row in big], np.int64).reshape(len(x), len(columns))
+    return out if q.ndim == 2 else out[:, 0]
 
 
 def top_products(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> Iterator[tuple]:
-    """Per query the candidates that may be among its k largest inner products, with exact scores."""
+    """Per query the candidates that may be among its k largest inner products, with exact scores.
+
+    Level by level: exact scores of the best by bound raise the floor (the k-th largest score so far); candidates whose bound is below
+    it are out. The bounds of a block of queries are one matrix product a level.
+    """
     if not x.shape[1]:
         for q in query_ids.tolist():
             yield q, ids[ids != q], np.zeros(int((ids != q).sum()), np.int64)
         return
-    held = [segment_statistics(x, n) for n in levels]
+    held = [segment_statistics(x, n).T.copy() for n in levels]
     asked = [segment_statistics(queries, n) for n in levels]
-    norms = np.sqrt((x * x).sum(1))
-    for i, q in enumerate(query_ids.tolist()):
-        others = ids != q
-        query = queries[i]
-        slack = 1e-9 * (1 + norms * np.sqrt(query @ query))  # rounding of the bounds
-        bound = held[0] @ asked[0][i] + slack
-        bound[~others] = -np.inf
-        seed = min(len(x), 2 * k)
-        first = np.argpartition(-bound, seed - 1)[:seed]
-        first = first[others[first]]
-        scores = _products(x[first], query)
-        floor = np.partition(scores, -k)[-k] if len(scores) >= k else None
-        left = np.flatnonzero(others)
-        if floor is not None:
-            left = left[bound[left] >= floor]
-            for level, at in zip(held[1:], asked[1:], strict=True):
-                left = left[level[left] @ at[i] + slack[left] >= floor]
-        yield q, ids[left], _products(x[left], query)
+    far = float(np.sqrt((x * x).sum(1)).max(initial=0.0))
+    seed = min(len(x), 2 * k + 1)
+    for at in range(0, len(queries), TOGETHER):
+        part = queries[at : at + TOGETHER]
+        slack = 1e-9 * (1 + far * np.sqrt((part * part).sum(1)))[:, None]  # rounding of the bounds
+        left = ids[None] != query_ids[at : at + TOGETHER, None]
+        floor = np.full((len(part), 1), -np.inf)
+        for h, a in zip(held, asked, strict=True):
+            bound = np.where(left, a[at : at + TOGETHER] @ h, -np.inf)
+            best = np.argpartition(bound, len(x) - seed, axis=1)[:, len(x) - seed :]
+            for i, rows in enumerate(best):
+                rows = rows[left[i, rows]]
+                if len(rows) >= k:
+                    floor[i] = max(float(floor[i, 0]), float(np.partition(_products(x[rows], part[i]), -k)[-k]))
+            left &= bound + slack >= floor
+        some = np.flatnonzero(left.any(0))  # the survivors of the block, scored by one product
+        scores = _products(x[some], part.T)
+        for i, q in enumerate(query_ids[at : at + TOGETHER].tolist()):
+            mine = left[i, some]
+            yield q, ids[some[mine]], scores[mine, i]
 
 
 def exact_top(scratch: Scratch, vectors: DataFrame, every: int, k: int, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
