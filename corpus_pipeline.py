@@ -1,7 +1,7 @@
 """The corpus pipeline: STAGES over `documents`, each written as Parquet and read again as the next one's input.
 
 All stages but the last return the columns of documents. Parameters are those of the operators' queries, but near-dedup takes shingles of
-five words.
+five words and confirms near copies by their exact similarity.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import entry, language, line_dedup, mixing, packing, simhash
+from lexforge.llm import entry, jaccard, language, line_dedup, mixing, packing
 from lexforge.llm.common import Scratch, load
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language's pooled probability is below this, or if it has no letter at all.
 LEAST_SCORE = 0.4
-SHINGLE_WORDS, RADIUS = 5, 3
+SHINGLE_WORDS = 5
 #: Domains that are to go: the target totals are those of the documents whose likeliest domain is another.
 WITHOUT = ("toxic",)
 #: Documents with a lower rate go; the others stay once.
@@ -42,8 +42,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the longest."""
-    return simhash.one_of_each(Scratch(spark), docs.select(*COLUMNS), SHINGLE_WORDS, RADIUS)
+    """One document of each group of near copies (similarity 0.8 or more of shingles) stays, the longest."""
+    return jaccard.one_of_each(Scratch(spark), docs.select(*COLUMNS), SHINGLE_WORDS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

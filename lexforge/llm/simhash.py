@@ -29,19 +29,25 @@ TILE, BLOCK = 4096, 128
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint as a signed long."""
+def shingle_hashes(text: str | None, words: int) -> bytes:
+    """The hashes of a text's shingles, 8 bytes each."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return b""
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_digest
     if len(found) <= words:
-        hashes = digest(joined, SEED)
-    else:
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)])
+        return digest(joined, SEED)
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The fingerprint as a signed long."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     n = len(hashes) // 8
     count = np.zeros(64, np.int64)
     for at in range(0, n, 8192):  # bounds the unpacked bits of very long texts

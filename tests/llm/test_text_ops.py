@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexforge.llm import line_dedup, packing, sharding, simhash, substring
+from lexforge.llm import jaccard, line_dedup, packing, sharding, simhash, substring
 from lexforge.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, shard int"
@@ -224,3 +224,48 @@ def test_tiny_tables(spark, rows):
     from lexforge.llm import entry
 
     assert packing.pack(Scratch(spark), packing.pieces(docs, *entry.tokenizer_files())).count() == n
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.integers(60, 200))]
+        for edits in (0, 1, 2, 3, 4, 6, 9):  # similarities on both sides of 0.8
+            text = list(base)
+            for at in rng.integers(0, len(base), edits):
+                text[at] = word()
+            rows.append((len(rows), " ".join(text)))
+    rows += [(500, None), (501, ""), (None, " "), (502, "one two"), (503, "ONE  two"), (3, rows[3][1])]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    held = [grams(t) for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if held[a] == held[b] or 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sum(((simhash.fingerprint(rows[a][1], 5) ^ simhash.fingerprint(rows[b][1], 5)) % 2**64).bit_count() > 3 for a, b in near) > 20
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(Scratch(spark), table(spark, rows), 5).collect()]
+    assert len(kept) == len(set(label)) == len({label[rows.index(x)] for x in kept})
+    for i, text in kept:
+        group = [len(t or "") for (_, t), k in zip(rows, label, strict=True) if k == label[rows.index((i, text))]]
+        assert len(text or "") == max(group)
+    assert jaccard.one_of_each(Scratch(spark), table(spark, []), 5).count() == 0
+
+
+def test_tiles_of_a_bucket_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    sets = [rng.permutation(40).astype(np.uint64)[: rng.integers(1, 40)] for _ in range(9)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    assert jaccard.shared(sets, np.arange(9), np.arange(9)).tolist() == want
+    base = [f"w{k}" for k in range(100)]
+    # Each text goes on for some words more than the one before, so that neighbours are alike and the ends aren't.
+    rows = [(k, " ".join(base[: 40 + 6 * k])) for k in range(10)]
+    assert [r["doc_id"] for r in jaccard.one_of_each(Scratch(spark), table(spark, rows), 5).collect()] == [9]
