@@ -4,6 +4,8 @@ A classifier trained on a labelled table gives each document a posterior over do
 towards each domain. Nonnegative rates, one a document, are fitted so that the expected token totals of the domains, sum of
 rate * n * p, come as near to the targets as they can: least squares by projected gradient from rate 1. The step is scaled per document
 by its tokens and per domain by the inverse of the domains' Gram matrix, so that its Lipschitz constant is 1 and the step length too.
+Where targets are out of reach, the least squares are on an edge of what posteriors can mix: few documents keep a rate above 0, a high one,
+and a warning gives what is reached.
 
 What is gathered at a step is a few numbers a domain. A step's gradient is as short, so no table of rates is written: each task replays the
 steps so far on its own documents, whose tokens and posteriors are written once.
@@ -18,6 +20,7 @@ empty table gives no rows. Only id and text are read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +34,11 @@ from .common import Scratch, small_batches, thinned
 #: Bounds of the fit: labelled documents a domain, words of the vocabulary.
 SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 1000, 5
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
-#: Steps of the rates; they end early once totals change by less than this share of the targets, or the squares shrink by less than that.
-STEPS, SETTLED, FLAT = 40, 1e-6, 5e-3
+#: Steps of the rates, beyond which a warning says that they aren't done; they end when totals are off by less than SETTLED of the targets, or
+#: when the projected gradient would change rates by less than FLAT (root mean square, weighted by tokens).
+STEPS, SETTLED, FLAT = 400, 1e-6, 1e-6
+#: Proximal steps: the first and the least weight of staying near, and the most Newton steps in one.
+NEAR, NEAREST, NEWTON = 1e-2, 1e-9, 60
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()).encode()
 LETTERS = bytes(range(ord("a"), ord("z") + 1)) + bytes(range(128, 256))
 DIGITS, SPACES = b"0123456789", b" \t\n\r\x0b\x0c"
@@ -174,30 +180,64 @@ def held(p: np.ndarray, n: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([(rate * n) @ p, (free.T @ p).ravel()])
 
 
+def inverse(gram: np.ndarray) -> np.ndarray:
+    return np.linalg.pinv(gram + 1e-9 * np.eye(len(gram)) * max(1.0, float(np.trace(gram))))
+
+
+def proximal(look, steps: list[np.ndarray], targets: np.ndarray, at: np.ndarray, free: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The step x whose gradient is taken where it leads: near @ x = totals after x - targets, by Newton's method. Its totals and Gram matrix too.
+
+    near is a small multiple of the Gram matrix of all documents; the smaller it is, the longer the step. x is the least point of a convex
+    function with gradient targets - totals + near @ x, so slopes along a direction tell how far to go.
+    """
+    x, first = np.zeros(len(targets)), None
+    for _ in range(NEWTON):
+        down = at - targets - near @ x
+        way = inverse(free + near) @ down
+        slope = float(down @ way)
+        first = slope if first is None else first
+        if slope <= 1e-16 * first:
+            break
+        t = 1.0
+        while True:
+            new, new_free = look([*steps, x + t * way])
+            over = -float((new - targets - near @ (x + t * way)) @ way)
+            if over <= 0.1 * slope or t < 1e-9:
+                break
+            t *= max(0.1, slope / (slope + over))
+        x, at, free = x + t * way, new, new_free
+    return x, at, free
+
+
 def descend(look, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps whose replay gives the rates, and the totals they reach. look(steps) gives totals and free Gram matrix.
 
     A step is the gradient times the inverse Gram matrix of the documents that aren't at 0, which goes straight to the targets
-    when no more documents reach 0. Where that makes the squares no smaller, the Gram matrix of all documents takes its place: that is
-    the projected-gradient step of length 1, which always makes them smaller.
+    when no more documents reach 0. Where that doesn't halve the squares, targets may be out of reach: the Gram matrix of all documents
+    gives the projected-gradient step of length 1, which always makes squares smaller and tells how far the rates are from the least
+    squares; a proximal step, longer each time, goes there. It ends when targets are met or the projected gradient is nothing.
     """
-    k, steps = len(targets), []
+    steps, near = [], NEAR
     at, free = look(steps)
-    inverse = lambda g: np.linalg.pinv(g + 1e-9 * np.eye(k) * max(1.0, float(np.trace(g))))
-    whole = inverse(free)
-    enough = SETTLED * max(1.0, float(np.abs(targets).sum()))
+    gram, whole = free, inverse(free)
+    enough, tokens = SETTLED * max(1.0, float(np.abs(targets).sum())), max(1.0, float(at.sum()))
     squares = lambda x: float((x - targets) @ whole @ (x - targets))
-    while len(steps) < turns and np.abs(at - targets).max() > enough:
-        for scale in (inverse(free), whole):
-            step = scale @ (at - targets)
-            new, new_free = look([*steps, step])
-            if squares(new) < squares(at):
-                break
-        steps.append(step)
-        settled = np.abs(new - at).max() <= enough or squares(new) > (1 - FLAT) * squares(at)
-        at, free = new, new_free
-        if settled:
+    while np.abs(at - targets).max() > enough:
+        if len(steps) >= turns:
+            logging.getLogger(__name__).warning("rates are not at the least squares after %d steps", turns)
             break
+        best = (step := inverse(free) @ (at - targets), *look([*steps, step]))
+        if not squares(best[1]) <= squares(at) / 2:
+            plain = (step := whole @ (at - targets), *look([*steps, step]))
+            # Bounds the sum of tokens * (change of the rate)^2 of this step, which is 0 at the least squares only.
+            if (at - targets) @ whole @ (at - plain[1]) <= FLAT**2 * tokens:
+                break
+            best = min(best, plain, proximal(look, steps, targets, at, free, near * gram), key=lambda x: squares(x[1]))
+            near = max(near / 10, NEAREST)
+            if not squares(best[1]) < squares(at):  # rounding is all that is left
+                break
+        steps.append(best[0])
+        at, free = best[1:]
     return steps, at
 
 
@@ -248,6 +288,8 @@ def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str,
         now, _ = gather(kept, len(model.domains), [])
     targets = now * [(factors or {}).get(d, 1.0) for d in model.domains] if weights is None else targets_of(weights, model.domains, now)
     steps, reached = solve(members, targets)
+    if np.abs(reached - targets).max() > SETTLED * max(1.0, float(np.abs(targets).sum())):
+        logging.getLogger(__name__).warning("targets out of reach: of %s got %s of %s", model.domains, reached.tolist(), targets.tolist())
     return Mix(rates(members, len(model.domains), steps), model.domains, targets, reached, steps)
 
 

@@ -222,6 +222,23 @@ def test_projected_gradient_is_least_squares():
     assert squares(reached) <= squares((mixing.replay(p, plain) * n) @ p)
 
 
+@pytest.mark.parametrize("soft", [1, 3, 10])
+def test_rates_end_at_the_least_squares(soft, caplog):
+    rng = np.random.default_rng(soft)
+    p, n = rng.dirichlet([soft] * 3, 5000), rng.integers(20, 500, 5000).astype(float)
+    targets, looks = np.array([0.9, 0.08, 0.02]) * n.sum(), []
+
+    def look(steps):
+        looks.append(len(steps))
+        got = mixing.held(p, n, steps)
+        return got[:3], got[3:].reshape(3, 3)
+
+    steps, reached = mixing.descend(look, targets)
+    rate, gradient = mixing.replay(p, steps), p @ np.linalg.pinv((p * n[:, None]).T @ p) @ (reached - targets)
+    assert np.allclose((rate * n) @ p, reached) and gradient.min() > -1e-3 and np.abs(gradient[rate > 0]).max() < 1e-3
+    assert len(looks) < 150 and not caplog.records
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from lexforge.llm import simhash
