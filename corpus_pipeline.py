@@ -49,9 +49,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose fitted rate rounds to one or more stay."""
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(Scratch(spark), docs, mixing.quality_domains(load(spark, sf_dir, "labels")), without=WITHOUT)
-    gone = mixed.members.filter(F.col("rate") < LEAST_RATE).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    # Rows are told apart by id and text: a low rate removes no other row of the same, or of no, id.
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("_k2"))
+    mixed = mixing.mix(Scratch(spark), keyed, mixing.quality_domains(load(spark, sf_dir, "labels")), without=WITHOUT, also=("_k1", "_k2"))
+    gone = mixed.members.filter(F.col("rate") < LEAST_RATE).select("_k1", "_k2").distinct()
+    return keyed.join(gone, ["_k1", "_k2"], "left_anti").select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

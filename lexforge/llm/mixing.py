@@ -133,16 +133,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return [(r["domain"], r["text"]) for r in sorted(got, key=lambda r: (r["domain"], r["id"]))]
 
 
-def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p array<double>) of every row."""
+def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, p array<double>) of every row, and the long columns `also`."""
     small_batches(docs.sparkSession, 512)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [posterior(model, x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([p.tolist() for _, p in got], pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([p.tolist() for _, p in got], pa.list_(pa.float64())), *batch.columns[2:]], ["doc_id", "n_tokens", "p", *also])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also).mapInArrow(run, ", ".join(["doc_id long, n_tokens long, p array<double>", *(f"{x} long" for x in also)]))
 
 
 def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -254,7 +254,7 @@ def rates(members: DataFrame, k: int, steps: list[np.ndarray]) -> DataFrame:
             rate[batch.column("n_tokens").to_numpy() == 0] = 1.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
-    return members.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
+    return members.mapInArrow(run, ", ".join([*(f"{x} {kind}" for x, kind in members.dtypes), "rate double"]))
 
 
 def targets_of(weights: dict[str, float], domains: list[str], now: np.ndarray) -> np.ndarray:
@@ -272,14 +272,15 @@ class Mix:
     steps: list[np.ndarray]
 
 
-def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None, without: tuple[str, ...] = ()) -> Mix:
+def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None, without: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> Mix:
     """labels: (id, domain). Targets: by weights, domain to share of all tokens; or by factors on what a domain has now (else 1).
 
     without: targets are what the documents hold whose likeliest domain isn't one of these. Soft membership gives every document a little of
     every domain, so a target of zero could only be neared by giving up most clean documents; this one can be reached without.
+    also: long columns of docs that members keep.
     """
     model = fit(labelled_sample(docs, labels))
-    members = scratch.save(memberships(docs, model), "members")
+    members = scratch.save(memberships(docs, model, also=also), "members")
     small_batches(docs.sparkSession, 10_000)
     now, _ = gather(members, len(model.domains), [])
     if without:

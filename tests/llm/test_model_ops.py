@@ -262,3 +262,18 @@ def test_pipeline(spark, tmp_path):
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} <= {i for i, *_ in rows} - {200, 201}
     assert len({r["doc_id"] for r in out} & {4, 100, 101, 102}) == 2  # the last copy alone still has the shared line
+
+
+def test_mix_stage_removes_rows_not_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    text = lambda bad: " ".join(rng.choice(["awful", "nasty"]) if bad else rng.choice(["sun", "tree", "road", "sky"]) for _ in range(20))
+    rows = [(i, text(i % 5 == 0), "aa", "s", 0) for i in range(200)]
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows += [(i, text(bad), "aa", "s", 0) for i in (None, 1000) for bad in (True, False, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.mix_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    bad = lambda t: "awful" in t or "nasty" in t
+    assert sorted(left, key=str) == sorted(((i, t) for i, t, *_ in rows if not bad(t)), key=str)
