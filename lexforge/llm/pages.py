@@ -1,8 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is read into lines, its block elements in order. Pages of a host are sorted by URL path, and each is paired with the neighbour
-whose path shares the longer prefix; a longest common subsequence aligns the lines of the two, and shared lines are deleted. A neighbour
-that is a copy (nearly all lines shared) says nothing about the template, so the other neighbour is taken then.
+whose path shares the longer prefix; a longest common subsequence aligns the lines of the two, and shared lines are deleted. Pages in a
+row that have the same content (the lines that can be main text) are one page here, so all of them get the same text. A neighbour that
+shares nearly all lines the markup leaves open may be a copy with a change, so the other one is taken then; if both do, what all three
+share is the template.
 
 Differencing alone gives wrong results on pages whose menus and footers differ from page to page, and on articles that quote the same line
 as their neighbour. So the page's own markup has a say first: lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
@@ -26,12 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches
+from .common import Scratch, parts, small_batches
 
-#: Pages of one range, and the share of lines in common from which two pages are copies.
+#: Pages of one range, and the share of open lines in common from which a page may be a changed copy.
 RANGE_PAGES, COPY = 4000, 0.9
 
 TOKEN = re.compile(
@@ -166,14 +169,21 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def shared_with_nearest(path: str, lines: list, before: tuple | None, after: tuple | None) -> set[int]:
-    """Lines shared with the nearer of two neighbours (path, lines) that is no copy; ties go to the one before."""
-    near = sorted((x for x in (before, after) if x is not None), key=lambda x: -_prefix(path, x[0]))
-    for _, other in near:
-        found = common_lines(lines, other)
-        if len(found) < COPY * max(len(lines), len(other)):
-            return set(found)
-    return set()
+def content(lines: list[str], kinds: list[int]) -> int:
+    """Hash of the lines that can be main text; pages of one content are copies."""
+    kind = IN if IN in kinds else OPEN
+    return xxhash.xxh64_intdigest("\n".join(x for x, k in zip(lines, kinds, strict=True) if k == kind).encode(errors="replace"), kind) - 2**63
+
+
+def shared_with_nearest(lines: list, kinds: list, around: list[tuple[int, list, list]]) -> set[int]:
+    """Lines shared with the nearest of the neighbours (prefix, lines, kinds) that isn't nearly the same in open lines, else with all if there are two; ties go to the first."""
+    opened = {i for i, kind in enumerate(kinds) if kind == OPEN}
+    found = []
+    for _, other, other_kinds in sorted(around, key=lambda x: -x[0]):
+        found.append(set(common_lines(lines, other)))
+        if len(found[-1] & opened) < COPY * max(len(opened), list(other_kinds).count(OPEN)):
+            return found[-1]
+    return found[0] & found[1] if len(found) == 2 else set()
 
 
 def _host_path(url_col: str):
@@ -191,28 +201,57 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
     key = ["host", "path", F.coalesce("page_id", F.lit(-1)).alias("no"), F.xxhash64("url", "html").alias("mix")]
     names = ["host", "path", "no", "mix"]
-    keys = rows.select(*key)
-    ranges = max(2 * parts(spark), -(-rows.count() // RANGE_PAGES))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [content(*read_lines(x.as_py())) for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], [*names, "content"])
+
+    marked = rows.select(*key, "html").mapInArrow(mark, "host string, path string, no long, mix long, content long")
+    keys = Scratch(spark).save(marked, "keys")
+    ranges = max(2 * parts(spark), -(-keys.count() // RANGE_PAGES))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        """Of the first run of copies of a range its ends and the page after it, of the last run the page before it and its ends."""
+        out = run = old = None
         for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1)
-                last = batch.slice(batch.num_rows - 1)
-        if first is not None:
-            yield first
-            yield last
-
-    # Two rows a range, as Spark's own range partitioning gathers its bounds.
-    sorted_keys = keys.repartitionByRange(ranges, *names).sortWithinPartitions(*names).mapInArrow(ends, keys.schema)
-    edge = [tuple(r) for r in sorted_keys.withColumn("range", F.spark_partition_id()).collect()]
-    edge = [r[:4] for r in sorted(edge, key=lambda r: (r[4], r[:4]))]
-    splits = edge[2::2]  # the first key of every range but the first
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                same = run is not None and (row[0], row[4]) == (run[0], run[4])
+                if not same:
+                    if out is not None and len(out) == 1:
+                        out += [old, row]
+                    out, run, before = out or [row], row, old
+                old = row
+        if out is not None:
+            out = [*(out if len(out) == 3 else [out[0], old, None]), before, run, old]
+            yield pa.RecordBatch.from_pylist([dict(zip(keys_names, x or (None,) * 5, strict=True)) | {"at": i} for i, x in enumerate(out)], schema=ends_schema)
+
+    # Six rows a range, as Spark's own range partitioning gathers its bounds.
+    keys_names = [*names, "content"]
+    ends_schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("no", pa.int64()), ("mix", pa.int64()), ("content", pa.int64()), ("at", pa.int32())])
+    ordered = keys.repartitionByRange(ranges, *names).sortWithinPartitions(*names).mapInArrow(ends, "host string, path string, no long, mix long, content long, at int")
+    got = sorted((r["range"], r["at"], tuple(r)[:5]) for r in ordered.withColumn("range", F.spark_partition_id()).collect() if r["host"] is not None)
+    held: dict[int, dict[int, tuple]] = {}
+    for part, at, row in got:
+        held.setdefault(part, {})[at] = row
+    edge = sorted(held.values(), key=lambda x: x[0][:4])
+    splits = [x[0][:4] for x in edge[1:]]  # the first key of every range but the first
     ghosts: dict[tuple, list[int]] = {}
-    for i in range(1, len(splits) + 1):
-        ghosts.setdefault(edge[2 * i - 1], []).append(i)
-        ghosts.setdefault(edge[2 * i], []).append(i - 1)
+    #: For each range the path at which its first run begins, and its last one ends.
+    reach: list[list[str]] = [[x[0][1], x[5][1]] for x in edge]
+    for i, mine in enumerate(edge):
+        for side, step, last, begin, beyond in ((0, -1, 5, 4, 3), (1, 1, 0, 1, 2)):
+            own, j = mine[0 if side == 0 else 5], i + step
+            while 0 <= j < len(edge):
+                other = edge[j]
+                found = other[last]
+                if (found[0], found[4]) == (own[0], own[4]):
+                    reach[i][side] = other[begin][1]
+                    if (found := other.get(beyond)) is None:
+                        j += step
+                        continue
+                ghosts.setdefault(found[:4], []).append(i)
+                break
 
     fields = "bucket int, page_id long, url string, host string, path string, no long, mix long, ghost boolean, lines array<string>, kinds array<tinyint>"
 
@@ -230,16 +269,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def difference(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(names, kind="stable")
-        held = list(group.itertuples(index=False))
-        out = []
-        for i, row in enumerate(held):
-            if row.ghost:
-                continue
-            around = [held[j] if 0 <= j < len(held) and held[j].host == row.host else None for j in (i - 1, i + 1)]
+        pages_, runs = list(group.itertuples(index=False)), []
+        for row in pages_:
             lines, kinds = list(row.lines), list(row.kinds)
-            shared = shared_with_nearest(row.path, lines, *(x and (x.path, list(x.lines)) for x in around))
-            text = main_text(lines, kinds, shared)
-            out.append((row.page_id, row.url, text, len(text)))
+            mark_ = (row.host, content(lines, kinds), row.ghost)
+            if not runs or runs[-1][0] != mark_:
+                runs.append((mark_, lines, kinds, []))
+            runs[-1][3].append(row)
+        out, first, last = [], True, max((i for i, r in enumerate(runs) if not r[0][2]), default=-1)
+        for i, (mark_, lines, kinds, copies) in enumerate(runs):
+            if mark_[2]:
+                continue
+            low, high = reach[copies[0].bucket][0] if first else copies[0].path, reach[copies[0].bucket][1] if i == last else copies[-1].path
+            first, around = False, []
+            for j, path, end in ((i - 1, low, -1), (i + 1, high, 0)):
+                if 0 <= j < len(runs) and runs[j][0][0] == mark_[0]:
+                    around.append((_prefix(path, runs[j][3][end].path), runs[j][1], runs[j][2]))
+            text = main_text(lines, kinds, shared_with_nearest(lines, kinds, around))
+            out += [(row.page_id, row.url, text, len(text)) for row in copies]
         return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
     tagged = rows.select("page_id", "url", "host", "path", "html", *key[2:]).mapInArrow(read, fields)

@@ -125,6 +125,25 @@ def test_nearest_pages_lose_shared_lines(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_heavy_pages_and_copies(spark):
+    menu = "<nav><ul>" + "".join(f"<li>menu {k}</li>" for k in range(30)) + "</ul></nav>"
+    marked = lambda k: f"<body>{menu}<div>Powered by x</div><p>a {k}<p>b {k}<p>c {k}</body>"
+    bare = lambda k: "<body>" + "".join(f"<div>menu {m}</div>" for m in range(40)) + f"<p>a {k}<p>b {k}</body>"
+    rows = [(k, f"http://marked.example/a/{k:03}", marked(k)) for k in range(40)]
+    rows += [(100 + k, f"http://bare.example/a/{k:03}", bare(k)) for k in range(40)]
+    # Runs of copies, longer than a range and with paths nearer to either side; their menus may differ.
+    rows += [(200 + k, f"http://runs.example/{'abc'[k // 40]}/{k:03}", f"<nav>{k}</nav>" + marked(k // 40 if 3 < k < 117 else k)) for k in range(120)]
+    rows += [(400, "http://near.example/1", bare(1)), (401, "http://near.example/2", bare(2))]
+    out = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[k] == f"a {k}\nb {k}\nc {k}" for k in range(40))
+    assert all(out[100 + k] == f"a {k}\nb {k}" for k in range(1, 39))
+    for k in range(120):
+        j = k // 40 if 3 < k < 117 else k
+        assert out[200 + k] == f"a {j}\nb {j}\nc {j}"
+    assert out[400] != out[401] and "menu 3" in out[400]  # two pages alone may be copies with a change
+
+
 def test_backpropagation():
     rng = np.random.default_rng(0)
     w = {k: v.astype(float) for k, v in language._fresh(3, rng).items()}
