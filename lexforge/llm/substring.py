@@ -2,8 +2,10 @@
 
 A window is `length` consecutive words; it is repeated if its words also start anywhere else, in the same document or another. To
 keep equal windows together without comparing every document with every shard, a window is routed by its minimizer (least hash of its
-runs of ANCHOR words, the leftmost of equals): consecutive windows with the same minimizer at the same place travel as one segment. Minimizers that occur once can't be part of a repeated
-window and go no further. Equal segments (by 64-bit hash) are indexed once, with their number as weight, so copies weigh nothing.
+runs of ANCHOR words, the leftmost of equals): consecutive windows with the same minimizer at the same place travel as one segment.
+Minimizers that occur once can't be part of a repeated window and go no further. These hashes only route: what they confuse meets in a
+shard and is told apart there. Equal segments, by a cryptographic digest of their words, are indexed once, with their number as weight, so
+copies weigh nothing.
 
 In a shard, segments become a text of word numbers, its suffixes sorted by their first `length` words, and their Burrows-Wheeler
 transform a wavelet matrix: bit-packed levels with rank counts. Documents' segments are streamed from their last word to their
@@ -11,8 +13,9 @@ first, all in lockstep: a backward step extends each match by a word; a match lo
 by the bounds of its suffix group. The statistic of a position is so the length of its match up to `length`, and the weight of its suffix
 interval says whether it occurs elsewhere. Intervals above the threshold are reported.
 
-A minimizer with more than HOT distinct segments (the edge of a passage that very many documents quote) would outgrow its shard. Its windows
-are compared one by one, as 128-bit hashes counted by an ordinary aggregation: exact for the same windows, in any number.
+A minimizer with more than WIDE distinct segments (the edge of a passage that very many documents quote) would outgrow its shard. Its
+segments are routed a second time, with a whole window as the anchor: each window is a segment then, those whose digest occurs once go no
+further, and the others, however many documents hold them, are indexed once and searched in FM-indexes of their own.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; repeated rows are documents that repeat each other; a null id is
 an id like others; an empty table gives no rows. Only id and text are read.
@@ -33,7 +36,7 @@ from .common import Scratch, small_batches
 
 LENGTH, ANCHOR = 35, 8
 #: Distinct segments that one minimizer may bring to a shard; words of a shard.
-HOT, SHARD_WORDS = 512, 600_000
+WIDE, SHARD_WORDS = 512, 600_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -76,24 +79,36 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of all texts, first word of each text and the end)."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+def normal(text: bytes) -> bytes:
+    """The words of a text, joined by one space."""
+    return b" ".join(text.split())
+
+
+def word_hashes(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that end at `ends` in data: (hash, start and end of every word, first word of each text and the end)."""
+    data = np.frombuffer(data, np.uint8)
     word = ~BLANK[data]
     edge = np.diff(word.astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     hashes = Rolling(data.astype(np.uint64) + np.uint64(1), BASES[0]).spans(start, end)
     hashes = _scramble(hashes + (end - start).astype(np.uint64) * np.uint64(BASES[1]))
-    return hashes, np.concatenate([[0], np.searchsorted(start, ends)])
+    return hashes, start, end, np.concatenate([[0], np.searchsorted(start, ends)])
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of the spans of data, two longs each."""
+    made = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, start word in it, windows, minimizer, hash) of every segment."""
-    hashes, first = word_hashes(texts)
+    """(text, start word in it, windows, minimizer, two longs of digest) of every segment."""
+    texts = [normal(t) for t in texts]
+    data = b"\n".join([*texts, b""])
+    hashes, from_, to, first = word_hashes(data, np.cumsum([len(t) + 1 for t in texts]))
     n = len(hashes) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     rolling = Rolling(hashes, BASES[1])
     at = np.arange(len(hashes) - anchor + 1)
     least = _scramble(rolling.spans(at, at + anchor))
@@ -117,15 +132,15 @@ def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     begin = np.flatnonzero(new & whole)
     close = np.flatnonzero(np.append(new[1:], True) & whole | whole & ~np.append(whole[1:], False)) + 1
     count = close - begin
-    marks = _scramble(rolling.spans(begin, close + length - 1) + count.astype(np.uint64) * np.uint64(BASES[2]))
-    return owner[begin], begin - first[owner[begin]], count, least[begin].view(np.int64), marks.view(np.int64)
+    marks = digests(data, from_[begin], to[close + length - 2])
+    return owner[begin], begin - first[owner[begin]], count, least[begin].view(np.int64), marks[:, 0], marks[:, 1]
 
 
-def window_hashes(words: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window of a sequence of words."""
-    hashes, _ = word_hashes([b" ".join(words)])
-    at = np.arange(len(hashes) - length + 1)
-    return tuple(_scramble(Rolling(h, base).spans(at, at + length)).view(np.int64) for h, base in ((hashes, BASES[1]), (_scramble(hashes + np.uint64(BASES[2])), BASES[2])))
+def window_digests(words: bytes, length: int = LENGTH) -> np.ndarray:
+    """Digests of every window of words joined by one space."""
+    gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+    start, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(words))
+    return digests(words, start[: len(start) - length + 1], end[length - 1 :])
 
 
 # --- the index of a shard ------------------------------------------------------------------------------------------------------------
@@ -249,11 +264,11 @@ def _spans(scratch: Scratch, rows: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, start, count, anchor, seg = segments(_bytes(batch.column(2)), length)
+            owner, start, count, *marks = segments(_bytes(batch.column(2)), length)
             keys = [batch.column(k).take(pa.array(owner)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor, pa.int64()), pa.array(seg, pa.int64())], ["k1", "k2", "start", "n", "anchor", "seg"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start, pa.int32()), pa.array(count, pa.int32()), *(pa.array(m, pa.int64()) for m in marks)], ["k1", "k2", "start", "n", *SEGMENT])
 
-    all_segments = scratch.save(rows.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, start int, n int, anchor long, seg long"), "segments")
+    all_segments = scratch.save(rows.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, start int, n int, anchor long, s1 long, s2 long"), "segments")
     scratch.tidy()
     # Counts are written before they are joined: a join whose sides are plain exchanges can split a hot key, one that still has to
     # aggregate a side by that key can't.
@@ -262,51 +277,81 @@ def _spans(scratch: Scratch, rows: DataFrame, length: int) -> DataFrame:
     scratch.drop("segments", "twice")
     scratch.tidy()
     # Distinct segments, each with one row that holds it.
-    kinds = members.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("at"))
-    kinds = scratch.save(kinds.select("anchor", "seg", "weight", "n", "at.*"), "kinds")
+    kinds = members.groupBy(*SEGMENT).agg(F.count("*").alias("weight"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("at"))
+    kinds = scratch.save(kinds.select(*SEGMENT, "weight", "n", "at.*"), "kinds")
+    scratch.tidy()
+    many = scratch.save(kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > WIDE).select("anchor", F.lit(True).alias("wide")), "many")
+    wanted = kinds.join(many, "anchor", "left").withColumn("wide", F.col("wide").isNotNull())
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*SEGMENT, "weight", "n", "start", "wide")).alias("wanted"))
+    asked = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted")
+    fetched = scratch.save(_fetch(asked, [*SEGMENT, "weight", "wide"], length), "fetched")
+    scratch.drop("kinds")
     scratch.tidy()
-    many = scratch.save(kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot")), "many")
-    wanted = kinds.join(many, "anchor", "left").withColumn("hot", F.col("hot").isNotNull())
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "seg", "weight", "n", "start", "hot")).alias("wanted"))
-    fields = "anchor long, seg long, weight long, words string, i int, h1 long, h2 long"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    found = _search(fetched.filter(~F.col("wide")), SEGMENT, "anchor", length)
+    if not many.isEmpty():
+        found = found.unionByName(_wide(scratch, fetched.filter("wide"), length))
+    runs = scratch.save(found, "runs")
+    scratch.drop("fetched", "windows", "again")
+    scratch.tidy()
+    covered = members.join(runs, SEGMENT).select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b"))
+    return covered.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+#: What tells segments apart.
+SEGMENT = ["anchor", "s1", "s2"]
+
+
+def _fetch(asked: DataFrame, keep: list[str], length: int) -> DataFrame:
+    """(keep, words): the words of each of the segments (start, n and the columns to keep) that are wanted of a text."""
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema["wanted"].dataType.elementType}
+    types = [*(pa.bool_() if kinds[c] == "boolean" else pa.int64() for c in keep), pa.string()]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for text, asked in zip(_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = text.split()
-                for s in asked:
-                    part = words[s["start"] : s["start"] + s["n"] + length - 1]
-                    if s["hot"]:
-                        out += [(s["anchor"], s["seg"], s["weight"], None, i, a, b) for i, (a, b) in enumerate(zip(*(h.tolist() for h in window_hashes(part, length)), strict=True))]
-                    else:
-                        out.append((s["anchor"], s["seg"], s["weight"], b" ".join(part).decode(), None, None, None))
+                out += [(*(s[c] for c in keep), b" ".join(words[s["start"] : s["start"] + s["n"] + length - 1]).decode()) for s in asked]
             columns = zip(*out, strict=True) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in fields.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keep, "words"])
 
-    small_batches(spark, 64)
-    asked = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted")
-    fetched = scratch.save(asked.mapInArrow(fetch, fields), "fetched")
-    scratch.tidy()
-    held = fetched.filter(F.col("words").isNotNull())
-    n_words = kinds.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
+    small_batches(asked.sparkSession, 64)
+    return asked.mapInArrow(fetch, ", ".join([*(f"{c} {'boolean' if kinds[c] == 'boolean' else 'long'}" for c in keep), "words string"]))
+
+
+def _search(held: DataFrame, key: list[str], route: str, length: int) -> DataFrame:
+    """(key, a, b): the runs of repeated windows of segments (key, weight, words), which meet by `route` in the FM-index of a shard."""
+    n_words = held.agg(F.sum(F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1)).first()[0] or 0
     shards = max(1, -(-n_words // SHARD_WORDS))
 
     def shard(group: pd.DataFrame) -> pd.DataFrame:
         found = list(shard_runs(group["words"].tolist(), group["weight"].to_numpy(), length))
         i = [x[0] for x in found]
-        return pd.DataFrame({"anchor": group["anchor"].to_numpy()[i], "seg": group["seg"].to_numpy()[i], "a": [x[1] for x in found], "b": [x[2] for x in found]}).astype({"a": "int32", "b": "int32"})
-
-    exact = held.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(shard, "anchor long, seg long, a int, b int")
-    windows = fetched.filter(F.col("words").isNull())
-    again = scratch.save(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2"), "again")
-    single = windows.join(again, ["h1", "h2"], "left_semi").select("anchor", "seg", F.col("i").alias("a"), F.col("i").alias("b"))
-    runs = scratch.save(exact.unionByName(single), "runs")
-    scratch.drop("fetched", "kinds")
-    scratch.tidy()
-    covered = members.join(runs, ["anchor", "seg"]).select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b"))
-    return covered.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        return pd.DataFrame({k: group[k].to_numpy()[i] for k in key} | {"a": [x[1] for x in found], "b": [x[2] for x in found]}).astype({"a": "int32", "b": "int32"})
+
+    return held.groupBy(F.pmod(F.xxhash64(route), F.lit(shards)).alias("shard")).applyInPandas(shard, ", ".join([*(f"{k} long" for k in key), "a int, b int"]))
+
+
+def _wide(scratch: Scratch, held: DataFrame, length: int) -> DataFrame:
+    """(anchor, s1, s2, a, b): the repeated windows of segments (and weight, words) of wide minimizers, routed window by window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [window_digests(w.encode(), length) for w in batch.column(4).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(marks)), [len(m) for m in marks]))
+            place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(m), dtype=np.int32) for m in marks)])
+            both = np.concatenate([np.zeros((0, 2), np.int64), *marks])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in range(4)), pa.array(place), pa.array(both[:, 0]), pa.array(both[:, 1])], [*SEGMENT, "weight", "start", "d1", "d2"])
+
+    small_batches(scratch.spark, 256)
+    fields = "anchor long, s1 long, s2 long, weight long, start int, d1 long, d2 long"
+    windows = scratch.save(held.select(*SEGMENT, "weight", "words").mapInArrow(cut, fields), "windows")
+    again = windows.groupBy("d1", "d2").agg(F.sum("weight").alias("weight"), F.min(F.struct(*SEGMENT, "start")).alias("at")).filter("weight > 1")
+    wanted = again.groupBy("at.anchor", "at.s1", "at.s2").agg(F.collect_list(F.struct("d1", "d2", "weight", F.col("at.start").alias("start"), F.lit(1).alias("n"))).alias("wanted"))
+    asked = held.select(*SEGMENT, F.col("words").alias("text")).join(wanted, SEGMENT).select("text", "wanted")
+    single = scratch.save(_fetch(asked, ["d1", "d2", "weight"], length), "again")
+    same = _search(single, ["d1", "d2"], "d1", length).select("d1", "d2")
+    return windows.join(same, ["d1", "d2"], "left_semi").select(*SEGMENT, F.col("start").alias("a"), F.col("start").alias("b"))
 
 
 def dedup(scratch: Scratch, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
