@@ -12,6 +12,7 @@ Defined cases: a null text is an empty one and is just its end id; repeated rows
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,24 @@ SPECIAL = "<|endoftext|>"
 _known: dict = {}
 
 
+#: Runs of white space from which the rank file's library may run out of stack; texts that hold one go to the JSON tokenizer.
+LONG_RUN = 50_000
+
+
+def has_long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s{64,}", text))
+
+
+def _slow(ranks_path: str):
+    """The JSON tokenizer that lies beside the rank file: the same ids, at a seventh of the speed."""
+    from tokenizers import Tokenizer
+
+    path = ranks_path.rsplit(".", 1)[0] + ".json"
+    if path not in _known:
+        _known[path] = Tokenizer.from_file(path)
+    return lambda text: _known[path].encode(text, add_special_tokens=False).ids
+
+
 def encoder(ranks_path: str, pattern: str):
     """Ids of a text. The rank file holds the vocabulary of the JSON file; the only special token is its last id."""
     import base64
@@ -43,7 +62,18 @@ def encoder(ranks_path: str, pattern: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         _known[ranks_path] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
     coder = _known[ranks_path]
-    return lambda text: coder.encode(text, allowed_special="all") if SPECIAL in text else coder.encode_ordinary(text)
+
+    def run(text: str):
+        if has_long_run(text):
+            return _slow(ranks_path)(text)
+        try:
+            return coder.encode(text, allowed_special="all") if SPECIAL in text else coder.encode_ordinary(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+            return _slow(ranks_path)(text)
+
+    return run
 
 
 def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -199,14 +229,18 @@ def pack(scratch: Scratch, cut: DataFrame, size: int = SIZE, gap: float = GAP) -
 
     ordered, columns = ["doc_id", "start", "ids_crc32", "doc_tokens"], cut.columns
 
-    def ranked(rows: DataFrame, buckets: int) -> DataFrame:
-        """rank from 0 among rows of a length, by (bucket, id): buckets keep a very frequent length out of a single task."""
+    def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+        """rows with their bucket and their place in it: buckets keep a very frequent length out of a single task."""
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*ordered), F.lit(buckets)).cast("int"))
+        return rows.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*ordered)) - 1)
+
+    def ranked(rows: DataFrame, buckets: int) -> DataFrame:
+        """rank from 0 among rows of a length, by (bucket, id)."""
+        rows = dealt(rows, buckets)
         sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
         sizes = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-        own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*ordered)) - 1
-        return rows.withColumn("own", own).join(sizes, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "bucket")
+        return rows.join(sizes, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "bucket")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,6 +260,7 @@ def pack(scratch: Scratch, cut: DataFrame, size: int = SIZE, gap: float = GAP) -
     small_batches(cut.sparkSession, 8192)
     placed = ranked(rest, max(1, -(-most // RANK_ROWS))).mapInArrow(place, fields)
     full = cut.filter(F.col("length") == size)
-    whole = full.count()
-    own = ranked(full, max(1, -(-whole // RANK_ROWS)))
-    return placed.unionByName(own.select(*columns, (F.col("rank") + full_from).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    buckets = max(1, -(-full.count() // RANK_ROWS))
+    # A full piece is its own sequence: any number that no other has will do, so buckets need not know of each other.
+    number = F.col("own").cast("long") * buckets + F.col("bucket") + full_from
+    return placed.unionByName(dealt(full, buckets).select(*columns, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
