@@ -44,6 +44,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def line_dedup_reversible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without labels, then those with labels inserted, then the toxic ones deleted again; applied to those that are left."""
+    scratch = Scratch(spark)
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    marked, toxic = labels.select("doc_id"), labels.filter("toxic = 1").select("doc_id")
+    index = line_dedup.build(scratch, docs.join(marked, "doc_id", "left_anti"), LINE_MIN_DOCS, LINE_MIN_CHARS)
+    index = line_dedup.insert(scratch, index, docs.join(marked, "doc_id", "left_semi"))
+    index = line_dedup.delete(scratch, index, toxic)
+    out = line_dedup.apply(scratch, index, docs.join(toxic, "doc_id", "left_anti"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup(Scratch(spark), load(spark, sf_dir, "documents"), WINDOW_WORDS)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -68,7 +80,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.quality_domains(load(spark, sf_dir, "labels"))
-    return mixing.mix(Scratch(spark), load(spark, sf_dir, "documents"), labels, TARGET_WEIGHTS).members
+    mixed = mixing.mix(Scratch(spark), load(spark, sf_dir, "documents"), labels, TARGET_WEIGHTS)
+    return mixed.members.withColumn("missed", F.lit(mixed.missed))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +104,8 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
+LINE_DEDUP_REVERSIBLE_SQL = OP3_SQL.replace("FROM documents)", "FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id))")
+
 OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW_WORDS} + 2)) AS i FROM d),
@@ -114,17 +129,17 @@ FROM leaf JOIN sums ON sums.d = depth AND sums.p = h >> (60 - depth)
 
 
 OP10_SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({PRODUCTS_SCALE} * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor({PRODUCTS_SCALE} * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {PRODUCTS_EVERY} = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+scored AS (SELECT q.no, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {PRODUCTS_EVERY} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= {PRODUCTS}
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, op4_fm_index, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, line_dedup_reversible, op4_fm_index, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_fm_index": OP4_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "line_dedup_reversible": LINE_DEDUP_REVERSIBLE_SQL, "op4_fm_index": OP4_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL}
