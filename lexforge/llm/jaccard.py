@@ -1,4 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, whole texts confirm them exactly.
+"""Near copies by Jaccard similarity of word shingles: fingerprints and MinHash bands propose pairs, whole texts confirm them exactly.
+
+The tiled comparison of `simhash` proposes pairs within its radius; at the least similarity fingerprints of two texts may differ in many
+more bits, so bands propose the others.
 
 Shingles are those of `simhash` (of `words` words; fewer words: the whole sequence as one; none: none), as a set of XXH64 values. Texts of
 one set form a class. Classes that agree in all ROWS minima of one of BANDS bands meet in a bucket, which a pair at similarity s does with
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
 from .components import components, forest
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, print_of, shingle_hashes
+from .simhash import links as simhash_links
 
 BANDS, ROWS = 24, 4
 #: Least similarity of a link, as a fraction.
@@ -111,12 +115,23 @@ def _open_links(scratch: Scratch, open_: DataFrame, sets: DataFrame) -> DataFram
     return scratch.save(flat.groupBy("id").applyInPandas(compare, "a long, b long"), "open_links")
 
 
-def linked(scratch: Scratch, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(node, root) of the classes (c, n, bands, k1, k2) that have a link; rows: (_k1, _k2, text)."""
+def _print_pairs(scratch: Scratch, classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of classes whose fingerprints the tiled comparison links, or are the same: a class of each fingerprint stands for it."""
+    first = scratch.save(classes.filter("n > 0").groupBy("fp").agg(F.min("c").alias("c")), "first")
+    same = classes.filter("n > 0").select("fp", F.col("c").alias("b")).join(first, "fp").filter("b != c").select(F.col("c").alias("a"), "b")
+    near = simhash_links(scratch, first.select("fp"), radius)
+    one, two = (first.select(F.col("fp").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    return near.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(same)
+
+
+def linked(scratch: Scratch, classes: DataFrame, rows: DataFrame, words: int, radius: int) -> DataFrame:
+    """(node, root) of the classes (c, n, fp, bands, k1, k2) that have a link; rows: (_k1, _k2, text)."""
+    close = scratch.save(_print_pairs(scratch, classes, radius), "close")
     posted = classes.filter("n > 0").select("c", "n", "k1", "k2", F.explode("bands").alias("band"))
     hubs = posted.groupBy("band").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     met = scratch.save(posted.join(hubs, "band"), "met")
-    keys = met.select("c", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    wanted = met.select("c").unionByName(close.select(F.col("a").alias("c"))).unionByName(close.select(F.col("b").alias("c"))).distinct()
+    keys = classes.join(wanted, "c", "left_semi").select("c", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     texts = rows.select("_k1", "_k2", "text").join(keys, ["_k1", "_k2"]).select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +141,8 @@ def linked(scratch: Scratch, classes: DataFrame, rows: DataFrame, words: int) ->
     small_batches(classes.sparkSession)
     sets = scratch.save(texts.dropDuplicates(["c"]).mapInArrow(run, "c long, held binary"), "sets")
     sizes = F.least("n", "hub.n") * LEAST[1] >= F.greatest("n", "hub.n") * LEAST[0]  # others can't be alike
-    links = _hub_links(scratch, met.filter((F.col("c") != F.col("hub.c")) & sizes).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct(), sets)
+    hubbed = met.filter((F.col("c") != F.col("hub.c")) & sizes).select(F.col("hub.c").alias("a"), F.col("c").alias("b"))
+    links = _hub_links(scratch, hubbed.unionByName(close).distinct(), sets)
     stars = components(scratch, links)
     placed = met.join(stars, met["c"] == stars["node"], "left").select("band", F.ceil(F.col("m") / TILE).alias("tiles"), "c", F.coalesce("root", "c").alias("root"))
     placed = scratch.save(placed, "placed")
@@ -135,7 +151,7 @@ def linked(scratch: Scratch, classes: DataFrame, rows: DataFrame, words: int) ->
     return components(scratch, links.unionByName(more), "all_stars")
 
 
-def one_of_each(scratch: Scratch, docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(scratch: Scratch, docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of docs with the longest text (then the smallest id) of each component; of repeated rows one."""
     keys = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, id_col, F.lit(1)).alias("_k2")]
     rows = docs.select(*keys, F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -144,21 +160,23 @@ def one_of_each(scratch: Scratch, docs: DataFrame, words: int = 5, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_py() for x in batch.column(3)]
-            sets = [shingle_set(t, words) for t in texts]
+            hashes = [shingle_hashes(t, words) for t in texts]
+            sets = [np.unique(np.frombuffer(h, np.uint64)) for h in hashes]
             values = [
                 pa.array([len(t or "") for t in texts], pa.int64()),
                 pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in sets], pa.int64()),
                 pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([print_of(h) for h in hashes], pa.int64()),
                 pa.array([bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *values], ["k1", "k2", "doc_id", "size", "c", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *values], ["k1", "k2", "doc_id", "size", "c", "n", "fp", "bands"])
 
-    narrow = rows.select("_k1", "_k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, size long, c long, n long, bands array<long>")
+    narrow = rows.select("_k1", "_k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, size long, c long, n long, fp long, bands array<long>")
     prints = scratch.save(narrow, "prints")
-    order = F.struct((-F.col("size")).alias("size"), "doc_id", "k1", "k2", "n", "bands")
+    order = F.struct((-F.col("size")).alias("size"), "doc_id", "k1", "k2", "n", "fp", "bands")
     # The best of each class first, so that a text that many documents share meets its root as one row.
     classes = scratch.save(prints.groupBy("c").agg(F.min(order).alias("best")).select("c", "best.*"), "classes")
-    stars = linked(scratch, classes, rows, words)
+    stars = linked(scratch, classes, rows, words, radius)
     first = F.struct("size", "doc_id", "k1", "k2")
     best = classes.join(stars, classes["c"] == stars["node"], "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min(first).alias("best"))
     stay = best.select(F.col("best.k1").alias("_k1"), F.col("best.k2").alias("_k2"))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, parts, small_batches
 from .components import components, forest
 
-TILE, BLOCK = 4096, 128
+#: Fingerprints of a tile: more, if there are many, so that a tile travels with fewer others; and of a block.
+TILE, MOST_TILE, BLOCK = 4096, 32768, 128
 SEED = 42
 
 
@@ -43,9 +44,8 @@ def shingle_hashes(text: str | None, words: int) -> bytes:
     return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)])
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint as a signed long."""
-    hashes = shingle_hashes(text, words)
+def print_of(hashes: bytes) -> int:
+    """The fingerprint of these hashes as a signed long; repeats count."""
     if not hashes:
         return 0
     n = len(hashes) // 8
@@ -56,6 +56,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(count * 2 > n).view(">u8")[0].astype(np.int64))
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """A text's fingerprint as a signed long."""
+    return print_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row."""
     small_batches(docs.sparkSession)
@@ -72,8 +77,8 @@ def _quarters(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fps).view("<u2").reshape(-1, 4)).astype(np.int16)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition, in order, to tiles of up to TILE of them."""
+def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition, in order, to tiles of up to `tile` of them."""
     held = np.zeros(0, np.uint64)
 
     def out(fps: np.ndarray) -> pa.RecordBatch:
@@ -82,9 +87,9 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held = np.concatenate([held, batch.column(0).to_numpy().astype(np.int64).view(np.uint64)])
-        while len(held) >= TILE:
-            yield out(held[:TILE])
-            held = held[TILE:]
+        while len(held) >= tile:
+            yield out(held[:tile])
+            held = held[tile:]
     if len(held):
         yield out(held)
 
@@ -127,15 +132,19 @@ def links(scratch: Scratch, fps: DataFrame, radius: int = 3) -> DataFrame:
     order = [F.bit_count("fp"), *quarter, F.col("fp")]
     n = fps.count()
     small_batches(spark, TILE)
-    deal = min(parts(spark), max(1, n // (4 * TILE)))
-    tiles = fps.select("fp").repartitionByRange(deal, *order).sortWithinPartitions(*order).mapInArrow(_tiles, "lo int, hi int, fps binary")
+    # Enough tiles that their pairs keep all tasks busy; beyond that larger ones, as each tile travels once for every tile it meets.
+    tile = min(MOST_TILE, max(TILE, int(n / (8 * parts(spark)) ** 0.5)))
+    deal = min(parts(spark), max(1, n // (4 * tile)))
+    tiles = fps.select("fp").repartitionByRange(deal, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _tiles(batches, tile), "lo int, hi int, fps binary")
     tiles = scratch.save(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
-    # Tiles are in order of population count, so the later tile of a pair begins between the earlier one's ends, or up to the radius above them.
-    first = tiles.select(F.col("tile").alias("a"), F.explode(F.expr(f"sequence(lo, hi + {radius})")).alias("p"))
-    second = tiles.select(F.col("tile").alias("b"), F.col("lo").alias("p"))
-    pairs = first.join(second, "p").filter("a <= b").select("a", "b")
+    # Tiles are in order of population count, so the later tile of a pair begins between the earlier one's ends, or up to the radius above
+    # them. There are at most 65 counts: salts deal the tiles that begin at one of them over as many tasks.
+    salts = parts(spark)
+    first = tiles.select(F.col("tile").alias("a"), F.explode(F.expr(f"sequence(lo, hi + {radius})")).alias("p"), F.pmod(F.xxhash64("tile"), F.lit(salts)).alias("salt"))
+    second = tiles.select(F.col("tile").alias("b"), F.col("lo").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    pairs = first.join(second, ["p", "salt"]).filter("a <= b").select("a", "b")
     pairs = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
-    spread = max(parts(spark), -(-n // TILE))
+    spread = max(parts(spark), -(-n // tile))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
