@@ -7,14 +7,14 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The smallest long; stands for a null document id wherever an order of ids is needed.
 NULL_ID = -(2**63)
 #: Rows of one Arrow batch handed to Python; keeps a batch of very long texts within a worker's memory.
 BATCH_ROWS = 512
-#: Groups (languages, domains) that a sample is drawn for.
+#: Groups (languages, domains) that a sample may be drawn for; more are an error, never left out.
 MOST_GROUPS = 1000
 
 
@@ -23,9 +23,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder is named there."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one on a local master (tests), on a cluster an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="lexforge-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -80,11 +82,27 @@ def known_id(column: str = "doc_id") -> Column:
 
 def thinned(rows: DataFrame, h: Column, k: int, by: list[str] | None = None) -> DataFrame:
     """About the 4 * k rows of smallest hash of each group (all, if there are no more), whatever the input's size: a bounded input for a
-    top-k by hash, which then isn't fed k rows by every task. Groups: the first MOST_GROUPS by name."""
+    top-k by hash, which then isn't fed k rows by every task. More than MOST_GROUPS groups are an error."""
     space = 2.0**52
     keep = F.pmod(h, F.lit(1 << 52)).cast("double") * F.col("_group_rows") < F.lit(4.0 * k * space)
     if by is None:
         n = rows.count()
         return rows.withColumn("_group_rows", F.lit(float(n))).filter(keep).drop("_group_rows")
-    sizes = rows.groupBy(*by).agg(F.count("*").cast("double").alias("_group_rows"))
-    return rows.join(F.broadcast(sizes.orderBy(*by).limit(MOST_GROUPS)), by).filter(keep).drop("_group_rows")
+    sizes = rows.groupBy(*by).agg(F.count("*").cast("double").alias("_group_rows")).limit(MOST_GROUPS + 1).collect()
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} distinct values of {', '.join(by)}")
+    if not sizes:
+        return rows.limit(0)
+    sizes = rows.sparkSession.createDataFrame(sizes, rows.select(*by, F.lit(0.0).alias("_group_rows")).schema)
+    return rows.join(F.broadcast(sizes), by).filter(keep).drop("_group_rows")
+
+
+#: Buckets of a sample's ranking, so that a group of most rows isn't ranked by one task.
+SALTS = 16
+
+
+def few_each(rows: DataFrame, by: str, h: Column, k: int, *ties: str) -> DataFrame:
+    """At most k rows a value of `by`, spread over SALTS buckets of its hash: in each the k / SALTS of smallest hash."""
+    salted = thinned(rows, h, k, [by]).withColumn("_salt", F.pmod(F.xxhash64(h), F.lit(SALTS)))
+    place = F.row_number().over(Window.partitionBy(by, "_salt").orderBy(h, *ties))
+    return salted.withColumn("_n", place).filter(F.col("_n") <= max(1, k // SALTS)).drop("_n", "_salt")

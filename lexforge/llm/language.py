@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Training is plain numpy: forward in both directions, cross entropy at every byte, backpropagation through time, Adam. It sees windows of
-a bounded sample: per language the documents of smallest id hash. Prediction covers whole texts: UTF-8 bytes are cut into segments that
+a bounded sample: per language documents of small id hash. Prediction covers whole texts: UTF-8 bytes are cut into segments that
 start from a zero state, every byte gets a distribution over languages, and a document's is the mean over its bytes.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; so is every text if there is nothing to learn from; a null
@@ -11,25 +11,23 @@ are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, thinned
+from .common import few_each, small_batches
 
 UNKNOWN = "und"
 HIDDEN = 8
 #: Bytes of a segment; segments computed at once.
 SEGMENT, TOGETHER = 256, 1024
-#: Bounds of training: documents a language, characters read of each, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 300, 2000, 200
+#: Bounds of the training sample: documents a language, and windows of a document, drawn from the whole of its text.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 320, 32
 STEPS, BATCH, WINDOW, RATE = 300, 128, 64, 0.02
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -212,17 +210,32 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's category L; numerals such as one half or Roman four aren't."""
+    return any(map(str.isalpha, text))
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """Per language at most SAMPLE_DOCS documents that aren't held out, those of smallest id hash; of each up to SAMPLE_CHARS
-    characters from a place that its hash names. At most SAMPLE_LANGS languages, by name."""
+    """Per language at most SAMPLE_DOCS documents that aren't held out, of small id hash. Training draws windows anyway: of a text with more
+    than SAMPLE_WINDOWS of them that many are drawn here, at hashed places anywhere in the whole text; others come whole."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), held_out(id_col).alias("out"))
     rows = rows.filter(~F.col("out") & F.col("l").isNotNull() & (F.length("t") > 0)).withColumn("h", F.xxhash64("i"))
-    rows = thinned(rows, F.col("h"), SAMPLE_DOCS, ["l"])
-    start = F.pmod("h", F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)).cast("int") + 1
-    rows = rows.select("l", "h", "i", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t"))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).filter(F.col("n") <= SAMPLE_DOCS)
-    got = first.select("l", "n", "t").orderBy("l", "n").limit(SAMPLE_DOCS * SAMPLE_LANGS).collect()
-    return [(r["l"], r["t"].encode()) for r in got]
+    rows = few_each(rows, "l", F.col("h"), SAMPLE_DOCS, "i", "t")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = text.as_py().encode()
+                if len(data) > SAMPLE_WINDOWS * WINDOW:
+                    places = np.random.default_rng(h % 2**64).integers(0, len(data) - WINDOW + 1, SAMPLE_WINDOWS)
+                    data = b"".join(data[at : at + WINDOW] for at in places.tolist())
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["l", "h", "t"])
+
+    small_batches(docs.sparkSession, 256)
+    got = rows.select("l", "h", "t").mapInArrow(windows, "l string, h long, t binary").collect()
+    return sorted((r["l"], bytes(r["t"])) for r in got)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +246,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            read = [t.encode() if model is not None and LETTER.search(t) else b"" for t in texts]
+            read = [t.encode() if model is not None and has_letter(t) else b"" for t in texts]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if any(read):
                 p = distributions(model, read)

@@ -11,7 +11,7 @@ What is gathered at a step is a few numbers a domain. A step's gradient is as sh
 steps so far on its own documents, whose tokens and posteriors are written once.
 
 Classifier: multinomial logistic regression on the presence of vocabulary words (A-Z lower-cased, ASCII punctuation at the ends dropped)
-and on the shares of character kinds. It is fitted on the driver on at most `SAMPLE` labelled documents a domain, those of smallest id hash.
+and on the shares of character kinds. It is fitted on the driver on at most `SAMPLE` labelled documents a domain, those of small id hash.
 
 Defined cases: a null or empty text has no tokens and rate 1, which changes no total; null labels and labels of unknown documents teach
 nothing; without labels all documents are of one domain; a null id gets its rate like any other; repeated rows get the same rate each; an
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, thinned
+from .common import Scratch, few_each, small_batches
 
 #: Bounds of the fit: labelled documents a domain, words of the vocabulary.
 SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 1000, 5
@@ -125,9 +125,7 @@ def posterior(model: Classifier, text: str | None) -> tuple[int, np.ndarray]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, str]]:
     """(domain, text) of at most SAMPLE documents a domain; labels: (id, domain)."""
     marks = labels.filter(F.col("domain").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
-    marks = thinned(marks, F.xxhash64("id"), SAMPLE, ["domain"])
-    first = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
-    marks = marks.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).drop("n")  # bounded: SAMPLE a domain
+    marks = few_each(marks, "domain", F.xxhash64("id"), SAMPLE, "id")  # bounded: SAMPLE a domain
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").filter(F.col("text").isNotNull())
     got = rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))).filter("n = 1").select("id", "domain", "text").collect()
     return [(r["domain"], r["text"]) for r in sorted(got, key=lambda r: (r["domain"], r["id"]))]
@@ -271,6 +269,11 @@ class Mix:
     reached: np.ndarray
     steps: list[np.ndarray]
 
+    @property
+    def missed(self) -> float:
+        """The largest distance of a domain's tokens from its target, as a share of all target tokens; about 0 where targets are met."""
+        return float(np.abs(self.reached - self.targets).max(initial=0.0) / max(1.0, float(self.targets.sum())))
+
 
 def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None, without: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> Mix:
     """labels: (id, domain). Targets: by weights, domain to share of all tokens; or by factors on what a domain has now (else 1).
@@ -298,3 +301,8 @@ def quality_domains(labels: DataFrame) -> DataFrame:
     """(id, domain) of the labels table: toxic, else good or low by quality."""
     domain = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 1, F.lit("good")).when(F.col("quality") == 0, F.lit("low"))
     return labels.select(F.col("doc_id").alias("id"), domain.alias("domain"))
+
+
+def source_domains(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(id, domain) with a document's source as its domain: for mixing sources, rather than quality classes, to target weights."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("domain"))
