@@ -30,43 +30,90 @@ def valid(rows, zero):
     return out
 
 
-def test_exact_top(spark):
-    held = [(i, np.floor(64 * v)) for i, v in valid(vector_rows(), True)]
-    want = []
+def answers(held, every, k, score):
+    """Of every query row its best candidates; rows of its id are none."""
+    out = []
     for q, x in held:
-        if q % 20 == 0:
-            best = sorted((-int(x @ y), i) for i, y in held if i != q)[:20]
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    got = [tuple(r) for r in vectors.exact_top(Scratch(spark), vector_table(spark, vector_rows()), 20, 20).collect()]
-    one = {q for q, *_ in want if sum(i == q for i, _ in held) == 1}  # a repeated query id asks more than once
-    assert sorted(x for x in got if x[0] in one) == sorted(x for x in want if x[0] in one)
+        if q % every == 0:
+            best = sorted((score(x, y), i) for i, y in held if i != q)[:k]
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_exact_top(spark):
+    rows = vector_rows()
+    rows += [(300, [1.0] * 8)] * 30 + [(7, [1.0] * 8)] * 25 + [rows[3], rows[40], rows[60]]  # ids and whole rows that repeat
+    held = [(i, np.floor(64 * v)) for i, v in valid(rows, True)]
+    want = [(q, r, i, -s) for q, r, i, s in answers(held, 20, 20, lambda x, y: -int(x @ y))]
+    got = sorted(tuple(r) for r in vectors.exact_top(Scratch(spark), vector_table(spark, rows), 20, 20).collect())
+    assert got == want
+
+
+def test_survivors_are_fewer_than_candidates():
+    rng = np.random.default_rng(0)
+    spread = np.exp(-np.arange(64) / 8.0)  # as of real embeddings: few directions hold most
+    x = np.floor(64 * (rng.normal(size=(4000, 64)) * spread) @ np.linalg.qr(rng.normal(size=(64, 64)))[0])
+    ids, queries = np.arange(4000), x[:50]
+    scored = 0
+    for i, found, scores in vectors.SegmentIndex(x, ids).top(queries, ids[:50], 20):
+        exact = x @ queries[i]
+        exact[i] = -np.inf
+        assert set(np.argsort(-exact)[:15]) <= set(found.tolist()) and (exact[found] == scores).all()
+        scored += len(found)
+    assert scored < 0.1 * 50 * 4000
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, q = rng.integers(-50, 50, (200, 37)).astype(float), rng.integers(-50, 50, (1, 37)).astype(float)
     for n in (1, 4, 16, 64):
-        bound = vectors.segment_statistics(x, n) @ vectors.segment_statistics(q, n)[0]
+        cuts = vectors.cuts_of(x, n)
+        assert cuts[0] == 0 and cuts[-1] == 37 and len(cuts) <= min(n, 37) + 1
+        bound = vectors.segment_statistics(x, cuts) @ vectors.segment_statistics(q, cuts)[0]
         assert (bound >= x @ q[0] - 1e-6).all()
     big = np.array([[2.0**60, 1.0]])
     assert vectors._products(big, big[0]).tolist() == [2**63 - 1]
 
 
 def test_nearest_recall(spark):
-    rows = [r for r in vector_rows() if r[0] != 20]
-    held = valid(rows, False)
-    got = vectors.nearest(Scratch(spark), vector_table(spark, rows), 20, 10).collect()
+    """On three full shards of vectors without any structure, with the parameters of the query."""
+    from lexforge.llm import entry
+
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3 * vectors.SHARD_ROWS, 64)).astype(np.float32))]
+    rows += [rows[100], rows[500], (300, rows[7][1])]
+    held = valid_wide(rows)
+    got = vectors.nearest(Scratch(spark), vector_table(spark, rows), entry.NEAREST_EVERY, entry.NEAREST).collect()
+    ids, x = np.array([i for i, _ in held]), np.stack([v for _, v in held])
     hits = total = 0
-    for q, x in held:
-        if q % 20 == 0:
-            best = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in held if i != q)[:10]
-            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-            assert [r for r, _, _ in mine] == list(range(1, len(mine) + 1))
-            hits += len({i for _, i in best} & {i for _, i, _ in mine})
-            total += len(best)
-    assert hits / total >= 0.9
+    want = {}
+    for q, v in held:
+        if q % entry.NEAREST_EVERY == 0:
+            far = np.sqrt(((x - v) ** 2).sum(1))
+            best = [j for j in np.lexsort((ids, far)) if ids[j] != q][:10]
+            want.setdefault(q, []).append({ids[j] for j in best})
+    for q, sets in want.items():
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r for r, _, _ in mine] == sorted(list(range(1, 11)) * len(sets))
+        found = {i for _, i, _ in mine}
+        assert q not in found and all(any(i == j and abs(np.sqrt(((x[k] - v) ** 2).sum()) - s) < 1e-9 for k, j in enumerate(ids) if j == i for p, v in held if p == q) for _, i, s in mine[:3])
+        hits += sum(len(best & found) for best in sets) if len(sets) == 1 else 0
+        total += 10 if len(sets) == 1 else 0
+    assert hits / total >= 0.9, hits / total
+
+
+def valid_wide(rows):
+    return [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+
+
+def test_nearest_of_awkward_rows(spark):
+    rows = vector_rows() + [(300, [1.0] * 8)] * 30 + [(7, [1.0] * 8)] * 25
+    held = valid(rows, False)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vectors.nearest(Scratch(spark), vector_table(spark, rows), 20, 10, share=1.0).collect())
+    assert got == [(q, r, i, round(s, 9)) for q, r, i, s in answers(held, 20, 10, lambda x, y: float(np.sqrt(((x - y) ** 2).sum())))]
     assert vectors.nearest(Scratch(spark), vector_table(spark, []), 20, 10).count() == 0
     assert vectors.exact_top(Scratch(spark), vector_table(spark, [(0, [1.0])]), 20, 10).count() == 0
+    assert vectors.exact_top(Scratch(spark), vector_table(spark, [(0, []), (1, [])]), 20, 10).count() == 1
 
 
 def test_footrule():
@@ -166,6 +213,42 @@ def text_of(lang, rng, n):
     return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
 
+def test_letters():
+    assert not any(map(language.has_letter, ["", " 12 ", "\u00bd \u00b2 \u2163 _"])) and all(map(language.has_letter, ["1a", "\u00aa", "\u4e2d", "\u02b0"]))
+
+
+def test_sample_reads_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * 50_000 + "y" * 50_000, "aa") for i in range(40)], "doc_id long, text string, lang string")
+    got = language.sample(docs)
+    assert all(len(t) == language.SAMPLE_WINDOWS * language.WINDOW for _, t in got) and any(b"y" in t for _, t in got) and any(b"x" in t for _, t in got)
+    many = spark.range(1800).selectExpr("id doc_id", "'word' text", "cast(id as string) lang")
+    with pytest.raises(ValueError, match="distinct values"):
+        language.sample(many)
+
+
+def test_positions_by_an_independent_forward_pass():
+    """The pooled distributions, one byte and one unit at a time."""
+    rng = np.random.default_rng(2)
+    w = language._fresh(3, rng)
+    model, text, h = language.Model(["a", "b", "c"], w), bytes(rng.integers(0, 256, 300, dtype=np.uint8)), language.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    total = np.zeros(3)
+    for at in range(0, len(text), language.SEGMENT):
+        part, states = text[at : at + language.SEGMENT], {}
+        for d in "fb":
+            state, held = np.zeros(h), {}
+            for i in range(len(part)) if d == "f" else reversed(range(len(part))):
+                x, back = w[f"table_{d}"][part[i]].astype(float), state @ w[f"back_{d}"].astype(float)
+                reset, update = sigmoid(x[:h] + back[:h]), sigmoid(x[h : 2 * h] + back[h : 2 * h])
+                state = update * state + (1 - update) * np.tanh(x[2 * h :] + reset * (back[2 * h :] + w[f"inner_{d}"]))
+                held[i] = state
+            states[d] = held
+        for i in range(len(part)):
+            z = np.concatenate([states["f"][i], states["b"][i]]) @ w["out"] + w["bias"]
+            total += np.exp(z) / np.exp(z).sum()
+    assert np.allclose(language.distributions(model, [text])[0], total / len(text), atol=1e-5)
+
+
 def test_language(spark):
     rng = random.Random(0)
     rows = [(i, text_of(lang := rng.choice("ab") * 2, rng, 40), lang, "x") for i in range(200)]

@@ -66,6 +66,37 @@ def test_line_dedup_and_its_reversal(spark):
     assert lines_of(line_dedup.apply(scratch, again, table(spark, rows))) == ordered(lines_brute(rows, 5, 40))
 
 
+def test_many_small_changes_of_the_line_index(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_LAYERS", 3)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 12)
+    rng, scratch = random.Random(4), Scratch(spark)
+    lines = [f"a line that is long enough to be counted, number {k}" for k in range(60)]
+    rows = [(i, "\n".join(rng.sample(lines, 12))) for i in range(60)]
+    index = line_dedup.build(scratch, table(spark, rows[:6]), 3, 40)
+    now = dict(rows[:6])
+    for step in range(5):  # more keys become shared than the first filters hold
+        new = rows[6 + 10 * step : 16 + 10 * step]
+        index = line_dedup.insert(scratch, index, table(spark, new))
+        now |= dict(new)
+        out = sorted(now)[step :: 9]
+        index = line_dedup.delete(scratch, index, spark.createDataFrame([(i,) for i in out], "doc_id long"))
+        for i in out:
+            del now[i]
+    held = sorted(now.items())
+    assert lines_of(line_dedup.apply(scratch, index, table(spark, held))) == ordered(lines_brute(held, 3, 40))
+    assert index.shards > 1 and len(index.ref_layers) <= 3
+    shared = {line for line in lines if sum(line in t.split("\n") for t in now.values()) >= 3}
+    assert sum(r["n"] for r in index.filters.collect()) == len(shared) and all(r["n"] <= r["room"] for r in index.filters.collect())
+
+
+def test_lines_of_long_documents(spark):
+    line = lambda k: f"one of very many lines that all of the documents hold, no {k}"
+    rows = [(i, "\n".join(line(k) for k in range(20_000))) for i in range(6)]
+    scratch = Scratch(spark)
+    out = line_dedup.apply(scratch, line_dedup.build(scratch, table(spark, rows), 5, 40), table(spark, rows)).collect()
+    assert {(r["row"]["doc_id"], r["n_lines"], r["n_dropped"]) for r in out} == {(i, 20_000, 20_000 * (i < 5)) for i in range(6)}
+
+
 def test_cuckoo_filter_has_no_false_negatives_and_forgets():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
@@ -80,13 +111,37 @@ def test_cuckoo_filter_has_no_false_negatives_and_forgets():
     assert full.probe(keys[:200]).all()
 
 
+def removed(out):
+    return ordered([(r["id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out.collect()])
+
+
 def test_substring_dedup(spark, monkeypatch):
     rows = awkward()
     want = ordered([(i, *b) for (i, _), b in zip(rows, substring.brute([t for _, t in rows]), strict=True)])
-    for hot in (512, 1):  # 1: nearly all minimizers take the way for hot ones
-        monkeypatch.setattr(substring, "HOT", hot)
-        out = substring.dedup(Scratch(spark), table(spark, rows)).collect()
-        assert ordered([(r["id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out]) == want
+    for wide in (512, 1):  # 1: nearly all minimizers take the way for wide ones
+        monkeypatch.setattr(substring, "WIDE", wide)
+        assert removed(substring.dedup(Scratch(spark), table(spark, rows))) == want
+
+
+def test_words_whose_rolling_hashes_collide(spark, monkeypatch):
+    thue = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (3, f"{other}  {rest}\n")]
+    for wide in (512, 1):
+        monkeypatch.setattr(substring, "WIDE", wide)
+        assert {(i, gone) for i, _, gone, _ in removed(substring.dedup(Scratch(spark), table(spark, rows[:2])))} == {(1, 0), (2, 0)}
+        assert {(i, gone) for i, _, gone, _ in removed(substring.dedup(Scratch(spark), table(spark, rows)))} == {(1, 0), (2, 35), (3, 35)}
+
+
+def test_passage_that_very_many_documents_quote(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(50))
+    rows = [(i, " ".join([*(word() for _ in range(40)), passage, *(word() for _ in range(40))])) for i in range(700)]  # over WIDE different edges
+    got = removed(substring.dedup(Scratch(spark), table(spark, rows)))
+    assert got == ordered([(i, *b) for (i, _), b in zip(rows, substring.brute([t for _, t in rows]), strict=True)])
+    assert all(gone == 50 for _, _, gone, _ in got)
 
 
 def test_fm_index_counts_windows():
@@ -195,6 +250,24 @@ def test_packing(spark):
     assert len(sequences) * 1024 - tokens < 1024 + 0.05 * tokens
 
 
+def test_long_runs_get_the_ids_of_the_json_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from lexforge.llm import entry
+
+    rows = [(1, " " * 1_000_000), (2, "a" + "\n" * 60_000 + "b <|endoftext|>"), (3, "word " * 200_000), (4, "x" * 300_000)]
+    coder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    out = packing.pack(Scratch(spark), packing.pieces(table(spark, rows), *entry.tokenizer_files())).collect()
+    packed_is_whole(rows, out, 1024)
+    want = []
+    for i, t in rows:
+        ids = np.array([*coder.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids)) for a, b in packing.cuts(len(ids))]
+    assert ordered([tuple(r)[:5] for r in out]) == ordered(want)
+    assert not packing.has_long_run(" x" * 100_000) and packing.has_long_run("x" + "\t " * 25_000)
+
+
 def test_column_generation_reaches_the_bound():
     rng = np.random.default_rng(0)
     lengths, counts = np.unique(rng.integers(1, 40, 500), return_counts=True)
