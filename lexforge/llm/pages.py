@@ -6,13 +6,15 @@ row that have the same content (the lines that can be main text) are one page he
 shares nearly all lines the markup leaves open may be a copy with a change, so the other one is taken then; if both do, what all three
 share is the template.
 
-Differencing alone gives wrong results on pages whose menus and footers differ from page to page, and on articles that quote the same line
-as their neighbour. So the page's own markup has a say first: lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, told by element, role, class and id, are never main text; if a page marks its article (article, main), lines in it stay even
-when shared, and lines outside go. What the markup leaves open, differencing decides.
+Differencing alone gives wrong results where menus and footers differ from page to page, which leaves nothing to delete, and where an
+article quotes the same line as its neighbour. So markup corrects it line by line, on every page: a shared line stays if it stands in the
+page's marked article (article, main); a line that no neighbour shares goes if it stands in a menu, header, footer, sidebar, notice,
+advert, form or reader comments, told by element, role, class and id, or outside of an article that the page marks. Each row says how many lines
+each of these rules decided.
 
 The order of pages is dealt by split keys: the keys alone are range-partitioned, and the first and last of each range name the splits and the
-pages that both sides of a split must see. Pages then travel once, and each has both of its neighbours whatever the ranges are.
+pages that both sides of a split must see. Pages then travel once, each range is one task, and a task holds three pages at a time
+besides the ids of the copies of one page.
 
 Defined cases: a null or empty page has an empty text; a null URL counts as host and path empty; repeated rows are copies of each other
 and get the same text; a page alone in its host is only read; an empty table gives no rows. Only id, URL and html are read.
@@ -26,7 +28,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,31 +35,36 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, parts, small_batches
 
-#: Pages of one range, and the share of open lines in common from which a page may be a changed copy.
-RANGE_PAGES, COPY = 4000, 0.9
+#: Bytes of html of one range, and the share of open lines in common from which a page may be a changed copy.
+RANGE_BYTES, COPY = 256 << 20, 0.9
+#: Bits of the alignment table of two pages; larger pairs are halved.
+ROOM = 1 << 26
 
+# Quotes open a value only after an equals sign, as in `title=it's`; possessive, so that a tag is read once.
+_REST = r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|template|noscript|iframe|svg|math|select|object|audio|video|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(script|style|title|textarea|template|noscript|iframe|svg|math|select|object|audio|video|canvas)\b{_REST}>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_REST})(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside form button menu dialog head".split())
+NEVER = frozenset("nav footer aside button menu dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Nouns that name boilerplate when they are the last word of a class or id, but for PLAIN ones: `post-comments`, `ad-slot`, not `social-policy`.
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar widget widgets ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond reply replies discussion disqus related recommended recommendations pagination pager toolbar masthead topbar skip".split()
 )
-OUTER = frozenset(("header",))  # a mark only outside an article
+PLAIN = frozenset("area articles bar block body box button buttons container content count form group heading icons inner item items label link links list media news outer panel post posts section slot stories text thread title top trail unit wrap wrapper".split())
+OUTER = frozenset("header legal copyright colophon imprint".split())  # marks only outside an article
 NEGATED = frozenset("no not non has with without hide".split())
 ARTICLE = frozenset(("article", "main"))
-KEEPS_P_OPEN = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+PROSE = frozenset("p h1 h2 h3".split())
 
 OUT, OPEN, IN = 0, 1, 2
 
@@ -72,41 +78,51 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            for word in value.split():
-                found = [x for x in re.split(r"[^a-z]+", word) if x]
-                if found and found[0] not in NEGATED and (not MARKS.isdisjoint(found) or (not inside and not OUTER.isdisjoint(found))):
-                    return True
+            for word in (a or b or c).split():
+                found = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if x]
+                if NEGATED.isdisjoint(found):
+                    while found and found[-1] in PLAIN:
+                        found.pop()
+                    if found and (found[-1] in MARKS or (not inside and found[-1] in OUTER)):
+                        return True
         elif (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
     return False
 
 
 def read_lines(page: str | None) -> tuple[list[str], list[int]]:
-    """The blocks of a page in order, each OUT, OPEN or IN (of a marked article)."""
+    """The blocks of a page in order, each OUT, OPEN or IN (of a marked article).
+
+    A form goes, but one that holds the article, or most of the page's text in paragraphs, only wraps the page.
+    """
     lines: list[str] = []
     kinds: list[int] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, in boilerplate, in article)
+    owners: list[tuple[int, ...]] = []  # the forms a line stands in
+    forms: list[list] = []  # [holds an article, paragraphs]
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # (tag, in boilerplate, in article, forms)
     held: list[str] = []
     page = page or ""
+    empty = ("", False, False, ())
 
     def end() -> None:
         if held:
             line = " ".join("".join(held).split())
             held.clear()
             if line:
-                _, out, inside = stack[-1] if stack else ("", False, False)
+                _, out, inside, around = stack[-1] if stack else empty
                 lines.append(line)
                 kinds.append(OUT if out else IN if inside else OPEN)
+                owners.append(around)
 
     at = 0
     for token in TOKEN.finditer(page):
         if token.start() > at:
             held.append(html.unescape(page[at : token.start()]))
         at = token.end()
-        tag = token.group(3) or token.group(6)
+        tag = token.group(3)
         if tag is None:
             continue
-        tag, closes = tag.lower(), token.group(2) or token.group(5)
+        tag, closes = tag.lower(), token.group(2)
         if tag == "br":
             held.append(" ")
         if tag not in BLOCKS:
@@ -122,27 +138,56 @@ def read_lines(page: str | None) -> tuple[list[str], list[int]]:
                 stack.pop()
             if tag == "body":
                 stack.clear()
-            _, out, inside = stack[-1] if stack else ("", False, False)
-            out = out or _marked(tag, token.group(4) or token.group(7) or "", inside)
-            stack.append((tag, out, inside or tag in ARTICLE))
+            _, out, inside, around = stack[-1] if stack else empty
+            out = out or _marked(tag, token.group(4) or "", inside)
+            if tag == "form":
+                around = (*around, len(forms))
+                forms.append([False, 0])
+            if not out:
+                for form in around:
+                    forms[form][0] |= tag in ARTICLE
+                    forms[form][1] += tag in PROSE
+            stack.append((tag, out, inside or tag in ARTICLE, around))
     if at < len(page):
         held.append(html.unescape(page[at:]))
     end()
+    if forms:
+        size = [len(x) if k != OUT else 0 for x, k in zip(lines, kinds, strict=True)]
+        for form, (article, prose) in enumerate(forms):
+            mine = sum(n for n, around in zip(size, owners, strict=True) if form in around)
+            if not (article or (prose > 1 and 2 * mine > sum(size))):
+                kinds = [OUT if form in around else k for k, around in zip(kinds, owners, strict=True)]
     return lines, kinds
 
 
-def common_lines(one: list, two: list) -> list[int]:
-    """Places in `one` of a longest common subsequence with `two`; rows of the table are bit vectors."""
+def _rows(one: list, two: list) -> Iterator[int]:
+    """Rows of the table of longest common subsequences as bit vectors: a bit is 0 where a prefix of `two` gains a line on the one before."""
     where: dict = {}
     for j, x in enumerate(two):
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(two)) - 1
-    rows, v = [full], full
+    v = full
+    yield v
     for x in one:
         u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out, i, j = [], len(one), len(two)
+        yield v
+
+
+def _sizes(one: list, two: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of `one` with each prefix of `two`."""
+    for last in _rows(one, two):
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(two) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(two)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(one: list, two: list) -> list[int]:
+    if len(one) * len(two) > ROOM and len(one) > 1:
+        half = len(one) // 2
+        cut = int((_sizes(one[:half], two) + _sizes(one[half:][::-1], two[::-1])[::-1]).argmax())
+        return _aligned(one[:half], two[:cut]) + [half + i for i in _aligned(one[half:], two[cut:])]
+    rows, out, i, j = list(_rows(one, two)), [], len(one), len(two)
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
@@ -154,10 +199,31 @@ def common_lines(one: list, two: list) -> list[int]:
     return out[::-1]
 
 
+def common_lines(one: list, two: list) -> list[int]:
+    """Places in `one` of a longest common subsequence with `two`. Memory is linear in the lines: large tables are halved."""
+    both = set(one) & set(two)
+    places = [i for i, x in enumerate(one) if x in both]
+    return [places[i] for i in _aligned([one[i] for i in places], [x for x in two if x in both])]
+
+
+def fates(kinds: list[int], shared: set[int]) -> list[str]:
+    """What becomes of each line: `shared` goes by differencing, `marked` by markup alone; `protected` is shared and stays, `own` stays."""
+    article = IN in kinds
+    out = []
+    for i, kind in enumerate(kinds):
+        stays = kind == (IN if article else OPEN)
+        if i in shared:
+            out.append("protected" if kind == IN else "shared")
+        else:
+            out.append("own" if stays else "marked")
+    return out
+
+
+STAY = ("own", "protected")
+
+
 def main_text(lines: list[str], kinds: list[int], shared: set[int]) -> str:
-    if IN in kinds:
-        return "\n".join(x for x, kind in zip(lines, kinds, strict=True) if kind == IN)
-    return "\n".join(x for i, (x, kind) in enumerate(zip(lines, kinds, strict=True)) if kind == OPEN and i not in shared)
+    return "\n".join(x for x, fate in zip(lines, fates(kinds, shared), strict=True) if fate in STAY)
 
 
 def _prefix(a: str, b: str) -> int:
@@ -193,8 +259,16 @@ def _host_path(url_col: str):
     return F.regexp_replace(host, r"^[^@]*@|:\d*$", ""), F.regexp_replace(bare, r"^[^/]*", "")
 
 
+class _Run:
+    """Copies in a row: their lines, and the paths at which the run begins and ends."""
+
+    def __init__(self, mark: tuple, path: str, lines: list[str], kinds: list[int]):
+        self.mark, self.first, self.last, self.lines, self.kinds = mark, path, path, lines, kinds
+        self.copies: list[tuple] = []
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row."""
+    """(page_id, url, text, n_chars) of every row, and its numbers of lines that went as `shared` and as `marked`, and stayed as `protected` and `own`."""
     spark = pages.sparkSession
     small_batches(spark, 256)
     host, path = _host_path(url_col)
@@ -204,12 +278,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [content(*read_lines(x.as_py())) for x in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], [*names, "content"])
+            found = [content(*read_lines(x.as_py())) for x in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.int64())], [*names, "size", "content"])
 
-    marked = rows.select(*key, "html").mapInArrow(mark, "host string, path string, no long, mix long, content long")
+    marked = rows.select(*key, F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"), "html").mapInArrow(mark, "host string, path string, no long, mix long, size long, content long")
     keys = Scratch(spark).save(marked, "keys")
-    ranges = max(2 * parts(spark), -(-keys.count() // RANGE_PAGES))
+    ranges = max(8 * parts(spark), -(-(keys.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the first run of copies of a range its ends and the page after it, of the last run the page before it and its ends."""
@@ -226,10 +300,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = [*(out if len(out) == 3 else [out[0], old, None]), before, run, old]
             yield pa.RecordBatch.from_pylist([dict(zip(keys_names, x or (None,) * 5, strict=True)) | {"at": i} for i, x in enumerate(out)], schema=ends_schema)
 
-    # Six rows a range, as Spark's own range partitioning gathers its bounds.
+    # Six rows a range reach the driver; Spark's own range partitioning gathers more than that for its bounds.
     keys_names = [*names, "content"]
     ends_schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("no", pa.int64()), ("mix", pa.int64()), ("content", pa.int64()), ("at", pa.int32())])
-    ordered = keys.repartitionByRange(ranges, *names).sortWithinPartitions(*names).mapInArrow(ends, "host string, path string, no long, mix long, content long, at int")
+    ordered = keys.select(*keys_names).repartitionByRange(ranges, *names).sortWithinPartitions(*names).mapInArrow(ends, "host string, path string, no long, mix long, content long, at int")
     got = sorted((r["range"], r["at"], tuple(r)[:5]) for r in ordered.withColumn("range", F.spark_partition_id()).collect() if r["host"] is not None)
     held: dict[int, dict[int, tuple]] = {}
     for part, at, row in got:
@@ -253,7 +327,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 ghosts.setdefault(found[:4], []).append(i)
                 break
 
-    fields = "bucket int, page_id long, url string, host string, path string, no long, mix long, ghost boolean, lines array<string>, kinds array<tinyint>"
+    fields = "bucket int, page_id long, url string, host string, path string, no long, mix long, ghost boolean, content long, lines array<string>, kinds array<tinyint>"
+    types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int8())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,33 +336,55 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for page_id, url, host, path, page, no, mix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines, kinds = read_lines(page)
                 here, at = (host, path, no, mix), bisect_right(splits, (host, path, no, mix))
-                out.append((at, page_id, url, *here, False, lines, kinds))
-                out += [(g, page_id, url, *here, True, lines, kinds) for g in dict.fromkeys(ghosts.get(here, ())) if g != at]
-            types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int8())]
+                rest = (content(lines, kinds), lines, kinds)
+                out.append((at, page_id, url, *here, False, *rest))
+                out += [(g, page_id, url, *here, True, *rest) for g in dict.fromkeys(ghosts.get(here, ())) if g != at]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])
 
-    def difference(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(names, kind="stable")
-        pages_, runs = list(group.itertuples(index=False)), []
-        for row in pages_:
-            lines, kinds = list(row.lines), list(row.kinds)
-            mark_ = (row.host, content(lines, kinds), row.ghost)
-            if not runs or runs[-1][0] != mark_:
-                runs.append((mark_, lines, kinds, []))
-            runs[-1][3].append(row)
-        out, first, last = [], True, max((i for i, r in enumerate(runs) if not r[0][2]), default=-1)
-        for i, (mark_, lines, kinds, copies) in enumerate(runs):
-            if mark_[2]:
-                continue
-            low, high = reach[copies[0].bucket][0] if first else copies[0].path, reach[copies[0].bucket][1] if i == last else copies[-1].path
-            first, around = False, []
-            for j, path, end in ((i - 1, low, -1), (i + 1, high, 0)):
-                if 0 <= j < len(runs) and runs[j][0][0] == mark_[0]:
-                    around.append((_prefix(path, runs[j][3][end].path), runs[j][1], runs[j][2]))
-            text = main_text(lines, kinds, shared_with_nearest(lines, kinds, around))
-            out += [(row.page_id, row.url, text, len(text)) for row in copies]
-        return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+    counted = ["shared", "marked", "protected", "own"]
+    out_types = [pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.int64()] * len(counted)]
+    out_names = ["page_id", "url", "text", "n_chars", *(f"n_{x}" for x in counted)]
+
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages of a range in order: a run of copies is done when the next one has been read."""
+        before = run = None
+        first = True
+
+        def done(after: _Run | None, bucket: int) -> list[tuple]:
+            nonlocal first
+            if run is None or run.mark[2]:
+                return []
+            low = reach[bucket][0] if first else run.first
+            high = reach[bucket][1] if after is None or after.mark[2] else run.last
+            first = False
+            around = [(_prefix(p, x.last if x is before else x.first), x.lines, x.kinds) for x, p in ((before, low), (after, high)) if x is not None and x.mark[0] == run.mark[0]]
+            fate = fates(run.kinds, shared_with_nearest(run.lines, run.kinds, around))
+            text = "\n".join(x for x, f in zip(run.lines, fate, strict=True) if f in STAY)
+            numbers = [fate.count(x) for x in counted]
+            return [(*copy, text, len(text), *numbers) for copy in run.copies]
+
+        def table(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), out_types, strict=True)], out_names)
+
+        bucket = None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*batch.columns, strict=True):
+                at, page_id, url, host, path, _, _, ghost, mark_ = (x.as_py() for x in row[:9])
+                if at != bucket:
+                    out += done(None, bucket)
+                    before, run, first, bucket = None, None, True, at
+                if run is None or run.mark != (host, mark_, ghost):
+                    new = _Run((host, mark_, ghost), path, row[9].as_py(), row[10].as_py())
+                    out += done(new, bucket)
+                    before, run = run, new
+                run.last = path
+                run.copies.append((page_id, url))
+            yield from table(out)
+        yield from table(done(None, bucket))
 
     tagged = rows.select("page_id", "url", "host", "path", "html", *key[2:]).mapInArrow(read, fields)
-    return tagged.repartition(ranges, "bucket").groupBy("bucket").applyInPandas(difference, "page_id long, url string, text string, n_chars long")
+    dealt = tagged.repartitionById(ranges, "bucket").sortWithinPartitions("bucket", *names)
+    return dealt.mapInArrow(difference, ", ".join(["page_id long, url string, text string, n_chars long", *(f"{x} long" for x in out_names[4:])]))

@@ -134,13 +134,93 @@ def brute_lcs(a, b):
     return table[-1][-1]
 
 
-def test_common_lines():
+def test_common_lines(monkeypatch):
     rng = random.Random(1)
-    for _ in range(40):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
-        found = pages.common_lines(a, b)
-        rest = iter(b)
-        assert len(found) == brute_lcs(a, b) and found == sorted(found) and all(a[i] in rest for i in found)
+    for room in (pages.ROOM, 4):  # 4: all tables are halved
+        monkeypatch.setattr(pages, "ROOM", room)
+        for _ in range(60):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+            found = pages.common_lines(a, b)
+            rest = iter(b)
+            assert len(found) == brute_lcs(a, b) and found == sorted(found) and all(a[i] in rest for i in found)
+
+
+def test_lines_of_very_long_pages_align_in_little_memory():
+    import tracemalloc
+
+    a = [k % 9973 for k in range(40_000)]
+    tracemalloc.start()
+    found = pages.common_lines(a, a[::2] + a[1::2])
+    assert len(found) >= 20_000 and tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def pages_brute(rows):
+    """Per page id the text: each page against the nearest of its neighbours, by a plain table of common subsequences."""
+    def place(url):
+        bare = (url or "").split("?")[0].split("#")[0].split("://")[-1]
+        host, slash, path = bare.partition("/")
+        return host.lower().rsplit("@", 1)[-1].split(":")[0], slash + path
+
+    def shared(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        out, i, j = set(), len(a), len(b)
+        while i and j:
+            if table[i][j] == table[i][j - 1]:
+                j -= 1
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.add(i)
+        return out
+
+    read = sorted(((*place(url), no, *pages.read_lines(page)) for no, url, page in rows), key=lambda x: x[:3])
+    main = lambda r: [x for x, k in zip(r[3], r[4]) if k == (pages.IN if pages.IN in r[4] else pages.OPEN)] + [pages.IN in r[4]]
+    runs = []
+    for r in read:
+        if not runs or (runs[-1][0][0], main(runs[-1][0])) != (r[0], main(r)):
+            runs.append([])
+        runs[-1].append(r)
+    out = {}
+    for i, run in enumerate(runs):
+        lines, kinds, near = run[0][3], run[0][4], []
+        for j, mine, other in ((i - 1, 0, -1), (i + 1, -1, 0)):
+            if 0 <= j < len(runs) and runs[j][0][0] == run[0][0]:
+                a, b = run[mine][1], runs[j][other][1]
+                alike = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                near.append((-alike, len(near), runs[j][0][3], runs[j][0][4]))
+        opened = {k for k, kind in enumerate(kinds) if kind == pages.OPEN}
+        sets = [(shared(lines, x), y.count(pages.OPEN)) for _, _, x, y in sorted(near, key=lambda x: x[:2])]
+        gone = next((s for s, n in sets if len(s & opened) < 0.9 * max(len(opened), n)), sets[0][0] & sets[1][0] if len(sets) == 2 else set())
+        keep = [x for k, x in enumerate(lines) if kinds[k] == pages.IN or (pages.IN not in kinds and kinds[k] == pages.OPEN and k not in gone)]
+        out.update({r[2]: "\n".join(keep) for r in run})
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_whole_query_against_brute_force(spark, monkeypatch, parts):
+    import os
+
+    rng = random.Random(parts)
+    monkeypatch.setattr(pages, "parts", lambda _: parts)
+    rows = []
+    for no in range(160):  # sites with templates of their own; some pages mark their article, some are copies
+        site, story = no % 5, rng.randrange(60)
+        top = "".join(f"<div>site {site} menu {m}</div>" for m in range(rng.choice([4, 5])))
+        body = "".join(f"<p>story {story} part {m}</p>" for m in range(6)) + ("<p>quoted by all</p>" if no % 3 else "")
+        body = f"<article>{body}</article>" if story % 4 == 0 else body
+        rows.append((no, f"http://Site{site}.example/{rng.choice('ab')}/{rng.randrange(30):02}", f"<body>{top}{body}<div>end of site {site}</div></body>"))
+    if os.path.exists("/root/testdata/sf0.001/pages.parquet"):
+        rows += [(1000 + r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == pages_brute(rows)
+    assert sum(r["n_shared"] for r in got) > 500 and sum(r["n_protected"] for r in got) > 10 and len(got) == len(rows)
+    for r in got:
+        assert r["n_own"] + r["n_protected"] == len(r["text"].split("\n")) * bool(r["text"])
 
 
 @pytest.mark.parametrize(
@@ -153,6 +233,11 @@ def test_common_lines():
         ('<article><p>x</p><div class="share-bar">s</div><section id="comments"><p>c</p></section><form><p>q</p></form></article><p>out</p>', "x"),
         ('<div class="sidebar">s</div><div class="no-sidebar"><p>in</p></div><div role="banner">b</div><p hidden>h</p>', "in"),
         ('<script>var t="</p><p>no</p>";</script><style>p{}</style><p>yes</p><!-- <p>no</p> --><p>cut', "yes\ncut"),
+        ("<article><p class='social-policy'>a</p><section class='related-work'>b</section><div class='related-posts'>c</div><p class='socialIcons'>d</p></article>", "a\nb"),
+        ("<body><form action=x><div>top</div><article><p>a</p><form><p>find</p></form></article></form>", "a"),
+        ("<body><form><h1>t</h1><p>one two three</p><p>four five six</p></form><form><p>find</p><p>it</p></form>", "t\none two three\nfour five six"),
+        ("<p title=it's>first</p><p title=it's>second</p><p title='a>b'>third</p>", "first\nsecond\nthird"),
+        ("<p>x</p><div class='legal'>l</div><article class='legal'><div class='legal'>y</div></article>", "y"),
         ("<title>t</title><body><header>site</header><article><header><h1>own</h1></header><p>1 < 2 &lt;b&gt;</p></article>", "own\n1 < 2 <b>"),
     ],
 )
