@@ -287,11 +287,12 @@ def _spans(scratch: Scratch, rows: DataFrame, length: int) -> DataFrame:
     fetched = scratch.save(_fetch(asked, [*SEGMENT, "weight", "wide"], length), "fetched")
     scratch.drop("kinds")
     scratch.tidy()
-    found = _search(fetched.filter(~F.col("wide")), SEGMENT, "anchor", length)
+    held, windows = fetched.filter(F.col("words").isNotNull()).drop(*PLACED), fetched.filter(F.col("words").isNull()).drop("words")
+    found = _search(held.filter(~F.col("wide")), SEGMENT, "anchor", length)
     if not many.isEmpty():
-        found = found.unionByName(_wide(scratch, fetched.filter("wide"), length))
+        found = found.unionByName(_wide(scratch, held.filter("wide"), windows, length))
     runs = scratch.save(found, "runs")
-    scratch.drop("fetched", "windows", "again")
+    scratch.drop("fetched", "again")
     scratch.tidy()
     covered = members.join(runs, SEGMENT).select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b"))
     return covered.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -301,22 +302,32 @@ def _spans(scratch: Scratch, rows: DataFrame, length: int) -> DataFrame:
 SEGMENT = ["anchor", "s1", "s2"]
 
 
+#: A window of a wide segment: its place in it, and its digest.
+PLACED = ["place", "d1", "d2"]
+
+
 def _fetch(asked: DataFrame, keep: list[str], length: int) -> DataFrame:
-    """(keep, words): the words of each of the segments (start, n and the columns to keep) that are wanted of a text."""
+    """(keep, words, PLACED): the words of each of the segments (start, n and the columns to keep) that are wanted of a text; and a row
+    without words for each window of those that are `wide`."""
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema["wanted"].dataType.elementType}
-    types = [*(pa.bool_() if kinds[c] == "boolean" else pa.int64() for c in keep), pa.string()]
+    types = [*(pa.bool_() if kinds[c] == "boolean" else pa.int64() for c in keep), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for text, asked in zip(_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = text.split()
-                out += [(*(s[c] for c in keep), b" ".join(words[s["start"] : s["start"] + s["n"] + length - 1]).decode()) for s in asked]
+                for s in asked:
+                    part, own = b" ".join(words[s["start"] : s["start"] + s["n"] + length - 1]), tuple(s[c] for c in keep)
+                    out.append((*own, part.decode(), None, None, None))
+                    if s.get("wide"):
+                        out += [(*own, None, i, *d) for i, d in enumerate(window_digests(part, length).tolist())]
             columns = zip(*out, strict=True) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keep, "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keep, "words", *PLACED])
 
     small_batches(asked.sparkSession, 64)
-    return asked.mapInArrow(fetch, ", ".join([*(f"{c} {'boolean' if kinds[c] == 'boolean' else 'long'}" for c in keep), "words string"]))
+    fields = [*(f"{c} {'boolean' if kinds[c] == 'boolean' else 'long'}" for c in keep), "words string, place int, d1 long, d2 long"]
+    return asked.mapInArrow(fetch, ", ".join(fields))
 
 
 def _search(held: DataFrame, key: list[str], route: str, length: int) -> DataFrame:
@@ -332,26 +343,15 @@ def _search(held: DataFrame, key: list[str], route: str, length: int) -> DataFra
     return held.groupBy(F.pmod(F.xxhash64(route), F.lit(shards)).alias("shard")).applyInPandas(shard, ", ".join([*(f"{k} long" for k in key), "a int, b int"]))
 
 
-def _wide(scratch: Scratch, held: DataFrame, length: int) -> DataFrame:
-    """(anchor, s1, s2, a, b): the repeated windows of segments (and weight, words) of wide minimizers, routed window by window."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [window_digests(w.encode(), length) for w in batch.column(4).to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(marks)), [len(m) for m in marks]))
-            place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(m), dtype=np.int32) for m in marks)])
-            both = np.concatenate([np.zeros((0, 2), np.int64), *marks])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in range(4)), pa.array(place), pa.array(both[:, 0]), pa.array(both[:, 1])], [*SEGMENT, "weight", "start", "d1", "d2"])
-
-    small_batches(scratch.spark, 256)
-    fields = "anchor long, s1 long, s2 long, weight long, start int, d1 long, d2 long"
-    windows = scratch.save(held.select(*SEGMENT, "weight", "words").mapInArrow(cut, fields), "windows")
-    again = windows.groupBy("d1", "d2").agg(F.sum("weight").alias("weight"), F.min(F.struct(*SEGMENT, "start")).alias("at")).filter("weight > 1")
-    wanted = again.groupBy("at.anchor", "at.s1", "at.s2").agg(F.collect_list(F.struct("d1", "d2", "weight", F.col("at.start").alias("start"), F.lit(1).alias("n"))).alias("wanted"))
+def _wide(scratch: Scratch, held: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """(anchor, s1, s2, a, b): the repeated windows of segments (and words) of wide minimizers; windows: (segment, weight, PLACED)."""
+    again = windows.groupBy("d1", "d2").agg(F.sum("weight").alias("weight"), F.min(F.struct(*SEGMENT, "place")).alias("at")).filter("weight > 1")
+    one = F.struct(F.col("d1").alias("r1"), F.col("d2").alias("r2"), "weight", F.col("at.place").alias("start"), F.lit(1).alias("n"))
+    wanted = again.groupBy("at.anchor", "at.s1", "at.s2").agg(F.collect_list(one).alias("wanted"))
     asked = held.select(*SEGMENT, F.col("words").alias("text")).join(wanted, SEGMENT).select("text", "wanted")
-    single = scratch.save(_fetch(asked, ["d1", "d2", "weight"], length), "again")
-    same = _search(single, ["d1", "d2"], "d1", length).select("d1", "d2")
-    return windows.join(same, ["d1", "d2"], "left_semi").select(*SEGMENT, F.col("start").alias("a"), F.col("start").alias("b"))
+    single = scratch.save(_fetch(asked, ["r1", "r2", "weight"], length).drop(*PLACED), "again")
+    same = _search(single, ["r1", "r2"], "r1", length).select(F.col("r1").alias("d1"), F.col("r2").alias("d2"))
+    return windows.join(same, ["d1", "d2"], "left_semi").select(*SEGMENT, F.col("place").alias("a"), F.col("place").alias("b"))
 
 
 def dedup(scratch: Scratch, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
