@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_key
-
+from .ranks import by_hash, numbered
 
 #: Items of a pool of demonstrations.
 MOST_SHOTS = 20_000
@@ -94,92 +99,142 @@ def complete_everywhere(rows: DataFrame, key: str, by: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(by).alias("_n")).filter(F.col("_n") == n).select(key)
 
 
-# --- walks over a bounded table: at most `most` rows, else an error ------------------------------------------------------------------
+# --- walks over classes of like rows -------------------------------------------------------------------------------------------------
+
+#: Classes that a walk may be over.
+MOST_CLASSES = 200_000
 
-MOST_WALKED = 50_000
 
+def _few(classes: DataFrame) -> DataFrame:
+    if classes.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"a walk is over at most {MOST_CLASSES} classes of like rows")
+    return classes
 
-def _walk(rows: DataFrame, walk, schema: str) -> DataFrame:
-    if rows.limit(MOST_WALKED + 1).count() > MOST_WALKED:
-        raise ValueError(f"sequential selection is for at most {MOST_WALKED} rows")
-    def run(batches):
-        held = list(batches)
-        if held:
-            yield walk(pd.concat(held))
 
-    return rows.repartition(1).mapInPandas(run, schema)
+def _wanted(share: dict, taken: int, have: np.ndarray, names: list) -> np.ndarray:
+    """What each bucket lacks to its share of the rows taken so far, one row at least."""
+    due = np.array([max(1, int(taken * share.get(x, 0))) for x in names])
+    return np.maximum(0, due - have)
 
 
 def greedy_diversity(rows: DataFrame, dims: list[str], target: int, quotas: dict[str, int], seed: int, floor: int = 25, length_share: dict | None = None, language_share: dict | None = None) -> DataFrame:
     """(doc_id, place): repeatedly the row that fills most gaps: sum over dims of what its value lacks to floor, plus 0.1 and 0.05 times
-    the deficits of its length and language buckets; none of a source whose quota is full. Ties: hash order."""
-    length_share, language_share = length_share or {}, language_share or {}
-    rows = rows.withColumn("_o", order_key(seed, "greedy", F.col("doc_id")))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_o", "doc_id"]).to_dict("records")
-        if len(g) <= target:
-            return pd.DataFrame([(r["doc_id"], i + 1) for i, r in enumerate(g)], columns=["doc_id", "place"])
-        count, sources, lengths, languages, out, left = {}, {}, {}, {}, [], list(g)
-
-        def worth(r):
-            n = len(out)
-            if sources.get(r["source"], 0) >= quotas.get(r["source"], 0):
-                return -1.0
-            total = sum(max(0, floor - count.get((d, int(r[d])), 0)) for d in dims)
-            total += 0.1 * max(0, max(1, int(n * length_share.get(r.get("len_bucket"), 0))) - lengths.get(r.get("len_bucket"), 0))
-            return total + 0.05 * max(0, max(1, int(n * language_share.get(r.get("lang_bucket"), 0))) - languages.get(r.get("lang_bucket"), 0))
-
-        while left and len(out) < target:
-            values = [worth(r) for r in left]
-            best = max(values)
-            if best < 0:
+    the deficits of its length and language buckets; none of a source whose quota is full. Ties: hash order.
+
+    Rows that agree in all of this are worth the same at any time, so the walk is over classes of them, each with its first rows in hash
+    order (no more than target of a class can be taken); a step prices all classes at once from counts that are kept up to date.
+    """
+    extra = [(c, share or {}, weight) for c, share, weight in (("len_bucket", length_share, 0.1), ("lang_bucket", language_share, 0.05)) if c in rows.columns]
+    key = [*dims, "source", *(c for c, _, _ in extra)]
+    ordered = rows.withColumn("_o", order_key(seed, "greedy", F.col("doc_id")))
+    first = Window.partitionBy(*key).orderBy("_o", "doc_id")
+    kind, most = rows.schema["doc_id"].dataType.simpleString(), rows.limit(target + 1).count()
+    heads = ordered.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= target)
+    classes = _few(heads.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_o", "doc_id"))).alias("_held")))
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(parts), ignore_index=True)
+        held = [[(r["_o"], r["doc_id"]) for r in x] for x in table["_held"]]
+        if most <= target:
+            picks = [i for _, i in sorted(x for rows_ in held for x in rows_)]
+            yield pd.DataFrame({"doc_id": picks, "place": range(1, len(picks) + 1)})
+            return
+        codes, names = {}, {}
+        for c in key:
+            codes[c], names[c] = pd.factorize(table[c], use_na_sentinel=False)
+        have = {c: np.zeros(len(names[c]), int) for c in key}
+        quota = np.array([quotas.get(x, 0) for x in names["source"]])
+        left, picks = np.array([len(x) for x in held]), []
+        while len(picks) < target:
+            open_ = (left > 0) & (have["source"] < quota)[codes["source"]]
+            if not open_.any():
                 break
-            r = left.pop(values.index(best))
-            out.append(r["doc_id"])
-            sources[r["source"]] = sources.get(r["source"], 0) + 1
-            lengths[r.get("len_bucket")] = lengths.get(r.get("len_bucket"), 0) + 1
-            languages[r.get("lang_bucket")] = languages.get(r.get("lang_bucket"), 0) + 1
-            for d in dims:
-                count[d, int(r[d])] = count.get((d, int(r[d])), 0) + 1
-        return pd.DataFrame([(x, i + 1) for i, x in enumerate(out)], columns=["doc_id", "place"])
+            worth = sum(np.maximum(0, floor - have[d])[codes[d]] for d in dims).astype(float)
+            for c, share, weight in extra:
+                worth = worth + weight * _wanted(share, len(picks), have[c], list(names[c]))[codes[c]]
+            worth[~open_] = -1.0
+            best = min(np.flatnonzero(worth == worth.max()).tolist(), key=lambda i: held[i][len(held[i]) - left[i]])
+            picks.append(held[best][len(held[best]) - left[best]][1])
+            left[best] -= 1
+            for c in key:
+                have[c][codes[c][best]] += 1
+        yield pd.DataFrame({"doc_id": picks, "place": range(1, len(picks) + 1)})
+
+    return classes.repartition(1).mapInPandas(lambda parts: walk(parts) if (parts := _some(parts)) else iter(()), f"doc_id {kind}, place int")
+
+
+def _some(parts: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
+    return [p for p in parts if len(p)]
+
 
-    return _walk(rows, walk, f"doc_id {kind}, place int")
+def dealt(n: int, desire: dict[str, float], room: dict[str, int]) -> list[tuple[str, int]]:
+    """How n like rows go to splits, in order: each to the split of largest desire, then of most room, which then desires one less.
+
+    Desires fall by whole steps, so all picks above a level are known at once; only the last few are made one by one.
+    """
+    desire, room, out = dict(desire), dict(room), []
+    above = lambda level: {s: min(room[s], max(0, math.ceil(desire[s] - level))) for s in desire}
+    low, high = min(desire.values()) - n - 1, max(desire.values())
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(above(middle).values()) <= n else (middle, high)
+    for s, c in above(high).items():
+        if c:
+            out.append((s, c))
+            desire[s], room[s], n = desire[s] - c, room[s] - c, n - c
+    while n:
+        s = max((s for s in desire if room[s] > 0), key=lambda s: (desire[s], room[s]))
+        out.append((s, 1))
+        desire[s], room[s], n = desire[s] - 1, room[s] - 1, n - 1
+    return out
+
+
+def stratified_plan(classes: list[tuple[tuple[str, ...], int]], sizes: dict[str, int]) -> list[list[tuple[str, int]]]:
+    """For each class (labels, rows) the numbers of its rows that go to each split: the label with the fewest rows left is next, its classes in order."""
+    n = sum(c for _, c in classes)
+    totals = Counter()
+    for labels, c in classes:
+        totals.update(dict.fromkeys(labels, c))
+    desire = {x: {s: t * size / n for s, size in sizes.items()} for x, t in totals.items()}
+    room, left, plan = dict(sizes), dict(totals), [[] for _ in classes]
+    open_ = set(range(len(classes)))
+    while open_:
+        rare = min((c, x) for x, c in left.items() if c > 0)[1]
+        for i in sorted(i for i in open_ if rare in classes[i][0]):
+            labels, c = classes[i]
+            plan[i] = dealt(c, desire[rare], room)
+            for s, k in plan[i]:
+                room[s] -= k
+                for x in labels:
+                    desire[x][s] -= k
+            for x in labels:
+                left[x] -= c
+            open_.remove(i)
+    return plan
 
 
 def iterative_stratification(rows: DataFrame, labels: list[str], sizes: dict[str, int], seed: int) -> DataFrame:
-    """(doc_id, split): rarest remaining label first; its rows, in hash order, go to the split that most desires it, then has most room."""
-    rows = rows.withColumn("_o", order_key(seed, "stratify", F.col("doc_id")))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    n = sum(sizes.values())
+    """(doc_id, split): rarest remaining label first; its rows go to the split that most desires it, then has most room.
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) != n:
-            raise ValueError(f"sizes sum to {n}, there are {len(g)} rows")
-        g = g.sort_values(["_o", "doc_id"])
-        tags = {r["doc_id"]: [f"{x}={r[x]}" for x in labels] for r in g.to_dict("records")}
-        total: dict[str, int] = {}
-        for t in tags.values():
-            for x in t:
-                total[x] = total.get(x, 0) + 1
-        wish = {s: {x: c * size / n for x, c in total.items()} for s, size in sizes.items()}
-        room, out, left = dict(sizes), {}, dict(tags)
-        while left:
-            counts: dict[str, int] = {}
-            for t in left.values():
-                for x in t:
-                    counts[x] = counts.get(x, 0) + 1
-            rare = min(sorted(counts), key=lambda x: counts[x])
-            for d in [d for d, t in left.items() if rare in t]:
-                split = max((s for s in sizes if room[s] > 0), key=lambda s: (wish[s].get(rare, 0), room[s]))
-                out[d] = split
-                room[split] -= 1
-                for x in left.pop(d):
-                    wish[split][x] -= 1
-        return pd.DataFrame(list(out.items()), columns=["doc_id", "split"])
-
-    return _walk(rows, walk, f"doc_id {kind}, split string")
+    Rows of equal labels are one class: the plan is made over classes (in hash order), and rows, numbered in hash order within their
+    class, find their split by their number.
+    """
+    n = sum(sizes.values())
+    tags = F.array(*[F.concat(F.lit(f"{x}="), F.coalesce(F.col(x).cast("string"), F.lit("null"))) for x in labels])
+    tagged = rows.select("doc_id", tags.alias("_tags"), order_key(seed, "stratify", F.col("doc_id")).alias("_o"))
+    tagged = tagged.withColumn("_class", F.concat_ws("\0", "_tags"))
+    classes = _few(tagged.groupBy("_class", "_tags").agg(F.count("*").alias("n"))).orderBy(order_key(seed, "class", F.col("_class")), "_class").collect()
+    if (found := sum(r["n"] for r in classes)) != n:
+        raise ValueError(f"sizes sum to {n}, there are {found} rows")
+    spans = []
+    for r, parts in zip(classes, stratified_plan([(tuple(dict.fromkeys(r["_tags"])), r["n"]) for r in classes], sizes), strict=True):
+        at = 0
+        for s, k in parts:
+            spans.append((r["_class"], at, at + k, s))
+            at += k
+    spans = rows.sparkSession.createDataFrame(spans, "c string, low int, high int, split string")
+    numbers = numbered(tagged.drop("_tags"), ["_class"], by_hash("_o"), ["_o", "doc_id"])
+    return numbers.join(spans, (F.col("_class") == F.col("c")) & (F.col("rn") > F.col("low")) & (F.col("rn") <= F.col("high"))).select("doc_id", "split")
 
 
 def scoring_rounds(batch_ids: list[int], gaps_after, score_batch, budget: int, give_up: int = 2) -> dict:
@@ -205,3 +260,19 @@ def balanced_steps(sizes: dict[str, int], batch: int, steps: int) -> list[dict[s
     names = sorted(sizes)
     base, extra = divmod(batch, len(names))
     return [{x: base + ((i - s * extra) % len(names) < extra) for i, x in enumerate(names)} for s in range(steps)]
+
+
+def least_loaded(work: dict[str, float], workers: int) -> list[list[str]]:
+    """Names dealt to workers, largest work first, each to the worker with least so far; what is done counts as no work."""
+    loads, out = [0.0] * workers, [[] for _ in range(workers)]
+    for name in sorted(work, key=lambda x: -work[x]):
+        i = loads.index(min(loads))
+        loads[i] += work[name]
+        out[i].append(name)
+    return out
+
+
+def batch_ranges(rows: DataFrame, strata: list[str], batch: str = "batch") -> DataFrame:
+    """(strata, low, high): the least and largest number of a stratum's rows in a batch that has any."""
+    counts = rows.groupBy(*strata, batch).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*strata).agg(F.min("_n").alias("low"), F.max("_n").alias("high"))
