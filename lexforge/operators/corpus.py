@@ -18,11 +18,16 @@ def in_window(text: Column, low: int = 500, high: int = 4000) -> Column:
 
 
 def _checkpoint_dir(spark) -> None:
-    """The session's spark.checkpoint.dir; a folder of its own only where none is set."""
+    """The session's spark.checkpoint.dir; where none is set, a folder of its own on a local master, an error on a cluster."""
     if spark.sparkContext.getCheckpointDir() is None:
-        from tempfile import mkdtemp
+        known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not known:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            from tempfile import mkdtemp
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp())
+            known = mkdtemp()
+        spark.sparkContext.setCheckpointDir(known)
 
 
 def sequential_dedup(rows: DataFrame) -> DataFrame:
@@ -91,16 +96,19 @@ def collect_documents(
 
 def leakage_filter(docs: DataFrame, *, human: DataFrame, pilot: DataFrame) -> DataFrame:
     """docs (doc_id, text, ordinal) with `reason`: empty, human, pilot, duplicate or null (kept). human: (doc_id, content); pilot: (content)."""
-    rows = docs.withColumn("content", content_hash(F.col("text")))
+    # Texts are read for their hash and then left: joins and the first of each content see narrow rows. Places are counted by a
+    # minimum, which is aggregated before it is exchanged, so a content that very many documents share is no large task.
+    empty = F.coalesce(strip(F.col("text")), F.lit("")) == ""
+    rows = docs.select("ordinal", "doc_id", content_hash(F.col("text")).alias("content"), empty.alias("_e"))
     ids = human.select("doc_id", F.lit(True).alias("_h1")).distinct()
     contents = human.select("content", F.lit(True).alias("_h2")).distinct()
     pilots = pilot.select("content", F.lit(True).alias("_p")).distinct()
     rows = rows.join(ids, "doc_id", "left").join(contents, "content", "left").join(pilots, "content", "left")
-    early = F.when(F.coalesce(strip(F.col("text")), F.lit("")) == "", "empty").when(F.coalesce("_h1", "_h2"), "human").when(F.col("_p"), "pilot")
-    rows = rows.withColumn("early", early)
-    place = F.row_number().over(Window.partitionBy("content", F.col("early").isNull()).orderBy("ordinal"))
-    reason = F.coalesce("early", F.when(place > 1, "duplicate"))
-    return rows.withColumn("reason", reason).select(*docs.columns, "reason")
+    early = F.when(F.col("_e"), "empty").when(F.coalesce("_h1", "_h2"), "human").when(F.col("_p"), "pilot")
+    rows = rows.select("ordinal", "content", early.alias("early"))
+    first = rows.filter("early is null").groupBy("content").agg(F.min("ordinal").alias("_first"))
+    told = rows.join(first, "content", "left").select("ordinal", F.coalesce("early", F.when(F.col("ordinal") != F.col("_first"), "duplicate")).alias("reason"))
+    return docs.join(told, "ordinal").select(*docs.columns, "reason")
 
 
 def union_keep_first(sources: list[DataFrame], key: str, order: str) -> DataFrame:

@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LN2, clip, score_bin
-
-
-def mean_rank(value: str, *by: str) -> Column:
-    """Average rank of ties."""
-    over = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(over) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+from .ranks import with_mean_rank
 
 
 def pearson(x, y) -> Column:
@@ -23,7 +18,7 @@ def pearson(x, y) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], name: str = "spearman") -> DataFrame:
-    ranked = df.withColumn("_rx", mean_rank(x, *by)).withColumn("_ry", mean_rank(y, *by))
+    ranked = with_mean_rank(with_mean_rank(df.select(*by, x, y), x, by, "_rx"), y, by, "_ry")
     return ranked.groupBy(*by).agg(pearson("_rx", "_ry").alias(name))
 
 
@@ -102,7 +97,7 @@ def agreement(pairs: DataFrame) -> DataFrame:
 
 def dimension_correlations(long: DataFrame, digits: int = 4) -> DataFrame:
     """long (dimension, key, value): Spearman of every unordered pair of dimensions."""
-    ranked = long.withColumn("r", mean_rank("value", "dimension"))
+    ranked = with_mean_rank(long, "value", ["dimension"], "r")
     a = ranked.select("key", F.col("dimension").alias("a"), F.col("r").alias("ra"))
     b = ranked.select("key", F.col("dimension").alias("b"), F.col("r").alias("rb"))
     return a.join(b, "key").filter("a < b").groupBy("a", "b").agg(F.round(pearson("ra", "rb"), digits).alias("spearman"))

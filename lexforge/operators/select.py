@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, order_key
+from .ranks import by_hash, by_score, numbered
 
 
 def require_same_keys(long: DataFrame, keys: list[str], part: str) -> None:
@@ -16,8 +17,11 @@ def require_same_keys(long: DataFrame, keys: list[str], part: str) -> None:
         raise ValueError(f"{lacking} keys are not in all of the {n} inputs")
 
 
-def combine_scores(long: DataFrame, keys: list[str]) -> DataFrame:
-    """long (keys, dimension, score_raw): mean of clipped scores as score_raw, and of raw ones as raw_mean."""
+def combine_scores(long: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """long (keys, dimension, score_raw): mean of clipped scores as score_raw, and of raw ones as raw_mean. strict: an error if some key
+    lacks a dimension that others have."""
+    if strict:
+        require_same_keys(long, keys, "dimension")
     return long.groupBy(*keys).agg(F.avg(clip(F.col("score_raw"))).alias("score_raw"), F.avg("score_raw").alias("raw_mean"), F.count("*").alias("n_dims"))
 
 
@@ -29,12 +33,20 @@ def require_scored(pool: DataFrame, scores: DataFrame, keys: list[str]) -> DataF
     return out
 
 
-def rank_by_score(rows: DataFrame, by: str = "language", key: str = "doc_id", score: str = "score_raw") -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc(), key)))
+def rank_by_score(rows: DataFrame, by: str = "language", key: str = "doc_id", score: str = "score_raw", whole: bool = False) -> DataFrame:
+    """rows with their place `rn`. For the first few of a group a window is best, which Spark cuts short in each task; whole: all places are
+    needed, so groups are dealt over buckets of their scores."""
+    order = [F.col(score).desc(), key]
+    if whole:
+        return numbered(rows, [by], by_score(score), order)
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def rank_randomly(rows: DataFrame, seed: int, by: str = "language", key: str = "doc_id") -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order_key(seed, F.col(by), F.col(key)), key)))
+def rank_randomly(rows: DataFrame, seed: int, by: str = "language", key: str = "doc_id", whole: bool = False) -> DataFrame:
+    order = order_key(seed, F.col(by), F.col(key))
+    if whole:
+        return numbered(rows.withColumn("_o", order), [by], by_hash("_o"), ["_o", key]).drop("_o")
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order, key)))
 
 
 def top_k(ranked: DataFrame, k: int, strict: bool = False, by: str = "language") -> DataFrame:
@@ -58,24 +70,28 @@ def token_budget(ranked: DataFrame, target: int, group: int, tokens: str = "toke
     return rows.join(sums.filter(F.col("_before") < target).select(by, "grp"), [by, "grp"])
 
 
-def round_robin(pool: DataFrame, scores: DataFrame, dims: list[str], k: int, target: int, tokens: str = "tokens", by: str = "language") -> DataFrame:
+def round_robin(pool: DataFrame, scores: DataFrame, dims: list[str], k: int, target: int, tokens: str = "tokens", by: str = "language", strict: bool = True) -> DataFrame:
     """Each round takes the next k of every dimension's ranking, dimensions in order; a document counts where it is first picked.
 
     Closed form: rank r in dimension d is picked in round ceil(r / k). The first pick is the least (round, dimension, rank); tokens add
-    up by the round of first picks; the first round that reaches the target is the last.
+    up by the round of first picks; the first round that reaches the target is the last. A pool that runs out before is an error if strict,
+    else taken whole.
     """
-    ranked = scores.withColumn("r", F.row_number().over(Window.partitionBy(by, "dimension").orderBy(F.col("score_raw").desc(), "doc_id")))
+    ranked = numbered(scores, [by, "dimension"], by_score(), [F.col("score_raw").desc(), "doc_id"], "r")
     order = F.array_position(F.array(*[F.lit(d) for d in dims]), F.col("dimension")).cast("int")
     picks = ranked.select(by, "doc_id", "dimension", F.struct(F.ceil(F.col("r") / k).cast("int").alias("round"), order.alias("dim"), F.col("r")).alias("pick"))
     docs = picks.groupBy(by, "doc_id").agg(F.min("pick").alias("first"), F.sort_array(F.collect_list(F.struct("pick.round", "pick.dim", "dimension"))).alias("all"))
     docs = docs.withColumn("round", F.col("first.round")).join(pool.select(by, "doc_id", tokens), [by, "doc_id"])
     sums = docs.groupBy(by, "round").agg(F.sum(tokens).alias("_t"))
     so_far = F.sum("_t").over(Window.partitionBy(by).orderBy("round").rowsBetween(Window.unboundedPreceding, 0))
-    last = sums.withColumn("_s", so_far).filter(F.col("_s") >= target).groupBy(by).agg(F.min("round").alias("last"))
-    kept = docs.join(last, by).filter(F.col("round") <= F.col("last"))
+    ends = sums.withColumn("_s", so_far).groupBy(by).agg(F.min(F.when(F.col("_s") >= target, F.col("round"))).alias("last"), F.max("round").alias("_all"))
+    if strict and (short := ends.filter("last is null").count()):
+        raise ValueError(f"{short} pools are exhausted short of {target} tokens")
+    ends = ends.select(by, F.coalesce("last", "_all").alias("last"))
+    kept = docs.join(ends, by).filter(F.col("round") <= F.col("last"))
     names = F.array_join(F.transform(F.filter("all", lambda p: p["round"] <= F.col("last")), lambda p: p["dimension"]), "+")
-    place = F.row_number().over(Window.partitionBy(by).orderBy("first"))
-    return kept.select(by, "doc_id", tokens, "round", names.alias("selected_by"), F.element_at(F.array(*[F.lit(d) for d in dims]), F.col("first.dim")).alias("first_dimension"), place.alias("rn"))
+    placed = numbered(kept, [by], F.col("round"), ["first"])
+    return placed.select(by, "doc_id", tokens, "round", names.alias("selected_by"), F.element_at(F.array(*[F.lit(d) for d in dims]), F.col("first.dim")).alias("first_dimension"), "rn")
 
 
 def budget_prefix(selected: DataFrame, target: int, tokens: str = "tokens", by: str = "language") -> DataFrame:
@@ -83,46 +99,49 @@ def budget_prefix(selected: DataFrame, target: int, tokens: str = "tokens", by:
     return token_budget(selected.withColumn("rn", F.col("round")), target, 1, tokens, by, strict=False)
 
 
+def _placed(scores: DataFrame, by: str) -> DataFrame:
+    """scores with their ascending place _a and their group's size _n."""
+    return numbered(scores, [by], by_score(down=False), ["score_raw"], "_a", "_n")
+
+
+def _at(place: Column) -> Column:
+    return F.max(F.when(F.col("_a") == place, F.col("score_raw")))
+
+
 def threshold_table(scores: DataFrame, k: int, by: str = "language") -> DataFrame:
     """The k-th highest score, the share kept, mean, median, the 90th of 100 (by index, not interpolated) and the share above 5."""
-    over = Window.partitionBy(by)
-    rows = scores.withColumn("_d", F.row_number().over(over.orderBy(F.col("score_raw").desc()))).withColumn("_a", F.row_number().over(over.orderBy("score_raw")))
-    n = F.count("*")
-    return (
-        rows.withColumn("_n", F.count("*").over(over))
-        .groupBy(by)
-        .agg(
-            n.alias("n"),
-            F.max(F.when(F.col("_d") == k, F.col("score_raw"))).alias("threshold"),
-            F.avg("score_raw").alias("mean"),
-            F.median("score_raw").alias("median"),
-            F.max(F.when(F.col("_a") == F.floor(0.9 * (F.col("_n") - 1)) + 1, F.col("score_raw"))).alias("p90"),
-            F.avg((F.col("score_raw") > 5).cast("double")).alias("share_above_5"),
-        )
-        .withColumn("share_kept", F.when(F.col("threshold").isNotNull(), F.lit(float(k)) / F.col("n")))
+    size = F.col("_n")
+    out = _placed(scores, by).groupBy(by).agg(
+        F.count("*").alias("n"),
+        _at(size - k + 1).alias("threshold") if k > 0 else F.lit(None).cast("double").alias("threshold"),
+        F.avg("score_raw").alias("mean"),
+        ((_at(F.floor((size + 1) / 2)) + _at(F.ceil((size + 1) / 2))) / 2).alias("median"),
+        _at(F.floor(0.9 * (size - 1)) + 1).alias("p90"),
+        F.avg((F.col("score_raw") > 5).cast("double")).alias("share_above_5"),
     )
+    return out.withColumn("share_kept", F.when(F.col("threshold").isNotNull(), F.lit(float(k)) / F.col("n")))
 
 
 def describe(scores: DataFrame, by: str = "language") -> DataFrame:
     """Mean, population deviation and the 5, 50 and 95 % points at place p * (n + 1), interpolated."""
-    sorted_ = F.array_sort(F.collect_list("score_raw"))
+    size, points = F.col("_n"), (0.05, 0.5, 0.95)
+    low = lambda p: F.greatest(F.lit(1), F.least(size - 1, F.floor(F.lit(p) * (size + 1))))
+    ends = [x for p in points for x in (_at(low(p)).alias(f"_l{p}"), _at(low(p) + 1).alias(f"_h{p}"))]
+    out = _placed(scores, by).groupBy(by).agg(F.avg("score_raw").alias("mean"), F.stddev_pop("score_raw").alias("sd"), F.max("_n").alias("_n"), *ends)
 
-    def at(p):
-        place = F.lit(p) * (F.size("_s") + 1)
-        low = F.greatest(F.lit(1), F.least(F.size("_s") - 1, F.floor(place).cast("int")))
-        a, b = F.element_at("_s", low), F.element_at("_s", low + 1)
-        return F.when(F.size("_s") > 1, a + (b - a) * (place - low))
+    def point(p):
+        a, b = F.col(f"`_l{p}`"), F.col(f"`_h{p}`")
+        return F.when(size > 1, a + (b - a) * (F.lit(p) * (size + 1) - low(p))).alias(f"p{int(100 * p)}")
 
-    out = scores.groupBy(by).agg(F.avg("score_raw").alias("mean"), F.stddev_pop("score_raw").alias("sd"), sorted_.alias("_s"))
-    return out.select(by, "mean", "sd", *[at(p).alias(f"p{int(100 * p)}") for p in (0.05, 0.5, 0.95)])
+    return out.select(by, "mean", "sd", *[point(p) for p in points])
 
 
 def high_quality(scores: DataFrame, fraction: float, score: str = "score_raw", by: str = "language", least: float | None = None) -> DataFrame:
     """scores with `high`: the top fraction of each group (half to even), ties by doc_id, or all at or above `least`."""
     if least is not None:
         return scores.withColumn("high", F.col(score) >= least)
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc(), "doc_id"))
-    return scores.withColumn("high", place <= F.bround(F.count("*").over(Window.partitionBy(by)) * F.lit(fraction)))
+    placed = numbered(scores, [by], by_score(score), [F.col(score).desc(), "doc_id"], "_p", "_n")
+    return placed.withColumn("high", F.col("_p") <= F.bround(F.col("_n") * F.lit(fraction))).drop("_p", "_n")
 
 
 def membership(rows: DataFrame, flags: dict[str, str], other: str = "other") -> DataFrame:
@@ -148,3 +167,13 @@ def selection_summary(pool: DataFrame, selected: DataFrame, target: int, by: str
 
 def inside_outside(rows: DataFrame, flag: str, score: str, by: str = "language") -> DataFrame:
     return rows.groupBy(by, flag).agg(F.count("*").alias("n"), F.min(score).alias("lowest"), F.max(score).alias("highest"), F.avg(score).alias("mean"))
+
+
+def importance(rows: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """rows with a column for each set of score columns: their mean, null if any of them is missing."""
+    for name, columns in sets.items():
+        total = F.col(columns[0]).cast("double")
+        for c in columns[1:]:
+            total = total + F.col(c)
+        rows = rows.withColumn(name, total / len(columns))
+    return rows
