@@ -1,0 +1,7 @@
+"""The engine. Functions that run on executors are pickled by value, so that executors need no copy of the package on their import path."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

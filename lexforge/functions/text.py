@@ -41,7 +41,8 @@ def order_key(seed, salt, key) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    """Runs of letters, marks and digits of any script."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0)))
 
 
 def parse_score(raw: Column) -> tuple[Column, Column]:
@@ -57,6 +58,13 @@ def parse_score(raw: Column) -> tuple[Column, Column]:
     return F.when(good, number), reason
 
 
+def score_or_reason(text: Column, raw: Column) -> tuple[Column, Column]:
+    """parse_score of a row's score; an empty text overrides every reason and leaves no value."""
+    value, reason = parse_score(raw)
+    empty = F.coalesce(strip(text), F.lit("")) == ""
+    return F.when(~empty, value), F.when(empty, F.lit("empty_text")).otherwise(reason)
+
+
 def score_bin(value: Column) -> Column:
     return F.least(F.lit(4), F.floor(value)).cast("int")
 
@@ -184,6 +192,23 @@ def fill_prompt(template: str, **fields: Column) -> Column:
     return out
 
 
+#: Fixed value: what a premise loses at its end.
+SENTENCE_ENDS = " .!?\u061f\u3002"
+
+
+def passage_prompt(passage: Column, question: Column) -> Column:
+    return fill_prompt("Passage:\n{passage}\n\nQuestion: {question}\nAnswer:", passage=passage, question=question)
+
+
+def premise_prompt(premise: Column, connector: Column) -> Column:
+    """The premise without punctuation at its end, and the connector."""
+    return F.concat(F.rtrim(premise, F.lit(SENTENCE_ENDS)), F.lit(" "), connector)
+
+
+def topic_prompt(text: Column, topics: list[str]) -> Column:
+    return fill_prompt("Topics: " + ", ".join(topics) + ".\n\nText:\n{text}\n\nTopic:", text=text)
+
+
 def argmax_index(scores: Column) -> Column:
     """Index of the first maximum."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
@@ -214,18 +239,18 @@ def convert_legacy(text: str, spots: Mapping[str, str], ambiguous: Mapping[str,
     return text
 
 
-def fix_encoding_udf(spots: Mapping[str, str], ambiguous: Mapping[str, str], reorder: list[tuple[str, str]], detector: Callable[[str], float]) -> Callable[[Column], Column]:
-    """Tiered: no marker leaves a text as it is; a detector above 0.5 asks for the full conversion, else spots are fixed; then NFC."""
-    marks = set("".join(spots)) | set("".join(ambiguous))
+def fix_text(text: str, spots: Mapping[str, str], ambiguous: Mapping[str, str], reorder: list[tuple[str, str]], detector: Callable[[str], float]) -> str:
+    """Tiered: a text without an exclusive marker (a key of spots) isn't converted, whatever ambiguous characters it has; a detector above
+    0.5 asks for the full conversion, else spots alone are fixed. In the end every text is in NFC."""
+    if any(x in text for x in spots):
+        full = detector(text) > 0.5
+        text = convert_legacy(text, spots, ambiguous if full else {}, reorder if full else [])
+    return unicodedata.normalize("NFC", text)
 
+
+def fix_encoding_udf(spots: Mapping[str, str], ambiguous: Mapping[str, str], reorder: list[tuple[str, str]], detector: Callable[[str], float]) -> Callable[[Column], Column]:
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None or not marks & set(t):
-                return t
-            full = detector(t) > 0.5
-            return unicodedata.normalize("NFC", convert_legacy(t, spots, ambiguous if full else {}, reorder if full else []))
-
-        return text.map(one)
+        return text.map(lambda t: None if t is None else fix_text(t, spots, ambiguous, reorder, detector))
 
     return run

@@ -50,7 +50,7 @@ def _case(d: str) -> str:
 
 
 SQL_CORPUS = r"""corpus AS (SELECT doc_id, text, lang AS language, source AS domain, length(text) AS char_len,
-  len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS tokens, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_hash FROM documents)"""
+  len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}]+')) AS tokens, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_hash FROM documents)"""
 SQL_SCORES = "scores AS (" + " UNION ALL ".join(f"SELECT lang AS language, doc_id, '{d}' AS dimension, {_case(d)} AS score_raw FROM documents" for d in NAMES) + ")"
 SQL_ANNOTATIONS = f"""annotations AS (SELECT c.*, l.quality, l.toxic, greatest(0.0::DOUBLE, l.quality * 3.0::DOUBLE + c.doc_id % 3 - l.toxic) AS human,
   {_case('edu').replace('doc_id', 'c.doc_id')} AS raw FROM corpus c JOIN labels l ON c.doc_id = l.doc_id)"""
