@@ -118,8 +118,12 @@ def leakage_filter(spark, d):
     return corpus.leakage_filter(docs, human=human, pilot=pilot).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"{WITH}, f AS (SELECT doc_id, text_hash, text FROM corpus WHERE length(trim(text)) BETWEEN 500 AND 4000 AND doc_id NOT IN (SELECT doc_id FROM labels) AND len(list_intersect(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), ['idiot', 'scum'])) = 0) "
+    "SELECT doc_id AS ordinal, doc_id::VARCHAR AS doc_id, text_hash FROM f QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY f.doc_id) = 1"
+)
 def corpus_filter(spark, d):
+    """Ids are unique here, so the sequential rule is the first of each text among rows that pass."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
     none = docs.filter("false").select(F.lit("").alias("text_hash"))
@@ -164,7 +168,18 @@ def validation_split(spark, d):
     return split.validation_split(rows, 0.1, SEED).select("doc_id", "split")
 
 
-@query()
+def _walk(name, source, size):
+    """First fit of the sites of source, in order, into size documents."""
+    return f"{name}(rn, room, took) AS (SELECT 0::BIGINT, {size}::BIGINT, false UNION ALL SELECT s.rn, CASE WHEN s.n <= {name}.room THEN {name}.room - s.n ELSE {name}.room END, s.n <= {name}.room FROM {name} JOIN {source} s ON s.rn = {name}.rn + 1)"
+
+
+@query(
+    r"WITH RECURSIVE p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS domain FROM pages), "
+    "a AS (SELECT domain, count(*) AS n, row_number() OVER (ORDER BY sha256('42:all:' || domain), domain) AS rn FROM p GROUP BY domain HAVING count(*) <= 10), "
+    f"{_walk('t', 'a', 5)}, b AS (SELECT domain, n, row_number() OVER (ORDER BY a.rn) AS rn FROM a JOIN t USING (rn) WHERE NOT took), {_walk('v', 'b', 2)}, "
+    "k AS (SELECT domain, 'test' AS split FROM a JOIN t USING (rn) WHERE took UNION ALL SELECT domain, 'validation' FROM b JOIN v USING (rn) WHERE took) "
+    "SELECT 'all' AS language, p.domain, page_id, coalesce(k.split, 'train') AS split FROM p LEFT JOIN k USING (domain)"
+)
 def website_split(spark, d):
     rows = table(spark, d, "pages").select(F.lit("all").alias("language"), T.domain_of(F.col("url"), F.col("page_id")).alias("domain"), "page_id")
     return split.website_split(rows, 5, 2, SEED, 10)
@@ -225,7 +240,7 @@ def _selected(spark, d):
     rows = corpus_view(spark, d).filter(corpus.in_window(F.col("text"))).drop("text")
     rows = corpus.keep_first(rows, ["text_hash"], ["doc_id"])
     mean = select.combine_scores(scores(spark, d), ["language", "doc_id"]).select("language", "doc_id", "score_raw")
-    return select.token_budget(select.rank_by_score(rows.join(mean, ["language", "doc_id"])), TARGET, GROUP, strict=False)
+    return select.token_budget(select.rank_by_score(rows.join(mean, ["language", "doc_id"]), whole=True), TARGET, GROUP, strict=False)
 
 
 @query(f"{BUDGET} SELECT language, doc_id, rn::INTEGER AS rn, tokens, round(score_raw, 6) AS score FROM k")
@@ -246,14 +261,14 @@ ROBIN = (
     f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY language, dimension ORDER BY score_raw DESC, doc_id) AS r, CASE dimension " + " ".join(f"WHEN '{n}' THEN {i + 1}" for i, n in enumerate(NAMES)) + " END AS dim FROM scores), "
     "p AS (SELECT *, ceil(r / 5.0)::INTEGER AS rd FROM r), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY language, doc_id ORDER BY rd, dim, r) = 1), "
     "t AS (SELECT f.language, f.doc_id, f.rd, f.dim, f.r, f.dimension, c.tokens FROM f JOIN corpus c ON c.doc_id = f.doc_id), s AS (SELECT language, rd, sum(tokens) AS t FROM t GROUP BY ALL), "
-    f"a AS (SELECT language, rd, sum(t) OVER (PARTITION BY language ORDER BY rd) AS acc FROM s), l AS (SELECT language, min(rd) AS last FROM a WHERE acc >= {TARGET} GROUP BY language), "
+    f"a AS (SELECT language, rd, sum(t) OVER (PARTITION BY language ORDER BY rd) AS acc FROM s), l AS (SELECT language, coalesce(min(rd) FILTER (WHERE acc >= {TARGET}), max(rd)) AS last FROM a GROUP BY language), "
     "n AS (SELECT p.language, p.doc_id, string_agg(p.dimension, '+' ORDER BY p.rd, p.dim) AS selected_by FROM p JOIN l ON l.language = p.language AND p.rd <= l.last GROUP BY ALL), "
     "k AS (SELECT t.*, n.selected_by, row_number() OVER (PARTITION BY t.language ORDER BY rd, dim, r) AS rn FROM t JOIN l ON l.language = t.language AND t.rd <= l.last JOIN n ON n.language = t.language AND n.doc_id = t.doc_id)"
 )
 
 
 def _robin(spark, d):
-    return select.round_robin(corpus_view(spark, d), scores(spark, d), NAMES, 5, TARGET)
+    return select.round_robin(corpus_view(spark, d), scores(spark, d), NAMES, 5, TARGET, strict=False)
 
 
 @query(f"{ROBIN} SELECT language, doc_id, tokens, rd AS round, selected_by, dimension AS first_dimension, rn::INTEGER AS rn FROM k")
@@ -477,14 +492,14 @@ def weighted_vector_mean(spark, d):
 
 
 @query(
-    f"{WITH}, r AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'u' || doc_id ELSE doc_id::VARCHAR END AS id, text_hash, doc_id AS line FROM corpus WHERE doc_id % 2 = 0), c AS (SELECT *, doc_id::VARCHAR AS id FROM corpus), "
+    f"{WITH}, r AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'u' || doc_id ELSE doc_id::VARCHAR END AS id, text_hash, doc_id AS line FROM corpus), c AS (SELECT *, doc_id::VARCHAR AS id FROM corpus), "
     "a AS (SELECT r.line, c.language, c.id AS doc_id, c.text_hash FROM r JOIN c ON r.id = c.id), b AS (SELECT r.line, c.language, c.id AS doc_id, c.text_hash FROM r JOIN c ON r.text_hash = c.text_hash WHERE r.id NOT IN (SELECT id FROM c)), "
     "u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT line, language, doc_id FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, text_hash ORDER BY line, language) = 1"
 )
 def llm_human_match(spark, d):
     rows = corpus_view(spark, d).withColumn("id", F.col("doc_id").cast("string"))
     known = rows.select("language", F.col("id").alias("doc_id"), T.content_hash(F.col("text")).alias("content"))
-    records = rows.filter("doc_id % 2 = 0").select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("u"), "id")).otherwise(F.col("id")).alias("id"), "text")
+    records = rows.select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("u"), "id")).otherwise(F.col("id")).alias("id"), "text")
     return labels.match_records(known, records).select("line", "language", "doc_id")
 
 
@@ -510,11 +525,11 @@ VALUES = "least(4, floor(least(5.0::DOUBLE, greatest(0.0::DOUBLE, score_raw)))):
 
 
 @query(
-    f"{WITH}, s AS (SELECT d AS dimension, v::INTEGER AS value FROM unnest({NAMES}) t(d), range(0, 6) r(v)), c AS (SELECT dimension, {VALUES} AS value, count(*) AS n FROM scores WHERE doc_id % 17 = 0 GROUP BY ALL) SELECT dimension, value, coalesce(n, 0) AS n, greatest(0, 25 - coalesce(n, 0)) AS gap FROM s LEFT JOIN c USING (dimension, value)"
+    f"{WITH}, s AS (SELECT d AS dimension, v::INTEGER AS value FROM unnest({NAMES}) t(d), range(0, 6) r(v)), c AS (SELECT dimension, {VALUES} AS value, count(*) AS n FROM scores GROUP BY ALL) SELECT dimension, value, coalesce(n, 0) AS n, greatest(0, 200 - coalesce(n, 0)) AS gap FROM s LEFT JOIN c USING (dimension, value)"
 )
 def gap_table(spark, d):
-    long = scores(spark, d).filter("doc_id % 17 = 0").select("dimension", T.score_bin(T.clip(F.col("score_raw"))).alias("value"))
-    return labels.gap_table(long, NAMES, 25)
+    long = scores(spark, d).select("dimension", T.score_bin(T.clip(F.col("score_raw"))).alias("value"))
+    return labels.gap_table(long, NAMES, 200)
 
 
 @query(f"{WITH} SELECT 'language' AS name, language AS value, count(*) AS n, count(*) FILTER (WHERE doc_id % 10 = 0) AS n_in_split FROM corpus GROUP BY ALL UNION ALL SELECT 'domain', domain, count(*), count(*) FILTER (WHERE doc_id % 10 = 0) FROM corpus GROUP BY ALL")
@@ -718,17 +733,24 @@ def weighted_block_stats(spark, d):
     return geometry.weighted_block_stats(rows, 1024, "weight").select("language", "documents", "tokens", "blocks", six("mean_weight", "mean_weight"))
 
 
+#: Rows that a regression head is fitted to, those of smallest id hash.
+HEAD_SAMPLE = 2000
+
+
 @query()
 def embedding_head(spark, d):
-    """A head fitted to the label on at most 2,000 rows (those of smallest id), applied to all."""
+    """A head fitted to the label on a sample of at most HEAD_SAMPLE rows, applied to all."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    got = rows.orderBy("vec_id").limit(2000).toPandas()
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(HEAD_SAMPLE).orderBy("vec_id").toPandas()
     x, y = np.stack(got["embedding"].to_numpy()).astype(float), got["label"].to_numpy(float)
     held = got["vec_id"].to_numpy() % 5 == 0
     head = models.train_head(x[~held], y[~held], y[~held], (x[held], y[held], y[held]), hidden=32, epochs=10)
     return models.predict(rows, head, "embedding").select("vec_id", "label", "raw")
 
 
+from . import catalog_small as _small  # noqa: E402, F401  registers its queries here
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection_token_budget(spark, sf_dir)
 

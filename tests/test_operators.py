@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.operators import bench, corpus, geometry, labels, metrics, sampling, select, split
+from lexforge.operators import ranks as ranks_of
 from lexforge.sources import readers, sinks
 from lexforge.streaming import incremental
 
@@ -160,6 +161,26 @@ def test_round_robin(spark):
         assert got == robin(tokens, ranks, dims, 2, 40)
 
 
+def test_round_robin_of_a_pool_that_runs_out(spark):
+    rows = spark.createDataFrame([(x, f"d{k}", 10) for x, n in (("en", 9), ("xx", 3)) for k in range(n)], "language string, doc_id string, tokens int")
+    long = rows.select("language", "doc_id", F.lit("a").alias("dimension"), F.col("tokens").cast("double").alias("score_raw"))
+    with pytest.raises(ValueError, match="1 pools are exhausted"):
+        select.round_robin(rows, long, ["a"], 2, 40)
+    got = select.round_robin(rows, long, ["a"], 2, 40, strict=False).groupBy("language").count().collect()
+    assert {r["language"]: r["count"] for r in got} == {"en": 4, "xx": 3}
+
+
+def test_numbers_over_buckets_are_row_numbers(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(rng.choice(["a", "b", None]), k, rng.choice([None, 1.5, 2.0, 2.0004, 2.0005, -0.25, 7.0])) for k in range(200)], "language string, doc_id int, score_raw double")
+    got = {r["doc_id"]: (r["rn"], r["n"]) for r in ranks_of.numbered(rows, ["language"], ranks_of.by_score(), [F.col("score_raw").desc(), "doc_id"], total="n").collect()}
+    held = [tuple(r) for r in rows.collect()]
+    for x in ("a", "b", None):
+        mine = sorted((r for r in held if r[0] == x), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        assert [got[i] for _, i, _ in mine] == [(k + 1, len(mine)) for k in range(len(mine))]
+    assert select.rank_randomly(rows.dropna(subset=["language"]), 3, whole=True).orderBy("doc_id").collect() == select.rank_randomly(rows.dropna(subset=["language"]), 3).select("language", "doc_id", "score_raw", "rn").orderBy("doc_id").collect()
+
+
 def test_thresholds_and_weights(spark):
     df = spark.createDataFrame([("en", x) for x in [1.0, 2.0, 3.0, 4.0, 5.5]], "language string, score_raw double")
     row = select.threshold_table(df, 2).first()
@@ -198,7 +219,7 @@ def test_validation_split_takes_one_of_two(spark):
 
 
 def test_metrics(spark):
-    ranks = spark.createDataFrame([(x,) for x in (1, 2, 2, 3)], "v int").withColumn("g", F.lit(1)).withColumn("r", metrics.mean_rank("v", "g"))
+    ranks = ranks_of.with_mean_rank(spark.createDataFrame([(None, x) for x in (1, 2, 2, 3)], "g string, v int"), "v", ["g"], "r")
     assert sorted(r["r"] for r in ranks.collect()) == [1, 2.5, 2.5, 4]
     pairs = spark.createDataFrame([("en", x + 0.5, float(x)) for x in range(5)], "language string, human double, llm double")
     row = metrics.agreement(pairs).filter("language = 'all'").first()
@@ -241,17 +262,79 @@ def test_shots_and_subsets(spark):
 
 
 def test_walks(spark):
-    rng = random.Random(1)
-    rows = spark.createDataFrame([(k, "ab"[k % 2], rng.randint(0, 5), rng.randint(0, 5)) for k in range(40)], "doc_id int, source string, edu int, clean int")
-    got = sampling.greedy_diversity(rows, ["edu", "clean"], 10, {"a": 4, "b": 6}, 1).join(rows, "doc_id").collect()
-    assert len(got) == 10 and sum(r["source"] == "a" for r in got) == 4
-    out = sampling.iterative_stratification(rows, ["edu", "clean"], {"train": 30, "test": 10}, 1)
-    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 30, "test": 10}
     gaps = iter([{"x": 5}, {"x": 3}, {"x": 3}, {"x": 3}, {"x": 3}])
     end = sampling.scoring_rounds([1, 2, 3, 4], lambda: next(gaps), lambda b, most: min(most, 10), 100)
     assert end["attempted"] == 30 and end["dead"] == ["x"]
     steps = sampling.balanced_steps({"a": 1, "b": 1, "c": 1}, 4, 3)
     assert all(sum(s.values()) == 4 for s in steps) and {x: sum(s[x] for s in steps) for x in "abc"} == {"a": 4, "b": 4, "c": 4}
+    assert sampling.least_loaded({"a": 3, "b": 5, "c": 2, "d": 0}, 2) == [["b", "d"], ["a", "c"]]
+
+
+@pytest.mark.parametrize("target", [10, 25, 80])
+def test_greedy_diversity_row_by_row(spark, target):
+    """The rule of one row after the other: gaps of its values to the floor, a tenth and a twentieth of what its buckets lack."""
+    import hashlib
+
+    rng = random.Random(target)
+    rows = [(k, "ab"[k % 2], rng.randint(0, 3), rng.randint(0, 2), rng.choice(["s", "l"])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, source string, edu int, clean int, len_bucket string")
+    shares, quotas = {"s": 0.7, "l": 0.3}, {"a": target // 3, "b": target}
+    got = [r["doc_id"] for r in sampling.greedy_diversity(df, ["edu", "clean"], target, quotas, 1, floor=6, length_share=shares).orderBy("place").collect()]
+    waiting = sorted(rows, key=lambda r: hashlib.sha256(f"1:greedy:{r[0]}".encode()).hexdigest())
+    taken = []
+    while waiting and len(taken) < target:
+        def price(r):
+            if sum(t[1] == r[1] for t in taken) >= quotas[r[1]]:
+                return -1
+            value = sum(max(0, 6 - sum(t[i] == r[i] for t in taken)) for i in (2, 3))
+            return value + 0.1 * max(0, max(1, int(len(taken) * shares[r[4]])) - sum(t[4] == r[4] for t in taken))
+
+        best = max(waiting, key=price)  # the first of equals
+        if price(best) < 0 and len(rows) > target:
+            break
+        waiting.remove(best)
+        taken.append(best)
+    want = [r[0] for r in taken] if len(rows) > target else [r[0] for r in sorted(rows, key=lambda r: hashlib.sha256(f"1:greedy:{r[0]}".encode()).hexdigest())]
+    assert got == want
+
+
+def test_deals_of_like_rows_are_those_of_one_after_the_other():
+    rng = random.Random(1)
+    for _ in range(200):
+        desire = {s: rng.choice([0.0, 1.5, -2.0, 7.25, 30.1]) + rng.choice([0, 0.5]) for s in "xyz"}
+        room = {s: rng.randint(0, 20) for s in "xyz"}
+        n = rng.randint(0, sum(room.values()))
+        d, r, want = dict(desire), dict(room), {s: 0 for s in "xyz"}
+        for _ in range(n):
+            s = max((s for s in d if r[s]), key=lambda s: (d[s], r[s]))
+            d[s], r[s], want[s] = d[s] - 1, r[s] - 1, want[s] + 1
+        got = {s: 0 for s in "xyz"}
+        for s, c in sampling.dealt(n, desire, room):
+            got[s] += c
+        assert got == want
+
+
+def test_iterative_stratification(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice("aaab"), rng.randint(0, 4)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, edu string, clean int")
+    out = sampling.iterative_stratification(df, ["edu", "clean"], {"train": 280, "validation": 40, "test": 80}, 1).join(df, "doc_id").collect()
+    assert len(out) == 400
+    for s, size in (("train", 280), ("validation", 40), ("test", 80)):
+        mine = [r for r in out if r["split"] == s]
+        assert len(mine) == size
+        for column, i in (("edu", 1), ("clean", 2)):
+            for v in {r[i] for r in rows}:  # every label comes near its share
+                assert abs(sum(r[column] == v for r in mine) - sum(r[i] == v for r in rows) * size / 400) <= 4
+    with pytest.raises(ValueError, match="sizes sum"):
+        sampling.iterative_stratification(df, ["edu"], {"train": 3}, 1)
+
+
+def test_legacy_text_is_converted_by_its_exclusive_markers_only():
+    fix = lambda t, p: T.fix_text(t, {"\x80": "€"}, {"a": "x"}, [("xb", "bx")], lambda _: p)
+    assert fix("bab", 1.0) == "bab"  # ambiguous characters alone mark nothing
+    assert fix("e\u0301", 0.0) == "\u00e9"  # composed, marker or not
+    assert fix("ab\x80", 0.4) == "ab€" and fix("ab\x80", 0.9) == "bx€"
 
 
 def test_geometry(spark):
