@@ -1,4 +1,4 @@
-"""Headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS], and their SQL in DuckDB on as many threads; prints one JSON line."""
 
 import json
 import os
@@ -15,6 +15,26 @@ HEADLINE = [
     "selection_token_budget", "selection_round_robin", "text_hash_dedup", "stratified_split", "score_range_cube", "rater_comparison",
     "dimension_spearman", "leakage_filter", "pack_offsets", "sliding_window_targets", "event_windows", "corpus_totals",
 ]
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def duckdb_seconds(sf_dir: str, cpus: str) -> dict[str, float]:
+    """Seconds of the same queries' SQL; nothing where DuckDB isn't installed."""
+    try:
+        import duckdb
+    except ImportError:
+        return {}
+    base = duckdb.connect(config={"threads": int(cpus)})
+    base.execute("SET TimeZone = 'UTC'")
+    for name in TABLES:
+        path = f"{sf_dir}/{name}.parquet"
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
+    sql, took = catalog.oracle_sql(), {}
+    for name in HEADLINE:
+        began = time.time()
+        base.execute(sql[name]).fetchall()
+        took[name] = round(time.time() - began, 3)
+    return took
 
 
 def main() -> None:
@@ -36,8 +56,12 @@ def main() -> None:
         began = time.time()
         found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
+    other = duckdb_seconds(sf_dir, cpus)
+    out = {"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}
+    if other:
+        out |= {"duckdb": other, "duckdb_total": round(sum(other.values()), 3), "ratio": round(sum(took.values()) / sum(other.values()), 2)}
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":

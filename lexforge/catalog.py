@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import bench, corpus, geometry, labels, metrics, models, sampling, select, split, tables
 from .plans.views import NAMES, SQL_SCORE, WITH, annotations, score_of, scores, table
 from .plans.views import corpus as corpus_view
+from .plans.written import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -240,7 +241,8 @@ def _selected(spark, d):
     rows = corpus_view(spark, d).filter(corpus.in_window(F.col("text"))).drop("text")
     rows = corpus.keep_first(rows, ["text_hash"], ["doc_id"])
     mean = select.combine_scores(scores(spark, d), ["language", "doc_id"]).select("language", "doc_id", "score_raw")
-    return select.token_budget(select.rank_by_score(rows.join(mean, ["language", "doc_id"]), whole=True), TARGET, GROUP, strict=False)
+    pool = written(rows.join(mean, ["language", "doc_id"]).select("language", "doc_id", "char_len", "tokens", "score_raw"))  # texts are read once
+    return select.token_budget(select.rank_by_score(pool, whole=True), TARGET, GROUP, strict=False)
 
 
 @query(f"{BUDGET} SELECT language, doc_id, rn::INTEGER AS rn, tokens, round(score_raw, 6) AS score FROM k")

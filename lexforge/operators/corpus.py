@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, has_any_word, strip, text_hash
+from ..plans.written import written
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -17,19 +18,6 @@ def in_window(text: Column, low: int = 500, high: int = 4000) -> Column:
     return F.length(text).between(low, high)
 
 
-def _checkpoint_dir(spark) -> None:
-    """The session's spark.checkpoint.dir; where none is set, a folder of its own on a local master, an error on a cluster."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not known:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            from tempfile import mkdtemp
-
-            known = mkdtemp()
-        spark.sparkContext.setCheckpointDir(known)
-
-
 def sequential_dedup(rows: DataFrame) -> DataFrame:
     """(ordinal, reason): duplicate_id or duplicate_text if an accepted earlier row has the id or the text, else null.
 
@@ -37,17 +25,16 @@ def sequential_dedup(rows: DataFrame) -> DataFrame:
     Repeated until none is left, that is the sequential rule: a round for each link of the longest chain of dependences, and one for
     any number of plain copies. Minima are aggregated before they are exchanged, so a very frequent id or text is no large task.
     """
-    _checkpoint_dir(rows.sparkSession)
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c)  # noqa: E731  null is a value like others
     rows = rows.select("ordinal", own("doc_id"), own("text_hash"))
-    left = rows.groupBy("doc_id", "text_hash").agg(F.min("ordinal").alias("ordinal")).checkpoint()
+    left = written(rows.groupBy("doc_id", "text_hash").agg(F.min("ordinal").alias("ordinal")))
     accepted = None
     while not left.isEmpty():
         by_id = left.groupBy("doc_id").agg(F.min("ordinal").alias("_i"))
         by_text = left.groupBy("text_hash").agg(F.min("ordinal").alias("_t"))
-        first = left.join(by_id, "doc_id").join(by_text, "text_hash").filter("ordinal = _i and ordinal = _t").select("doc_id", "text_hash", "ordinal").checkpoint()
+        first = written(left.join(by_id, "doc_id").join(by_text, "text_hash").filter("ordinal = _i and ordinal = _t").select("doc_id", "text_hash", "ordinal"))
         accepted = first if accepted is None else accepted.unionByName(first)
-        left = left.join(first.select("doc_id"), "doc_id", "left_anti").join(first.select("text_hash"), "text_hash", "left_anti").checkpoint()
+        left = written(left.join(first.select("doc_id"), "doc_id", "left_anti").join(first.select("text_hash"), "text_hash", "left_anti"))
     if accepted is None:
         return rows.select("ordinal", F.lit(None).cast("string").alias("reason"))
     by_id = accepted.select("doc_id", F.col("ordinal").alias("id_first"))
@@ -62,7 +49,6 @@ def collect_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept rows, counters by reason) of a stream (ordinal, doc_id, text): length, overlap_id, overlap_text, duplicate_id,
     duplicate_text, adult, in this order; the stream stops at the row that fills the target, and counters cover rows up to there."""
-    _checkpoint_dir(stream.sparkSession)
     whole = stream.withColumn("text", strip(F.col("text"))).withColumn("text_hash", text_hash(F.col("text")))
     ids = exclude_ids.select(F.col("doc_id"), F.lit(True).alias("_id")).distinct()
     hashes = exclude_hashes.select(F.col("text_hash"), F.lit(True).alias("_hash")).distinct()
@@ -71,7 +57,7 @@ def collect_documents(
     rows = whole.select("ordinal", "doc_id", "text_hash", in_window(F.col("text"), low, high).alias("fits"), adult.alias("adult"))
     rows = rows.join(ids, "doc_id", "left").join(hashes, "text_hash", "left")
     early = F.when(~F.col("fits"), "length").when(F.col("_id"), "overlap_id").when(F.col("_hash"), "overlap_text")
-    rows = rows.select("ordinal", "doc_id", "text_hash", "adult", early.alias("early")).checkpoint()
+    rows = written(rows.select("ordinal", "doc_id", "text_hash", "adult", early.alias("early")))
     seen = sequential_dedup(rows.filter(F.col("early").isNull() & ~F.col("adult")))
     # An adult row is tested against accepted earlier rows first, and never blocks a later one.
     clean = rows.join(seen.filter("reason is null"), "ordinal", "left_semi")
@@ -85,7 +71,7 @@ def collect_documents(
         .when(F.col("adult"), "adult")
         .otherwise("kept")
     )
-    told = told.select("ordinal", reason.alias("reason")).checkpoint()
+    told = written(told.select("ordinal", reason.alias("reason")))
     # The target-th kept row: top-k by ordinal, no global window.
     kept = told.filter("reason = 'kept'")
     stop = None if kept.count() < target else kept.orderBy("ordinal").limit(target).agg(F.max("ordinal")).first()[0]
@@ -105,7 +91,7 @@ def leakage_filter(docs: DataFrame, *, human: DataFrame, pilot: DataFrame) -> Da
     pilots = pilot.select("content", F.lit(True).alias("_p")).distinct()
     rows = rows.join(ids, "doc_id", "left").join(contents, "content", "left").join(pilots, "content", "left")
     early = F.when(F.col("_e"), "empty").when(F.coalesce("_h1", "_h2"), "human").when(F.col("_p"), "pilot")
-    rows = rows.select("ordinal", "content", early.alias("early"))
+    rows = written(rows.select("ordinal", "content", early.alias("early")))
     first = rows.filter("early is null").groupBy("content").agg(F.min("ordinal").alias("_first"))
     told = rows.join(first, "content", "left").select("ordinal", F.coalesce("early", F.when(F.col("ordinal") != F.col("_first"), "duplicate")).alias("reason"))
     return docs.join(told, "ordinal").select(*docs.columns, "reason")

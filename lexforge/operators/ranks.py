@@ -50,12 +50,8 @@ def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list[Column
 
 
 def with_mean_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """rows with `name`: the mean of the places that rows of the same value take. Rows meet as counts of their values."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c")).withColumn("_b", by_score(value, down=False))
-    sizes = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = with_sums(counts.withColumn("_own", own), sizes, [*by, "_b"])
-    ranks = ranks.select(*by, value, (F.col("_own") + F.col("_ahead") + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
+    """rows with `name`: the mean of the places that rows of the same value take. Places are summed over counts of values, not over rows."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
     return with_sums(rows, ranks, [*by, value])

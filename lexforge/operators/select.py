@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, order_key
+from ..plans.written import written
 from .ranks import by_hash, by_score, numbered
 
 
@@ -81,7 +82,7 @@ def round_robin(pool: DataFrame, scores: DataFrame, dims: list[str], k: int, tar
     order = F.array_position(F.array(*[F.lit(d) for d in dims]), F.col("dimension")).cast("int")
     picks = ranked.select(by, "doc_id", "dimension", F.struct(F.ceil(F.col("r") / k).cast("int").alias("round"), order.alias("dim"), F.col("r")).alias("pick"))
     docs = picks.groupBy(by, "doc_id").agg(F.min("pick").alias("first"), F.sort_array(F.collect_list(F.struct("pick.round", "pick.dim", "dimension"))).alias("all"))
-    docs = docs.withColumn("round", F.col("first.round")).join(pool.select(by, "doc_id", tokens), [by, "doc_id"])
+    docs = written(docs.withColumn("round", F.col("first.round")).join(pool.select(by, "doc_id", tokens), [by, "doc_id"]))
     sums = docs.groupBy(by, "round").agg(F.sum(tokens).alias("_t"))
     so_far = F.sum("_t").over(Window.partitionBy(by).orderBy("round").rowsBetween(Window.unboundedPreceding, 0))
     ends = sums.withColumn("_s", so_far).groupBy(by).agg(F.min(F.when(F.col("_s") >= target, F.col("round"))).alias("last"), F.max("round").alias("_all"))
