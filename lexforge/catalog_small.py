@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import SEED, annotations, corpus_view, edu, query, score_of, scores, six, table
 from .functions import text as T
-from .operators import bench, corpus, geometry, labels, metrics, sampling, select, split, tables
+from .operators import bench, corpus, generation, geometry, labels, metrics, sampling, select, split, tables
 from .operators.ranks import numbered
 from .plans.views import NAMES, SQL_SCORE, WITH
 from .sources import sinks
@@ -424,3 +424,28 @@ def truncated_ids(spark, d):
 @query(f"{WITH}, s AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM corpus) SELECT language, domain, count(DISTINCT split) AS n_splits FROM s GROUP BY ALL HAVING count(DISTINCT split) > 1")
 def crossing_sites(spark, d):
     return split.crossing_sites(corpus_view(spark, d).withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train")))
+
+
+@query(
+    "WITH c AS (SELECT doc_id, k AS choice, ((doc_id * (k + 3)) % 7)::DOUBLE AS loglik, doc_id % 4 AS gold FROM documents, range(0, 4) t(k)), b AS (SELECT doc_id, gold, choice FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loglik DESC, choice) = 1) SELECT doc_id, choice, gold, choice = gold AS correct FROM b"
+)
+def chosen_answers(spark, d):
+    rows = docs(spark, d).select("doc_id", (F.col("doc_id") % 4).alias("gold"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("choice"))
+    rows = rows.withColumn("loglik", ((F.col("doc_id") * (F.col("choice") + 3)) % 7).cast("double"))
+    return bench.chosen(rows, ["doc_id"])
+
+
+PAIRS = "q AS (SELECT a.role, string_split(a.text, ' ') AS h, string_split(b.text, ' ') AS r, row_number() OVER () AS id FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+
+
+@query(
+    f"WITH {PAIRS}, o(n) AS (SELECT unnest([1, 2, 3, 4])), g AS (SELECT role, id, n, 'm' AS side, array_to_string(h[i : i + n - 1], chr(31)) AS gram FROM q, o, range(1, 400) t(i) WHERE i + n - 1 <= len(h) UNION ALL SELECT role, id, n, 'w', array_to_string(r[i : i + n - 1], chr(31)) FROM q, o, range(1, 400) t(i) WHERE i + n - 1 <= len(r)), "
+    "p AS (SELECT role, id, n, gram, count(*) FILTER (WHERE side = 'm') AS m, count(*) FILTER (WHERE side = 'w') AS w FROM g GROUP BY ALL), s AS (SELECT role, n, sum(m) AS m, sum(w) AS w, sum(least(m, w)) AS c FROM p GROUP BY ALL) "
+    "SELECT role, round(avg(c / m), 6) AS precision, round(avg(c / w), 6) AS recall FROM s GROUP BY role"
+)
+def ngram_overlap(spark, d):
+    turns = table(spark, d, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.split("text", " ").alias("reference"))
+    pairs = turns.select("conv_id", "turn", "role", F.split("text", " ").alias("hypothesis")).join(after, ["conv_id", "turn"])
+    found = generation.matches(pairs, ["role"], [("t", n, F.col("hypothesis"), F.col("reference")) for n in range(1, 5)])
+    return found.groupBy("role").agg(six(F.avg(F.col("matched") / F.col("made")), "precision"), six(F.avg(F.col("matched") / F.col("wanted")), "recall"))

@@ -77,3 +77,9 @@ def flat_metrics(rows: DataFrame, raw: str = "results") -> DataFrame:
     nested = F.from_json(F.col(raw), "map<string, map<string, double>>")
     tasks = rows.select(F.explode(nested).alias("task", "_m"))
     return tasks.select("task", F.explode("_m").alias("metric", "value"))
+
+
+def chosen(choices: DataFrame, by: list[str]) -> DataFrame:
+    """choices (by, choice, loglik, gold): the choice of largest likelihood, the first of equals, and whether it is the gold one."""
+    best = F.max_by("choice", F.struct("loglik", -F.col("choice")))
+    return choices.groupBy(*by).agg(best.alias("choice"), F.max("gold").alias("gold")).withColumn("correct", F.col("choice") == F.col("gold"))

@@ -64,6 +64,15 @@ def parquet(spark: SparkSession, path: str, least_chars: int | None = None, colu
     return rows.select(*columns) if columns else rows
 
 
+def scored_stream(spark: SparkSession, path: str, score: str, least_chars: int = 500) -> DataFrame:
+    """Texts of at least least_chars characters with a score, NaN where there is none; an error if there are no texts, or none has a score."""
+    rows = parquet(spark, path, least_chars).withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(float("nan"))))
+    found = rows.agg(F.count("*").alias("n"), F.count_if(~F.isnan(score)).alias("scored")).first()
+    if not found["n"] or not found["scored"]:
+        raise ValueError(f"{found['n']} texts, {found['scored']} with a score")
+    return rows
+
+
 def scores(spark: SparkSession, path: str, clipped: bool = False) -> DataFrame:
     return csv(spark, path, SCORES).select("language", "doc_id", "score" if clipped else "score_raw")
 

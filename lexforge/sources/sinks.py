@@ -29,6 +29,26 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.filter(~F.col("path").rlike(r"/[._][^/]*$")).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def copy_artifacts(spark: SparkSession, source: str, target: str, suffixes: list[str]) -> list[str]:
+    """Copies the files below source whose suffix is allowed, and returns their places there; hidden and cache files are left out, as
+    are links, which the file listing doesn't follow."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path")
+    allowed = "(" + "|".join(x.replace(".", r"\.") for x in suffixes) + ")$"
+    kept = files.filter(F.col("path").rlike(allowed) & ~F.col("path").rlike(r"/([._][^/]*|__pycache__)(/|$)"))
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    root = jvm.org.apache.hadoop.fs.Path(source)
+    base = root.getFileSystem(conf).makeQualified(root).toUri().getPath().rstrip("/")
+    out = []
+    for r in kept.orderBy("path").collect():  # names of the files of a release
+        at = jvm.org.apache.hadoop.fs.Path(r["path"])
+        name = at.toUri().getPath()[len(base) + 1 :]
+        to = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{name}")
+        to.getFileSystem(conf).mkdirs(to.getParent())
+        jvm.org.apache.hadoop.fs.FileUtil.copy(at.getFileSystem(conf), at, to.getFileSystem(conf), to, False, True, conf)
+        out.append(name)
+    return out
+
+
 def is_complete(spark: SparkSession, path: str, expected: int) -> bool:
     """Whether a written table is there with the expected rows."""
     try:

@@ -430,3 +430,83 @@ def test_models(spark):
         tables.aligned_pairs(texts, texts.filter("id = 1"), ["id"])
     cut = tables.truncated(texts.select(F.sequence(F.lit(1), F.col("id")).alias("ids")), "ids", 2).collect()
     assert sorted((len(r["ids"]), r["at_limit"]) for r in cut) == [(1, False), (2, True), (2, True)]
+
+
+def test_scores_of_generated_text(spark):
+    from collections import Counter
+
+    from lexforge.operators import generation
+
+    pairs = [("en", "the cat sat on the mat", "the cat is on the mat"), ("en", "a b c d e", "a b c d f"), ("xx", "", "nothing here"), ("xx", "one two", "one two")]
+    df = spark.createDataFrame(pairs, "language string, hypothesis string, reference string")
+
+    def overlap(items, n):
+        made = wanted = both = 0
+        for h, r in items:
+            x, y = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (h, r))
+            made, wanted, both = made + sum(x.values()), wanted + sum(y.values()), both + sum((x & y).values())
+        return made, wanted, both
+
+    got = {r["language"]: r["chrf"] for r in generation.chrf(df, ["language"]).collect()}
+    tokens = df.select("language", F.split("hypothesis", " ").alias("hypothesis"), F.split("reference", " ").alias("reference"))
+    blue = {r["language"]: r["bleu"] for r in generation.bleu(tokens, ["language"], 2).collect()}
+    for x in ("en", "xx"):
+        mine = [(h, r) for y, h, r in pairs if y == x]
+        scores = []
+        for cut, orders in ((lambda t: list(t.replace(" ", "")), 6), (str.split, 2)):
+            for n in range(1, orders + 1):
+                m, w, c = overlap([(cut(h), cut(r)) for h, r in mine], n)
+                if m or w:
+                    p, q = c / m if m else 0, c / w if w else 0
+                    scores.append(5 * p * q / (4 * p + q) if p + q else 0)
+        assert got[x] == pytest.approx(100 * sum(scores) / len(scores))
+        two = [overlap([(h.split(" "), r.split(" ")) for h, r in mine], n) for n in (1, 2)]
+        want = math.exp(sum(math.log(c / m) for m, _, c in two) / 2) * min(1.0, math.exp(1 - two[0][1] / two[0][0]))
+        assert blue[x] == pytest.approx(100 * want)
+
+
+def test_asking_again_and_only_once(spark, tmp_path):
+    from lexforge.operators import models
+
+    calls, pauses = [], []
+
+    def ask(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "fine"
+
+    assert models.with_retries(ask, 4, 0.5, pauses.append)("p") == ("fine", None) and pauses == [0.5, 1.0]
+    assert models.with_retries(lambda p: 1 / 0, 2, 0.5, pauses.append)("p") == (None, "ZeroDivisionError: division by zero")
+    items = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "down")], "id string, prompt string")
+
+    def load():
+        def answer(prompt):
+            if prompt == "down":
+                raise OSError("gone")
+            return '{"edu": 3}' if prompt == "good" else "no idea"
+
+        return answer
+
+    path = str(tmp_path / "results")
+    first = {r["id"]: (r["parse_status"], r["edu"], r["error"]) for r in models.score_batch(items, load, ["edu"], path, 2, 0.0).collect()}
+    assert first == {"a": ("ok", 3, None), "b": ("failed", None, None), "c": ("failed", None, "OSError: gone")}
+    more = items.unionByName(spark.createDataFrame([("d", "good")], "id string, prompt string"))
+    assert sorted(r["id"] for r in models.score_batch(more, load, ["edu"], path, 2, 0.0).collect()) == ["a", "b", "c", "d"]  # none twice
+
+
+def test_release_files_and_scored_texts(spark, tmp_path):
+    from lexforge.sources import readers
+
+    for name in ("a.csv", "sub/b.json", "sub/c.bin", ".hidden/d.csv", "__pycache__/e.json", "_x.csv"):
+        (tmp_path / "from" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "from" / name).write_text(name)
+    assert sinks.copy_artifacts(spark, str(tmp_path / "from"), str(tmp_path / "to"), [".csv", ".json"]) == ["a.csv", "sub/b.json"]
+    assert (tmp_path / "to/sub/b.json").read_text() == "sub/b.json" and not (tmp_path / "to/sub/c.bin").exists()
+    rows = spark.createDataFrame([("x" * 600, 1.5), ("y" * 600, None), ("short", 2.0)], "text string, score double")
+    rows.write.parquet(str(tmp_path / "scored"))
+    got = readers.scored_stream(spark, str(tmp_path / "scored"), "score").collect()
+    assert len(got) == 2 and sum(math.isnan(r["score"]) for r in got) == 1
+    rows.filter("score is null").write.parquet(str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="0 with a score"):
+        readers.scored_stream(spark, str(tmp_path / "none"), "score")
