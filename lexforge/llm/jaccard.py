@@ -131,7 +131,8 @@ def linked(scratch: Scratch, classes: DataFrame, rows: DataFrame, words: int, ra
     hubs = posted.groupBy("band").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     met = scratch.save(posted.join(hubs, "band"), "met")
     wanted = met.select("c").unionByName(close.select(F.col("a").alias("c"))).unionByName(close.select(F.col("b").alias("c"))).distinct()
-    keys = classes.join(wanted, "c", "left_semi").select("c", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    # Written, so that its size is known before texts are joined to it: where it is small, they need not travel.
+    keys = scratch.save(classes.join(wanted, "c", "left_semi").select("c", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "wanted")
     texts = rows.select("_k1", "_k2", "text").join(keys, ["_k1", "_k2"]).select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
