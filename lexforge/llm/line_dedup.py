@@ -283,7 +283,8 @@ def stays(text: str, gone: set[bytes], min_chars: int) -> list[str]:
 
 def apply(scratch: Scratch, index: LineIndex, docs: DataFrame, refs: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """(row, kept, n_lines, n_dropped): each row of docs as a struct, and the text of the lines that stay."""
-    gone = scratch.save(dropped_keys(scratch, index, index.refs if refs is None else refs), "gone")
+    # Keys that documents lose grow with the corpus: the join is by id at every size, never a broadcast.
+    gone = scratch.save(dropped_keys(scratch, index, index.refs if refs is None else refs), "gone").hint("merge")
     out = docs.select(known_id().alias("did"), F.col(text_col).cast("string").alias("whole"), F.struct(*docs.columns).alias("row")).join(gone, "did", "left")
     kind, min_chars = out.schema["row"].dataType.simpleString(), index.min_chars
 
