@@ -12,8 +12,8 @@ page's marked article (article, main); a line that no neighbour shares goes if i
 advert, form or reader comments, told by element, role, class and id, or outside of an article that the page marks. Each row says how many lines
 each of these rules decided.
 
-The order of pages is dealt by split keys: the keys alone are range-partitioned, and the first and last of each range name the splits and the
-pages that both sides of a split must see. Pages then travel once, each range is one task, and a task holds three pages at a time
+The order of pages is dealt by split keys: RANGE_KEYS random keys a range place the splits, every key is dealt by them, and the first and last
+of each range name the pages that both sides of a split must see. Pages then travel once, each range is one task, and a task holds three pages at a time
 besides the ids of the copies of one page.
 
 Defined cases: a null or empty page has an empty text; a null URL counts as host and path empty; repeated rows are copies of each other
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, parts, small_batches
 
-#: Bytes of html of one range, and the share of open lines in common from which a page may be a changed copy.
-RANGE_BYTES, COPY = 256 << 20, 0.9
+#: Bytes of html of one range (it is streamed, so they bound a task's time, not its memory), and keys drawn for each range to place its split.
+RANGE_BYTES, RANGE_KEYS = 256 << 20, 32
+#: The share of open lines in common from which a page may be a changed copy.
+COPY = 0.9
 #: Bits of the alignment table of two pages; larger pairs are halved.
 ROOM = 1 << 26
 
@@ -283,7 +285,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     marked = rows.select(*key, F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"), "html").mapInArrow(mark, "host string, path string, no long, mix long, size long, content long")
     keys = Scratch(spark).save(marked, "keys")
-    ranges = max(8 * parts(spark), -(-(keys.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
+    n, size = keys.agg(F.count("*"), F.sum("size")).first()
+    ranges = max(parts(spark), -(-(size or 0) // RANGE_BYTES))
+    share = RANGE_KEYS * ranges / max(n, 1)
+    drawn = keys.select(*names) if share >= 1 else keys.select(*names).sample(share, 7)
+    places = sorted(tuple(r) for r in drawn.collect())
+    bounds = sorted({places[i * len(places) // ranges] for i in range(1, ranges)}) if places else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bisect_right(bounds, key) for key in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*keys_names, "range"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the first run of copies of a range its ends and the page after it, of the last run the page before it and its ends."""
@@ -300,10 +312,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = [*(out if len(out) == 3 else [out[0], old, None]), before, run, old]
             yield pa.RecordBatch.from_pylist([dict(zip(keys_names, x or (None,) * 5, strict=True)) | {"at": i} for i, x in enumerate(out)], schema=ends_schema)
 
-    # Six rows a range reach the driver; Spark's own range partitioning gathers more than that for its bounds.
+    # RANGE_KEYS + 6 rows a range reach the driver, whatever the number of pages.
     keys_names = [*names, "content"]
     ends_schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("no", pa.int64()), ("mix", pa.int64()), ("content", pa.int64()), ("at", pa.int32())])
-    ordered = keys.select(*keys_names).repartitionByRange(ranges, *names).sortWithinPartitions(*names).mapInArrow(ends, "host string, path string, no long, mix long, content long, at int")
+    dealt_keys = keys.select(*keys_names).mapInArrow(deal, "host string, path string, no long, mix long, content long, range int")
+    ordered = dealt_keys.repartitionById(ranges, "range").sortWithinPartitions(*names).select(*keys_names).mapInArrow(ends, "host string, path string, no long, mix long, content long, at int")
     got = sorted((r["range"], r["at"], tuple(r)[:5]) for r in ordered.withColumn("range", F.spark_partition_id()).collect() if r["host"] is not None)
     held: dict[int, dict[int, tuple]] = {}
     for part, at, row in got:
