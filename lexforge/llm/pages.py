@@ -286,7 +286,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     marked = rows.select(*key, F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"), "html").mapInArrow(mark, "host string, path string, no long, mix long, size long, content long")
     keys = Scratch(spark).save(marked, "keys")
     n, size = keys.agg(F.count("*"), F.sum("size")).first()
-    ranges = max(parts(spark), -(-(size or 0) // RANGE_BYTES))
+    ranges = max(8 * parts(spark), -(-(size or 0) // RANGE_BYTES))
     share = RANGE_KEYS * ranges / max(n, 1)
     drawn = keys.select(*names) if share >= 1 else keys.select(*names).sample(share, 7)
     places = sorted(tuple(r) for r in drawn.collect())
