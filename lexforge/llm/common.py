@@ -64,6 +64,10 @@ class Scratch:
         for name in names:
             _remove(self.spark, f"{self.root}/{name}")
 
+    def kept(self) -> str:
+        """A new folder beside this one, which stays when the session ends: for files that are the result."""
+        return f"{self.root}-{uuid.uuid4().hex}"
+
     def clear(self) -> None:
         try:
             _remove(self.spark, self.root)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, packing, pages, sharding, simhash, substring, vectors
+from . import language, line_dedup, mixing, packing, pages, sharding, simhash, substring, token_files, vectors
 from .common import Scratch, load
 
 #: Production parameters of the queries.
@@ -19,6 +19,7 @@ SHARD_BYTES = 1 << 20
 TARGET_WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 NEAREST, NEAREST_EVERY = 10, 100
 PRODUCTS, PRODUCTS_EVERY, PRODUCTS_SCALE = 20, 20, 64
+TOKENS_END = 2
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -94,6 +95,14 @@ def op10_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top(Scratch(spark), load(spark, sf_dir, "embeddings"), PRODUCTS_EVERY, PRODUCTS, PRODUCTS_SCALE)
 
 
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    scratch = Scratch(spark)
+    made = token_files.write(scratch, load(spark, sf_dir, "documents"), f"{scratch.kept()}/token_files", str(public_tokenizers.path("word_bpe_49k.json")), TOKENS_END)
+    return token_files.read(made)
+
+
 OP3_SQL = r"""
 WITH doc AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM doc),
@@ -138,7 +147,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, line_dedup_reversible, op4_fm_index, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, line_dedup_reversible, op4_fm_index, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top, op13_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
