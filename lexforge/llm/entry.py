@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, packing, pages, sharding, simhash, substring, token_files, vectors
+from . import language, lexical, line_dedup, mixing, packing, pages, sharding, simhash, substring, token_files, vectors
 from .common import Scratch, load
 
 #: Production parameters of the queries.
@@ -20,6 +20,7 @@ TARGET_WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 NEAREST, NEAREST_EVERY = 10, 100
 PRODUCTS, PRODUCTS_EVERY, PRODUCTS_SCALE = 20, 20, 64
 TOKENS_END = 2
+BEST_DOCUMENTS = 20
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -95,6 +96,10 @@ def op10_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top(Scratch(spark), load(spark, sf_dir, "embeddings"), PRODUCTS_EVERY, PRODUCTS, PRODUCTS_SCALE)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(Scratch(spark), load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), BEST_DOCUMENTS)
+
+
 def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -146,9 +151,25 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+OP11_SQL = rf"""
+WITH doc AS (SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+whole AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM doc),
+item AS (SELECT DISTINCT item_id, text FROM benchmark),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM item),
+often AS (SELECT item_id, t, count(*) AS q FROM asked GROUP BY ALL),
+word AS (SELECT no, doc_id, len(ts) AS n, unnest(ts) AS t FROM doc),
+tf AS (SELECT no, doc_id, n, t, count(*) AS tf FROM word SEMI JOIN often USING (t) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY t, n_docs),
+scored AS (SELECT item_id, no, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms)))))::BIGINT AS score
+           FROM tf JOIN df USING (t) JOIN often USING (t), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= {BEST_DOCUMENTS}
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, line_dedup_reversible, op4_fm_index, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top, op13_token_blocks)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_page_differencing, op3_line_dedup, line_dedup_reversible, op4_fm_index, op5_simhash, op6_language, op7_sharding, op8_mixing, op9_packing, op10_exact_top, op11_lexical_search, op13_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "line_dedup_reversible": LINE_DEDUP_REVERSIBLE_SQL, "op4_fm_index": OP4_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "line_dedup_reversible": LINE_DEDUP_REVERSIBLE_SQL, "op4_fm_index": OP4_SQL, "op7_sharding": OP7_SQL, "op10_exact_top": OP10_SQL, "op11_lexical_search": OP11_SQL}

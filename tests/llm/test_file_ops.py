@@ -1,7 +1,10 @@
 """Operators that write files or score documents against items: brute-force versions and defined cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from functools import cache
 from glob import glob
 
@@ -10,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexforge.llm import entry, token_files
+from lexforge.llm import entry, lexical, token_files
 from lexforge.llm.common import Scratch
 
 
@@ -112,3 +115,50 @@ def test_op13_on_the_whole_table(spark):
         want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(tuple(r) for r in entry.op13_token_blocks(spark, "/root/testdata/sf0.001").collect()) == want
+
+
+# --- ranked lexical search
+
+
+def split_terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def lexical_brute(docs, items, k):
+    held = [(i, Counter(split_terms(t))) for i, t in docs]
+    n_docs, total = sum(1 for _, c in held if c), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in sorted(set(items), key=repr):
+        found = []
+        for no, (doc, c) in enumerate(held):
+            m = 75 + 25 * sum(c.values()) * n_docs // max(1, total)
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m)) for t in split_terms(text) if c[t])
+            if score > 0:
+                found.append((-score, -(2**63) if doc is None else doc, no))
+        out += [(item, r + 1, None if d == -(2**63) else d, -s) for r, (s, d, _) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=repr)
+
+
+def test_lexical_search(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["the", "The", "öl", "Öl", "x_y", "a1", "2024", "rare", "中文字", "q", "semi;colon", "n\x00ul"]
+    text = lambda n: " ".join(rng.choice(words[: rng.randint(1, len(words))]) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 30))) for i in range(300)] + [(None, "rare öl"), (None, None), (400, None), (401, "...")]
+    docs += [(500 + i, "the very same rare text") for i in range(60)] + [(7, "rare rare")] * 3 + [(600, "long rare " * 50_000)]
+    items = [(0, "the rare THE"), (1, "öl Öl 中文字"), (2, None), (3, "!"), (4, "unseen words"), (5, text(40)), (None, "rare"), (5, "another rare text"), (0, "the rare THE"), (6, "the very same rare text")]
+    rng.shuffle(docs)
+    doc_rows = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, score int").repartition(5)
+    item_rows = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, rank int")
+    want = lexical_brute(docs, items, 20)
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 50)
+    for item_bytes in (lexical.ITEM_BYTES, 40):  # one block of items, or several
+        found = lexical.search(Scratch(spark), doc_rows, item_rows, 20, item_bytes)
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+    none = doc_rows.limit(0)
+    assert lexical.search(Scratch(spark), none, item_rows, 20).collect() == [] == lexical.search(Scratch(spark), doc_rows, item_rows.limit(0), 20).collect()
+
+
+def test_lengths_beyond_64_bits():
+    n = np.array([10, 2**40], np.int64)
+    assert lexical.lengths(n, 10**9, 10**13).tolist() == [75 + 25 * x * 10**9 // 10**13 for x in (10, 2**40)]
