@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.written import written
+
 #: Buckets of a unit of a score, and hexadecimal digits of a hash order that name a bucket.
 SCORE_STEPS, HASH_DIGITS = 1000, 3
 
@@ -49,6 +51,26 @@ def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list[Column
     return out.withColumn(name, (F.col("_own") + F.col("_ahead")).cast("int")).drop("_b", "_own", "_ahead")
 
 
+def placed(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rn", total: str | None = None) -> DataFrame:
+    """rows with `name`, their place (long) from 1 on within `by` in this order, and `total`, their group's rows, if asked for.
+
+    A sample sort: rows are dealt by splitters that Spark samples from (by, order), sorted within their partition and written with their
+    number there; the partitions' counts, at most one row for each partition and group, are summed ahead. So however values lie and however
+    large a group is, a task gets about the mean number of rows, if the order ends in a key that tells rows apart.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(tasks, *by, *order).sortWithinPartitions(*by, *order)
+    # The id counts rows within their partition, whose number is in its upper bits.
+    dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
+    sizes = dealt.groupBy(*by, "_p").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    over = Window.partitionBy(*by)
+    ahead = F.coalesce(F.sum("_n").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sizes.select(*by, "_p", (ahead - F.col("_from")).alias("_shift"), *([F.sum("_n").over(over).alias(total)] if total else []))
+    out = with_sums(dealt, written(sums), [*by, "_p"])
+    return out.withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_at", "_p", "_shift")
+
+
 def with_mean_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """rows with `name`: the mean of the places that rows of the same value take. Places are summed over counts of values, not over rows."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
