@@ -37,7 +37,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
@@ -62,7 +62,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _remove(self.spark, f"{self.root}/{name}")
+            remove_path(self.spark, f"{self.root}/{name}")
 
     def kept(self) -> str:
         """A new folder beside this one, which stays when the session ends: for files that are the result."""
@@ -70,7 +70,7 @@ class Scratch:
 
     def clear(self) -> None:
         try:
-            _remove(self.spark, self.root)
+            remove_path(self.spark, self.root)
         except Exception:  # noqa: BLE001  the session is gone
             pass
 

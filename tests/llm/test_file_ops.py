@@ -1,10 +1,13 @@
 """Operators that write files or score documents against items: brute-force versions and defined cases."""
 
+import hashlib
 import math
+import os
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 from functools import cache
 from glob import glob
 
@@ -12,8 +15,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lexforge.llm import entry, lexical, token_files
+from lexforge.llm import entry, late, lexical, token_files
 from lexforge.llm.common import Scratch
 
 
@@ -162,3 +166,140 @@ def test_lexical_search(spark, monkeypatch):
 def test_lengths_beyond_64_bits():
     n = np.array([10, 2**40], np.int64)
     assert lexical.lengths(n, 10**9, 10**13).tolist() == [75 + 25 * x * 10**9 // 10**13 for x in (10, 2**40)]
+
+
+# --- late arrivals
+
+EPOCH = datetime(1970, 1, 1)
+SALE = "sale_id long, client_id long, status string, total double, sold_at timestamp_ntz, arrived_at timestamp_ntz, priority int"
+
+
+def micros(t):
+    return None if t is None else (t - EPOCH) // timedelta(microseconds=1)
+
+
+def sale_day(t):
+    return -1 if t is None else micros(t) // 86_400_000_000
+
+
+def least(x):
+    return (x is not None, x)
+
+
+def layout(rows, size):
+    """(day, file_no) -> rows, of the latest row of each id."""
+    last = {}
+    for r in rows:
+        rank = tuple(map(least, (r[5], r[1], r[2], r[3], r[4], r[6])))
+        if r[0] not in last or rank > last[r[0]][0]:
+            last[r[0]] = rank, r
+    days = defaultdict(list)
+    for _, r in last.values():
+        days[sale_day(r[4])].append(r)
+    out = {}
+    for day, rs in days.items():
+        rs.sort(key=lambda r: (least(r[4]), least(r[0])))
+        for i in range(0, len(rs), size):
+            out[day, i // size] = rs[i : i + size]
+    return out, {k: r for k, (_, r) in last.items()}
+
+
+def described(rows):
+    text = lambda x: "" if x is None else str(x)
+    cents = sum(math.floor(100 * r[3] + 0.5) for r in rows if r[3] is not None)
+    crc = sum(zlib.crc32(":".join(map(text, (r[0], micros(r[4]), micros(r[5])))).encode()) for r in rows)
+    return len(rows), cents, crc, ",".join(x.split()[0] for x in SALE.split(", ")), hashlib.sha256(",".join(text(r[0]) for r in rows).encode()).hexdigest()
+
+
+def late_brute(early, late_rows, size):
+    start, was = layout(early, size)
+    final, now = layout([*early, *late_rows], size)
+    moved = [k for k in now if k not in was or was[k] is not now[k]]
+    dirty = {sale_day(now[k][4]) for k in moved} | {sale_day(was[k][4]) for k in moved if k in was}
+    return sorted((d, n, *described(rs), d in dirty) for (d, n), rs in final.items())
+
+
+def with_copies(rows):
+    out = list(rows)
+    for r in rows:
+        h = zlib.crc32(str(r[0]).encode()) if r[0] is not None else 1
+        if h % 3 == 0 and sale_day(r[4]) % 10 == 0:
+            later = None if r[5] is None else r[5] + timedelta(days=1 + h % 97)
+            out.append((*r[:3], None if r[3] is None else r[3] + 1, r[4] + timedelta(days=h % 2), later, r[6]))
+    return out
+
+
+def found(df):
+    cols = ("day", "file_no", "n_rows", "cents", "rows_crc", "columns", "ids_sha256", "rewritten")
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def sale_rows(rng, n, days=12):
+    out = []
+    for i in range(n):
+        sold = None if i % 23 == 0 else datetime(2024, 1, 1) + timedelta(seconds=rng.choice([days * 57_600, rng.randrange(days * 86_400)]))
+        arrived = None if i % 115 == 0 else (sold or datetime(2024, 1, 5)) + timedelta(seconds=rng.randrange(5 * 86_400), microseconds=rng.randrange(3))
+        out.append((rng.randrange(40 * n), rng.randrange(9), rng.choice(["done", None, "open"]), rng.choice([None, 1.005, -2.5, 10.0]), sold, arrived, rng.choice([None, 1, 2])))
+    return out + out[:20] + [(None, 1, "x", 1.0, datetime(2024, 1, 2, 3), datetime(2024, 1, 2, 4), 1), (None, 1, "x", 2.0, datetime(2024, 1, 3, 3), datetime(2024, 1, 9), 1)]
+
+
+@pytest.mark.parametrize("run_files", [1, 2, 8])
+def test_late_overwrite(spark, tmp_path, run_files):
+    rows, size, cut = sale_rows(random.Random(9), 700, days=30), 20, datetime(2024, 1, 22)
+    early, after = [r for r in rows if r[5] is not None and r[5] < cut], [r for r in rows if r[5] is None or r[5] >= cut]
+    scratch, keys, root = Scratch(spark), entry.SALES, f"file://{tmp_path}/sales"
+    late.write_layout(spark.createDataFrame(early, SALE), root, keys, size)
+    start = {p: open(p, "rb").read() for p in glob(f"{tmp_path}/sales/**/*.parquet", recursive=True)}
+    dirty = late.overwrite(scratch, root, spark.createDataFrame(after, SALE), keys, size, run_files)
+    days = spark.createDataFrame([(sale_day(r[4]),) for r in rows], "day long").distinct()
+    out = late.describe(scratch, root, days, keys, "total").join(dirty.withColumn("rewritten", F.lit(True)), "day", "left").fillna(False)
+    want = late_brute(early, after, size)
+    assert found(out) == want
+    assert {r[-1] for r in want} == {True, False} and max(r[1] for r in want) >= 3
+    left = set(glob(f"{tmp_path}/sales/**/*.parquet", recursive=True))
+    assert left == {r.path for r in out.collect()}  # nothing else is left
+    for r in out.filter("not rewritten").collect():
+        assert start[r.path] == open(r.path, "rb").read()
+    assert not glob(f"{tmp_path}/sales/_new*") and not glob(f"{scratch.root.removeprefix('file://')}/spill/*")
+
+
+def test_a_swap_that_broke_off_is_ended(spark, tmp_path, monkeypatch):
+    rows = sale_rows(random.Random(2), 200, days=4)
+    early, after, keys, root = rows[:120], rows[120:], entry.SALES, f"{tmp_path}/sales"
+    late.write_layout(spark.createDataFrame(early, SALE), root, keys, 15)
+    calls, whole = [], late.swap
+    monkeypatch.setattr(late, "swap", lambda *a: calls.append(a))
+    late.overwrite(Scratch(spark), root, spark.createDataFrame(after, SALE), keys, 15)
+    monkeypatch.undo()
+    one = sorted(glob(f"{root}/_new-*/day=*/file_no=0/made.parquet"))[0]  # a file that was moved before, and one removed
+    to = os.path.dirname(one).replace(f"_new-{calls[0][2]}/", "")
+    os.makedirs(to, exist_ok=True)
+    os.replace(one, f"{to}/late-{calls[0][2]}.parquet")
+    whole(*calls[0])
+    days = spark.createDataFrame([(sale_day(r[4]),) for r in rows], "day long")
+    out = late.describe(Scratch(spark), root, days, keys, "total").withColumn("rewritten", F.lit(True))
+    assert [r[:-1] for r in found(out)] == [r[:-1] for r in late_brute(early, after, 15)]
+
+
+def test_late_defined_cases(spark, tmp_path):
+    keys, none = entry.SALES, spark.createDataFrame([], SALE)
+    late.write_layout(none, f"{tmp_path}/empty", keys, 5)
+    days = spark.createDataFrame([(-1,), (19723,)], "day long")
+    assert late.overwrite(Scratch(spark), f"{tmp_path}/empty", none, keys, 5).count() == 0 == late.describe(Scratch(spark), f"{tmp_path}/empty", days, keys, "total").count()
+    rows = sale_rows(random.Random(1), 50, days=3)
+    late.overwrite(Scratch(spark), f"{tmp_path}/empty", spark.createDataFrame(rows, SALE), keys, 5)  # all rows are late
+    days = spark.createDataFrame([(sale_day(r[4]),) for r in rows], "day long")
+    out = late.describe(Scratch(spark), f"{tmp_path}/empty", days, keys, "total").withColumn("rewritten", F.lit(True))
+    assert found(out) == late_brute([], rows, 5)
+    with pytest.raises(ValueError):
+        late.write_layout(none.withColumn("day", F.lit(1)), f"{tmp_path}/no", keys, 5)
+    with pytest.raises(ValueError):
+        late.local_path("hdfs://host/x")
+
+
+def test_op12_on_the_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/sales.parquet").collect()]
+    every, cut = with_copies(rows), datetime(2024, 3, 1)
+    early = [r for r in every if r[5] is not None and r[5] < cut]
+    after = [r for r in every if r[5] is None or r[5] >= cut]
+    assert found(entry.op12_late_overwrite(spark, "/root/testdata/sf0.001")) == late_brute(early, after, 1 + len(rows) // 900)
