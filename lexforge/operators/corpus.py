@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, has_any_word, strip, text_hash
 from ..plans.written import written
+from .matching import first_matching
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -19,24 +20,11 @@ def in_window(text: Column, low: int = 500, high: int = 4000) -> Column:
 
 
 def sequential_dedup(rows: DataFrame) -> DataFrame:
-    """(ordinal, reason): duplicate_id or duplicate_text if an accepted earlier row has the id or the text, else null.
-
-    A row that is the first of those left, by id and by text, is accepted whatever comes later; rows that share its id or text are out.
-    Repeated until none is left, that is the sequential rule: a round for each link of the longest chain of dependences, and one for
-    any number of plain copies. Minima are aggregated before they are exchanged, so a very frequent id or text is no large task.
-    """
-    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c)  # noqa: E731  null is a value like others
+    """(ordinal, reason): duplicate_id or duplicate_text if an accepted earlier row has the id or the text, else null. Null is a value like
+    others. See `matching` for the rounds it takes."""
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c)
     rows = rows.select("ordinal", own("doc_id"), own("text_hash"))
-    left = written(rows.groupBy("doc_id", "text_hash").agg(F.min("ordinal").alias("ordinal")))
-    accepted = None
-    while not left.isEmpty():
-        by_id = left.groupBy("doc_id").agg(F.min("ordinal").alias("_i"))
-        by_text = left.groupBy("text_hash").agg(F.min("ordinal").alias("_t"))
-        first = written(left.join(by_id, "doc_id").join(by_text, "text_hash").filter("ordinal = _i and ordinal = _t").select("doc_id", "text_hash", "ordinal"))
-        accepted = first if accepted is None else accepted.unionByName(first)
-        left = written(left.join(first.select("doc_id"), "doc_id", "left_anti").join(first.select("text_hash"), "text_hash", "left_anti"))
-    if accepted is None:
-        return rows.select("ordinal", F.lit(None).cast("string").alias("reason"))
+    accepted = first_matching(rows, "doc_id", "text_hash")
     by_id = accepted.select("doc_id", F.col("ordinal").alias("id_first"))
     by_text = accepted.select("text_hash", F.col("ordinal").alias("text_first"))
     told = rows.join(by_id, "doc_id", "left").join(by_text, "text_hash", "left")
@@ -44,39 +32,69 @@ def sequential_dedup(rows: DataFrame) -> DataFrame:
     return told.select("ordinal", reason.alias("reason"))
 
 
-def collect_documents(
-    stream: DataFrame, *, target: int, exclude_ids: DataFrame, exclude_hashes: DataFrame, banned: list[str], low: int = 500, high: int = 4000
-) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, counters by reason) of a stream (ordinal, doc_id, text): length, overlap_id, overlap_text, duplicate_id,
-    duplicate_text, adult, in this order; the stream stops at the row that fills the target, and counters cover rows up to there."""
+def prepared(stream: DataFrame, banned: list[str], low: int = 500, high: int = 4000) -> DataFrame:
+    """stream with its stripped text, its hash, and whether it `fits` the length window and is `adult`; texts are read here and not again."""
     whole = stream.withColumn("text", strip(F.col("text"))).withColumn("text_hash", text_hash(F.col("text")))
-    ids = exclude_ids.select(F.col("doc_id"), F.lit(True).alias("_id")).distinct()
-    hashes = exclude_hashes.select(F.col("text_hash"), F.lit(True).alias("_hash")).distinct()
     adult = has_any_word(F.col("text"), banned) if banned else F.lit(False)
-    # Texts are read once; what follows runs on a written table without them.
-    rows = whole.select("ordinal", "doc_id", "text_hash", in_window(F.col("text"), low, high).alias("fits"), adult.alias("adult"))
-    rows = rows.join(ids, "doc_id", "left").join(hashes, "text_hash", "left")
+    return whole.withColumn("fits", F.coalesce(in_window(F.col("text"), low, high), F.lit(False))).withColumn("adult", F.coalesce(adult, F.lit(False)))
+
+
+def reasons(rows: DataFrame, *, exclude_ids: DataFrame, exclude_hashes: DataFrame, seen_ids: DataFrame | None = None, seen_hashes: DataFrame | None = None) -> DataFrame:
+    """(ordinal, reason) of rows (ordinal, doc_id, text_hash, fits, adult): the first of length, overlap_id, overlap_text, duplicate_id,
+    duplicate_text, adult that holds, or kept. A row is a duplicate if an accepted earlier one, or one that was seen before these rows, has
+    its id or text."""
+    known = [
+        (exclude_ids.select("doc_id"), "doc_id", "_id"), (exclude_hashes.select("text_hash"), "text_hash", "_hash"),
+        (seen_ids, "doc_id", "_seen_id"), (seen_hashes, "text_hash", "_seen_hash"),
+    ]
+    for table, key, name in known:
+        if table is None:
+            rows = rows.withColumn(name, F.lit(None).cast("boolean"))
+        else:
+            rows = with_flag(rows, table, key, name)
     early = F.when(~F.col("fits"), "length").when(F.col("_id"), "overlap_id").when(F.col("_hash"), "overlap_text")
-    rows = written(rows.select("ordinal", "doc_id", "text_hash", "adult", early.alias("early")))
-    seen = sequential_dedup(rows.filter(F.col("early").isNull() & ~F.col("adult")))
-    # An adult row is tested against accepted earlier rows first, and never blocks a later one.
-    clean = rows.join(seen.filter("reason is null"), "ordinal", "left_semi")
-    by_id = clean.groupBy("doc_id").agg(F.min("ordinal").alias("_oi"))
+    rows = written(rows.select("ordinal", "doc_id", "text_hash", "adult", early.alias("early"), "_seen_id", "_seen_hash"))
+    # An adult row is tested against accepted earlier rows first, and never blocks a later one; nor does one that was seen.
+    new = rows.filter("early is null and not adult and _seen_id is null and _seen_hash is null")
+    clean = rows.join(sequential_dedup(new).filter("reason is null"), "ordinal", "left_semi")
+    by_id = clean.groupBy("doc_id").agg(F.min("ordinal").alias("_oi")).withColumnRenamed("doc_id", "_k")
     by_text = clean.groupBy("text_hash").agg(F.min("ordinal").alias("_ot"))
-    told = rows.join(by_id, "doc_id", "left").join(by_text, "text_hash", "left")
+    told = rows.join(by_id, F.col("doc_id").eqNullSafe(F.col("_k")), "left").join(by_text, "text_hash", "left")
     reason = (
         F.when(F.col("early").isNotNull(), F.col("early"))
-        .when(F.col("_oi") < F.col("ordinal"), "duplicate_id")
-        .when(F.col("_ot") < F.col("ordinal"), "duplicate_text")
+        .when(F.col("_seen_id") | (F.col("_oi") < F.col("ordinal")), "duplicate_id")
+        .when(F.col("_seen_hash") | (F.col("_ot") < F.col("ordinal")), "duplicate_text")
         .when(F.col("adult"), "adult")
         .otherwise("kept")
     )
-    told = written(told.select("ordinal", reason.alias("reason")))
-    # The target-th kept row: top-k by ordinal, no global window.
+    return told.select("ordinal", reason.alias("reason"))
+
+
+def with_flag(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with `name`: true where keys holds their key, else null."""
+    marks = keys.select(F.col(key).alias("_mark"), F.lit(True).alias(name)).distinct()
+    return rows.join(marks, F.col(key).eqNullSafe(F.col("_mark")), "left").drop("_mark")
+
+
+def up_to_target(told: DataFrame, target: int) -> tuple[DataFrame, bool]:
+    """(told up to the row that fills the target, whether the target wasn't reached)."""
     kept = told.filter("reason = 'kept'")
-    stop = None if kept.count() < target else kept.orderBy("ordinal").limit(target).agg(F.max("ordinal")).first()[0]
-    read = told if stop is None else told.filter(F.col("ordinal") <= stop)
-    counters = read.groupBy("reason").agg(F.count("*").alias("n")).withColumn("stream_exhausted", F.lit(stop is None))
+    # The target-th kept row: top-k by ordinal, no global window.
+    if kept.count() < target:
+        return told, True
+    stop = kept.orderBy("ordinal").limit(target).agg(F.max("ordinal")).first()[0] if target > 0 else None
+    return (told.filter("false") if stop is None else told.filter(F.col("ordinal") <= stop)), False
+
+
+def collect_documents(
+    stream: DataFrame, *, target: int, exclude_ids: DataFrame, exclude_hashes: DataFrame, banned: list[str], low: int = 500, high: int = 4000
+) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, counters by reason) of a stream (ordinal, doc_id, text), with the reasons of `reasons`; the stream stops at the row that
+    fills the target, and counters cover rows up to there."""
+    whole = prepared(stream, banned, low, high)
+    told = written(reasons(whole.select("ordinal", "doc_id", "text_hash", "fits", "adult"), exclude_ids=exclude_ids, exclude_hashes=exclude_hashes))
+    read, exhausted = up_to_target(told, target)
+    counters = read.groupBy("reason").agg(F.count("*").alias("n")).withColumn("stream_exhausted", F.lit(exhausted))
     return whole.join(read.filter("reason = 'kept'").select("ordinal"), "ordinal", "left_semi").select(*stream.columns, "text_hash"), counters
 
 

@@ -510,3 +510,20 @@ def test_release_files_and_scored_texts(spark, tmp_path):
     rows.filter("score is null").write.parquet(str(tmp_path / "none"))
     with pytest.raises(ValueError, match="0 with a score"):
         readers.scored_stream(spark, str(tmp_path / "none"), "score")
+
+
+def test_matching_of_chains_takes_few_rounds(spark, monkeypatch):
+    """Each row waits for the one before it: 100,000 links, in under 40 joins; then chains among rows with several rows against them."""
+    from lexforge.operators import matching
+
+    n, calls, whole = 100_000, [], matching.written
+    monkeypatch.setattr(matching, "written", lambda rows: calls.append(1) or whole(rows))
+    chain = spark.range(n).select(F.col("id").alias("ordinal"), F.concat(F.lit("i"), F.floor(F.col("id") / 2).cast("string")).alias("a"), F.concat(F.lit("t"), F.floor((F.col("id") + 1) / 2).cast("string")).alias("b"))
+    got = matching.first_matching(chain, "a", "b").agg(F.count("*"), F.count_if(F.col("ordinal") % 2 == 1)).first()
+    assert tuple(got) == (n // 2, 0) and len(calls) < 40
+    monkeypatch.undo()
+    rng = random.Random(6)
+    for span in (3, 12, 200):  # rows near each other share keys, so that many wait for several
+        rows = [(k, f"i{(k + rng.randint(0, span)) // 3}", f"t{(k + rng.randint(0, span)) // 2}") for k in range(400)]
+        got = {r.ordinal for r in matching.first_matching(spark.createDataFrame(rows, "ordinal long, a string, b string"), "a", "b").collect()}
+        assert got == {o for o, reason in sequential(rows).items() if reason is None}
