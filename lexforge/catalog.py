@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bench, corpus, geometry, labels, metrics, models, sampling, select, split, tables
-from .plans.views import NAMES, SQL_SCORE, WITH, annotations, score_of, scores, table
+from .plans.views import NAMES, SQL_CORPUS, SQL_SCORE, WITH, annotations, score_of, scores, table
 from .plans.views import corpus as corpus_view
-from .plans.written import written
+from .plans.written import new_folder, written
+from .streaming import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -132,6 +133,49 @@ def corpus_filter(spark, d):
     return kept.select("ordinal", "doc_id", "text_hash")
 
 
+#: One id for every so many documents, so that rows clash by id, by text, and in chains of both.
+TWO_KEY_IDS = 700
+TWO_KEY_SQL = (
+    f"WITH RECURSIVE {SQL_CORPUS}, d AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS ordinal, text_hash, ((doc_id * 7) % {TWO_KEY_IDS})::VARCHAR AS id, text FROM corpus), "
+    f"x AS MATERIALIZED (SELECT n, ordinal, id, text_hash, CASE WHEN NOT (length(trim(text)) BETWEEN 500 AND 4000) THEN 'length' WHEN id IN (SELECT doc_id::VARCHAR FROM labels WHERE toxic = 1) THEN 'overlap_id' END AS early, "
+    "len(list_intersect(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), ['idiot', 'scum'])) > 0 AS adult FROM d), "
+    "w(n, ordinal, reason, ids, texts) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT n, ordinal, reason, CASE WHEN reason = 'kept' THEN list_append(ids, id) ELSE ids END, CASE WHEN reason = 'kept' THEN list_append(texts, text_hash) ELSE texts END "
+    "FROM (SELECT x.*, w.ids, w.texts, CASE WHEN early IS NOT NULL THEN early WHEN list_contains(w.ids, id) THEN 'duplicate_id' WHEN list_contains(w.texts, text_hash) THEN 'duplicate_text' WHEN adult THEN 'adult' ELSE 'kept' END AS reason FROM w JOIN x ON x.n = w.n + 1)) "
+    "SELECT ordinal, reason FROM w WHERE n > 0"
+)
+
+
+def _two_key_documents(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), (F.col("doc_id") * 7 % TWO_KEY_IDS).cast("string").alias("doc_id"), "text")
+    known = {
+        "exclude_ids": table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id")),
+        "exclude_hashes": rows.filter("false").select(F.lit("").alias("text_hash")),
+    }
+    return rows, known
+
+
+@query(TWO_KEY_SQL)
+def corpus_filter_two_keys(spark, d):
+    rows, known = _two_key_documents(spark, d)
+    narrow = corpus.prepared(rows, ["idiot", "scum"]).select("ordinal", "doc_id", "text_hash", "fits", "adult")
+    return corpus.reasons(narrow, **known)
+
+
+@query(TWO_KEY_SQL)
+def corpus_filter_stream(spark, d):
+    """The same documents as they arrive in three parts; each start goes on from the checkpoint of the one before."""
+    rows, known = _two_key_documents(spark, d)
+    folder = new_folder(spark)
+    last = rows.agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
+    for part in range(3):
+        low, high = last * part // 3, last * (part + 1) // 3
+        arrived = rows.filter((F.col("ordinal") <= high) if part == 0 else (F.col("ordinal") > low) & (F.col("ordinal") <= high))
+        arrived.write.mode("append").parquet(f"{folder}/arrived")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/arrived")
+        records.collect_stream(stream, f"{folder}/out", target=1_000_000_000_000, banned=["idiot", "scum"], **known)
+    return records.told(spark, f"{folder}/out")
+
+
 # --- splits --------------------------------------------------------------------------------------------------------------------------
 
 

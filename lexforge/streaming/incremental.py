@@ -1,4 +1,4 @@
-"""Record streams: incremental extraction with dedup by text, append-only results, a settings fingerprint beside the checkpoint."""
+"""What resumable streams share: a settings fingerprint beside the checkpoint, what was not attempted, windowed counts. The extraction is in `records`."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any_word, strip, text_hash
-
 
 def fingerprint(settings: dict) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
@@ -31,22 +29,6 @@ def require_same_settings(spark: SparkSession, checkpoint: str, settings: dict)
         raise ValueError("the checkpoint was written with other settings")
 
 
-def accepted_documents(stream: DataFrame, banned: list[str], low: int = 500, high: int = 4000) -> DataFrame:
-    """A stream (doc_id, text, ...) through length window and word list, each text once."""
-    rows = stream.withColumn("text", strip(F.col("text"))).withColumn("text_hash", text_hash(F.col("text")))
-    rows = rows.filter(F.length("text").between(low, high))
-    if banned:
-        rows = rows.filter(~has_any_word(F.col("text"), banned))
-    return rows.dropDuplicates(["text_hash"])
-
-
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, settings: dict) -> None:
-    """Appends what is available now and stops; a rerun goes on where the checkpoint ends."""
-    require_same_settings(stream.sparkSession, checkpoint, settings)
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 def not_attempted(items: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Items that no result line, ok or failed, names."""
     return items.join(results.select(key).distinct(), key, "left_anti")

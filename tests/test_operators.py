@@ -10,7 +10,6 @@ from lexforge.functions import text as T
 from lexforge.operators import bench, corpus, geometry, labels, metrics, sampling, select, split
 from lexforge.operators import ranks as ranks_of
 from lexforge.sources import readers, sinks
-from lexforge.streaming import incremental
 
 
 def value(spark, column):
@@ -392,20 +391,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.to_markdown(rows).startswith("| doc_id |")
 
 
-def test_streaming_goes_on_where_it_stopped(spark, tmp_path):
-    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
-    schema = "doc_id string, text string"
-    feed = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(folder)
-    run = lambda settings: incremental.run_to_parquet(incremental.accepted_documents(spark.readStream.schema(schema).json(folder), ["bad"], 5, 50), out, checkpoint, settings)
-    feed([("1", "first text"), ("2", " first text "), ("3", "bad words here"), ("4", "x")])
-    run({"low": 5})
-    feed([("5", "first text"), ("6", "second text")])
-    run({"low": 5})
-    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["first text", "second text"]
-    with pytest.raises(ValueError, match="other settings"):
-        run({"low": 6})
-
-
 def test_models(spark):
     import numpy as np
 
