@@ -103,7 +103,7 @@ def common_prefixes(spark, d):
 def natural_order(spark, d):
     name = F.concat((F.col("doc_id") % 7).cast("string"), F.lit("-"), (F.col("doc_id") % 113).cast("string"))
     rows = docs(spark, d).select("doc_id", "lang", T.natural_key(name).alias("key"))
-    return numbered(rows, ["lang"], F.substring("key", 1, 12), ["key", "doc_id"], "place").select("doc_id", "place")
+    return numbered(rows, ["lang"], ["key", "doc_id"], "place").select("doc_id", "place")
 
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END::INTEGER AS label FROM conversations")

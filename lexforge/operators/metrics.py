@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LN2, clip, score_bin
-from .ranks import with_mean_rank
+from .ranks import groups_are_small, with_mean_rank
 
 
 def pearson(x, y) -> Column:
@@ -17,8 +17,10 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str], name: str = "spearman") -> DataFrame:
-    ranked = with_mean_rank(with_mean_rank(df.select(*by, x, y), x, by, "_rx"), y, by, "_ry")
+def spearman(df: DataFrame, x: str, y: str, by: list[str], name: str = "spearman", small: bool | None = None) -> DataFrame:
+    rows = df.select(*by, x, y)
+    small = groups_are_small(rows, by) if small is None else small
+    ranked = with_mean_rank(with_mean_rank(rows, x, by, "_rx", small), y, by, "_ry", small)
     return ranked.groupBy(*by).agg(pearson("_rx", "_ry").alias(name))
 
 
@@ -80,8 +82,9 @@ def pooled_errors(pairs: DataFrame, dims: list[str]) -> DataFrame:
 def rater_comparison(pairs: DataFrame, rater: str = "rater", by: str = "language") -> DataFrame:
     error = clip(F.col("raw")) - F.col("human")
     base = pairs.groupBy(rater).agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias"))
-    own = spearman(pairs, "human", "raw", [rater, by]).groupBy(rater).agg(F.avg("spearman").alias("mean_spearman"))
-    return base.join(spearman(pairs, "human", "raw", [rater], "pooled_spearman"), rater).join(own, rater)
+    small = groups_are_small(pairs, [rater])  # then those of rater and language are, too
+    own = spearman(pairs, "human", "raw", [rater, by], small=small or None).groupBy(rater).agg(F.avg("spearman").alias("mean_spearman"))
+    return base.join(spearman(pairs, "human", "raw", [rater], "pooled_spearman", small), rater).join(own, rater)
 
 
 def agreement(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Places of rows within groups, where a group may be a large part of the table.
 
-`row_number` over a bare group sorts the whole group in one task. Here the order's leading part names a bucket: rows are numbered within
-(group, bucket), the buckets' sizes, one row each, are summed ahead, and the two add up. A group is so dealt over its buckets.
+A window over a bare group sorts the whole group in one task. That is the shortest way while groups are small, which is checked: the largest
+group's rows are counted first, and up to GROUP_ROWS a window numbers them. Beyond, rows are dealt by splitters that Spark samples from the
+order, so that a task gets about the mean number of rows however values lie, and the partitions' counts are summed ahead.
 """
 
 from __future__ import annotations
@@ -13,23 +14,13 @@ from pyspark.sql import functions as F
 
 from ..plans.written import written
 
-#: Buckets of a unit of a score, and hexadecimal digits of a hash order that name a bucket.
-SCORE_STEPS, HASH_DIGITS = 1000, 3
-
-
-def by_score(score: str = "score_raw", down: bool = True) -> Column:
-    """Buckets of an order by score; rows without one are last."""
-    value = F.floor(F.col(score) * (-SCORE_STEPS if down else SCORE_STEPS))
-    return F.coalesce(value, F.lit(2**62))
-
-
-def by_hash(order: Column | str) -> Column:
-    return F.substring(order, 1, HASH_DIGITS)
+#: Rows of a group that one task may sort.
+GROUP_ROWS = 1_000_000
 
 
 def same(a: DataFrame, b: DataFrame, keys: list[str], prefix: str) -> Column:
     """Null-safe equality of a's keys and b's prefixed ones."""
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[prefix + k]) for k in keys])
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[prefix + k]) for k in keys], F.lit(True))
 
 
 def with_sums(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,26 +29,26 @@ def with_sums(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, same(rows, renamed, keys, "_k_")).drop(*[f"_k_{k}" for k in keys])
 
 
-def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list[Column | str], name: str = "rn", total: str | None = None) -> DataFrame:
-    """rows with `name`, their place from 1 on within `by` in the order of (bucket, order); and `total`, their group's rows, if asked for."""
-    rows = rows.withColumn("_b", bucket)
-    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_size"))
+def groups_are_small(rows: DataFrame, by: list[str]) -> bool:
+    """Whether no group has more than GROUP_ROWS rows; reads the group's columns only."""
+    return rows.groupBy(*by).count().filter(F.col("count") > GROUP_ROWS).isEmpty()
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rn", total: str | None = None) -> DataFrame:
+    """rows with `name`, their place (long) from 1 on within `by` in this order, and `total`, their group's rows, if asked for. The order
+    must tell rows apart where the place of each matters."""
+    if not groups_are_small(rows, by):
+        return placed(rows, by, order, name, total)
     over = Window.partitionBy(*by)
-    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_size").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total:
-        sizes = sizes.withColumn(total, F.sum("_size").over(over))
-    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    out = with_sums(rows.withColumn("_own", own), sizes.drop("_size"), [*by, "_b"])
-    return out.withColumn(name, (F.col("_own") + F.col("_ahead")).cast("int")).drop("_b", "_own", "_ahead")
+        rows = rows.withColumn(total, F.count("*").over(over))
+    return rows.withColumn(name, F.row_number().over(over.orderBy(*order)).cast("long"))
 
 
 def placed(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rn", total: str | None = None) -> DataFrame:
-    """rows with `name`, their place (long) from 1 on within `by` in this order, and `total`, their group's rows, if asked for.
-
-    A sample sort: rows are dealt by splitters that Spark samples from (by, order), sorted within their partition and written with their
-    number there; the partitions' counts, at most one row for each partition and group, are summed ahead. So however values lie and however
-    large a group is, a task gets about the mean number of rows, if the order ends in a key that tells rows apart.
-    """
+    """`numbered` for groups of any size, by a sample sort: rows are dealt by splitters that Spark samples from (by, order), sorted within
+    their partition and written with their number there; the partitions' counts, at most one row for each partition and group, are summed
+    ahead. Rows equal in the whole order meet in one task."""
     spark = rows.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(tasks, *by, *order).sortWithinPartitions(*by, *order)
@@ -71,9 +62,22 @@ def placed(rows: DataFrame, by: list[str], order: list[Column | str], name: str
     return out.withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_at", "_p", "_shift")
 
 
-def with_mean_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """rows with `name`: the mean of the places that rows of the same value take. Places are summed over counts of values, not over rows."""
+def with_mean_rank(rows: DataFrame, value: str, by: list[str], name: str, small: bool | None = None) -> DataFrame:
+    """rows with `name`: the mean of the places that rows of the same value take within `by`. small: whether groups are, if that is known.
+
+    In large groups counts of values are ranked: equal values are summed by each task before they meet, so one that very many rows have is
+    no large task, and distinct ones are dealt by sampled splitters.
+    """
+    if groups_are_small(rows, by) if small is None else small:
+        over = Window.partitionBy(*by)
+        first, last = F.rank().over(over.orderBy(value)), F.count("*").over(over) + 1 - F.rank().over(over.orderBy(F.col(value).desc()))
+        return rows.withColumn(name, (first + last) / F.lit(2.0))
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counts.repartitionByRange(tasks, *by, value).withColumn("_p", F.spark_partition_id()))
+    before = lambda c, over: F.coalesce(F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    sums = sums.select(*by, "_p", before("_s", Window.partitionBy(*by).orderBy("_p")).alias("_ahead"))
+    own = dealt.withColumn("_own", before("_c", Window.partitionBy(*by, "_p").orderBy(value)))
+    ranks = with_sums(own, sums, [*by, "_p"]).select(*by, value, (F.col("_ahead") + F.col("_own") + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
     return with_sums(rows, ranks, [*by, value])

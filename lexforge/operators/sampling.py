@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_key
-from .ranks import by_hash, numbered
+from .ranks import numbered, with_sums
 
 #: Items of a pool of demonstrations.
 MOST_SHOTS = 20_000
+#: Hexadecimal digits of a hash order that name a bucket.
+HASH_DIGITS = 3
 
 
 def sample_k(rows: DataFrame, k: int, seed: int, by: str, key: str, strict: bool = False) -> DataFrame:
@@ -28,12 +30,18 @@ def sample_k(rows: DataFrame, k: int, seed: int, by: str, key: str, strict: bool
 
 def balanced_characters(rows: DataFrame, seed: int, chars: int | None = None, text: str = "text", by: str = "language", key: str = "doc_id") -> DataFrame:
     """Rows in hash order while the characters before them are below the budget: chars, or the smallest group's total."""
-    order = Window.partitionBy(by).orderBy(order_key(seed, F.col(by), F.col(key)), key)
-    before = F.coalesce(F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_len", F.length(text))
+    rows = rows.withColumn("_len", F.length(text)).withColumn("_o", order_key(seed, F.col(by), F.col(key)))
     if chars is None:
         chars = rows.groupBy(by).agg(F.sum("_len").alias("t")).agg(F.min("t")).first()[0] or 0
-    return rows.withColumn("_before", before).withColumn("rn", F.row_number().over(order)).filter(F.col("_before") < chars).drop("_before", "_len")
+    # Characters and rows of the order's buckets are summed ahead; buckets beyond the budget aren't ordered at all.
+    rows = rows.withColumn("_b", F.substring("_o", 1, HASH_DIGITS))
+    ahead = lambda c, over: F.coalesce(F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = Window.partitionBy(by).orderBy("_b")
+    sums = rows.groupBy(by, "_b").agg(F.sum("_len").alias("_t"), F.count("*").alias("_c"))
+    sums = sums.select(by, "_b", ahead("_t", buckets).alias("_chars"), ahead("_c", buckets).alias("_rows")).filter(F.col("_chars") < chars)
+    own = Window.partitionBy(by, "_b").orderBy("_o", key)
+    out = with_sums(rows, sums, [by, "_b"]).withColumn("_before", F.col("_chars") + ahead("_len", own)).withColumn("rn", F.col("_rows") + F.row_number().over(own))
+    return out.filter(F.col("_before") < chars).drop("_before", "_len", "_o", "_b", "_chars", "_rows")
 
 
 def interleave(rows: DataFrame, by: str = "language", place: str = "rn") -> DataFrame:
@@ -45,8 +53,8 @@ def batches(rows: DataFrame, strata: list[str], seed: int, size: int, key: str =
     """rows with `batch`: within each stratum dealt in turn, in hash order, over ceil(n / size) batches."""
     n = max(1, -(-rows.count() // size))
     salt = F.concat_ws("|", *[F.col(s).cast("string") for s in strata])
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order_key(seed, salt, F.col(key)), key))
-    return rows.withColumn("batch", ((place - 1) % n).cast("int"))
+    placed = numbered(rows.withColumn("_o", order_key(seed, salt, F.col(key))), strata, ["_o", key], "_place")
+    return placed.withColumn("batch", ((F.col("_place") - 1) % n).cast("int")).drop("_o", "_place")
 
 
 def fixed_subset(rows: DataFrame, size: int, seed: int, bench: str, group: str, key: str, cover: str | None = None) -> DataFrame:
@@ -63,8 +71,8 @@ def holdout(rows: DataFrame, h: int, seed: int, by: str, key: str) -> DataFrame:
     """rows with `demo`: h of each group are demonstrations, the rest is scored; an error if nothing would be left."""
     if short := rows.groupBy(by).count().filter(F.col("count") <= h).count():
         raise ValueError(f"{short} groups have no more than {h} rows")
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order_key(seed, F.col(by), F.col(key)), key))
-    return rows.withColumn("demo", place <= h)
+    placed = numbered(rows.withColumn("_o", order_key(seed, F.col(by), F.col(key))), [by], ["_o", key], "_place")
+    return placed.withColumn("demo", F.col("_place") <= h).drop("_o", "_place")
 
 
 def shots(examples: DataFrame, pool: DataFrame, k: int, seed: int, labels: list[str]) -> DataFrame:
@@ -233,7 +241,7 @@ def iterative_stratification(rows: DataFrame, labels: list[str], sizes: dict[str
             spans.append((r["_class"], at, at + k, s))
             at += k
     spans = rows.sparkSession.createDataFrame(spans, "c string, low int, high int, split string")
-    numbers = numbered(tagged.drop("_tags"), ["_class"], by_hash("_o"), ["_o", "doc_id"])
+    numbers = numbered(tagged.drop("_tags"), ["_class"], ["_o", "doc_id"])
     return numbers.join(spans, (F.col("_class") == F.col("c")) & (F.col("rn") > F.col("low")) & (F.col("rn") <= F.col("high"))).select("doc_id", "split")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, order_key
 from ..plans.written import written
-from .ranks import by_hash, by_score, numbered
+from .orderstats import order_statistics
+from .ranks import numbered, with_sums
 
 
 def require_same_keys(long: DataFrame, keys: list[str], part: str) -> None:
@@ -36,17 +37,17 @@ def require_scored(pool: DataFrame, scores: DataFrame, keys: list[str]) -> DataF
 
 def rank_by_score(rows: DataFrame, by: str = "language", key: str = "doc_id", score: str = "score_raw", whole: bool = False) -> DataFrame:
     """rows with their place `rn`. For the first few of a group a window is best, which Spark cuts short in each task; whole: all places are
-    needed, so groups are dealt over buckets of their scores."""
+    needed, so large groups are dealt over several tasks."""
     order = [F.col(score).desc(), key]
     if whole:
-        return numbered(rows, [by], by_score(score), order)
+        return numbered(rows, [by], order)
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
 def rank_randomly(rows: DataFrame, seed: int, by: str = "language", key: str = "doc_id", whole: bool = False) -> DataFrame:
     order = order_key(seed, F.col(by), F.col(key))
     if whole:
-        return numbered(rows.withColumn("_o", order), [by], by_hash("_o"), ["_o", key]).drop("_o")
+        return numbered(rows.withColumn("_o", order), [by], ["_o", key]).drop("_o")
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order, key)))
 
 
@@ -78,7 +79,7 @@ def round_robin(pool: DataFrame, scores: DataFrame, dims: list[str], k: int, tar
     up by the round of first picks; the first round that reaches the target is the last. A pool that runs out before is an error if strict,
     else taken whole.
     """
-    ranked = numbered(scores, [by, "dimension"], by_score(), [F.col("score_raw").desc(), "doc_id"], "r")
+    ranked = numbered(scores, [by, "dimension"], [F.col("score_raw").desc(), "doc_id"], "r")
     order = F.array_position(F.array(*[F.lit(d) for d in dims]), F.col("dimension")).cast("int")
     picks = ranked.select(by, "doc_id", "dimension", F.struct(F.ceil(F.col("r") / k).cast("int").alias("round"), order.alias("dim"), F.col("r")).alias("pick"))
     docs = picks.groupBy(by, "doc_id").agg(F.min("pick").alias("first"), F.sort_array(F.collect_list(F.struct("pick.round", "pick.dim", "dimension"))).alias("all"))
@@ -91,7 +92,7 @@ def round_robin(pool: DataFrame, scores: DataFrame, dims: list[str], k: int, tar
     ends = ends.select(by, F.coalesce("last", "_all").alias("last"))
     kept = docs.join(ends, by).filter(F.col("round") <= F.col("last"))
     names = F.array_join(F.transform(F.filter("all", lambda p: p["round"] <= F.col("last")), lambda p: p["dimension"]), "+")
-    placed = numbered(kept, [by], F.col("round"), ["first"])
+    placed = numbered(kept, [by], ["first"])
     return placed.select(by, "doc_id", tokens, "round", names.alias("selected_by"), F.element_at(F.array(*[F.lit(d) for d in dims]), F.col("first.dim")).alias("first_dimension"), "rn")
 
 
@@ -100,49 +101,50 @@ def budget_prefix(selected: DataFrame, target: int, tokens: str = "tokens", by:
     return token_budget(selected.withColumn("rn", F.col("round")), target, 1, tokens, by, strict=False)
 
 
-def _placed(scores: DataFrame, by: str) -> DataFrame:
-    """scores with their ascending place _a and their group's size _n."""
-    return numbered(scores, [by], by_score(down=False), ["score_raw"], "_a", "_n")
-
-
-def _at(place: Column) -> Column:
-    return F.max(F.when(F.col("_a") == place, F.col("score_raw")))
-
-
 def threshold_table(scores: DataFrame, k: int, by: str = "language") -> DataFrame:
     """The k-th highest score, the share kept, mean, median, the 90th of 100 (by index, not interpolated) and the share above 5."""
     size = F.col("_n")
-    out = _placed(scores, by).groupBy(by).agg(
-        F.count("*").alias("n"),
-        _at(size - k + 1).alias("threshold") if k > 0 else F.lit(None).cast("double").alias("threshold"),
-        F.avg("score_raw").alias("mean"),
-        ((_at(F.floor((size + 1) / 2)) + _at(F.ceil((size + 1) / 2))) / 2).alias("median"),
-        _at(F.floor(0.9 * (size - 1)) + 1).alias("p90"),
-        F.avg((F.col("score_raw") > 5).cast("double")).alias("share_above_5"),
-    )
-    return out.withColumn("share_kept", F.when(F.col("threshold").isNotNull(), F.lit(float(k)) / F.col("n")))
+    places = {"_k": size - k + 1, "_low": F.floor((size + 1) / 2), "_high": F.ceil((size + 1) / 2), "p90": F.floor(0.9 * (size - 1)) + 1}
+    found = order_statistics(scores, [by], "score_raw", places if k > 0 else {n: p for n, p in places.items() if n != "_k"})
+    sums = scores.groupBy(by).agg(F.avg("score_raw").alias("mean"), F.avg((F.col("score_raw") > 5).cast("double")).alias("share_above_5"))
+    out = with_sums(sums, found, [by]).withColumnRenamed("_n", "n").withColumn("median", (F.col("_low") + F.col("_high")) / 2)
+    out = out.withColumn("threshold", F.col("_k") if k > 0 else F.lit(None).cast("double"))
+    kept = F.when(F.col("threshold").isNotNull(), F.lit(float(k)) / F.col("n")).alias("share_kept")
+    return out.select(by, "n", "threshold", "mean", "median", "p90", "share_above_5", kept)
 
 
 def describe(scores: DataFrame, by: str = "language") -> DataFrame:
     """Mean, population deviation and the 5, 50 and 95 % points at place p * (n + 1), interpolated."""
     size, points = F.col("_n"), (0.05, 0.5, 0.95)
     low = lambda p: F.greatest(F.lit(1), F.least(size - 1, F.floor(F.lit(p) * (size + 1))))
-    ends = [x for p in points for x in (_at(low(p)).alias(f"_l{p}"), _at(low(p) + 1).alias(f"_h{p}"))]
-    out = _placed(scores, by).groupBy(by).agg(F.avg("score_raw").alias("mean"), F.stddev_pop("score_raw").alias("sd"), F.max("_n").alias("_n"), *ends)
+    found = order_statistics(scores, [by], "score_raw", {f"_{end}{i}": low(p) + (end == "h") for i, p in enumerate(points) for end in "lh"})
+    out = with_sums(scores.groupBy(by).agg(F.avg("score_raw").alias("mean"), F.stddev_pop("score_raw").alias("sd")), found, [by])
 
-    def point(p):
-        a, b = F.col(f"`_l{p}`"), F.col(f"`_h{p}`")
+    def point(i, p):
+        a, b = F.col(f"_l{i}"), F.col(f"_h{i}")
         return F.when(size > 1, a + (b - a) * (F.lit(p) * (size + 1) - low(p))).alias(f"p{int(100 * p)}")
 
-    return out.select(by, "mean", "sd", *[point(p) for p in points])
+    return out.select(by, "mean", "sd", *[point(i, p) for i, p in enumerate(points)])
 
 
 def high_quality(scores: DataFrame, fraction: float, score: str = "score_raw", by: str = "language", least: float | None = None) -> DataFrame:
-    """scores with `high`: the top fraction of each group (half to even), ties by doc_id, or all at or above `least`."""
+    """scores with `high`: the top fraction of each group (half to even), ties by doc_id, or all at or above `least`.
+
+    A group's lowest high score is an order statistic; only rows that have exactly it, where not all of them are high, are placed by doc_id.
+    """
     if least is not None:
         return scores.withColumn("high", F.col(score) >= least)
-    placed = numbered(scores, [by], by_score(score), [F.col(score).desc(), "doc_id"], "_p", "_n")
-    return placed.withColumn("high", F.col("_p") <= F.bround(F.col("_n") * F.lit(fraction))).drop("_p", "_n")
+    take = F.bround(F.col("_n") * F.lit(fraction)).cast("long")
+    cuts = order_statistics(scores, [by], score, {"_cut": F.col("_n") - take + 1}).withColumn("_take", take)
+    rows = with_sums(scores, cuts.select(by, "_cut", "_take"), [by])
+    tied = F.col(score) == F.col("_cut")
+    counts = rows.groupBy(by).agg(F.count_if(F.col(score) > F.col("_cut")).alias("_above"), F.count_if(tied).alias("_ties"))
+    rows = with_sums(rows, counts, [by])
+    room = F.col("_take") - F.col("_above")
+    first = numbered(rows.filter(tied & (room < F.col("_ties"))).select(by, "doc_id", room.alias("_room")), [by], ["doc_id"], "_p").filter(F.col("_p") <= F.col("_room"))
+    out = rows.join(first.select(F.col(by).alias("_by"), F.col("doc_id").alias("_id"), F.lit(True).alias("_first")), tied & F.col(by).eqNullSafe(F.col("_by")) & (F.col("doc_id") == F.col("_id")), "left")
+    high = (F.col(score) > F.col("_cut")) | (tied & ((room >= F.col("_ties")) | F.coalesce("_first", F.lit(False))))
+    return out.withColumn("high", F.coalesce(high & (F.col("_take") > 0), F.lit(False))).select(*scores.columns, "high")
 
 
 def membership(rows: DataFrame, flags: dict[str, str], other: str = "other") -> DataFrame:

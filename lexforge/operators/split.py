@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_key, score_bin, strip, text_hash
+from .ranks import numbered
 
 RATIOS = (("train", 0.7), ("validation", 0.1), ("test", 0.2))
 
@@ -29,8 +30,8 @@ def duplicate_groups(rows: DataFrame, text: str = "text", key: str = "doc_id") -
 def stratified_split(rows: DataFrame, seed: int, salt: str, ratios: tuple[tuple[str, float], ...] = RATIOS) -> DataFrame:
     """rows (language, group_id, score): groups keep together; per language and bin of their mean score they are dealt in hash order."""
     groups = rows.groupBy("language", "group_id").agg(score_bin(F.avg("score")).alias("bin"))
-    place = F.row_number().over(Window.partitionBy("language", "bin").orderBy(order_key(seed, salt, F.col("group_id")), "group_id"))
-    groups = groups.withColumn("_rn", place)
+    groups = groups.withColumn("_o", order_key(seed, salt, F.col("group_id")))
+    groups = numbered(groups, ["language", "bin"], ["_o", "group_id"], "_rn")
     shares = largest_remainder(groups.groupBy("language", "bin").agg(F.count("*").alias("n")), ratios)
     end = F.sum("take").over(Window.partitionBy("language", "bin").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     shares = shares.withColumn("_end", end).withColumn("_begin", F.col("_end") - F.col("take")).select("language", "bin", "split", "_begin", "_end")
@@ -40,11 +41,10 @@ def stratified_split(rows: DataFrame, seed: int, salt: str, ratios: tuple[tuple[
 
 def validation_split(rows: DataFrame, fraction: float, seed: int, score: str = "score", key: str = "doc_id") -> DataFrame:
     """rows with `split`: of each integer score round(n * fraction), half to even, at least one of two or more, to validation."""
-    over = Window.partitionBy("_s")
-    rows = rows.withColumn("_s", F.floor(score)).withColumn("_n", F.count("*").over(over))
-    place = F.row_number().over(over.orderBy(order_key(seed, F.col("_s"), F.col(key)), key))
+    rows = rows.withColumn("_s", F.floor(score)).withColumn("_o", order_key(seed, F.floor(score), F.col(key)))
+    rows = numbered(rows, ["_s"], ["_o", key], "_place", "_n")
     take = F.greatest(F.bround(F.col("_n") * F.lit(fraction)).cast("long"), F.when(F.col("_n") >= 2, 1).otherwise(0))
-    return rows.withColumn("split", F.when(place <= take, "validation").otherwise("train")).drop("_s", "_n")
+    return rows.withColumn("split", F.when(F.col("_place") <= take, "validation").otherwise("train")).drop("_s", "_n", "_o", "_place")
 
 
 def website_split(docs: DataFrame, test: int, validation: int, seed: int, largest: int = 10, by: str = "language") -> DataFrame:

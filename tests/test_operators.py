@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.operators import bench, corpus, geometry, labels, metrics, sampling, select, split
+from lexforge.operators import bench, corpus, geometry, labels, metrics, orderstats, sampling, select, split
 from lexforge.operators import ranks as ranks_of
 from lexforge.sources import readers, sinks
 
@@ -169,46 +169,73 @@ def test_round_robin_of_a_pool_that_runs_out(spark):
     assert {r["language"]: r["count"] for r in got} == {"en": 4, "xx": 3}
 
 
-def test_numbers_over_buckets_are_row_numbers(spark):
+@pytest.mark.parametrize("largest", [0, 10**6])
+def test_places_in_groups_of_any_size(spark, monkeypatch, largest):
+    monkeypatch.setattr(ranks_of, "GROUP_ROWS", largest)  # 0: every group is a large one
     rng = random.Random(5)
     rows = spark.createDataFrame([(rng.choice(["a", "b", None]), k, rng.choice([None, 1.5, 2.0, 2.0004, 2.0005, -0.25, 7.0])) for k in range(200)], "language string, doc_id int, score_raw double")
-    got = {r["doc_id"]: (r["rn"], r["n"]) for r in ranks_of.numbered(rows, ["language"], ranks_of.by_score(), [F.col("score_raw").desc(), "doc_id"], total="n").collect()}
+    got = {r["doc_id"]: (r["rn"], r["n"]) for r in ranks_of.numbered(rows, ["language"], [F.col("score_raw").desc(), "doc_id"], total="n").collect()}
     held = [tuple(r) for r in rows.collect()]
     for x in ("a", "b", None):
         mine = sorted((r for r in held if r[0] == x), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
         assert [got[i] for _, i, _ in mine] == [(k + 1, len(mine)) for k in range(len(mine))]
-    assert select.rank_randomly(rows.dropna(subset=["language"]), 3, whole=True).orderBy("doc_id").collect() == select.rank_randomly(rows.dropna(subset=["language"]), 3).select("language", "doc_id", "score_raw", "rn").orderBy("doc_id").collect()
-
-
-def test_thresholds_and_weights(spark):
-    df = spark.createDataFrame([("en", x) for x in [1.0, 2.0, 3.0, 4.0, 5.5]], "language string, score_raw double")
-    row = select.threshold_table(df, 2).first()
-    assert (row["threshold"], row["share_kept"], row["share_above_5"], row["median"]) == (4.0, 0.4, 0.2, 3.0)
-    assert select.threshold_table(df, 9).first()["threshold"] is None
-    w = spark.createDataFrame([("en", 2, 3.0), ("en", 4, 1.0)], "language string, tokens int, weight double")
-    out = select.normalised_weights(w, "weight", "tokens").collect()
-    assert sum(r["tokens"] * r["weight"] for r in out) == pytest.approx(6)
-
-
-def sites(spark):
-    rows = [("big", f"b{k}") for k in range(60)] + [(f"m{s}", f"m{s}-{k}") for s in range(6) for k in range(4)] + [(f"s{k}", f"s{k}") for k in range(40)]
-    return spark.createDataFrame([("en", d, s) for s, d in rows], "language string, doc_id string, domain string")
-
-
-def test_website_split(spark):
-    out = split.website_split(sites(spark), 12, 12, 1).cache()
-    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 100, "validation": 12, "test": 12}
-    assert split.crossing_sites(out).count() == 0 and {r["split"] for r in out.filter("domain = 'big'").select("split").distinct().collect()} == {"train"}
-    held = lambda seed: {r["doc_id"] for r in split.website_split(sites(spark), 12, 12, seed).filter("split = 'test'").collect()}
-    assert held(1) == held(1) != held(2)
-    with pytest.raises(Exception, match="whole sites"):
-        split.website_split(sites(spark), 120, 12, 1).count()
-
-
-def test_largest_remainder(spark):
-    for n, want in ((1, [1, 0, 0]), (7, [5, 1, 1]), (10, [7, 1, 2]), (90, [63, 9, 18]), (170, [119, 17, 34])):
-        got = split.largest_remainder(spark.createDataFrame([(n,)], "n int")).orderBy("i").collect()
-        assert [r["take"] for r in got] == want
+    ranked = {r["doc_id"]: r["r"] for r in ranks_of.with_mean_rank(rows.dropna(), "score_raw", ["language"], "r").collect()}
+    for x in ("a", "b"):
+        mine = sorted(r[2] for r in held if r[0] == x and r[2] is not None)
+        assert all(ranked[i] == mine.index(v) + (mine.count(v) + 1) / 2 for g, i, v in held if g == x and v is not None)
+    with_null = ranks_of.with_mean_rank(spark.createDataFrame([(None, x) for x in (1, 2, 2, 3)], "g string, v int"), "v", ["g"], "r")
+    assert sorted(r["r"] for r in with_null.collect()) == [1, 2.5, 2.5, 4]
+    rows = rows.dropna(subset=["language"])
+    assert select.rank_randomly(rows, 3, whole=True).orderBy("doc_id").collect() == select.rank_randomly(rows, 3).select("language", "doc_id", "score_raw", "rn").orderBy("doc_id").collect()
+    assert ranks_of.numbered(rows.limit(0), ["language"], ["doc_id"]).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["uniform", "whole numbers"])
+def test_no_task_takes_a_group(spark, monkeypatch, kind):
+    """One language, 60,000 scores: no partition of the sample sort, and of the mean ranks' counts, has over twice the mean."""
+    monkeypatch.setattr(ranks_of, "GROUP_ROWS", 0)
+    held, whole = [], ranks_of.written
+    monkeypatch.setattr(ranks_of, "written", lambda rows: held.append(whole(rows)) or held[-1])
+    score = F.rand(3) * 5 if kind == "uniform" else F.floor(F.rand(3) * 6).cast("double")
+    rows = spark.range(60_000).select(F.lit("en").alias("language"), F.col("id").alias("doc_id"), score.alias("score_raw"))
+    places = ranks_of.numbered(rows, ["language"], [F.col("score_raw").desc(), "doc_id"]).agg(F.count_distinct("rn"), F.min("rn"), F.max("rn")).first()
+    assert tuple(places) == (60_000, 1, 60_000)
+    sizes = [r["count"] for r in held[0].groupBy("_p" if "_p" in held[0].columns else F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * 60_000 / len(sizes)
+    ranked = ranks_of.with_mean_rank(rows, "score_raw", ["language"], "r").agg(F.avg("r")).first()[0]
+    assert ranked == pytest.approx(30_000.5)
+    if kind == "uniform":
+        sizes = [r["count"] for r in held[2].groupBy("_p").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 2 * 60_000 / len(sizes)
+
+
+def test_order_statistics(spark):
+    rng = random.Random(12)
+    inf = float("inf")
+    values = {"a": [rng.uniform(-3, 9) for _ in range(700)], "b": [float(rng.randint(0, 4)) for _ in range(400)], None: [2.5] * 90, "c": [10.0 ** rng.randint(-300, 300) for _ in range(60)] + [inf, -inf, 0.0], "d": [1.0], "e": []}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [(g, v) for g in "abe" for v in (None, float("nan"))]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    n = F.col("_n")
+    wanted = {"low": F.lit(1), "mid": F.floor((n + 1) / 2), "high": n, "third": F.lit(3), "beyond": n + 1, "zero": F.lit(0)}
+    for bins, few in ((8, 5), (1024, 10_000), (3, 0)):
+        got = {r["g"]: r for r in orderstats.order_statistics(frame, ["g"], "v", wanted, bins, few).collect()}
+        assert set(got) == set(values)
+        for g, vs in values.items():
+            held, row = sorted(vs), got[g]
+            at = lambda k, held=held: held[k - 1] if 1 <= k <= len(held) else None
+            assert (row["_n"], row["low"], row["mid"], row["high"], row["third"], row["beyond"], row["zero"]) == (len(held), at(1), at((len(held) + 1) // 2), at(len(held)), at(3), None, None)
+
+
+def test_high_quality_takes_ties_by_id(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), k, rng.choice([None, 1.0, 2.0, 3.0, 3.5])) for k in range(150)]
+    for fraction in (0.0, 0.3, 0.5, 1.0):
+        got = {r["doc_id"] for r in select.high_quality(spark.createDataFrame(rows, "language string, doc_id int, score_raw double"), fraction).filter("high").collect()}
+        want = set()
+        for g in "ab":
+            mine = sorted((r for r in rows if r[0] == g and r[2] is not None), key=lambda r: (-r[2], r[1]))
+            want |= {r[1] for r in mine[: round(len(mine) * fraction)]}
+        assert got == want
 
 
 def test_validation_split_takes_one_of_two(spark):
@@ -218,8 +245,6 @@ def test_validation_split_takes_one_of_two(spark):
 
 
 def test_metrics(spark):
-    ranks = ranks_of.with_mean_rank(spark.createDataFrame([(None, x) for x in (1, 2, 2, 3)], "g string, v int"), "v", ["g"], "r")
-    assert sorted(r["r"] for r in ranks.collect()) == [1, 2.5, 2.5, 4]
     pairs = spark.createDataFrame([("en", x + 0.5, float(x)) for x in range(5)], "language string, human double, llm double")
     row = metrics.agreement(pairs).filter("language = 'all'").first()
     assert (row["n"], row["mae"]) == (5, 0.5) and row["pearson"] == pytest.approx(1) and row["spearman"] == pytest.approx(1)
