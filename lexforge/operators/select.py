@@ -117,7 +117,7 @@ def describe(scores: DataFrame, by: str = "language") -> DataFrame:
     """Mean, population deviation and the 5, 50 and 95 % points at place p * (n + 1), interpolated."""
     size, points = F.col("_n"), (0.05, 0.5, 0.95)
     low = lambda p: F.greatest(F.lit(1), F.least(size - 1, F.floor(F.lit(p) * (size + 1))))
-    found = order_statistics(scores, [by], "score_raw", {f"_{end}{i}": low(p) + (end == "h") for i, p in enumerate(points) for end in "lh"})
+    found = order_statistics(scores, [by], "score_raw", {f"_{end}{i}": low(p) + int(end == "h") for i, p in enumerate(points) for end in "lh"})
     out = with_sums(scores.groupBy(by).agg(F.avg("score_raw").alias("mean"), F.stddev_pop("score_raw").alias("sd")), found, [by])
 
     def point(i, p):
