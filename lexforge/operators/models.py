@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_reply
+from ..sources.answers import ask_all
 
 
 def encode(rows: DataFrame, tokenizer_path: str, text: str = "text", end_id: int | None = None, start_id: int | None = None) -> DataFrame:
@@ -131,28 +132,9 @@ def with_retries(ask: Callable[[str], str], attempts: int = 4, wait: float = 1.0
 
 
 def score_batch(items: DataFrame, load: Callable[[], Callable[[str], str]], names: list[str], path: str, attempts: int = 4, wait: float = 1.0) -> DataFrame:
-    """items (id, prompt) that no line of the results at `path` names are asked for, and appended there as JSON lines: (id, raw, error,
-    parse_status, one int a name). A reply that can't be read is kept as failed and not asked again. Returns all results."""
-    schema = "id string, raw string, error string, parse_status string, " + ", ".join(f"{n} int" for n in names)
-    spark = items.sparkSession
-
-    def results() -> DataFrame:
-        try:
-            return spark.read.schema(schema).json(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = with_retries(load(), attempts, wait)
-        for batch in batches:
-            found = [ask(p) for p in batch["prompt"]]
-            yield pd.DataFrame({"id": batch["id"], "raw": [a for a, _ in found], "error": [e for _, e in found]})
-
-    left = items.select(F.col("id").cast("string").alias("id"), "prompt").join(results().select("id").distinct(), "id", "left_anti")
-    told = left.mapInPandas(run, "id string, raw string, error string")
+    """items (id, prompt) that the record at `path` doesn't have are asked for, each answer recorded as it comes: (id, raw, error,
+    parse_status, one int a name) of all in the record. A reply that can't be read is kept as failed and not asked again."""
+    told = ask_all(items, lambda: with_retries(load(), attempts, wait), path)
     values, status = parse_reply(F.coalesce("raw", F.lit("")), names)
     told = told.select("id", "raw", "error", status.alias("parse_status"), values.alias("_v"))
-    told.select("id", "raw", "error", "parse_status", *[F.col("_v")[n].alias(n) for n in names]).write.mode("append").json(path)
-    return results()
+    return told.select("id", "raw", "error", "parse_status", *[F.col("_v")[n].alias(n) for n in names])

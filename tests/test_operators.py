@@ -406,7 +406,6 @@ def test_sources_and_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("c1", 1, "b"), ("c1", 0, "a"), ("c1", 2, "<range>")], "g string, n int, line string")
     assert readers.grouped_lines(lines, "g", "n").first()["text"] == "a\nb"
     table = spark.range(10).withColumn("block", F.col("id") % 2)
-    assert readers.random_row_sample(table, 3, 1, "id", "block").count() == 3
     path = str(tmp_path / "out")
     sinks.write_once(table, path, 10)
     assert sinks.is_complete(spark, path, 10) and not sinks.is_complete(spark, path, 11) and not sinks.is_complete(spark, path + "x", 0)
