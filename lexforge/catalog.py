@@ -794,7 +794,8 @@ def embedding_head(spark, d):
     return models.predict(rows, head, "embedding").select("vec_id", "label", "raw")
 
 
-from . import catalog_small as _small  # noqa: E402, F401  registers its queries here
+from . import catalog_files as _files  # noqa: E402, F401  both register their queries here
+from . import catalog_small as _small  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash, has_any_word, strip, text_hash
 from ..plans.written import written
 from .matching import first_matching
+from .ranks import placed
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -143,6 +144,11 @@ def overlap_report(rows: DataFrame, ids: DataFrame, hashes: DataFrame, low: int
     return one[0].join(one[1], "_k").join(one[2], "_k").drop("_k")
 
 
+def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
+    """rows with `ordinal`, their place in the whole table, by a sample sort: no task takes all of it."""
+    return placed(rows, [], [order], "ordinal")
+
+
 def truncate(rows: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
     return rows.filter(F.col(order) <= n)
 

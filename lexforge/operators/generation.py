@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grams(items: Column, n: int) -> Column:
+def grams(items: Column, n: int | Column) -> Column:
     """All runs of n items, each joined by a unit separator; empty if there are fewer."""
     last = F.size(items) - n + 1
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.array_join(F.slice(items, i, n), "\x1f"))
@@ -23,10 +23,14 @@ def words(text: Column) -> Column:
 
 
 def matches(pairs: DataFrame, by: list[str], kinds: list[tuple[str, int, Column, Column]]) -> DataFrame:
-    """(by, kind, n, made, wanted, matched): n-grams of hypotheses and references, and those in common, clipped pair by pair."""
+    """(by, kind, n, made, wanted, matched): n-grams of hypotheses and references, and those in common, clipped pair by pair. Items of a kind
+    are made once a pair and side, as rows of their own, and not again for each n-gram."""
     rows = pairs.withColumn("_id", F.monotonically_increasing_id())
-    each = [F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), grams(items, n).alias("g")) for k, n, made, wanted in kinds for side, items in (("m", made), ("w", wanted))]
-    flat = rows.select(*by, "_id", F.explode(F.array(*each)).alias("x")).select(*by, "_id", "x.kind", "x.n", "x.side", F.explode("x.g").alias("gram"))
+    items = {(k, side): x for k, _, made, wanted in kinds for side, x in (("m", made), ("w", wanted))}
+    each = [F.struct(F.lit(k).alias("kind"), F.lit(side).alias("side"), x.alias("items")) for (k, side), x in items.items()]
+    flat = rows.select(*by, "_id", F.explode(F.array(*each)).alias("x")).select(*by, "_id", "x.kind", "x.side", "x.items")
+    orders = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(n) for x, n, _, _ in kinds if x == k])) for k in dict.fromkeys(k for k, *_ in kinds)])
+    flat = flat.withColumn("n", F.explode(orders)).withColumn("gram", F.explode(grams(F.col("items"), F.col("n")))).drop("items")
     count = lambda side: F.count_if(F.col("side") == side)
     per = flat.groupBy(*by, "_id", "kind", "n", "gram").agg(count("m").alias("m"), count("w").alias("w"))
     return per.groupBy(*by, "kind", "n").agg(F.sum("m").alias("made"), F.sum("w").alias("wanted"), F.sum(F.least("m", "w")).alias("matched"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.written import written
+
 ANNOTATIONS = "doc_id string, text string, " + ", ".join(f"score_{k} string" for k in range(5))
 POOL = "doc_id string, language string, char_len int"
 SCORES = "doc_id string, language string, score_raw double, score double, rater_tokens int"
@@ -12,8 +14,8 @@ LLM = "id string, parse_status string, error string, justification string, text
 
 
 def stem(suffix: str = ""):
-    """The file name without folder and suffix."""
-    return F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), (suffix or r"\.[^.]*") + "$", "")
+    """The file name without folder, suffix, and the number that `sinks.write_named` gives each of several files of a name."""
+    return F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"(-\d{5})?" + (suffix or r"\.[^.]*") + "$", "")
 
 
 def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -110,5 +112,11 @@ def grouped_lines(lines: DataFrame, group: str, order: str, text: str = "line",
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one text file; files are small parallel corpora, numbered within one file by its own order."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "line"))
+    """(file, line_no, line) of text files, lines numbered from 0 on within their file. Files are split as Spark splits them: a line is counted within
+    its block, whose lines are contiguous, and the blocks' counts, a row each, are summed in the order of their places in the file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = written(lines.withColumn("_at", F.monotonically_increasing_id()))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "_block", (F.coalesce(ahead, F.lit(0)) - F.col("_from")).alias("_shift"))
+    return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_at") + F.col("_shift")).alias("line_no"), F.col("value").alias("line"))

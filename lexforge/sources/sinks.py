@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clip
 
 
+#: Fields are written and read as they are, blanks at their ends included.
+EXACT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
-    rows.select(*fields).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.select(*fields).write.mode("overwrite").options(**EXACT).csv(path)
+
+
+def write_named(rows: DataFrame, folder: str, by: str, suffix: str, form: str = "csv", **options) -> None:
+    """Files <value of by>-<number><suffix> in a folder: a value of most rows may have many, written by as many tasks. Names only are handled here."""
+    spark = rows.sparkSession
+    stage = f"{folder.rstrip('/')}/_stage-{uuid.uuid4().hex}"
+    rows.write.partitionBy(by).options(**((EXACT if form == "csv" else {}) | options)).format(form).save(stage)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    root = jvm.org.apache.hadoop.fs.Path(stage)
+    files = root.getFileSystem(conf)
+    for value in files.listStatus(root):
+        name = value.getPath().getName()
+        if not name.startswith(f"{by}="):
+            continue
+        parts = sorted((x.getPath() for x in files.listStatus(value.getPath()) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+        for i, part in enumerate(parts):
+            if not files.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name[len(by) + 1 :]}-{i:05d}{suffix}")):
+                raise OSError(f"{part} can't be renamed")
+    files.delete(root, True)
 
 
 def formatted_scores(rows: DataFrame) -> DataFrame:
