@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: The smallest long; stands for a null document id wherever an order of ids is needed.
 NULL_ID = -(2**63)
-#: Rows of one Arrow batch handed to Python; keeps a batch of very long texts within a worker's memory.
-BATCH_ROWS = 512
+#: Rows of one Arrow batch handed to Python, and bytes of one of texts: a batch of very long texts is cut by its bytes, so that neither the
+#: executor's buffers nor a worker's memory grow with their length (but for one text that is longer by itself).
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Groups (languages, domains) that a sample may be drawn for; more are an error, never left out.
 MOST_GROUPS = 1000
 
@@ -35,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    else:  # narrow rows, in blocks of this many
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -241,11 +241,11 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score): each row of docs as a struct, its language and that language's pooled probability."""
     small_batches(docs.sparkSession, 256)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("whole"))
+    rows, at = docs.select(F.struct(*docs.columns).alias("row")), docs.columns.index(text_col)  # texts are sent once, within their rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = [x or "" for x in batch.column(0).flatten()[at].cast(pa.string()).to_pylist()]
             read = [t.encode() if model is not None and has_letter(t) else b"" for t in texts]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if any(read):

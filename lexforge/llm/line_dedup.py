@@ -285,13 +285,13 @@ def apply(scratch: Scratch, index: LineIndex, docs: DataFrame, refs: DataFrame |
     """(row, kept, n_lines, n_dropped): each row of docs as a struct, and the text of the lines that stay."""
     # Keys that documents lose grow with the corpus: the join is by id at every size, never a broadcast.
     gone = scratch.save(dropped_keys(scratch, index, index.refs if refs is None else refs), "gone").hint("merge")
-    out = docs.select(known_id().alias("did"), F.col(text_col).cast("string").alias("whole"), F.struct(*docs.columns).alias("row")).join(gone, "did", "left")
-    kind, min_chars = out.schema["row"].dataType.simpleString(), index.min_chars
+    out = docs.select(known_id().alias("did"), F.struct(*docs.columns).alias("row")).join(gone, "did", "left")
+    kind, min_chars, at = out.schema["row"].dataType.simpleString(), index.min_chars, docs.columns.index(text_col)  # texts are sent once, within their rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n, lost = [], [], []
-            for text, keys in zip(batch.column(1), batch.column(2), strict=True):
+            for text, keys in zip(batch.column(0).flatten()[at].cast(pa.string()), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 n.append(text.count("\n") + 1)
                 if keys.is_valid:
@@ -304,4 +304,4 @@ def apply(scratch: Scratch, index: LineIndex, docs: DataFrame, refs: DataFrame |
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())], ["row", "kept", "n_lines", "n_dropped"])
 
     small_batches(docs.sparkSession, 256)
-    return out.select("row", "whole", "gone").mapInArrow(run, f"row {kind}, kept string, n_lines long, n_dropped long")
+    return out.select("row", "gone").mapInArrow(run, f"row {kind}, kept string, n_lines long, n_dropped long")

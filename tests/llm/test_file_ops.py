@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexforge.llm import entry, late, lexical, token_files
-from lexforge.llm.common import Scratch
+from lexforge.llm.common import Scratch, small_batches
 
 
 def tokenizer(name="word_bpe_49k.json"):
@@ -303,3 +303,16 @@ def test_op12_on_the_whole_table(spark):
     early = [r for r in every if r[5] is not None and r[5] < cut]
     after = [r for r in every if r[5] is None or r[5] >= cut]
     assert found(entry.op12_late_overwrite(spark, "/root/testdata/sf0.001")) == late_brute(early, after, 1 + len(rows) // 900)
+
+
+def test_batches_of_texts_are_cut_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    small_batches(spark, 256)
+    rows = spark.range(60, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    got = [r.bytes for r in rows.mapInArrow(sizes, "bytes long").collect()]
+    assert len(got) > 8 and max(got) <= 6 << 20
