@@ -11,7 +11,7 @@ from .operators import corpus, generation, labels, models, tables
 from .plans.views import SQL_SCORES, table
 from .plans.views import scores as scores_view
 from .plans.written import new_folder
-from .sources import readers, row_groups, sinks
+from .sources import readers, row_groups, sinks, snapshots
 
 #: File name prefixes of languages; files of other prefixes, and checkpoints, are skipped.
 PREFIXES = {"en": "eng", "es": "spa", "fr": "fra"}
@@ -168,6 +168,19 @@ def truncated_extraction(spark, d):
     return corpus.truncate(rows, rows.count() // 2)
 
 
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def fetched_release(spark, d):
+    """A release published twice, the second time with a column fewer and back, downloaded by its manifest and read."""
+    source, folder, target, rows = new_folder(spark), new_folder(spark), new_folder(spark), docs(spark, d).select("doc_id", "lang", "n_chars")
+    rows.write.parquet(source)
+    first = snapshots.publish(spark, source, folder, rows.columns, {"no id": F.col("doc_id").isNull()})
+    rows.drop("n_chars").write.mode("overwrite").parquet(source)
+    snapshots.publish(spark, source, folder, rows.columns)
+    snapshots.point(folder, first)
+    snapshots.fetch(spark, folder, target).write.format("noop").mode("overwrite").save()
+    return spark.read.parquet(target)
+
+
 @query(
     "SELECT doc_id::VARCHAR AS id, CASE WHEN length(coalesce(text, '')) % 11 = 0 OR length(coalesce(text, '')) % 13 = 0 THEN 'failed' ELSE 'ok' END AS parse_status, "
     "CASE WHEN length(coalesce(text, '')) % 11 > 0 AND length(coalesce(text, '')) % 13 > 0 THEN (length(coalesce(text, '')) % 6)::INTEGER END AS edu, CASE WHEN length(coalesce(text, '')) % 11 = 0 THEN 'ValueError: no answer' END AS error FROM documents"

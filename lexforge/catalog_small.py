@@ -232,8 +232,7 @@ CONFIGURED = [("click_1", 0), ("click", 1), ("view", 2), ("error_2_1", 3)]
     "SELECT t.task, m.name AS configured FROM t LEFT JOIN m USING (task)"
 )
 def configured_tasks(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("_events")
-    tasks = spark.sql(TASKS.replace("FROM events", "FROM _events"))
+    tasks = spark.sql(TASKS.replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
     return bench.configured_task(tasks, spark.createDataFrame(CONFIGURED, "name string, place int"))
 
 
@@ -253,6 +252,44 @@ def texts_of_split(spark, d):
     return corpus.require_complete(kept, kept.select("doc_id"))
 
 
+@query("SELECT d.doc_id, length(d.text)::INTEGER AS char_len FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND l.toxic = 0")
+def held_out_texts(spark, d):
+    """Ids of one of three splits, and their texts, looked up in the document table; an id that isn't there would be an error."""
+    split_of = F.when(F.col("toxic") == 1, "validation").when(F.col("quality") == 1, "test").otherwise("train")
+    manifest = table(spark, d, "labels").select("doc_id", split_of.alias("split"))
+    ids = tables.in_splits(manifest, manifest, ["test"], ["doc_id"])
+    return corpus.require_complete(docs(spark, d).select("doc_id", F.length("text").alias("char_len")), ids)
+
+
+@query("SELECT d.doc_id, d.lang AS language FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND (d.doc_id % 2 = 0 OR d.lang = 'en')")
+def kept_by_language(spark, d):
+    """A keep set by language and id: entries of odd ids name English, so those of other languages match nothing."""
+    rows = docs(spark, d).select("doc_id", F.col("lang").alias("language"))
+    entries = rows.join(table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").otherwise("test").alias("split")), "doc_id")
+    entries = entries.withColumn("language", F.when(F.col("doc_id") % 2 == 0, F.col("language")).otherwise("en"))
+    return tables.in_splits(rows, entries, ["train"], ["language", "doc_id"])
+
+
+@query(
+    "SELECT doc_id, coalesce(m.score, h.score) AS score, CASE WHEN m.doc_id IS NULL THEN 'human' END AS rater, m.status FROM (SELECT doc_id, (doc_id % 6)::DOUBLE AS score, 'ok' AS status FROM documents WHERE doc_id % 3 > 0) m "
+    "FULL JOIN (SELECT doc_id, quality::DOUBLE AS score FROM labels) h USING (doc_id)"
+)
+def model_and_human_rows(spark, d):
+    """Model rows, and those human rows whose document has none; each table lacks a column of the other."""
+    model = docs(spark, d).filter("doc_id % 3 > 0").select("doc_id", (F.col("doc_id") % 6).cast("double").alias("score"), F.lit("ok").alias("status"))
+    human = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("score"), F.lit("human").alias("rater"))
+    return corpus.union_keep_first([model, human], "doc_id", "score").select("doc_id", "score", "rater", "status")
+
+
+@query(
+    "SELECT lang AS run, e AS epoch, k::INTEGER AS k, (e * s + round_even(k * s / 7.0::DOUBLE, 0))::BIGINT AS step FROM (SELECT lang, count(*) // 8 AS s FROM documents GROUP BY lang), range(0, 4) a(e), range(1, 8) b(k)"
+)
+def evaluation_schedule(spark, d):
+    """Evaluations of a run a language, whose steps an epoch are its documents in batches of eight."""
+    runs = docs(spark, d).groupBy(F.col("lang").alias("run")).agg(F.floor(F.count("*") / 8).alias("steps_per_epoch"))
+    return geometry.evaluation_schedule(runs, 4, 7).select("run", "epoch", "k", "step")
+
+
 # --- sampling, shots, splits ---------------------------------------------------------------------------------------------------------
 
 KEY = "sha256('42:' || {a} || ':' || {b})"

@@ -56,13 +56,13 @@ def configured_task(tasks: DataFrame, configured: DataFrame) -> DataFrame:
 
 
 def leaf_tasks(spark, groups: DataFrame, root: str) -> DataFrame:
-    """Leaves below root of groups (parent, child), in a recursive query."""
-    groups.createOrReplaceTempView("_task_groups")
+    """Leaves below root of groups (parent, child), in a recursive query; a null parent is nobody's."""
     return spark.sql(
         """WITH RECURSIVE walk(task, depth) AS (
-             SELECT :root, 0 UNION ALL SELECT g.child, depth + 1 FROM walk JOIN _task_groups g ON g.parent = walk.task)
-           SELECT DISTINCT task FROM walk WHERE task NOT IN (SELECT parent FROM _task_groups)""",
+             SELECT :root, 0 UNION ALL SELECT g.child, depth + 1 FROM walk JOIN {groups} g ON g.parent = walk.task)
+           SELECT DISTINCT task FROM walk WHERE NOT EXISTS (SELECT 1 FROM {groups} g WHERE g.parent = walk.task)""",
         {"root": root},
+        groups=groups,
     )
 
 

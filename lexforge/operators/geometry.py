@@ -64,12 +64,18 @@ def chunks(rows: DataFrame, size: int, special: int = 2, tokens: str = "tokens")
     return out.withColumn("begin", F.col("chunk") * room).withColumn("n_tokens", F.least(F.lit(room), F.col(tokens) - F.col("chunk") * room).cast("long"))
 
 
-def evaluation_steps(spark, epochs: int, steps_per_epoch: int, evaluations: int) -> DataFrame:
-    rows = spark.range(epochs).withColumnRenamed("id", "epoch").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(evaluations))))
-    step = F.col("epoch") * steps_per_epoch + F.bround(F.col("k") * steps_per_epoch / F.lit(float(evaluations)))
+def evaluation_schedule(runs: DataFrame, epochs: int, evaluations: int) -> DataFrame:
+    """runs (steps_per_epoch, ...) with a row for each evaluation: k of `evaluations` in an epoch, at `step`, rounded half to even."""
+    rows = runs.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(evaluations))))
+    step = F.col("epoch") * F.col("steps_per_epoch") + F.bround(F.col("k") * F.col("steps_per_epoch") / F.lit(float(evaluations)))
     return rows.withColumn("step", step.cast("long"))
 
 
+def evaluation_steps(spark, epochs: int, steps_per_epoch: int, evaluations: int) -> DataFrame:
+    return evaluation_schedule(spark.range(1).select(F.lit(steps_per_epoch).alias("steps_per_epoch")), epochs, evaluations).drop("steps_per_epoch")
+
+
 def fit_prompt(shots: DataFrame, limit: int, by: str = "example_id") -> DataFrame:
     """shots (example_id, place, tokens, own): the last shots that fit limit - 1 tokens beside the example's own; whole ones drop from the front."""
     tail = F.sum("tokens").over(Window.partitionBy(by).orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from lexforge.sources import answers, row_groups
+from lexforge.sources import answers, readers, row_groups, snapshots
 
 
 @pytest.fixture
@@ -110,3 +110,51 @@ def test_an_attempt_reads_what_the_one_before_recorded(tmp_path, monkeypatch):
     writer.commit([writer.write(iter(rows)), None])
     assert open(calls).read().split() == ["p0", "p1", "p2", "p3", "p4", "p4", "p5"]
     assert len(glob(f"{path}/part-*")) == 1 and not os.listdir(f"{path}/_open")
+
+
+def test_snapshots(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    source, folder = tmp_path / "table" / "table", f"file://{tmp_path}/releases"
+    source.mkdir(parents=True)
+    put = lambda name, n, **more: pq.write_table(pa.table({"id": list(range(n)), "text": ["t"] * n, **more}), source / name)
+    put("a.parquet", 3)
+    put("b.parquet", 4)
+    publish = lambda **checks: snapshots.publish(spark, str(source), folder, ["id", "text"], checks)
+    first = publish()
+    assert publish() == first == snapshots.current(folder)
+    put("a.parquet", 5)
+    (source / "b.parquet").rename(source / "c.parquet")
+    second = publish()
+    assert {(r.name, r.change) for r in snapshots.difference(spark, folder, first, second).collect()} == {("a.parquet", "changed"), ("b.parquet", "removed"), ("c.parquet", "added")}
+    objects = [x for x in os.listdir(tmp_path / "releases/objects") if not x.startswith(".")]
+    assert len(objects) == 3  # the file that only changed its name is stored once
+    put("d.parquet", 2, owner=["x", "y"])
+    with pytest.raises(ValueError, match="may not be released"):
+        snapshots.publish(spark, str(source), folder, ["id", "text"])
+    (source / "d.parquet").unlink()
+    with pytest.raises(ValueError, match="many"):
+        publish(many=F.col("id") > 3)
+    assert snapshots.current(folder) == second
+    fetch = lambda: sorted((r.name, r.fetched) for r in snapshots.fetch(spark, folder, f"file://{tmp_path}/got", first).collect())
+    assert fetch() == [("a.parquet", True), ("b.parquet", True)] and spark.read.parquet(str(tmp_path / "got")).count() == 7
+    (tmp_path / "got/b.parquet").write_bytes(b"cut")
+    assert fetch() == [("a.parquet", False), ("b.parquet", True)]
+    snapshots.point(folder, first)
+    assert snapshots.current(folder) == first and snapshots.manifest(spark, folder).count() == 2
+    with pytest.raises(ValueError, match="no snapshot"):
+        snapshots.point(folder, "nothing")
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = {"a.txt": [f"line {k} {'x' * (k % 50)}" for k in range(3000)], "b.txt": ["only"], "c.txt": []}
+    for name, held in lines.items():
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in held))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        rows = readers.numbered_lines(spark, f"{tmp_path}/*.txt")
+        got = sorted((r.file.rsplit("/", 1)[-1], r.line_no, r.line) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((name, k, x) for name, held in lines.items() for k, x in enumerate(held))
