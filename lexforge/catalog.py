@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import bench, corpus, geometry, labels, metrics, models, sampling, select, split, tables
+from .operators import bench, corpus, embedding, geometry, labels, metrics, models, sampling, select, split, tables
 from .plans.views import NAMES, SQL_CORPUS, SQL_SCORE, WITH, annotations, score_of, scores, table
 from .plans.views import corpus as corpus_view
 from .plans.written import new_folder, written
@@ -794,6 +794,11 @@ def embedding_head(spark, d):
     return models.predict(rows, head, "embedding").select("vec_id", "label", "raw")
 
 
+@query()
+def document_embeddings(spark, d):
+    return embedding.embed(table(spark, d, "documents").select("doc_id", "text"))
+
+
 from . import catalog_files as _files  # noqa: E402, F401  both register their queries here
 from . import catalog_small as _small  # noqa: E402, F401
 
