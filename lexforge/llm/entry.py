@@ -86,7 +86,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.quality_domains(load(spark, sf_dir, "labels"))
     mixed = mixing.mix(Scratch(spark), load(spark, sf_dir, "documents"), labels, TARGET_WEIGHTS)
-    return mixed.members.withColumn("missed", F.lit(mixed.missed))
+    return mixed.members.withColumn("missed", F.lit(mixed.missed)).withColumn("residual", F.lit(mixed.residual))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from .common import Scratch, few_each, small_batches
 #: Bounds of the fit: labelled documents a domain, words of the vocabulary.
 SAMPLE, VOCABULARY, LEAST_DOCS = 1500, 1000, 5
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
-#: Steps of the rates, beyond which a warning says that they aren't done; they end when totals are off by less than SETTLED of the targets, or
+#: Steps of the rates, beyond which they aren't done, which a warning and the result's residual tell; they end when totals are off by less than SETTLED of the targets, or
 #: when the projected gradient would change rates by less than FLAT (root mean square, weighted by tokens).
 STEPS, SETTLED, FLAT = 400, 1e-6, 1e-6
 #: Proximal steps: the first and the least weight of staying near, and the most Newton steps in one.
@@ -239,6 +239,15 @@ def descend(look, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndar
     return steps, at
 
 
+def residual(look, steps: list[np.ndarray], targets: np.ndarray) -> float:
+    """How far rates after these steps are from the least squares: the change of a rate that a projected-gradient step of length 1 would make
+    (root mean square, weighted by tokens). 0 at the least squares, whether or not targets are in reach there; over FLAT if STEPS ended the fit."""
+    (start, gram), (at, _) = look([]), look(steps)
+    whole = inverse(gram)
+    after = look([*steps, whole @ (at - targets)])[0]
+    return float(np.sqrt(max(0.0, (at - targets) @ whole @ (at - after)) / max(1.0, float(start.sum()))))
+
+
 def solve(members: DataFrame, targets: np.ndarray, turns: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
     return descend(lambda steps: gather(members, len(targets), steps), targets, turns)
 
@@ -268,6 +277,8 @@ class Mix:
     targets: np.ndarray
     reached: np.ndarray
     steps: list[np.ndarray]
+    #: See `residual`; 0 where targets are met.
+    residual: float
 
     @property
     def missed(self) -> float:
@@ -292,9 +303,11 @@ def mix(scratch: Scratch, docs: DataFrame, labels: DataFrame, weights: dict[str,
         now, _ = gather(kept, len(model.domains), [])
     targets = now * [(factors or {}).get(d, 1.0) for d in model.domains] if weights is None else targets_of(weights, model.domains, now)
     steps, reached = solve(members, targets)
-    if np.abs(reached - targets).max() > SETTLED * max(1.0, float(np.abs(targets).sum())):
+    left = 0.0
+    if np.abs(reached - targets).max(initial=0.0) > SETTLED * max(1.0, float(np.abs(targets).sum())):
+        left = residual(lambda s: gather(members, len(targets), s), steps, targets)
         logging.getLogger(__name__).warning("targets out of reach: of %s got %s of %s", model.domains, reached.tolist(), targets.tolist())
-    return Mix(rates(members, len(model.domains), steps), model.domains, targets, reached, steps)
+    return Mix(rates(members, len(model.domains), steps), model.domains, targets, reached, steps, left)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -426,6 +426,19 @@ def test_rates_end_at_the_least_squares(soft, caplog):
     assert len(looks) < 150 and not caplog.records
 
 
+def test_residual_tells_a_stopped_fit():
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([3, 3, 3], 5000), rng.integers(20, 500, 5000).astype(float)
+    targets = np.array([0.9, 0.08, 0.02]) * n.sum()  # out of reach
+
+    def look(steps):
+        got = mixing.held(p, n, steps)
+        return got[:3], got[3:].reshape(3, 3)
+
+    done, stopped = (mixing.descend(look, targets, turns)[0] for turns in (mixing.STEPS, 1))
+    assert mixing.residual(look, done, targets) <= 2 * mixing.FLAT < 1e-3 < mixing.residual(look, stopped, targets)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from lexforge.llm import simhash
