@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from .catalog import query, six
-from .operators import corpus, generation, labels, models, tables
+from .operators import corpus, generation, labels, metrics, models, ngram_lm, tables
 from .plans.views import SQL_SCORES, table
 from .plans.views import scores as scores_view
 from .plans.written import new_folder
@@ -239,3 +239,63 @@ def generation_bleu(spark, d):
 )
 def generation_chrf(spark, d):
     return generation.chrf(_turns(spark, d), ["role"]).select("role", six("chrf", "chrf"))
+
+
+# --- a language model of counts ------------------------------------------------------------------------------------------------------
+
+HELD_OUT, CONTEXT_TOKENS = 10, 24
+_WORDS = r"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{M}}\p{{Nd}}]+')"
+_TRIPLES = "unnest(range(1, len(p) - 1)) AS i, p"
+_MODEL = (
+    f"td AS (SELECT doc_id, ['<s>', '<s>'] || {_WORDS.format(x='text')} || ['</s>'] AS p FROM documents WHERE doc_id % {HELD_OUT} <> 0), "
+    f"tt AS (SELECT p[i] AS u, p[i + 1] AS v, p[i + 2] AS w FROM (SELECT {_TRIPLES} FROM td)), "
+    "t3 AS MATERIALIZED (SELECT u, v, w, count(*) AS c FROM tt GROUP BY ALL), c3 AS MATERIALIZED (SELECT u, v, sum(c) AS total, count(*) AS types FROM t3 GROUP BY ALL), "
+    "t2 AS MATERIALIZED (SELECT v, w, count(*) AS c FROM t3 GROUP BY ALL), c2 AS MATERIALIZED (SELECT v, sum(c) AS total, count(*) AS types FROM t2 GROUP BY ALL), "
+    "t1 AS MATERIALIZED (SELECT w, count(*) AS c FROM t2 GROUP BY ALL), c0 AS (SELECT sum(c) AS total, count(*) AS types FROM t1), "
+)
+_PROBABILITY = (
+    "pp AS MATERIALIZED (SELECT q.u, q.v, q.w, coalesce(greatest(t1.c - 0.75::DOUBLE, 0) / c0.total, 0) + 0.75::DOUBLE * c0.types / c0.total / (c0.types + 1) AS p1, coalesce(greatest(t2.c - 0.75::DOUBLE, 0) / c2.total, 0) AS k2, 0.75::DOUBLE * c2.types / c2.total AS b2, "
+    "coalesce(greatest(t3.c - 0.75::DOUBLE, 0) / c3.total, 0) AS k3, 0.75::DOUBLE * c3.types / c3.total AS b3 FROM (SELECT DISTINCT u, v, w FROM asked) q LEFT JOIN t3 USING (u, v, w) LEFT JOIN c3 USING (u, v) LEFT JOIN t2 ON t2.v = q.v AND t2.w = q.w LEFT JOIN c2 ON c2.v = q.v LEFT JOIN t1 ON t1.w = q.w, c0), "
+    "pr AS (SELECT u, v, w, CASE WHEN b3 IS NULL THEN p2 ELSE k3 + b3 * p2 END AS p FROM (SELECT *, CASE WHEN b2 IS NULL THEN p1 ELSE k2 + b2 * p1 END AS p2 FROM pp)) "
+)
+
+
+def _model(spark, d):
+    return ngram_lm.train(docs(spark, d).filter(F.col("doc_id") % HELD_OUT != 0).select("text"))
+
+
+@query(
+    f"WITH {_MODEL} hd AS (SELECT lang, ['<s>', '<s>'] || {_WORDS.format(x='text')} || ['</s>'] AS p FROM documents WHERE doc_id % {HELD_OUT} = 0), "
+    f"asked AS MATERIALIZED (SELECT lang, p[i] AS u, p[i + 1] AS v, p[i + 2] AS w FROM (SELECT lang, {_TRIPLES} FROM hd)), {_PROBABILITY}, "
+    "l AS (SELECT lang AS language, sum(-ln(p)) / count(*) AS loss, count(*)::BIGINT AS targets FROM asked JOIN pr USING (u, v, w) GROUP BY lang), "
+    "x AS (SELECT * FROM l UNION ALL SELECT 'macro', avg(loss), sum(targets)::BIGINT FROM l UNION ALL SELECT 'token_weighted', sum(loss * targets) / sum(targets), sum(targets)::BIGINT FROM l) "
+    "SELECT language, round(loss, 6) AS loss, targets, round(exp(loss), 3) AS perplexity FROM x"
+)
+def model_loss(spark, d):
+    """Losses, by language, of a tenth of the documents under a model of the others."""
+    held = docs(spark, d).filter(F.col("doc_id") % HELD_OUT == 0).select("doc_id", F.col("lang").alias("language"), "text")
+    sums = ngram_lm.nll(_model(spark, d), held, ["doc_id", "language"])
+    return metrics.losses(sums).select("language", six("loss", "loss"), "targets", F.round("perplexity", 3).alias("perplexity"))
+
+
+@query(
+    f"WITH {_MODEL} h AS (SELECT item_id, {_WORDS.format(x='text')} AS ws FROM benchmark), n AS (SELECT item_id, ws[: len(ws) // 2] AS head, ws[len(ws) // 2 + 1 :] AS tail, coalesce(lead(ws) OVER (ORDER BY item_id), first_value(ws) OVER (ORDER BY item_id)) AS other FROM h), "
+    "b AS (SELECT item_id, 0 AS choice, head, tail AS own FROM n UNION ALL SELECT item_id, 1, head, other[len(other) // 2 + 1 :] FROM n), "
+    f"cut AS (SELECT item_id, choice, len(head) + len(own) > {CONTEXT_TOKENS} AS truncated, own[greatest(1, len(own) - {CONTEXT_TOKENS - 1}) :] AS o, head FROM b), "
+    f"cc AS (SELECT item_id, choice, truncated, o, head[greatest(1, len(head) - ({CONTEXT_TOKENS} - len(o)) + 1) : len(head)] AS hh FROM cut), "
+    "pd AS (SELECT item_id, choice, truncated, len(o) AS m, len(hh) AS k, ['<s>', '<s>'] || hh || o AS p FROM cc), "
+    "asked AS MATERIALIZED (SELECT item_id, choice, truncated, p[i] AS u, p[i + 1] AS v, p[i + 2] AS w FROM (SELECT item_id, choice, truncated, p, unnest(range(k + 1, k + m + 1)) AS i FROM pd)), "
+    f"{_PROBABILITY} SELECT item_id, choice::INTEGER AS choice, round(sum(ln(p)), 6) AS loglik, count(*)::BIGINT AS n_tokens, truncated FROM asked JOIN pr USING (u, v, w) GROUP BY item_id, choice, truncated"
+)
+def continuation_likelihoods(spark, d):
+    """Of each benchmark item the second half of its text and that of the next item, after its first half, of at most 24 tokens together."""
+    halves = table(spark, d, "benchmark").select("item_id", ngram_lm.words(F.col("text")).alias("ws"))
+    half = lambda c, second: F.array_join(F.slice(c, F.floor(F.size(c) / 2).cast("int") + 1, F.size(c)) if second else F.slice(c, 1, F.floor(F.size(c) / 2).cast("int")), " ")
+    first = halves.agg(F.min("item_id")).first()[0]
+    order = halves.withColumn("_next", F.col("item_id") - 1).select("_next", F.col("ws").alias("other"))  # ids of items are without gaps
+    around = halves.filter(F.col("item_id") == first).select(F.lit(halves.agg(F.max("item_id")).first()[0]).alias("_next"), F.col("ws").alias("other"))
+    both = halves.join(order.filter(F.col("_next") >= F.lit(first)).unionByName(around), F.col("item_id") == F.col("_next"))
+    each = F.explode(F.array(F.struct(F.lit(0).alias("choice"), half(F.col("ws"), True).alias("k")), F.struct(F.lit(1).alias("choice"), half(F.col("other"), True).alias("k"))))
+    rows = both.select("item_id", half(F.col("ws"), False).alias("context"), each.alias("x")).select("item_id", "context", "x.choice", F.col("x.k").alias("continuation"))
+    told = ngram_lm.continuations(_model(spark, d), rows, ["item_id", "choice"], "context", "continuation", CONTEXT_TOKENS)
+    return told.filter("n_tokens > 0").select("item_id", "choice", six("loglik", "loglik"), "n_tokens", "truncated")
