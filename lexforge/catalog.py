@@ -115,9 +115,10 @@ def eligible_articles(spark, d):
 )
 def leakage_filter(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").alias("ordinal"))
-    human = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", T.content_hash(F.col("text")).alias("content"))
-    pilot = docs.filter("doc_id % 50 = 7").select(T.content_hash(F.col("text")).alias("content"))
-    return corpus.leakage_filter(docs, human=human, pilot=pilot).groupBy("reason").agg(F.count("*").alias("n"))
+    rows = corpus.hashed(docs)
+    human = rows.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "content")
+    pilot = rows.filter("doc_id % 50 = 7").select("content")
+    return corpus.leakage_reasons(rows, human=human, pilot=pilot).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(

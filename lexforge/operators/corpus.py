@@ -99,21 +99,28 @@ def collect_documents(
     return whole.join(read.filter("reason = 'kept'").select("ordinal"), "ordinal", "left_semi").select(*stream.columns, "text_hash"), counters
 
 
-def leakage_filter(docs: DataFrame, *, human: DataFrame, pilot: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ordinal) with `reason`: empty, human, pilot, duplicate or null (kept). human: (doc_id, content); pilot: (content)."""
-    # Texts are read for their hash and then left: joins and the first of each content see narrow rows. Places are counted by a
-    # minimum, which is aggregated before it is exchanged, so a content that very many documents share is no large task.
+def hashed(docs: DataFrame) -> DataFrame:
+    """(ordinal, doc_id, content, empty) of docs, written: texts are read for their hash once and then left."""
     empty = F.coalesce(strip(F.col("text")), F.lit("")) == ""
-    rows = docs.select("ordinal", "doc_id", content_hash(F.col("text")).alias("content"), empty.alias("_e"))
+    return written(docs.select("ordinal", "doc_id", content_hash(F.col("text")).alias("content"), empty.alias("empty")))
+
+
+def leakage_filter(docs: DataFrame, *, human: DataFrame, pilot: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ordinal) with `reason`, as leakage_reasons tells it. human: (doc_id, content); pilot: (content)."""
+    return docs.join(leakage_reasons(hashed(docs), human=human, pilot=pilot), "ordinal").select(*docs.columns, "reason")
+
+
+def leakage_reasons(rows: DataFrame, *, human: DataFrame, pilot: DataFrame) -> DataFrame:
+    """(ordinal, reason) of rows (ordinal, doc_id, content, empty): empty, human, pilot, duplicate or null (kept)."""
+    # Places are counted by a minimum, which is aggregated before it is exchanged, so a content that very many documents share is no large task.
     ids = human.select("doc_id", F.lit(True).alias("_h1")).distinct()
     contents = human.select("content", F.lit(True).alias("_h2")).distinct()
     pilots = pilot.select("content", F.lit(True).alias("_p")).distinct()
     rows = rows.join(ids, "doc_id", "left").join(contents, "content", "left").join(pilots, "content", "left")
-    early = F.when(F.col("_e"), "empty").when(F.coalesce("_h1", "_h2"), "human").when(F.col("_p"), "pilot")
+    early = F.when(F.col("empty"), "empty").when(F.coalesce("_h1", "_h2"), "human").when(F.col("_p"), "pilot")
     rows = written(rows.select("ordinal", "content", early.alias("early")))
     first = rows.filter("early is null").groupBy("content").agg(F.min("ordinal").alias("_first"))
-    told = rows.join(first, "content", "left").select("ordinal", F.coalesce("early", F.when(F.col("ordinal") != F.col("_first"), "duplicate")).alias("reason"))
-    return docs.join(told, "ordinal").select(*docs.columns, "reason")
+    return rows.join(first, "content", "left").select("ordinal", F.coalesce("early", F.when(F.col("ordinal") != F.col("_first"), "duplicate")).alias("reason"))
 
 
 def union_keep_first(sources: list[DataFrame], key: str, order: str) -> DataFrame:
