@@ -477,3 +477,26 @@ def test_mix_stage_removes_rows_not_ids(spark, tmp_path):
     left = [(r["doc_id"], r["text"]) for r in out.collect()]
     bad = lambda t: "awful" in t or "nasty" in t
     assert sorted(left, key=str) == sorted(((i, t) for i, t, *_ in rows if not bad(t)), key=str)
+
+
+def test_stages_on_defined_cases(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    rows = [(i, text_of("aa" if i % 2 else "bb", rng, 30), "aa" if i % 2 else "bb") for i in range(40)]
+    odd = [(None, text_of("aa", rng, 25), None), (50, None, "aa"), (51, "", "bb"), (52, " \n ", None), (53, "1 2 3", "aa"), (54, text_of("bb", rng, 20_000), "bb"), (7, rows[7][1], "aa")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, whole string, rate double, _k1 long"
+    docs = spark.createDataFrame([(*r, "s", 0, "x", "y", 0.0, 1) for r in rows + odd], kind)
+    docs.limit(0).select("doc_id").selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda out: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect())
+    every, lettered = sorted([*range(40), -1, 50, 51, 52, 53, 54, 7]), sorted([*range(40), -1, 54, 7])
+    first = pipeline.language_stage(spark, docs, str(tmp_path))
+    assert first.columns == pipeline.COLUMNS and ids(first) == lettered and first.filter("lang is null").count() == 0
+    assert ids(pipeline.line_stage(spark, docs, str(tmp_path))) == every
+    third = ids(pipeline.near_stage(spark, docs, str(tmp_path)))
+    assert len(third) == len(every) - 3 and third.count(7) == 1  # one of the three texts without a word, one of the repeated rows
+    assert ids(pipeline.mix_stage(spark, docs, str(tmp_path))) == every
+    packed = pipeline.pack_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in packed if r["start"] == 0) == every
+    assert [r["doc_tokens"] for r in packed if r["doc_id"] == 50] == [1]
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
