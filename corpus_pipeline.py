@@ -23,7 +23,12 @@ LEAST_RATE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or of no clear language; fills in a null lang."""
+    """Drops documents without a letter or of no clear language; fills in a null lang.
+
+    A null or empty text has no letter and goes. Repeated rows and rows of a null id are judged each for itself and all stay; texts are read
+    whole, however long. An empty table, or one without a lang to learn from, leaves no row. Columns beyond COLUMNS are left out, here as in
+    every stage.
+    """
     docs = docs.select(*COLUMNS)
     out = language.predict(docs, language.train(language.sample(docs)))
     out = out.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -31,7 +36,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops shared lines; a document that loses lines and keeps nothing but blanks goes."""
+    """Drops shared lines; a document that loses lines and keeps nothing but blanks goes.
+
+    A document that loses none is left as it is: a null text stays null and an empty one empty. Rows of one id count as one document, and
+    those of a null id as one that comes before all others; repeated rows all stay. An empty table gives no rows.
+    """
     scratch, docs = Scratch(spark), docs.select(*COLUMNS)
     index = line_dedup.build(scratch, docs.select("doc_id", "text"), entry.LINE_MIN_DOCS, entry.LINE_MIN_CHARS)
     out = line_dedup.apply(scratch, index, docs)
@@ -42,12 +51,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more of shingles) stays, the longest."""
+    """One document of each group of near copies (similarity 0.8 or more of shingles) stays, the longest, of equals the smallest id.
+
+    Texts without a word, null and empty ones among them, are alike: one stays. Of fewer than five words the whole sequence is the shingle.
+    Of repeated rows one stays; rows of a null id are documents like others. An empty table gives no rows.
+    """
     return jaccard.one_of_each(Scratch(spark), docs.select(*COLUMNS), SHINGLE_WORDS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to one or more stay."""
+    """Documents whose fitted rate rounds to one or more stay.
+
+    A document without tokens, so with a null or empty text, has the rate 1 and stays. Rows are told apart by id and text: repeated rows
+    stay or go together, and rows of a null id each by its own text. Without labels there is one domain and nothing goes; an empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS)
     # Rows are told apart by id and text: a low rate removes no other row of the same, or of no, id.
     keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("_k2"))
@@ -57,7 +74,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequences."""
+    """The pieces of all documents, with their sequences.
+
+    A null or empty text is its end id alone; repeated rows and rows of a null id are packed as often as they come; an empty table gives no rows.
+    """
     ranks, pattern = entry.tokenizer_files()
     return packing.pack(Scratch(spark), packing.pieces(docs, ranks, pattern))
 
