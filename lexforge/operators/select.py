@@ -21,10 +21,16 @@ def require_same_keys(long: DataFrame, keys: list[str], part: str) -> None:
 
 def combine_scores(long: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """long (keys, dimension, score_raw): mean of clipped scores as score_raw, and of raw ones as raw_mean. strict: an error if some key
-    lacks a dimension that others have."""
+    lacks a dimension that others have.
+
+    Clipped scores are summed as decimals of twelve places, so keys of equal means tie in whatever order their rows come; sums of doubles
+    differ in the last bit by that order.
+    """
     if strict:
         require_same_keys(long, keys, "dimension")
-    return long.groupBy(*keys).agg(F.avg(clip(F.col("score_raw"))).alias("score_raw"), F.avg("score_raw").alias("raw_mean"), F.count("*").alias("n_dims"))
+    clipped = clip(F.col("score_raw")).cast("decimal(14,12)")
+    mean = F.sum(clipped).cast("double") / F.count(clipped)
+    return long.groupBy(*keys).agg(mean.alias("score_raw"), F.avg("score_raw").alias("raw_mean"), F.count("*").alias("n_dims"))
 
 
 def require_scored(pool: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,6 +122,15 @@ def test_short_pools_and_missing_scores_are_errors(spark):
         select.require_same_keys(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "doc_id string, dimension string"), ["doc_id"], "dimension")
 
 
+def test_equal_means_tie_in_any_order_of_rows(spark):
+    """Sums of these doubles differ in the last bit by document and by order."""
+    scores = {48146: [3.6870000000000003, 4.491, 3.115, 5.0, 4.749], 34986: [4.147, 4.851, 4.175, 2.869, 5.0]}
+    for turn in (1, -1):
+        long = spark.createDataFrame([("es", k, f"d{i}", x) for k, xs in scores.items() for i, x in list(enumerate(xs))[::turn]], "language string, doc_id long, dimension string, score_raw double").coalesce(1)
+        placed = select.rank_by_score(select.combine_scores(long, ["language", "doc_id"]), whole=True)
+        assert {r["doc_id"]: (r["score_raw"], r["rn"]) for r in placed.collect()} == {34986: (4.2084, 1), 48146: (4.2084, 2)}
+
+
 def test_ranking_is_independent_of_input_order(spark):
     scores = [("en", f"d{k}", s) for k, s in enumerate([2.0, 5.3, 4.9, 5.3, 1.0, 5.3])]
     df = spark.createDataFrame(scores, "language string, doc_id string, score_raw double")
