@@ -1,39 +1,55 @@
-"""Scores of generated text against references, counted per n-gram in Spark: chrF (with word n-grams chrF++) and corpus BLEU."""
+"""Scores of generated text against references, counted pair by pair on Spark's executors: chrF (with word n-grams chrF++) and corpus BLEU."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grams(items: Column, n: int | Column) -> Column:
-    """All runs of n items, each joined by a unit separator; empty if there are fewer."""
-    last = F.size(items) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.array_join(F.slice(items, i, n), "\x1f"))
-    return F.when(last > 0, runs).otherwise(F.array().cast("array<string>"))
-
-
 def characters(text: Column) -> Column:
-    """Characters without white space."""
-    return F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda c: c != "")
+    """Characters without white space, as a string."""
+    return F.regexp_replace(text, r"\s+", "")
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _common(made: list | str | None, wanted: list | str | None, n: int) -> tuple[int, int, int]:
+    """(n-grams of made, of wanted, those in common, clipped); null items are none."""
+
+    def bag(items: list | str | None) -> Counter:
+        if isinstance(items, str):
+            return Counter([items[i : i + n] for i in range(len(items) - n + 1)])
+        items = [] if items is None else [x for x in items if x is not None]
+        return Counter(["\x1f".join(items[i : i + n]) for i in range(len(items) - n + 1)])
+
+    a, b = bag(made), bag(wanted)
+    return a.total(), b.total(), sum([min(a[g], b[g]) for g in a.keys() & b.keys()])
+
+
 def matches(pairs: DataFrame, by: list[str], kinds: list[tuple[str, int, Column, Column]]) -> DataFrame:
-    """(by, kind, n, made, wanted, matched): n-grams of hypotheses and references, and those in common, clipped pair by pair. Items of a kind
-    are made once a pair and side, as rows of their own, and not again for each n-gram."""
-    rows = pairs.withColumn("_id", F.monotonically_increasing_id())
-    items = {(k, side): x for k, _, made, wanted in kinds for side, x in (("m", made), ("w", wanted))}
-    each = [F.struct(F.lit(k).alias("kind"), F.lit(side).alias("side"), x.alias("items")) for (k, side), x in items.items()]
-    flat = rows.select(*by, "_id", F.explode(F.array(*each)).alias("x")).select(*by, "_id", "x.kind", "x.side", "x.items")
-    orders = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(n) for x, n, _, _ in kinds if x == k])) for k in dict.fromkeys(k for k, *_ in kinds)])
-    flat = flat.withColumn("n", F.explode(orders)).withColumn("gram", F.explode(grams(F.col("items"), F.col("n")))).drop("items")
-    count = lambda side: F.count_if(F.col("side") == side)
-    per = flat.groupBy(*by, "_id", "kind", "n", "gram").agg(count("m").alias("m"), count("w").alias("w"))
-    return per.groupBy(*by, "kind", "n").agg(F.sum("m").alias("made"), F.sum("w").alias("wanted"), F.sum(F.least("m", "w")).alias("matched"))
+    """(by, kind, n, made, wanted, matched): n-grams of hypotheses and references, and those in common, clipped pair by pair. Items are an
+    array, or the characters of a string.
+
+    A pair's n-grams are counted where its row is, one n at a time, and only the three sums leave: no n-gram is a row or is exchanged.
+    """
+    names = list(dict.fromkeys(k for k, *_ in kinds))
+    items = {k: (made, wanted) for k, _, made, wanted in kinds}
+    asked = [(names.index(k), n) for k, n, *_ in kinds]
+
+    @F.pandas_udf("array<struct<made: long, wanted: long, matched: long>>")
+    def counted(*columns: pd.Series) -> pd.Series:
+        return pd.Series([[_common(row[2 * k], row[2 * k + 1], n) for k, n in asked] for row in zip(*columns, strict=True)])
+
+    found = counted(*[x for k in names for x in items[k]])
+    each = pairs.select(*by, F.posexplode(found).alias("_at", "x")).select(*by, "_at", "x.*")
+    sums = each.groupBy(*by, "_at").agg(*[F.sum(c).alias(c) for c in ("made", "wanted", "matched")]).filter("made + wanted > 0")
+    kind, n = (F.element_at(F.array(*[F.lit(x[i]) for x in kinds]), F.col("_at") + 1).alias(c) for i, c in enumerate(("kind", "n")))
+    return sums.select(*by, kind, n, "made", "wanted", "matched")
 
 
 def chrf(pairs: DataFrame, by: list[str], chars: int = 6, word_orders: int = 2, beta: float = 2.0) -> DataFrame:

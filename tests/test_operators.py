@@ -483,6 +483,21 @@ def test_scores_of_generated_text(spark):
         assert blue[x] == pytest.approx(100 * want)
 
 
+def test_ngrams_are_counted_where_their_pair_is(spark):
+    """Clipped pair by pair, characters or tokens, null and empty sides; no n-gram is a row or is exchanged."""
+    from lexforge.operators import generation
+
+    rows = [("x", "aaab", "aab"), ("x", "ab", None), ("x", "", "abc"), ("x", "b", "aaaa"), (None, "ab", "ab"), ("none", None, "")]
+    df = spark.createDataFrame(rows, "k string, h string, r string")
+    each = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    kinds = [("s", n, F.col("h"), F.col("r")) for n in (1, 2)] + [("t", n, each("h"), each("r")) for n in (1, 2)]
+    found = generation.matches(df, ["k"], kinds)
+    got = {(r["k"], r["kind"], r["n"]): (r["made"], r["wanted"], r["matched"]) for r in found.collect()}
+    assert got == {(k, s, n): x for s in "st" for k, n, x in (("x", 1, (7, 10, 3)), ("x", 2, (4, 7, 2)), (None, 1, (2, 2, 2)), (None, 2, (1, 1, 1)))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "gram" not in plan and plan.count("Aggregate") == 1
+
+
 def test_asking_again_and_only_once(spark, tmp_path):
     from lexforge.operators import models
 
