@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Mapping
 
@@ -73,16 +74,33 @@ def clip(value: Column, low: float = 0.0, high: float = 5.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
 
+#: Up to this many words are looked for by one pattern; a longer list is compared with all words of a text.
+FEW_WORDS = 32
+
+
 def words_of(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-zA-Z0-9]+")
 
 
+def _pattern(words: list[str]) -> str | None:
+    """Finds one of the words, whole; none if they are too many or not all plain ones."""
+    if not 0 < len(words) <= FEW_WORDS or not all(re.fullmatch("[a-z0-9]+", w) for w in words):
+        return None
+    return f"(?<![a-zA-Z0-9])({'|'.join(words)})(?![a-zA-Z0-9])"
+
+
 def has_any_word(text: Column, words: list[str]) -> Column:
+    if pattern := _pattern(words):
+        return F.lower(text).rlike(pattern)
     return F.arrays_overlap(words_of(text), F.array(*[F.lit(w) for w in words]))
 
 
 def matched_words(text: Column, words: list[str]) -> Column:
-    return F.array_join(F.array_sort(F.array_intersect(words_of(text), F.array(*[F.lit(w) for w in words]))), ", ")
+    if pattern := _pattern(words):
+        found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+    else:
+        found = F.array_intersect(words_of(text), F.array(*[F.lit(w) for w in words]))
+    return F.array_join(F.array_sort(found), ", ")
 
 
 def normal_word(line: Column) -> Column:

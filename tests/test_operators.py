@@ -57,6 +57,20 @@ def test_small_functions(spark):
     assert T.convert_legacy("abc", {"a": "x"}, {"bc": "y", "b": "z"}, [("xy", "yx")]) == "yx"
 
 
+def test_words_are_found_by_a_pattern_as_among_all_words(spark, monkeypatch):
+    """A few words make no array of a text's words; a longer list gives the same."""
+    texts = ["the and THE", "then", "other", "", None, "le the-end", "x_the_y", "\u00fcthe", "the1", "a ab abc", "ab\nThe,the", "\u212aa ka"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    words = ["the", "a", "ab", "ka"]
+    told = lambda: df.select(F.coalesce(T.has_any_word(F.col("t"), words), F.lit(False)).alias("any"), T.matched_words(F.col("t"), words).alias("w"))
+    few = told()
+    assert "split(" not in few._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in few.collect()]
+    assert [w for _, w in got] == ["the", "", "", "", None, "the", "the", "the", "", "a, ab", "ab, the", "ka"]
+    monkeypatch.setattr(T, "FEW_WORDS", 0)
+    assert [tuple(r) for r in told().collect()] == got and all(a == bool(w) for a, w in got)
+
+
 def sequential(rows):
     ids, texts, out = set(), set(), {}
     for o, i, t in sorted(rows):
