@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_key
@@ -76,29 +76,38 @@ def holdout(rows: DataFrame, h: int, seed: int, by: str, key: str) -> DataFrame:
 
 
 def shots(examples: DataFrame, pool: DataFrame, k: int, seed: int, labels: list[str]) -> DataFrame:
-    """(example_id, place, shot_id): k demonstrations for each example, balanced over labels, never of its own group.
+    """(example_id, place, shot_id, label): k demonstrations for each example, balanced over labels, never of its own group. Examples are one
+    row an id.
 
     Labels come in rounds: a first partial one of k mod L labels, then whole ones, each in a hash order of its own; the n-th time a
     label comes up it gives its n-th item in hash order. Labels that have run out are skipped.
+
+    The pool goes to every task as one array, and an example's shots are picked within its row: only they become rows of their own.
     """
     if pool.limit(MOST_SHOTS + 1).count() > MOST_SHOTS:  # it is sent to every task
         raise ValueError(f"a pool of demonstrations holds at most {MOST_SHOTS} items")
     full, part = divmod(k, len(labels))
-    turns = [(r, x) for r in range(full + (part > 0)) for x in labels]
-    spark = examples.sparkSession
-    turn = spark.createDataFrame(turns, "round int, label string")
-    asked = examples.select("example_id", F.col("group").alias("_g")).join(F.broadcast(turn))
-    asked = asked.withColumn("_o", order_key(seed, F.concat_ws("|", F.col("example_id").cast("string"), F.col("round").cast("string")), F.col("label")))
-    asked = asked.withColumn("_p", F.row_number().over(Window.partitionBy("example_id", "round").orderBy("_o")))
-    if part:
-        asked = asked.filter((F.col("round") > 0) | (F.col("_p") <= part))
-    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("example_id", "label").orderBy("round")))
-    items = examples.select("example_id", F.col("group").alias("_g")).join(F.broadcast(pool.select(F.col("item_id").alias("shot_id"), "label", "group")), F.col("_g") != F.col("group"))
-    own = order_key(seed, F.col("example_id"), F.col("shot_id"))
-    items = items.withColumn("nth", F.row_number().over(Window.partitionBy("example_id", "label").orderBy(own, "shot_id"))).filter(F.col("nth") <= full + 1)
-    out = asked.join(items.select("example_id", "label", "nth", "shot_id"), ["example_id", "label", "nth"])
-    place = F.row_number().over(Window.partitionBy("example_id").orderBy("round", "_p"))
-    return out.select("example_id", place.alias("place"), "shot_id", "label")
+    held = pool.agg(F.collect_list(F.struct(F.col("item_id").alias("shot_id"), "label", F.col("group").alias("g"))).alias("_pool"))
+    rows = examples.select("example_id", F.col("group").alias("_g")).crossJoin(F.broadcast(held))
+
+    def turns(r: int) -> Column:
+        salt = F.concat(F.col("example_id").cast("string"), F.lit(f"|{r}"))
+        order = F.sort_array(F.array(*[F.struct(order_key(seed, salt, F.lit(x)).alias("o"), F.lit(i).alias("at")) for i, x in enumerate(labels)]))
+        return F.slice(order, 1, part if part and r == 0 else len(labels))
+
+    def first(label: str) -> Column:
+        own = F.filter("_pool", lambda x: (x["label"] == label) & (x["g"] != F.col("_g")))
+        keyed = F.transform(own, lambda x: F.struct(order_key(seed, F.col("example_id"), x["shot_id"]).alias("o"), x["shot_id"].alias("shot_id")))
+        return F.slice(F.sort_array(keyed), 1, full + 1)
+
+    rows = rows.select("example_id", F.concat(*[turns(r) for r in range(full + (part > 0))]).alias("_a"), F.array(*[first(x) for x in labels]).alias("_b"))
+    nth = lambda x, i: F.size(F.filter(F.slice("_a", F.lit(1), i + 1), lambda y: y["at"] == x["at"]))
+    rows = rows.select("example_id", "_b", F.transform("_a", lambda x, i: F.struct(x["at"].alias("at"), nth(x, i).alias("nth"))).alias("_n"))
+    left = F.filter("_n", lambda x: x["nth"] <= F.size(F.get("_b", x["at"])))
+    item = lambda x: F.get(F.get("_b", x["at"]), x["nth"] - 1)["shot_id"].alias("shot_id")
+    names = F.array(*[F.lit(x) for x in labels])
+    picks = F.transform(left, lambda x: F.struct(item(x), F.get(names, x["at"]).alias("label")))
+    return rows.select("example_id", F.posexplode(picks).alias("_at", "x")).select("example_id", (F.col("_at") + 1).alias("place"), "x.shot_id", "x.label")
 
 
 def complete_everywhere(rows: DataFrame, key: str, by: str) -> DataFrame:

@@ -302,6 +302,10 @@ def test_shots_and_subsets(spark):
         mine = sorted((r["place"], r["shot_id"], r["label"]) for r in got if r["example_id"] == e)
         assert [p for p, _, _ in mine] == [1, 2, 3, 4, 5] and len({s for _, s, _ in mine}) == 5 and all(group[s] != group[e] for _, s, _ in mine)
         assert [{x for _, _, x in mine[1:3]}, {x for _, _, x in mine[3:]}] == [{"a", "b"}] * 2
+    plan = sampling.shots(examples, items, 5, 1, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # an example's shots are picked within its row
+    short = sampling.shots(examples.filter("example_id = 1"), items.filter("label = 'b' or item_id in (0, 1)"), 5, 1, ["a", "b"]).collect()
+    assert [r["place"] for r in short] == list(range(1, len(short) + 1)) and [r["shot_id"] for r in short if r["label"] == "a"] == [0] and len(short) in (3, 4)
     sub = sampling.fixed_subset(items, 3, 1, "b", "label", "item_id", cover="group").collect()
     assert len(sub) == 6 and all(len({r["group"] for r in sub if r["label"] == x}) == 2 for x in "ab")
     with pytest.raises(ValueError, match="no more than"):
