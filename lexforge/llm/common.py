@@ -58,6 +58,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.tidy()  # a stage of many tables would else fill the driver's heap with what its plans and broadcasts left
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tidy(self) -> None:

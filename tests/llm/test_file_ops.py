@@ -316,3 +316,11 @@ def test_batches_of_texts_are_cut_by_bytes(spark):
     rows = spark.range(60, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
     got = [r.bytes for r in rows.mapInArrow(sizes, "bytes long").collect()]
     assert len(got) > 8 and max(got) <= 6 << 20
+
+
+def test_a_written_table_leaves_no_garbage_on_the_driver(spark, monkeypatch):
+    from lexforge.llm.common import Scratch
+
+    calls = []
+    monkeypatch.setattr(Scratch, "tidy", lambda self: calls.append(1))
+    assert Scratch(spark).save(spark.range(3), "t").count() == 3 and calls == [1]
