@@ -273,8 +273,8 @@ def _model(spark, d):
 )
 def model_loss(spark, d):
     """Losses, by language, of a tenth of the documents under a model of the others."""
-    held = docs(spark, d).filter(F.col("doc_id") % HELD_OUT == 0).select("doc_id", F.col("lang").alias("language"), "text")
-    sums = ngram_lm.nll(_model(spark, d), held, ["doc_id", "language"])
+    held = docs(spark, d).filter(F.col("doc_id") % HELD_OUT == 0).select(F.col("lang").alias("language"), "text")
+    sums = ngram_lm.nll(_model(spark, d), held, ["language"])
     return metrics.losses(sums).select("language", six("loss", "loss"), "targets", F.round("perplexity", 3).alias("perplexity"))
 
 

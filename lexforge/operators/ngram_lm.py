@@ -1,36 +1,43 @@
-"""A language model of counts: interpolated Kneser-Ney over words, trained and asked by joins and aggregates.
+"""A language model of counts: interpolated Kneser-Ney over words.
 
 Trigrams of a text, with two start marks before it and one end mark behind, are counted; bigrams and words count in how many contexts they
 occur. Each order takes a discount off its counts and gives what it takes to the order below; the lowest is even over the vocabulary and one unknown
 word. So every token has a probability above 0, and those of a context sum to 1.
 
-Counts are summed by each task before they meet. Probabilities are looked up once for each distinct trigram that is asked for.
+Trigrams are counted within a few MB of texts and meet the trigrams that are asked for in buckets: by (v, u), where their contexts are summed; then
+their bigrams by (v, w), their words by v and by w, and the asked ones by w. Between, lines of a bucket travel joined as one text, sorted, which takes a
+third of the bytes that a row each takes. Buckets grow in number with the texts, not in size; only those that hold a frequent word's asked trigrams are
+larger.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.written import written
 
 DISCOUNT = 0.75
 START, END = "<s>", "</s>"
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
+#: Bytes of texts whose trigrams are counted together before they are dealt, and for which there is one bucket.
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+#: Lines of one kind and bucket: counts (0), asked trigrams (1), words (2), or their sum and number (3); words are parted by spaces, numbers too, tags by line ends.
+PACKED = "at int, kind int, words string, nums string, tags string"
+COUNTS, ASKED, SINGLE, WHOLE = 0, 1, 2, 3
 
 
 @dataclass
 class Model:
-    """Tables by context: trigrams (u, v, w, c), their contexts (u, v, total, types), bigrams (v, w, c), (v, total, types), words (w, c), and one row (total, types)."""
-
-    tri: DataFrame
-    tri_ctx: DataFrame
-    bi: DataFrame
-    bi_ctx: DataFrame
-    word: DataFrame
-    whole: DataFrame
+    """Counted trigrams (v, u, w, c), packed, in so many buckets; each asking sums the counts that it needs of them."""
+
+    grams: DataFrame
+    buckets: int
     discount: float
 
 
@@ -46,38 +53,291 @@ def trigrams(items: Column, end: bool = True) -> Column:
     return F.arrays_zip(*[F.slice(padded, i, n) for i in (1, 2, 3)]).cast("array<struct<u:string,v:string,w:string>>")
 
 
-def _contexts(counts: DataFrame, by: list[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+# --- lines of a bucket ---------------------------------------------------------------------------------------------------------------
+
+
+def _distinct(*columns):
+    """Of rows of integers a row of each distinct one, in their order, and each row's number among these."""
+    import numpy as np
+
+    ids, size = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        width = int(c.max(initial=0)) + 1
+        if size * width >= 1 << 62:
+            ids = np.unique(ids, return_inverse=True)[1]
+            size = len(ids)
+        ids, size = ids * width + c, size * width
+    order = np.argsort(ids)
+    new = np.diff(ids[order], prepend=-1) != 0
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _sums(number, values, size: int):
+    import numpy as np
+
+    return np.bincount(number, values, size).astype(np.int64)
+
+
+def _hashes(vocabulary):
+    import numpy as np
+
+    return np.array([zlib.crc32(x.encode()) for x in vocabulary.to_numpy(zero_copy_only=False)], np.uint64)
+
+
+def _bucket(hashes, buckets: int, *codes):
+    import numpy as np
+
+    mixed = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        mixed = mixed * np.uint64(0x9E3779B1) + hashes[c]
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(at, kind: int, vocabulary, codes, nums, tags=None):
+    """A row a bucket of lines of words (columns of places in the vocabulary) and numbers, in their order."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    order = np.argsort(at, kind="stable")
+    found, n = np.unique(at, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(n)])
+
+    def joined(values, each, by):
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends * each, pa.int32()), values), by)
+
+    of_words = joined(vocabulary.take(pa.array(np.stack(codes, 1)[order].ravel())), len(codes), " ")
+    of_nums = joined(pa.array(np.stack(nums, 1)[order].ravel()).cast(pa.string()), len(nums), " ")
+    of_tags = pa.nulls(len(found), pa.string()) if tags is None else joined(tags.take(pa.array(order)), 1, "\n")
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), kind), pa.int32()), of_words, of_nums, of_tags], ["at", "kind", "words", "nums", "tags"])
+
+
+def _lines(table, *wide):
+    """The vocabulary of a bucket, and of each (kind, words a line) the lines' codes and numbers by column, and their tags."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = [table.filter(pc.equal(table["kind"], kind)) for kind, _ in wide]
+
+    def flat(column, by):
+        values = column.combine_chunks()
+        return pc.list_flatten(pc.split_pattern(values, by)) if len(values) else pa.array([], pa.string())
+
+    texts = [flat(p["words"], " ") for p in parts]
+    coded = pa.concat_arrays(texts).dictionary_encode()
+    codes = np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in texts])[:-1])
+    out = []
+    for (kind, each), part, own in zip(wide, parts, codes, strict=True):
+        own = own.reshape(-1, each).T
+        nums = flat(part["nums"], " ").cast(pa.int64()).to_numpy()
+        out.append((own, nums.reshape(own.shape[1], -1).T if len(nums) else np.zeros((3, 0), np.int64), flat(part["tags"], "\n") if kind == ASKED else None))
+    return coded.dictionary, out
+
+
+def _of_texts(kind: int, buckets: int):
+    """Trigrams of texts in lower case (text, tag), counted within a few MB of them."""
+
+    def count(texts, tags):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pieces = pc.split_pattern_regex(texts.fill_null(""), pattern="[^" + WORDS[1:])
+        flat = pc.list_flatten(pieces)
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        n = np.bincount(pc.list_parent_indices(pieces).to_numpy()[full], minlength=len(texts))
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        vocabulary = pa.concat_arrays([coded.dictionary, pa.array([START, END])])
+        ends = np.cumsum(n + 3)  # of each text with its marks
+        marks = np.zeros(ends[-1], bool)
+        marks[ends - 1] = marks[ends - n - 3] = marks[ends - n - 2] = True
+        padded = np.full(len(marks), len(vocabulary) - 2, np.int64)
+        padded[~marks] = coded.indices.to_numpy()
+        padded[ends - 1] = len(vocabulary) - 1
+        starts = np.ones(len(marks), bool)
+        starts[ends - 1] = starts[ends - 2] = False
+        at = np.flatnonzero(starts)
+        u, v, w = padded[at], padded[at + 1], padded[at + 2]
+        if kind == ASKED:
+            tagged = tags.dictionary_encode()
+            tag = np.repeat(tagged.indices.to_numpy().astype(np.int64), n + 1)
+        else:
+            tag = np.zeros(len(at), np.int64)
+        first, number = _distinct(tag, v, u, w)
+        c, tag, u, v, w = np.bincount(number), tag[first], u[first], v[first], w[first]
+        return _packed(_bucket(_hashes(vocabulary), buckets, v, u), kind, vocabulary, [v, u, w], [c], tagged.dictionary.take(pa.array(tag)) if kind == ASKED else None)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(batch.slice(i, 1))
+                size += len(batch.column(0)[i].as_buffer() or b"") if batch.column(0)[i].is_valid else 0
+                if size >= BATCH_BYTES:
+                    yield count(*[pa.Table.from_batches(held)[x].combine_chunks() for x in ("text", "tag")])
+                    held, size = [], 0
+        if held:
+            yield count(*[pa.Table.from_batches(held)[x].combine_chunks() for x in ("text", "tag")])
+
+    return run
+
+
+def _of_rows(buckets: int):
+    """Asked rows (tag, u, v, w, n), packed."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                coded = pa.concat_arrays([batch.column(x) for x in ("u", "v", "w")]).dictionary_encode()
+                u, v, w = coded.indices.to_numpy().astype(np.int64).reshape(3, -1)
+                yield _packed(_bucket(_hashes(coded.dictionary), buckets, v, u), ASKED, coded.dictionary, [v, u, w], [batch.column("n").to_numpy()], batch.column("tag"))
+
+    return run
+
+
+# --- what lines of a bucket find there -----------------------------------------------------------------------------------------------
+
+
+def _by_context(buckets: int):
+    """By (v, u): trigrams are summed, asked ones get (count, total and types of the context); bigrams go on."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        vocabulary, (((v, u, w), (c, *_), _), ((av, au, aw), asked, tags)) = _lines(table, (COUNTS, 3), (ASKED, 3))
+        first, number = _distinct(v, u, w)
+        c, v, u, w = _sums(number, c, len(first)), v[first], u[first], w[first]
+        n = len(v)
+        starts, pair = _distinct(np.concatenate([v, av]), np.concatenate([u, au]))
+        total, types = _sums(pair[:n], c, len(starts)), _sums(pair[:n], None, len(starts))
+        same, number = _distinct(pair, np.concatenate([w, aw]))
+        count = _sums(number[:n], c, len(same))
+        hashes = _hashes(vocabulary)
+        out = [_packed(_bucket(hashes, buckets, av, aw), ASKED, vocabulary, [av, au, aw], [asked[0], count[number[n:]], total[pair[n:]], types[pair[n:]]], tags)]
+        first, number = _distinct(v, w)
+        v, w = v[first], w[first]
+        return pa.Table.from_batches([*out, _packed(_bucket(hashes, buckets, v, w), COUNTS, vocabulary, [v, w], [np.bincount(number, minlength=len(first))])])
+
+    return run
+
+
+def _by_bigram(buckets: int):
+    """By (v, w): bigrams are summed, asked ones get their count; sums by v and numbers by w go on."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        vocabulary, (((v, w), (c, *_), _), ((av, au, aw), asked, tags)) = _lines(table, (COUNTS, 2), (ASKED, 3))
+        n = len(v)
+        first, number = _distinct(np.concatenate([v, av]), np.concatenate([w, aw]))
+        count = _sums(number[:n], c, len(first))
+        hashes, size = _hashes(vocabulary), len(vocabulary)
+        out = [_packed(_bucket(hashes, buckets, av), ASKED, vocabulary, [av, au, aw], [*asked, count[number[n:]]], tags)]
+        known = first[count > 0]
+        v, w, c = np.concatenate([v, av])[known], np.concatenate([w, aw])[known], count[count > 0]
+        total, types, before = _sums(v, c, size), _sums(v, None, size), _sums(w, None, size)
+        v, w = np.flatnonzero(types), np.flatnonzero(before)
+        out.append(_packed(_bucket(hashes, buckets, v), COUNTS, vocabulary, [v], [total[v], types[v]]))
+        return pa.Table.from_batches([*out, _packed(_bucket(hashes, buckets, w), SINGLE, vocabulary, [w], [before[w]])])
+
+    return run
+
+
+def _by_words(buckets: int):
+    """By v: asked ones get total and types. By w: numbers are summed and go on."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        vocabulary, (((v,), nums, _), ((av, au, aw), asked, tags), ((w,), before, _)) = _lines(table, (COUNTS, 1), (ASKED, 3), (SINGLE, 1))
+        hashes, size = _hashes(vocabulary), len(vocabulary)
+        total, types = _sums(v, nums[0], size), _sums(v, nums[1], size)
+        out = [_packed(_bucket(hashes, buckets, aw), ASKED, vocabulary, [av, au, aw], [*asked, total[av], types[av]], tags)]
+        before = _sums(w, before[0], size)
+        w = np.flatnonzero(before)
+        out.append(_packed(_bucket(hashes, buckets, w), COUNTS, vocabulary, [w], [before[w]]))
+        whole = [pa.array([x]) for x in ("", f"{before.sum()} {len(w)}")]
+        return pa.Table.from_batches([*out, pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (0, WHOLE)] + whole + [pa.nulls(1, pa.string())], out[0].schema.names)])
+
+    return run
+
+
+def _by_last(total: int, types: int, d: float, each: bool):
+    """By w: what asked trigrams have found gives their p: a row each, or sums of n * ln p, and of n, by tag."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        vocabulary, (((w,), (c, *_), _), ((av, au, aw), asked, tags)) = _lines(table, (COUNTS, 1), (ASKED, 3))
+        n, c3, total3, types3, c2, total2, types2 = asked if len(aw) else [np.zeros(0, np.int64)] * 7
+        c1 = _sums(w, c, len(vocabulary))[aw]
+        p = np.full(len(aw), 1.0 / (types + 1))
+        for c, of, kinds in ((c1, np.full(len(aw), total), types), (c2, total2, types2), (c3, total3, types3)):
+            p = np.where(of > 0, (np.maximum(c - d, 0.0) + d * kinds * p) / np.maximum(of, 1), p)
+        if each:
+            return pa.table([*[vocabulary.take(pa.array(x)) for x in (au, av, aw)], pa.array(p)], names=["u", "v", "w", "p"])
+        tagged = tags.dictionary_encode()
+        tag = tagged.indices.to_numpy()
+        return pa.table([tagged.dictionary, *[pa.array(np.bincount(tag, x, len(tagged.dictionary)).astype(np.float64)) for x in (n * np.log(p), n)]], names=["tag", "loglik", "n"])
+
+    return run
+
+
+# --- the model -----------------------------------------------------------------------------------------------------------------------
 
 
 def train(texts: DataFrame, text: str = "text", discount: float = DISCOUNT) -> Model:
-    items = texts.select(words(F.col(text)).alias("_w"))
-    tri = written(items.select(F.explode(trigrams(F.col("_w"))).alias("t")).select("t.*").groupBy("u", "v", "w").agg(F.count("*").alias("c")))
-    bi = written(tri.groupBy("v", "w").agg(F.count("*").alias("c")))
-    word = written(bi.groupBy("w").agg(F.count("*").alias("c")))
-    return Model(tri, written(_contexts(tri, ["u", "v"])), bi, written(_contexts(bi, ["v"])), word, word.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("types")), discount)
+    size = texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    lower = texts.select(F.lower(F.col(text)).alias("text"), F.lit(None).cast("string").alias("tag"))
+    return Model(lower.mapInArrow(_of_texts(COUNTS, buckets), PACKED), buckets, discount)
+
+
+def _told(model: Model, asked: DataFrame, each: bool = False) -> DataFrame:
+    """Packed asked trigrams as rows (u, v, w, p), or sums (tag, loglik, n) of their n * ln p and n, some of each tag."""
+    b = model.buckets
+    met = lambda rows, run, kind: rows.repartition(b, "at").groupBy("at").applyInArrow(run, kind)
+    rows = met(met(model.grams.unionByName(asked), _by_context(b), PACKED), _by_bigram(b), PACKED)
+    found = written(met(rows, _by_words(b), PACKED))
+    sums = F.split("nums", " ").cast("array<long>")
+    total, types = found.filter(F.col("kind") == WHOLE).agg(*[F.coalesce(F.sum(sums[i]), F.lit(0)) for i in (0, 1)]).first()
+    return met(found.filter(F.col("kind") != WHOLE), _by_last(total, types, model.discount, each), "u string, v string, w string, p double" if each else "tag string, loglik double, n double")
+
+
+def _tag(keys: list[str]) -> Column:
+    return F.to_json(F.struct(*keys)).alias("tag")
+
+
+def _untagged(told: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, loglik, n) of sums by the tags that hold the keys."""
+    sums = told.groupBy("tag").agg(F.sum("loglik").alias("loglik"), F.sum("n").cast("long").alias("n"))
+    return sums.select(F.from_json("tag", T.StructType([of.schema[k] for k in keys])).alias("_k"), "loglik", "n").select("_k.*", "loglik", "n")
 
 
 def probabilities(model: Model, asked: DataFrame) -> DataFrame:
     """asked (u, v, w, ...) with `p`, each trigram's probability of w after u, v. Trigrams are looked up once each."""
-    d = F.lit(model.discount)
-    named = lambda table, by, name: table.select(*by, *[F.col(c).alias(f"_{name}_{c}") for c in table.columns if c not in by])
-    rows = asked.select("u", "v", "w").distinct()
-    for table, by, name in ((model.tri, ["u", "v", "w"], "3"), (model.tri_ctx, ["u", "v"], "3"), (model.bi, ["v", "w"], "2"), (model.bi_ctx, ["v"], "2"), (model.word, ["w"], "1")):
-        rows = rows.join(named(table, by, name), by, "left")
-    rows = rows.crossJoin(F.broadcast(named(model.whole, [], "0")))  # one row
-    kept = lambda c, total: F.coalesce(F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(total), F.lit(0.0))
-    even = F.lit(1.0) / (F.col("_0_types") + 1)
-    one = F.when(F.col("_0_total") > 0, kept("_1_c", "_0_total") + d * F.col("_0_types") / F.col("_0_total") * even).otherwise(even)
-    two = F.when(F.col("_2_total").isNull(), one).otherwise(kept("_2_c", "_2_total") + d * F.col("_2_types") / F.col("_2_total") * one)
-    three = F.when(F.col("_3_total").isNull(), two).otherwise(kept("_3_c", "_3_total") + d * F.col("_3_types") / F.col("_3_total") * two)
-    return asked.join(rows.select("u", "v", "w", three.alias("p")), ["u", "v", "w"])
+    safe = lambda c: F.when(F.col(c).rlike(r"[\s+%]"), F.url_encode(c)).otherwise(F.col(c)).alias(c)  # noqa: E731  no word of a text has these
+    rows = asked.select(F.lit("").alias("tag"), safe("u"), safe("v"), safe("w"), F.lit(1).cast("long").alias("n")).dropna().distinct()
+    told = _told(model, rows.mapInArrow(_of_rows(model.buckets), PACKED), each=True)
+    return asked.join(told.select(*[F.url_decode(c).alias(c) for c in ("u", "v", "w")], "p"), ["u", "v", "w"])
 
 
 def nll(model: Model, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, nll, targets): the sum of -ln p over each text's tokens, its end among them, and their number."""
-    rows = texts.select(*keys, words(F.col(text)).alias("_w")).select(*keys, F.explode(trigrams(F.col("_w"))).alias("t")).select(*keys, "t.*").groupBy(*keys, "u", "v", "w").agg(F.count("*").alias("n"))
-    return probabilities(model, rows).groupBy(*keys).agg(F.sum(-F.log("p") * F.col("n")).alias("nll"), F.sum("n").alias("targets"))
+    """(keys, nll, targets): the sum of -ln p over the tokens of each key's texts, their ends among them, and their number."""
+    rows = texts.select(F.lower(F.col(text)).alias("text"), _tag(keys)).mapInArrow(_of_texts(ASKED, model.buckets), PACKED)
+    return _untagged(_told(model, rows), texts, keys).select(*keys, (-F.col("loglik")).alias("nll"), F.col("n").alias("targets"))
 
 
 def continuations(model: Model, rows: DataFrame, keys: list[str], context: str, continuation: str, most: int) -> DataFrame:
@@ -91,7 +351,8 @@ def continuations(model: Model, rows: DataFrame, keys: list[str], context: str,
     cut = cut.select(*keys, "truncated", F.concat("_h", "_o").alias("_w"), F.size("_h").alias("_n"), F.size("_o").alias("_m"))
     each = F.slice(trigrams(F.col("_w"), end=False), F.col("_n") + 1, F.col("_m"))
     asked = cut.select(*keys, "truncated", F.explode_outer(each).alias("t")).select(*keys, "truncated", "t.*")
-    told = probabilities(model, asked.filter("w is not null").groupBy(*keys, "truncated", "u", "v", "w").agg(F.count("*").alias("n")))
-    scored = told.groupBy(*keys, "truncated").agg(F.sum(F.log("p") * F.col("n")).alias("loglik"), F.sum("n").alias("n_tokens"))
+    rows = asked.filter("w is not null").select(_tag([*keys, "truncated"]), "u", "v", "w", F.lit(1).cast("long").alias("n"))
+    told = _told(model, rows.mapInArrow(_of_rows(model.buckets), PACKED))
+    scored = _untagged(told, cut, [*keys, "truncated"]).withColumnRenamed("n", "n_tokens")
     empty = asked.filter("w is null").select(*keys, "truncated", F.lit(0.0).alias("loglik"), F.lit(0).cast("long").alias("n_tokens"))
     return scored.unionByName(empty).select(*keys, "loglik", "n_tokens", "truncated")

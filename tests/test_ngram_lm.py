@@ -62,3 +62,26 @@ def test_continuations_are_cut(spark):
         p = ["<s>", "<s>", *head, *own]
         scored = list(zip(p, p[1:], p[2:], strict=False))[len(head) :]
         assert (got[i]["loglik"], got[i]["n_tokens"], got[i]["truncated"]) == (pytest.approx(sum(math.log(brute.p(*x)) for x in scored)), len(own), cut)
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("asking", ["nll", "continuations"])
+def test_shuffles_little_more_than_the_texts(spark, asking):
+    rng = random.Random(5)
+    known = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    texts = [(i, " ".join(known[int(rng.paretovariate(0.6)) % len(known)] for _ in range(300))) for i in range(1500)]
+    frame = spark.createDataFrame(texts, "id int, text string")
+    before = shuffled(spark)
+    model = ngram_lm.train(frame.filter("id % 10 != 0"))
+    if asking == "nll":
+        ngram_lm.nll(model, frame.filter("id % 10 = 0"), ["id"]).collect()
+    else:
+        ngram_lm.continuations(model, spark.createDataFrame([(0, texts[0][1], texts[1][1])], "id int, c string, k string"), ["id"], "c", "k", 24).collect()
+    times = (shuffled(spark) - before) / sum(len(t) for _, t in texts)
+    assert times < 1.6, times
