@@ -5,14 +5,13 @@ occur. Each order takes a discount off its counts and gives what it takes to the
 word. So every token has a probability above 0, and those of a context sum to 1.
 
 Trigrams are counted within a few MB of texts and meet the trigrams that are asked for in buckets: by (v, u), where their contexts are summed; then
-their bigrams by (v, w), their words by v and by w, and the asked ones by w. Between, lines of a bucket travel joined as one text, sorted, which takes a
-third of the bytes that a row each takes. Buckets grow in number with the texts, not in size; only those that hold a frequent word's asked trigrams are
-larger.
+their bigrams by (v, w), their words by v and by w, and the asked ones by w. Between, lines of a bucket travel as one row: its words once, and the lines
+as numbers of those, so that a bucket's words and not its lines are read as text. Buckets grow in number with the texts, not in size; only those that
+hold a frequent word's asked trigrams are larger.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +24,11 @@ from ..plans.written import written
 DISCOUNT = 0.75
 START, END = "<s>", "</s>"
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
-#: Bytes of texts whose trigrams are counted together before they are dealt, and for which there is one bucket.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
-#: Lines of one kind and bucket: counts (0), asked trigrams (1), words (2), or their sum and number (3); words are parted by spaces, numbers too, tags by line ends.
-PACKED = "at int, kind int, words string, nums string, tags string"
+#: Bytes of texts whose trigrams are counted together before they are dealt, and for which there is one bucket. Bigrams and words take fewer.
+BATCH_BYTES, BUCKET_BYTES, OF_BIGRAMS, OF_WORDS = 8 << 20, 8 << 20, 2, 4
+#: Lines of one kind and bucket: counts (0), asked trigrams (1), words (2), or their sum and number (3, in the tags). Words are parted by spaces, tags by
+#: line ends; codes are places in the words, nums what is known of the lines, both column by column.
+PACKED = "at int, kind int, words string, codes binary, nums binary, tags string"
 COUNTS, ASKED, SINGLE, WHOLE = 0, 1, 2, 3
 
 
@@ -56,8 +56,8 @@ def trigrams(items: Column, end: bool = True) -> Column:
 # --- lines of a bucket ---------------------------------------------------------------------------------------------------------------
 
 
-def _distinct(*columns):
-    """Of rows of integers a row of each distinct one, in their order, and each row's number among these."""
+def _ids(*columns):
+    """A number a row of integers, ordered as the rows are and equal where they are."""
     import numpy as np
 
     ids, size = np.zeros(len(columns[0]), np.int64), 1
@@ -65,13 +65,35 @@ def _distinct(*columns):
         width = int(c.max(initial=0)) + 1
         if size * width >= 1 << 62:
             ids = np.unique(ids, return_inverse=True)[1]
-            size = len(ids)
+            size = int(ids.max(initial=0)) + 1
         ids, size = ids * width + c, size * width
-    order = np.argsort(ids)
-    new = np.diff(ids[order], prepend=-1) != 0
-    number = np.empty(len(ids), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
+    return ids
+
+
+def _starts(ids):
+    """Where runs of equal ids start, of ids in order."""
+    import numpy as np
+
+    return np.flatnonzero(np.diff(ids, prepend=-1))
+
+
+def _lengths(starts, n: int):
+    import numpy as np
+
+    return np.diff(starts, append=n)
+
+
+def _looked_up(ids, asked, *values):
+    """Values of asked ids among different ids in order, 0 where they aren't."""
+    import numpy as np
+
+    at = np.searchsorted(ids, asked)
+    known = np.flatnonzero(at < len(ids))
+    known = known[ids[at[known]] == asked[known]]
+    out = [np.zeros(len(asked), np.int64) for _ in values]
+    for x, value in zip(out, values, strict=True):
+        x[known] = value[at[known]]
+    return out
 
 
 def _sums(number, values, size: int):
@@ -81,9 +103,9 @@ def _sums(number, values, size: int):
 
 
 def _hashes(vocabulary):
-    import numpy as np
+    from pandas.util import hash_array
 
-    return np.array([zlib.crc32(x.encode()) for x in vocabulary.to_numpy(zero_copy_only=False)], np.uint64)
+    return hash_array(vocabulary.to_numpy(zero_copy_only=False), categorize=False)
 
 
 def _bucket(hashes, buckets: int, *codes):
@@ -95,23 +117,52 @@ def _bucket(hashes, buckets: int, *codes):
     return (mixed % np.uint64(buckets)).astype(np.int64)
 
 
+def _planes(values) -> bytes:
+    """Whole numbers from 0 as how many bytes the largest takes, then their lowest bytes, then their second ones and so on, which compress well."""
+    import numpy as np
+
+    n = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + values.astype("<i8").view(np.uint8).reshape(-1, 8).T[:n].tobytes()
+
+
+def _values(planes: bytes):
+    import numpy as np
+
+    kept = np.frombuffer(planes, np.uint8, offset=1).reshape(planes[0], -1)
+    out = np.zeros((kept.shape[1], 8), np.uint8)
+    out[:, : len(kept)] = kept.T
+    return out.view("<i8").ravel()
+
+
 def _packed(at, kind: int, vocabulary, codes, nums, tags=None):
     """A row a bucket of lines of words (columns of places in the vocabulary) and numbers, in their order."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    order = np.argsort(at, kind="stable")
-    found, n = np.unique(at, return_counts=True)
-    ends = np.concatenate([[0], np.cumsum(n)])
-
-    def joined(values, each, by):
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends * each, pa.int32()), values), by)
-
-    of_words = joined(vocabulary.take(pa.array(np.stack(codes, 1)[order].ravel())), len(codes), " ")
-    of_nums = joined(pa.array(np.stack(nums, 1)[order].ravel()).cast(pa.string()), len(nums), " ")
-    of_tags = pa.nulls(len(found), pa.string()) if tags is None else joined(tags.take(pa.array(order)), 1, "\n")
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), kind), pa.int32()), of_words, of_nums, of_tags], ["at", "kind", "words", "nums", "tags"])
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")
+    starts = _starts(at[order])
+    ends = [*starts[1:].tolist(), len(at)][: len(starts)]
+    codes, nums = np.stack(codes)[:, order], np.stack(nums)[:, order]
+    place = np.empty(len(vocabulary), np.int64)
+    words, of_codes, of_nums = [], [], []
+    for start, end in zip(starts.tolist(), ends, strict=True):
+        own = codes[:, start:end].ravel()
+        each = np.arange(len(own))
+        place[own] = each
+        different = own[place[own] == each]
+        place[different] = np.arange(len(different))
+        words.append(different)
+        of_codes.append(_planes(place[own]))
+        of_nums.append(_planes(nums[:, start:end].ravel()))
+
+    def joined(values, ends, by):
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values), by)
+
+    of_words = joined(vocabulary.take(pa.array(np.concatenate(words or [order]))), np.cumsum([len(x) for x in words]), " ")
+    of_tags = pa.nulls(len(starts), pa.string()) if tags is None else joined(tags.take(pa.array(order)), ends, "\n")
+    columns = [pa.array(at[order][starts], pa.int32()), pa.array(np.full(len(starts), kind), pa.int32()), of_words, pa.array(of_codes, pa.binary()), pa.array(of_nums, pa.binary()), of_tags]
+    return pa.RecordBatch.from_arrays(columns, ["at", "kind", "words", "codes", "nums", "tags"])
 
 
 def _lines(table, *wide):
@@ -120,20 +171,22 @@ def _lines(table, *wide):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    parts = [table.filter(pc.equal(table["kind"], kind)) for kind, _ in wide]
-
     def flat(column, by):
         values = column.combine_chunks()
-        return pc.list_flatten(pc.split_pattern(values, by)) if len(values) else pa.array([], pa.string())
-
-    texts = [flat(p["words"], " ") for p in parts]
-    coded = pa.concat_arrays(texts).dictionary_encode()
-    codes = np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in texts])[:-1])
-    out = []
-    for (kind, each), part, own in zip(wide, parts, codes, strict=True):
-        own = own.reshape(-1, each).T
-        nums = flat(part["nums"], " ").cast(pa.int64()).to_numpy()
-        out.append((own, nums.reshape(own.shape[1], -1).T if len(nums) else np.zeros((3, 0), np.int64), flat(part["tags"], "\n") if kind == ASKED else None))
+        parts = pc.split_pattern(values, by)
+        return (pc.list_flatten(parts), pc.list_value_length(parts).to_numpy()) if len(values) else (pa.array([], pa.string()), np.zeros(0, np.int64))
+
+    table = table.filter(pc.is_in(table["kind"], pa.array([kind for kind, _ in wide], pa.int32())))
+    texts, n = flat(table["words"], " ")
+    coded = texts.dictionary_encode()
+    known, before, kinds = coded.indices.to_numpy().astype(np.int64), np.cumsum(n) - n, table["kind"].to_numpy()
+    codes, nums, out = table["codes"].to_pylist(), table["nums"].to_pylist(), []
+    for kind, each in wide:
+        rows = np.flatnonzero(kinds == kind).tolist()
+        own = [_values(codes[i]).reshape(each, -1) + before[i] for i in rows]
+        of = [_values(nums[i]).reshape(-1, x.shape[1]) for i, x in zip(rows, own, strict=True)]
+        tags = flat(table["tags"].take(pa.array(rows, pa.int64())), "\n")[0] if kind == ASKED else None
+        out.append((known[np.concatenate(own, 1)] if rows else np.zeros((each, 0), np.int64), np.concatenate(of, 1) if rows else np.zeros((3, 0), np.int64), tags))
     return coded.dictionary, out
 
 
@@ -145,17 +198,23 @@ def _of_texts(kind: int, buckets: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        pieces = pc.split_pattern_regex(texts.fill_null(""), pattern="[^" + WORDS[1:])
-        flat = pc.list_flatten(pieces)
+        pieces = pc.ascii_split_whitespace(texts.fill_null(""))  # the pattern, which is slow, sees each different piece once
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        piece = coded.indices.to_numpy()
+        parts = pc.split_pattern_regex(coded.dictionary, pattern="[^" + WORDS[1:])
+        flat = pc.list_flatten(parts)
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-        n = np.bincount(pc.list_parent_indices(pieces).to_numpy()[full], minlength=len(texts))
+        each = np.bincount(pc.list_parent_indices(parts).to_numpy()[full], minlength=len(coded.dictionary))
         coded = flat.filter(pa.array(full)).dictionary_encode()
+        times = each[piece]
+        found = np.repeat((np.cumsum(each) - each)[piece] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        n = np.bincount(np.repeat(pc.list_parent_indices(pieces).to_numpy(), times), minlength=len(texts))
         vocabulary = pa.concat_arrays([coded.dictionary, pa.array([START, END])])
         ends = np.cumsum(n + 3)  # of each text with its marks
         marks = np.zeros(ends[-1], bool)
         marks[ends - 1] = marks[ends - n - 3] = marks[ends - n - 2] = True
         padded = np.full(len(marks), len(vocabulary) - 2, np.int64)
-        padded[~marks] = coded.indices.to_numpy()
+        padded[~marks] = coded.indices.to_numpy()[found]
         padded[ends - 1] = len(vocabulary) - 1
         starts = np.ones(len(marks), bool)
         starts[ends - 1] = starts[ends - 2] = False
@@ -166,23 +225,28 @@ def _of_texts(kind: int, buckets: int):
             tag = np.repeat(tagged.indices.to_numpy().astype(np.int64), n + 1)
         else:
             tag = np.zeros(len(at), np.int64)
-        first, number = _distinct(tag, v, u, w)
-        c, tag, u, v, w = np.bincount(number), tag[first], u[first], v[first], w[first]
+        ids = _ids(tag, v, u, w)
+        order = np.argsort(ids)
+        starts = _starts(ids[order])
+        first, c = order[starts], _lengths(starts, len(order))
+        tag, u, v, w = tag[first], u[first], v[first], w[first]
         return _packed(_bucket(_hashes(vocabulary), buckets, v, u), kind, vocabulary, [v, u, w], [c], tagged.dictionary.take(pa.array(tag)) if kind == ASKED else None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         held, size = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                held.append(batch.slice(i, 1))
-                size += len(batch.column(0)[i].as_buffer() or b"") if batch.column(0)[i].is_valid else 0
+            start = 0
+            for i, n in enumerate(pc.binary_length(batch.column(0)).fill_null(0).to_pylist(), 1):
+                size += n + 8  # texts without words have an end, too
                 if size >= BATCH_BYTES:
-                    yield count(*[pa.Table.from_batches(held)[x].combine_chunks() for x in ("text", "tag")])
-                    held, size = [], 0
-        if held:
-            yield count(*[pa.Table.from_batches(held)[x].combine_chunks() for x in ("text", "tag")])
+                    yield count(*[x.combine_chunks() for x in pa.Table.from_batches([*held, batch.slice(start, i - start)]).columns])
+                    held, size, start = [], 0, i
+            held.append(batch.slice(start))
+        if size:
+            yield count(*[x.combine_chunks() for x in pa.Table.from_batches(held).columns])
 
     return run
 
@@ -206,7 +270,7 @@ def _of_rows(buckets: int):
 # --- what lines of a bucket find there -----------------------------------------------------------------------------------------------
 
 
-def _by_context(buckets: int):
+def _by_context(onward: int):
     """By (v, u): trigrams are summed, asked ones get (count, total and types of the context); bigrams go on."""
 
     def run(table):
@@ -214,23 +278,28 @@ def _by_context(buckets: int):
         import pyarrow as pa
 
         vocabulary, (((v, u, w), (c, *_), _), ((av, au, aw), asked, tags)) = _lines(table, (COUNTS, 3), (ASKED, 3))
-        first, number = _distinct(v, u, w)
-        c, v, u, w = _sums(number, c, len(first)), v[first], u[first], w[first]
+        n, hashes = len(v), _hashes(vocabulary)
+        ids = _ids(np.concatenate([v, av]), np.concatenate([u, au]), np.concatenate([w, aw]))
+        order = np.argsort(ids[:n])
+        starts = _starts(ids[order])
+        first = order[starts]
+        c, v, u, w = np.add.reduceat(c[order], starts), v[first], u[first], w[first]
+        (count,) = _looked_up(ids[first], ids[n:], c)
         n = len(v)
-        starts, pair = _distinct(np.concatenate([v, av]), np.concatenate([u, au]))
-        total, types = _sums(pair[:n], c, len(starts)), _sums(pair[:n], None, len(starts))
-        same, number = _distinct(pair, np.concatenate([w, aw]))
-        count = _sums(number[:n], c, len(same))
-        hashes = _hashes(vocabulary)
-        out = [_packed(_bucket(hashes, buckets, av, aw), ASKED, vocabulary, [av, au, aw], [asked[0], count[number[n:]], total[pair[n:]], types[pair[n:]]], tags)]
-        first, number = _distinct(v, w)
-        v, w = v[first], w[first]
-        return pa.Table.from_batches([*out, _packed(_bucket(hashes, buckets, v, w), COUNTS, vocabulary, [v, w], [np.bincount(number, minlength=len(first))])])
+        ids = _ids(np.concatenate([v, av]), np.concatenate([u, au]))  # in order, as the trigrams are
+        starts = _starts(ids[:n])
+        total, types = _looked_up(ids[starts], ids[n:], np.add.reduceat(c, starts), _lengths(starts, n))
+        out = [_packed(_bucket(hashes, onward, av, aw), ASKED, vocabulary, [av, au, aw], [asked[0], count, total, types], tags)]
+        ids = _ids(v, w)
+        order = np.argsort(ids)
+        starts = _starts(ids[order])
+        v, w = v[order[starts]], w[order[starts]]
+        return pa.Table.from_batches([*out, _packed(_bucket(hashes, onward, v, w), COUNTS, vocabulary, [v, w], [_lengths(starts, n)])])
 
     return run
 
 
-def _by_bigram(buckets: int):
+def _by_bigram(onward: int):
     """By (v, w): bigrams are summed, asked ones get their count; sums by v and numbers by w go on."""
 
     def run(table):
@@ -238,22 +307,23 @@ def _by_bigram(buckets: int):
         import pyarrow as pa
 
         vocabulary, (((v, w), (c, *_), _), ((av, au, aw), asked, tags)) = _lines(table, (COUNTS, 2), (ASKED, 3))
-        n = len(v)
-        first, number = _distinct(np.concatenate([v, av]), np.concatenate([w, aw]))
-        count = _sums(number[:n], c, len(first))
-        hashes, size = _hashes(vocabulary), len(vocabulary)
-        out = [_packed(_bucket(hashes, buckets, av), ASKED, vocabulary, [av, au, aw], [*asked, count[number[n:]]], tags)]
-        known = first[count > 0]
-        v, w, c = np.concatenate([v, av])[known], np.concatenate([w, aw])[known], count[count > 0]
+        n, hashes, size = len(v), _hashes(vocabulary), len(vocabulary)
+        ids = _ids(np.concatenate([v, av]), np.concatenate([w, aw]))
+        order = np.argsort(ids[:n])
+        starts = _starts(ids[order])
+        first, c = order[starts], np.add.reduceat(c[order], starts)
+        (count,) = _looked_up(ids[first], ids[n:], c)
+        out = [_packed(_bucket(hashes, onward, av), ASKED, vocabulary, [av, au, aw], [*asked, count], tags)]
+        v, w = v[first], w[first]
         total, types, before = _sums(v, c, size), _sums(v, None, size), _sums(w, None, size)
         v, w = np.flatnonzero(types), np.flatnonzero(before)
-        out.append(_packed(_bucket(hashes, buckets, v), COUNTS, vocabulary, [v], [total[v], types[v]]))
-        return pa.Table.from_batches([*out, _packed(_bucket(hashes, buckets, w), SINGLE, vocabulary, [w], [before[w]])])
+        out.append(_packed(_bucket(hashes, onward, v), COUNTS, vocabulary, [v], [total[v], types[v]]))
+        return pa.Table.from_batches([*out, _packed(_bucket(hashes, onward, w), SINGLE, vocabulary, [w], [before[w]])])
 
     return run
 
 
-def _by_words(buckets: int):
+def _by_words(onward: int):
     """By v: asked ones get total and types. By w: numbers are summed and go on."""
 
     def run(table):
@@ -263,12 +333,12 @@ def _by_words(buckets: int):
         vocabulary, (((v,), nums, _), ((av, au, aw), asked, tags), ((w,), before, _)) = _lines(table, (COUNTS, 1), (ASKED, 3), (SINGLE, 1))
         hashes, size = _hashes(vocabulary), len(vocabulary)
         total, types = _sums(v, nums[0], size), _sums(v, nums[1], size)
-        out = [_packed(_bucket(hashes, buckets, aw), ASKED, vocabulary, [av, au, aw], [*asked, total[av], types[av]], tags)]
+        out = [_packed(_bucket(hashes, onward, aw), ASKED, vocabulary, [av, au, aw], [*asked, total[av], types[av]], tags)]
         before = _sums(w, before[0], size)
         w = np.flatnonzero(before)
-        out.append(_packed(_bucket(hashes, buckets, w), COUNTS, vocabulary, [w], [before[w]]))
-        whole = [pa.array([x]) for x in ("", f"{before.sum()} {len(w)}")]
-        return pa.Table.from_batches([*out, pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (0, WHOLE)] + whole + [pa.nulls(1, pa.string())], out[0].schema.names)])
+        out.append(_packed(_bucket(hashes, onward, w), COUNTS, vocabulary, [w], [before[w]]))
+        whole = [pa.array([0], pa.int32()), pa.array([WHOLE], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([f"{before.sum()} {len(w)}"])]
+        return pa.Table.from_batches([*out, pa.RecordBatch.from_arrays(whole, out[0].schema.names)])
 
     return run
 
@@ -308,12 +378,14 @@ def train(texts: DataFrame, text: str = "text", discount: float = DISCOUNT) -> M
 def _told(model: Model, asked: DataFrame, each: bool = False) -> DataFrame:
     """Packed asked trigrams as rows (u, v, w, p), or sums (tag, loglik, n) of their n * ln p and n, some of each tag."""
     b = model.buckets
-    met = lambda rows, run, kind: rows.repartition(b, "at").groupBy("at").applyInArrow(run, kind)
-    rows = met(met(model.grams.unionByName(asked), _by_context(b), PACKED), _by_bigram(b), PACKED)
-    found = written(met(rows, _by_words(b), PACKED))
-    sums = F.split("nums", " ").cast("array<long>")
+    of_bigrams, of_words = -(-b // OF_BIGRAMS), -(-b // OF_WORDS)
+    met = lambda rows, n, run, kind=PACKED: rows.repartition(n, "at").groupBy("at").applyInArrow(run, kind)
+    rows = met(met(model.grams.unionByName(asked), b, _by_context(of_bigrams)), of_bigrams, _by_bigram(of_words))
+    found = written(met(rows, of_words, _by_words(of_words)))
+    sums = F.split("tags", " ").cast("array<long>")
     total, types = found.filter(F.col("kind") == WHOLE).agg(*[F.coalesce(F.sum(sums[i]), F.lit(0)) for i in (0, 1)]).first()
-    return met(found.filter(F.col("kind") != WHOLE), _by_last(total, types, model.discount, each), "u string, v string, w string, p double" if each else "tag string, loglik double, n double")
+    schema = "u string, v string, w string, p double" if each else "tag string, loglik double, n double"
+    return met(found.filter(F.col("kind") != WHOLE), of_words, _by_last(total, types, model.discount, each), schema)
 
 
 def _tag(keys: list[str]) -> Column:

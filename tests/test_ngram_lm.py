@@ -85,3 +85,35 @@ def test_shuffles_little_more_than_the_texts(spark, asking):
         ngram_lm.continuations(model, spark.createDataFrame([(0, texts[0][1], texts[1][1])], "id int, c string, k string"), ["id"], "c", "k", 24).collect()
     times = (shuffled(spark) - before) / sum(len(t) for _, t in texts)
     assert times < 1.6, times
+
+
+def test_words_of_a_bucket_travel_once():
+    """Lines are numbers of a bucket's words: what is read as text follows its different words, not its lines."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    known = [f"{'word' * 5}{i}" for i in range(300)]
+    codes, nums = rng.integers(0, 300, (3, 40_000)), [rng.integers(0, most, 40_000) for most in (3, 1 << 40)]
+    at = rng.integers(0, 5, 40_000)
+    tags = pa.array([f"t{x}" for x in codes[0]])
+    sent = ngram_lm._packed(at, ngram_lm.ASKED, pa.array(known), list(codes), nums, tags)
+    assert sum(len(x) for x in sent["words"].to_pylist()) == 5 * (sum(len(x) + 1 for x in known) - 1)
+    plain = ngram_lm._packed(at, ngram_lm.COUNTS, pa.array(known), list(codes), nums[:1])
+    assert plain.nbytes < 10 * 40_000, plain.nbytes  # 3 words of 23 letters a line as text
+    got = []
+    for row in range(sent.num_rows):
+        words, ((own, of, own_tags),) = ngram_lm._lines(pa.Table.from_batches([plain, sent.slice(row, 1)]), (ngram_lm.ASKED, 3))
+        got += zip([row] * len(own_tags), *[[words[i].as_py() for i in x] for x in own], *of.tolist(), own_tags.to_pylist(), strict=True)
+    assert sorted(got) == sorted(zip(at.tolist(), *[[known[i] for i in x] for x in codes], *[x.tolist() for x in nums], tags.to_pylist(), strict=True))
+
+
+def test_rows_of_large_numbers_keep_their_order():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    columns = [rng.integers(0, most, 2000) for most in (3, 1 << 40, 2, 1 << 45, 1 << 50)]
+    ids = ngram_lm._ids(*columns)
+    rows = list(zip(*columns, strict=True))
+    assert [rows[i] for i in np.argsort(ids)] == sorted(rows)
+    assert len(set(ids.tolist())) == len(set(rows))
