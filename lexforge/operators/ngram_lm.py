@@ -27,7 +27,7 @@ WORDS = r"[\p{L}\p{M}\p{Nd}]+"
 #: Bytes of texts whose trigrams are counted together before they are dealt, and for which there is one bucket. Bigrams and words take fewer.
 BATCH_BYTES, BUCKET_BYTES, OF_BIGRAMS, OF_WORDS = 8 << 20, 8 << 20, 2, 4
 #: Lines of one kind and bucket: counts (0), asked trigrams (1), words (2), or their sum and number (3, in the tags). Words are parted by spaces, tags by
-#: line ends; codes are places in the words, nums what is known of the lines, both column by column.
+#: line ends; codes are places in the words, nums what is known of the lines, both column by column; of first words, mostly in order, the steps are kept.
 PACKED = "at int, kind int, words string, codes binary, nums binary, tags string"
 COUNTS, ASKED, SINGLE, WHOLE = 0, 1, 2, 3
 
@@ -150,10 +150,13 @@ def _packed(at, kind: int, vocabulary, codes, nums, tags=None):
         own = codes[:, start:end].ravel()
         each = np.arange(len(own))
         place[own] = each
-        different = own[place[own] == each]
+        different = np.sort(own[place[own] == each])
         place[different] = np.arange(len(different))
         words.append(different)
-        of_codes.append(_planes(place[own]))
+        own = place[own]
+        step = np.diff(own[: end - start], prepend=0)
+        own[: end - start] = step << 1 ^ step >> 63  # a step back is odd
+        of_codes.append(_planes(own))
         of_nums.append(_planes(nums[:, start:end].ravel()))
 
     def joined(values, ends, by):
@@ -183,7 +186,10 @@ def _lines(table, *wide):
     codes, nums, out = table["codes"].to_pylist(), table["nums"].to_pylist(), []
     for kind, each in wide:
         rows = np.flatnonzero(kinds == kind).tolist()
-        own = [_values(codes[i]).reshape(each, -1) + before[i] for i in rows]
+        own = [_values(codes[i]).reshape(each, -1) for i in rows]
+        for i, x in zip(rows, own, strict=True):
+            x[0] = np.cumsum(x[0] >> 1 ^ -(x[0] & 1))
+            x += before[i]
         of = [_values(nums[i]).reshape(-1, x.shape[1]) for i, x in zip(rows, own, strict=True)]
         tags = flat(table["tags"].take(pa.array(rows, pa.int64())), "\n")[0] if kind == ASKED else None
         out.append((known[np.concatenate(own, 1)] if rows else np.zeros((each, 0), np.int64), np.concatenate(of, 1) if rows else np.zeros((3, 0), np.int64), tags))
